@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .quality import op4_line_quality
+from .token_store import op2_token_ids
 
 QUERIES = {
+    "op2_token_ids": op2_token_ids,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_quality": op4_line_quality,
 }
