@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .licenses import op7_license_scan
 from .quality import op4_line_quality
 from .token_store import op2_token_ids
+from .warc import op8_warc
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_quality": op4_line_quality,
+    "op7_license_scan": op7_license_scan,
+    "op8_warc": op8_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
