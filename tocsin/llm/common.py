@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -147,3 +148,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(col, n: int):
     """crc32 of an id written as text, modulo n: the folds that are held out."""
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; it does so when the JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

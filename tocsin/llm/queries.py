@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
+from .jaccard import op6_jaccard_join
 from .licenses import op7_license_scan
 from .quality import op4_line_quality
 from .token_store import op2_token_ids
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_quality": op4_line_quality,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
 }
