@@ -108,10 +108,11 @@ def per_row(
     fields: str,
     name: str = "_op",
     keep: list[str] | None = None,
+    batched: bool = False,
 ) -> DataFrame:
     """df's columns (or keep of them) and one more, a struct `name` of `fields` that f = make() gives for each row's text.
 
-    make runs once in a task. The text reaches f as UTF-8 bytes; null stays None. No shuffle.
+    make runs once in a task; with batched, f takes and gives a list, a batch's rows. The text reaches f as UTF-8 bytes; null stays None. No shuffle.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     keep = df.columns if keep is None else keep
@@ -124,7 +125,8 @@ def per_row(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            rows = [f(x) for x in b.column(b.num_columns - 1).to_pylist()]
+            texts = b.column(b.num_columns - 1).to_pylist()
+            rows = f(texts) if batched else [f(x) for x in texts]
             cols = list(zip(*rows)) if rows else [()] * len(arrow)
             kids = [pa.array(c, arrow[i].type) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(kids, fields=list(arrow))], [*keep, name])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .jaccard import op6_jaccard_join
+from .language import op10_language_id
 from .licenses import op7_license_scan
 from .quality import op4_line_quality
 from .token_store import op2_token_ids
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
