@@ -8,12 +8,14 @@ from .language import op10_language_id
 from .licenses import op7_license_scan
 from .quality import op4_line_quality
 from .token_store import op2_token_ids
+from .toxicity import op5_toxicity
 from .warc import op8_warc
 
 QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_quality": op4_line_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
