@@ -6,6 +6,7 @@ from .decontaminate import op3_decontaminate
 from .jaccard import op6_jaccard_join
 from .language import op10_language_id
 from .licenses import op7_license_scan
+from .pii import op9_personal_data
 from .quality import op4_line_quality
 from .token_store import op2_token_ids
 from .toxicity import op5_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_license_scan": op7_license_scan,
     "op8_warc": op8_warc,
+    "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
 }
 

@@ -230,7 +230,7 @@ def train(sample: list[tuple[bytes, int]], seed: int = 0) -> tuple[Network, floa
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     best = int(f1.argmax())
-    border = 0.35 * s[order[best]] + 0.65 * s[order[min(best + 1, len(s) - 1)]]  # unseen documents are less sure than learnt ones
+    border = (s[order[best]] + s[order[min(best + 1, len(s) - 1)]]) / 2
     return net, float(np.log(CUT / (1 - CUT)) - border)
 
 
