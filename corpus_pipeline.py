@@ -1,8 +1,66 @@
-"""The corpus pipeline: each stage reads what the one before kept."""
+"""The corpus pipeline over `documents`: each stage reads what the one before has kept, all but the last give its columns."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tocsin.llm.common import free_name, table, written
+from tocsin.llm.decontaminate import contamination
+from tocsin.llm.jaccard import NULL_IDS, jaccard_components
+from tocsin.llm.language import identify
+from tocsin.llm.pieces import sentencepiece_ids
+from tocsin.llm.pii import redact
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without text or any letter go."""
+    name = free_name(docs, "_language")
+    return identify(docs, name=name).filter(F.col(f"{name}.lang") != "und").select(*docs.columns)
+
+
+def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id; of repeated rows one. Null ids come after all others."""
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.coalesce("doc_id", F.lit(NULL_IDS) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
+    groups = jaccard_components(keyed, key, "text")
+    stay = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    name = free_name(docs, "_contamination")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), name=name)
+    return found.filter(F.size(f"{name}.hits") == 0).select(*docs.columns)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind; n_chars is counted anew."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, restored and ids of every document."""
+    return sentencepiece_ids(docs.select("doc_id", "text")).select("doc_id", "pieces.*")
+
+
+STAGES = [
+    ("language", language_stage),
+    ("duplicates", duplicates_stage),
+    ("decontamination", decontamination_stage),
+    ("personal_data", personal_data_stage),
+    ("tokens", token_stage),
+]
+
+#: Language ID, and the merges of BPE, have no SQL form; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what each stage gives is written as Parquet before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

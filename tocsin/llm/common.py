@@ -37,12 +37,57 @@ def words_space(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word, the same in every process: two crc32 of the word in one integer, then mixed."""
-    crc = zlib.crc32
-    out = np.fromiter(map(crc, words), np.uint64, len(words))
-    out |= np.fromiter([crc(w, 0x9E3779B9) ^ len(w) * 0x85EBCA6B & 0xFFFFFFFF for w in words], np.uint64, len(words)) << np.uint64(32)
-    return mix(out)
+RANDOM = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+#: An odd multiplier and its inverse modulo 2**64, and their powers as far as they have been needed.
+BASE = 0x9FB21C651E98DF23
+POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Texts are hashed in parts of so many bytes, cut between words.
+PART = 1 << 20
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(POWERS[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            POWERS[i] = np.multiply.accumulate(p)
+    return POWERS[0], POWERS[1]
+
+
+def byte_classes(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of a translation of bytes, such as WORD_TABLE: which bytes stand in words, and a random number for what each becomes."""
+    to = np.frombuffer(table, np.uint8)
+    space = np.zeros(256, bool)
+    space[[32, *range(9, 14)]] = True
+    return ~space[to], RANDOM[to]
+
+
+ALNUM, LOWER = byte_classes(WORD_TABLE), byte_classes(LOWER_TABLE)
+
+
+def word_hashes(text: bytes | None, classes: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """64-bit hashes of a text's words in order, the same in every process: the bytes' random numbers times powers, summed."""
+    if not text:
+        return np.empty(0, np.uint64)
+    inside, number = classes
+    b = np.frombuffer(text, np.uint8)
+    word = inside[b]
+    if len(b) > PART:
+        gap = np.flatnonzero(~word[PART:])
+        if len(gap):
+            cut = PART + int(gap[0])
+            return np.concatenate([word_hashes(text[:cut], classes), word_hashes(text[cut:], classes)])
+    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
+    if word[0]:
+        edge = np.concatenate([[0], edge])
+    if word[-1]:
+        edge = np.concatenate([edge, [len(b)]])
+    start, end = edge[::2], edge[1::2]
+    power, inverse = powers(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(number[b] * power[: len(b)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,8 +106,8 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     out = h[:n].copy()
     for i in range(1, k):
-        out = mix(out * np.uint64(0xC2B2AE3D27D4EB4F) + h[i : i + n])
-    return out
+        out = out * np.uint64(0xC2B2AE3D27D4EB4F) + h[i : i + n]
+    return mix(out)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -127,8 +172,11 @@ def per_row(
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             rows = f(texts) if batched else [f(x) for x in texts]
-            cols = list(zip(*rows)) if rows else [()] * len(arrow)
-            kids = [pa.array(c, arrow[i].type) for i, c in enumerate(cols)]
+            if rows and isinstance(rows[0], pa.Array):  # a batch may also come as columns
+                kids = rows
+            else:
+                cols = list(zip(*rows)) if rows else [()] * len(arrow)
+                kids = [pa.array(c, arrow[i].type) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(kids, fields=list(arrow))], [*keep, name])
 
     return df.select(*[q(c) for c in keep], q(text_col).cast("binary").alias(tmp)).mapInArrow(run, schema)

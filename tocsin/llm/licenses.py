@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, grams, hashes, per_row, table, words_alnum
+from .common import ALNUM, BATCH_ROWS, grams, per_row, table, word_hashes, words_alnum
 
 #: Words in a gram; how far apart diagonals may be to count as one; least share of the template, and of the span, that is covered.
 K, NEAR, MIN_TEMPLATE, MIN_SPAN = 3, 6, 0.6, 0.5
@@ -52,7 +52,7 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> Data
     rows = []
     for t, (label, text) in enumerate(templates):
         words = words_alnum(text.encode())
-        rows += [(int(g), t, label, len(words), i) for i, g in enumerate(grams(hashes(words), k).view(np.int64))]
+        rows += [(int(g), t, label, len(words), i) for i, g in enumerate(grams(word_hashes(text.encode(), ALNUM), k).view(np.int64))]
     return spark.createDataFrame(rows, "gram long, template int, label string, n_template int, at int")
 
 
@@ -73,7 +73,7 @@ def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
 
         for b in batches:
             for i, tie, text in zip(*(c.to_pylist() for c in b.columns)):
-                g = grams(hashes(words_alnum(text)), k)
+                g = grams(word_hashes(text, ALNUM), k)
                 if len(g):
                     held.append((i, tie, g))
                     rows += len(g)

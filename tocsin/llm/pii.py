@@ -208,7 +208,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of text_col replaced by its kind in angle brackets; overlapping spans become one, of the first's kind."""
+    """docs with every span of text_col replaced by its kind in angle brackets; overlapping spans become one, of the first's kind.
+
+    Null text stays null; other columns, also such as clash with names used here, are left as they are.
+    """
     one, tie, found = free_name(docs, "_id"), free_name(docs, "_tie"), free_name(docs, "_found")
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     spans = found_spans(keyed(docs, id_col, text_col)).select(F.col("id").alias(one), F.col("tie").alias(tie), F.col("found").alias(found))

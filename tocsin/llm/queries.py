@@ -6,6 +6,7 @@ from .decontaminate import op3_decontaminate
 from .jaccard import op6_jaccard_join
 from .language import op10_language_id
 from .licenses import op7_license_scan
+from .pieces import op1_sentencepiece
 from .pii import op9_personal_data
 from .quality import op4_line_quality
 from .token_store import op2_token_ids
@@ -13,6 +14,7 @@ from .toxicity import op5_toxicity
 from .warc import op8_warc
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_token_ids": op2_token_ids,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_quality": op4_line_quality,
