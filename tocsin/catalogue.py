@@ -1,4 +1,5 @@
 """All queries of the engine and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .queries import ORACLE_SQL, QUERIES, events, places, records, streams, texts
+
+__all__ = ["ORACLE_SQL", "QUERIES", "events", "places", "records", "streams", "texts"]
