@@ -1,0 +1,420 @@
+"""The corpus operators against brute force, round trips and held-out accuracy, and on odd rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tocsin.llm import decontaminate, jaccard, language, licenses, pieces, pii, quality, simple8b, token_store, toxicity, warc
+from tocsin.llm.common import LOWER, WORD_TABLE, byte_classes, free_name, remainder, tokenizer_path, word_hashes, written
+
+SF = "/root/testdata/sf0.001"
+LONG = "lorem ipsum dolor " * 20000 + "x" * 60000
+ODD = [(1, None), (2, ""), (3, "   \n\t "), (4, "one two"), (4, "one two"), (5, LONG), (6, "é 日本語 🎉\x00 <b>&amp;"), (None, "no id here at all"), (None, None), (7, "...!!!")]
+
+
+def frame(spark, rows):
+    """documents with clashing and odd columns."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words long, score double, _op string, id string"
+    return spark.createDataFrame([(i, t, "en" if i and i % 2 else None, "s", None, 9, None, "x", "y") for i, t in rows], schema)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(documents):
+    return {r.doc_id: r.text for r in documents.collect()}
+
+
+def test_word_hashes_tell_words_apart():
+    def words(text, table):
+        return text.translate(table).split()
+
+    r = random.Random(1)
+    for _ in range(50):
+        t = "".join(r.choice("ab A\nB.é9") for _ in range(300)).encode()
+        for table, classes in ((WORD_TABLE, byte_classes(WORD_TABLE)),):
+            w, h = words(t, table), word_hashes(t, classes)
+            assert len(w) == len(h) and len(set(w)) == len(set(h.tolist())) == len(set(zip(w, h.tolist())))
+    big = (b"word " * 300_000) + b"y" * 1_200_000 + b" end"
+    h = word_hashes(big, LOWER)
+    assert len(h) == 300_002 and h[0] == h[299_999] == word_hashes(b"WORD", LOWER)[0] and h[-1] == word_hashes(b"end", LOWER)[0]
+
+
+# 1 SentencePiece
+
+
+def test_pieces_equal_the_library():
+    model = tokenizer_path("piece_bpe_32k.model")
+    ours, sp = pieces.StreamingViterbi(model), sentencepiece.SentencePieceProcessor(model_file=model)
+    r = random.Random(0)
+    cases = ["", " ", "  a  b\n\tc ▁ d", "a" * 700, "日本語テキスト🎉\x00", "\n" * 40 + " " * 50, LONG[:5000], "x" * 3000]
+    cases += ["".join(r.choice("abcdehinorst ABC.,\n0123é日▁") for _ in range(r.randint(1, 500))) for _ in range(300)]
+    for text, code in zip(cases, ours.encode(cases)):
+        ids = np.frombuffer(code, "<u4").tolist()
+        assert ids == sp.encode(text)
+        assert ours.decode(ids) == sp.decode(ids) == pieces.plain(ours, text)
+
+
+def test_whole_texts_stream_like_chunks():
+    ours = pieces.StreamingViterbi(tokenizer_path("piece_bpe_32k.model"))
+    r = random.Random(2)
+    for _ in range(30):
+        text = ours.normalize("".join(r.choice("thean ing,.") for _ in range(600)))
+        whole = ours.code(ours.stream(text))
+        ours.chunked = True
+        assert whole == ours.encode([text[1:].replace("▁", " ")])[0]
+
+
+def test_unigram_keeps_the_best_sum():
+    ours = pieces.StreamingViterbi(tokenizer_path("piece_bpe_32k.model"))
+    ours.kind = pieces.UNIGRAM
+    r = random.Random(3)
+    for _ in range(40):
+        text = "▁" + "".join(r.choice("theaning") for _ in range(r.randint(1, 150)))
+        best = [0.0] + [-1e18] * len(text)
+        for e in range(1, len(text) + 1):
+            for s in range(max(0, e - ours.longest), e):
+                p = text[s:e]
+                if p in ours.score or e - s == 1:
+                    best[e] = max(best[e], best[s] + ours.score.get(p, ours.unknown_score))
+        got = ours.stream(text)
+        assert "".join(got) == text and sum(ours.score.get(p, ours.unknown_score) for p in got) == pytest.approx(best[-1])
+
+
+# 2 token ids
+
+
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 6000])
+@pytest.mark.parametrize("top", [1, 2, 300, 50257, 1 << 33, 1 << 63])
+def test_simple8b_round_trip(n, top):
+    x = np.random.default_rng(n).integers(0, top, n, dtype=np.uint64)
+    words, offsets = simple8b.encode(x)
+    assert (simple8b.decode(words, offsets, n) == x).all() and len(offsets) == -(-n // simple8b.BLOCK) + 1
+
+
+def test_simple8b_packs_many_small_ids_and_escapes():
+    assert len(simple8b.encode(np.ones(6000, np.uint64))[0]) <= 6 * 18
+    x = np.array([1, 1 << 62, (1 << 64) - 1, 3] * 700, np.uint64)
+    words, offsets = simple8b.encode(x)
+    assert (simple8b.decode(words, offsets, len(x)) == x).all()
+
+
+def test_token_files_hold_all_documents_in_order(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rows = [*[r for r in ODD if r[0] != 5], (5, LONG[:9000]), (9, "a  b \n c   d\n\n e"), (10, " lead"), (11, "trail  ")]
+    manifest = token_store.write_tokens(frame(spark, rows), "doc_id", "text", f"file://{tmp_path}/t", path, 2, file_ids=500)
+    got = token_store.read_documents(token_store.with_starts(manifest)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows if i is None), key=str) + sorted(i for i, _ in rows if i is not None)
+    at = 0
+    want = {(i, tuple(t.encode(x or "", add_special_tokens=False).ids + [2])) for i, x in rows}
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) and (r.doc_id, tuple(r.ids)) in want
+        at += r.n_tokens
+    digests = token_store.read_digests(token_store.with_starts(manifest)).orderBy("start").collect()
+    assert [d.ids_crc32 for d in digests] == [zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in got]
+    assert manifest.count() > 1
+
+
+# 3 decontamination
+
+
+def brute_contamination(text, items, window=10):
+    word = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate({c: c + 32 for c in range(65, 91)}))
+    w, hit, found = word(text), set(), set()
+    for i, t in items:
+        p = word(t)
+        m = min(window, len(p))
+        for s in range(len(p) - m + 1 if m else 0):
+            for k in range(len(w) - m + 1):
+                if w[k : k + m] == p[s : s + m]:
+                    hit |= set(range(k, k + m))
+                    found.add(str(i))
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 60])
+def test_contamination_equals_brute_force(spark, shard_bytes):
+    r = random.Random(4)
+    say = lambda n: " ".join(r.choice("ab cd ef gh".split()) for _ in range(n))
+    items = [(1, say(12)), (2, say(3)), (3, "ab"), (4, None), (5, ""), (6, say(10)), (12, say(12))]
+    rows = [(100 + i, say(r.randint(0, 60)) + r.choice(["", " " + items[0][1].upper(), ", " + items[6][1]])) for i in range(25)] + ODD
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontaminate.contamination(frame(spark, rows), b, shard_bytes=shard_bytes).select("text", "contamination").collect():
+        c = r.contamination
+        assert (c.n_words, sum(h.e - h.s for h in c.hits), c["items"]) == brute_contamination(r.text, items)
+        assert all(a.e < b.s for a, b in zip(c.hits, c.hits[1:]))
+
+
+# 4 quality
+
+
+def test_quality_equals_brute_force(documents):
+    for text in [*list(texts(documents).values())[:60], None, "", "a b c d e a b c d e a b c d e", "x\nx\n\n\nx"]:
+        n, chars, symbols, dup, repeat, failed, *_ = quality.judge(text.encode() if text is not None else None, quality.LineRules())
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        twice = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(5)} if len(words) < 4000 else None
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (n, chars, symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")))
+        assert dup == len(lines) - len(set(lines))
+        if twice is not None:
+            assert repeat == len(twice) and failed == (n < 10 or 100 * len(twice) > 20 * n)
+
+
+def test_quality_keeps_clean_and_rejects_junk():
+    clean = "The cat sat on the mat and looked at the moon. It was a fine night for all.\n" * 1 + "Another sentence stands here, quite unlike the first one."
+    junk = "HOME | ABOUT | NEWS | SHOP\nBUY NOW!! CHEAP!! CLICK HERE!! FAST!!\n*** $$$ ### offer ***\nThis line is fine and is the only one here."
+    rules = quality.LineRules()
+    assert quality.judge(clean.encode(), rules)[6] and not quality.judge(junk.encode(), rules)[6]
+    assert quality.judge(junk.encode(), rules)[8] == "This line is fine and is the only one here."
+
+
+def test_quality_agrees_with_labels(spark):
+    d, lab = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    r = quality.line_first(d, text=False, name="q").join(lab, "doc_id").filter("not q.base_failed").groupBy("q.kept", "quality").count().collect()
+    right = sum(x["count"] for x in r if x[0] == (x[1] == 1))
+    assert right >= 0.95 * sum(x["count"] for x in r)
+
+
+# 5 toxicity
+
+
+def test_gradients_are_the_slopes():
+    rng = np.random.default_rng(1)
+    net = toxicity.Network.new({b"a": 0, b"bb": 1}, rng)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    wins, y, w = [[b"a", b"bb", b"zz"], [b"bb"], [b"q", b"a", b"a", b"ccc"]], np.array([1.0, 0, 1]), np.array([1.0, 2, 1])
+
+    def loss():
+        s = toxicity.sigmoid(np.array([net.logits([x])[0][0] for x in wins], np.float64))
+        return (w * -(y * np.log(s) + (1 - y) * np.log(1 - s))).mean()
+
+    grad = net.gradients(wins, y, w)
+    for k, v in net.p.items():
+        i = np.unravel_index(int(np.abs(grad[k]).argmax()), v.shape)
+        old, h = v[i], 1e-3
+        v[i] = old + h
+        up = loss()
+        v[i] = old - h
+        slope = (up - loss()) / (2 * h)
+        v[i] = old
+        assert grad[k][i] == pytest.approx(slope, rel=0.05, abs=2e-4), k
+
+
+def test_toxicity_on_held_out(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    r = toxicity.toxicity(d, lab).join(lab, "doc_id").filter(remainder(F.col("doc_id"), 3) == 1).select("toxicity.score", "toxic").collect()
+    pos, neg = [x.score for x in r if x.toxic], [x.score for x in r if not x.toxic]
+    auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
+    assert auc > 0.8 and np.mean([n >= toxicity.CUT for n in neg]) < 0.05
+
+
+def test_windows_hold_every_word():
+    for n in (0, 1, 48, 49, 80, 81, 500):
+        starts = toxicity.window_starts(n)
+        assert set(range(n)) <= {s + i for s in starts for i in range(toxicity.WINDOW)}
+
+
+# 6 Jaccard
+
+
+def brute_components(rows, t=(75, 100)):
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            k = len(sets[a] & sets[b])
+            if a < b and k and t[1] * k >= t[0] * (len(sets[a]) + len(sets[b]) - k):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def corpus(seed=6):
+    r = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    common = " ".join(r.choice(vocab) for _ in range(60))
+    rows, i = [], 0
+    for g in range(12):
+        base = [r.choice(vocab) for _ in range(r.randint(3, 160))]
+        for _ in range(r.randint(1, 14)):
+            w = list(base)
+            for _ in range(r.randint(0, max(1, len(w) // 40))):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            base = w if r.random() < 0.4 else base
+            rows.append((i, " ".join(w) + (" " + common if g % 3 == 0 else "")))
+            i += 1
+    rows += [(i + k, rows[3][1].upper()) for k in range(20)] + [(900, None), (901, ""), (902, " \n"), (903, "One two"), (904, "one  TWO"), (905, "one two three four five")]
+    return rows
+
+
+def test_components_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rows = corpus()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_odd_rows_are_components_of_their_own(spark):
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, ODD)).collect()), key=str)
+    want = {i: n for i, n in ((1, 0), (2, 0), (3, 0), (4, 1), (6, 1), (7, 1))}
+    assert {(i, n, c) for i, n, c in got if i in want} == {(i, n, i) for i, n in want.items()} and len(got) == len(ODD)
+    assert [c for i, n, c in got if i is None] == [None, None]
+
+
+def test_bounds_never_lose_a_link():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 3000)).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, rng.integers(1, 200)).astype(np.uint64)]))
+        bits = [np.frombuffer(jaccard.bitmap(s), np.uint64)[None] for s in (x, y)]
+        ok = jaccard.possible(np.array([len(x)]), np.array([len(y)]), *bits, (75, 100))[0]
+        assert ok or not jaccard.linked(x.tobytes(), y.tobytes(), (75, 100))
+
+
+# 7 licenses
+
+
+def test_license_base_equals_brute_force(spark):
+    rows = [(11, "Released under the MIT License. mit-license, MIT licensed"), (12, "Licensed under the Apache License, Version 2.0."), (13, "cc by cc by"), (14, "This program is free software: you can redistribute it and / or modify it under the terms of the GNU General Public License"), *ODD]
+    got = licenses.scan(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert (by[11].n_base, by[11].first_word, by[11].last_word, by[11].base_labels) == (2, 3, 5, ["mit"])
+    assert (by[13].n_base, by[13].first_word, by[13].last_word, by[13].labels) == (2, 0, 2, ["cc-by"])
+    assert by[12].base_labels == ["apache"] and by[12].labels == ["apache", "apache-2.0"] and by[12].score == 1.0
+    assert by[14].labels == ["gpl"] and by[5].n_base == 0 and by[5].score == 0.0 and by[11].spans
+
+
+def test_license_text_with_words_changed(spark):
+    text = "Intro. " + licenses.TEMPLATES[2][1].replace("free of charge", "totally free of any charge") + " Outro words here."
+    r = licenses.scan(frame(spark, [(1, text), (2, "permission to use is granted")])).orderBy("doc_id").collect()
+    assert r[0].labels == ["mit"] and r[0].n_base == 0 and 0.6 <= r[0].score < 1 and r[1].labels == []
+
+
+# 8 WARC
+
+
+def test_warc_round_trip_and_pushdown(spark, tmp_path):
+    rows = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "u4", ""), (5, "u\r\n5", "päge\r\n\r\nx"), (6, "u6", "b" * 300_000), (None, "u7", "alone")] + [(10 + i, "u", "copy") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.register(spark)
+    for compression in ("gzip", "none"):
+        folder = f"file://{tmp_path}/{compression}"
+        warc.revisits(pages, "page_id", "url", "html").write.format("warc").option("compression", compression).option("archiveBytes", 20000).mode("append").save(folder)
+        back = spark.read.format("warc").load(folder)
+        got = {r.page_id: r for r in back.collect()}
+        last = {}
+        for i, _, h in rows:
+            last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+        assert len(got) == len(rows)
+        for i, u, h in rows:
+            b, r = (h or "").encode(), got[i]
+            top = None if last[h or ""] == -1 else last[h or ""]
+            assert (r.payload_bytes, r.payload_digest) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
+            assert (r.record_type, r.refers_to, r.payload) == (("response", None, h or "") if i == top else ("revisit", top, None))
+        assert back.filter("record_type = 'revisit' and page_id in (1, 12)").count() == 2
+        light = spark.read.format("warc").option("payload", "false").load(folder).filter("page_id = 6").collect()
+        assert [(r.payload_bytes, r.payload) for r in light] == [(300_000, None)]
+    empty = f"file://{tmp_path}/empty"
+    warc.revisits(pages.limit(0), "page_id", "url", "html").write.format("warc").mode("append").save(empty)
+    assert spark.read.format("warc").load(empty).count() == 0
+
+
+# 9 personal data
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for k, p in KINDS.items():
+        for m in re.finditer(p, text, re.A):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == "ip" and any(int(x) > 255 for x in m[0].split(".")) or k == "card" and not (14 <= len(d) <= 19 and pii.luhn(d)) or k == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return sorted(out, key=lambda s: (s[1], list(KINDS).index(s[0])))
+
+
+def test_base_spans_equal_the_expressions(documents):
+    r = random.Random(9)
+    cases = [t for t in texts(documents).values() if t] + ["".join(r.choice("a1.@+-( )9é_%") for _ in range(r.randint(0, 120))) for _ in range(3000)]
+    cases += ["4111 1111 1111 1111", "a@b.c@d.e", "x@@y.z", "1.2.3.4.5.6.7.8", "١.2.3.4", "+1 (650) 555-0100", "256.1.1.1 1.1.1.1"]
+    for t in cases:
+        assert pii.base_spans(t) == brute_spans(t)
+
+
+def test_patterns_find_unseen_identifiers(spark):
+    rows = [(i, f"note password={'%018x' % ((i + 1) * 7919 ** 5)} end") for i in range(30)] + [(100 + i, f"the passcode: {'%018x' % ((i + 1) * 104729 ** 4 % (1 << 72) | 0xA)} ok") for i in range(30)]
+    rows += [(200 + i, f"Version 2.0 of chapter 12, page {i}.") for i in range(20)] + [(300, "mail a.b@c.org password=hunter2hunter2x9"), *ODD]
+    got = {(r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in pii.personal_data(frame(spark, rows)).collect()}
+    found = {i for i, s in got if any(k == "id" for k, _, _ in s)}
+    assert set(range(30)) <= found and set(range(100, 130)) <= found and not found & set(range(200, 220))
+    red = {r.doc_id: r for r in pii.redact(frame(spark, rows)).collect()}
+    assert red[300].text.startswith("mail <EMAIL> password=<ID>") and red[1].n_words == 9 and red[200].text == rows[60][1]
+    assert pii.redact(frame(spark, rows)).filter("doc_id = 1 and text is null").count() == 0
+
+
+def test_long_runs_cost_little():
+    assert pii.base_spans("1" * 200_000 + "." + "a" * 200_000 + "@" + "b" * 200_000) == []
+
+
+# 10 language ID
+
+
+def test_languages_on_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = language.identify(d).filter((remainder(F.col("doc_id"), 4) == 2) & F.col("lang").isNotNull()).select("lang", "language").collect()
+    assert np.mean([x.lang == x.language.lang for x in r]) > 0.95 and all(0 <= x.language.score <= 1 for x in r)
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    rows = [(i, t) for i, t in enumerate([None, "", "12 34 !?", "٣", "the house and the garden", "²½"])] + [(20 + i, "the cat and the dog are here") for i in range(20)]
+    got = {r.doc_id: r.language for r in language.identify(frame(spark, rows)).collect()}
+    assert [got[i].lang for i in (0, 1, 2, 3, 5)] == ["und"] * 5 and got[4].lang == "en"
+
+
+# all
+
+
+@pytest.mark.parametrize("rows", [[], ODD], ids=["empty", "odd"])
+def test_odd_tables_are_whole(spark, rows, tmp_path):
+    d = frame(spark, rows)
+    lab = spark.createDataFrame([(4, 1, 1), (6, 0, None)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id long, text string")
+    frames = [
+        pieces.sentencepiece_ids(d), decontaminate.contamination(d, items), quality.line_first(d), toxicity.toxicity(d, lab.limit(0) if not rows else lab),
+        jaccard.jaccard_components(d), licenses.scan(d), pii.personal_data(d), pii.redact(d), language.identify(d),
+    ]
+    assert [f.count() for f in frames] == [len(rows)] * len(frames)
+    m = token_store.write_tokens(d, "doc_id", "text", f"file://{tmp_path}/t", tokenizer_path("byte_bpe_50k.json"), 2)
+    assert token_store.read_digests(token_store.with_starts(m)).count() == len(rows)
+
+
+def test_written_tables_and_free_names(spark):
+    df = spark.createDataFrame([(1,)], T.StructType([T.StructField("_OP", T.LongType())]))
+    assert free_name(df, "_op") == "__op" and written(df, "x").collect() == df.collect()

@@ -1,0 +1,44 @@
+"""The registered corpus queries and the pipeline, over whole small tables; those with SQL against DuckDB."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tocsin.llm import queries
+from tocsin.llm.common import table, written
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    key = "page_id" if name.startswith("op8") else "doc_id"
+    source = table(spark, SF, "pages" if key == "page_id" else "documents")
+    rows = got.collect()
+    assert sorted(r[key] for r in rows) == sorted(r[0] for r in source.select(key).collect())
+    if sql := queries.ORACLE_SQL.get(name):
+        c = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want = c.execute(sql).fetchdf()
+        assert sorted(tuple(r[x] for x in want.columns) for r in rows) == sorted(map(tuple, want.values.tolist()))
+
+
+def test_pipeline(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "duplicates", "decontamination", "personal_data", "tokens"]
+    docs, seen = table(spark, SF, "documents"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, docs, SF), "test")
+        if name != "tokens":
+            assert out.columns == docs.columns
+        seen.append(out.count())
+        docs = out
+    assert seen == sorted(seen, reverse=True) and seen[-1] > 100 and docs.filter("not restored").count() == 0
+    assert corpus_pipeline.run(spark, SF).count() == seen[-1]
+
+
+def test_registry():
+    q = entry.queries()
+    assert "pipeline" in q and all(n in q for n in queries.QUERIES) and set(entry.oracle_sql()) <= set(q)
