@@ -131,8 +131,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"), F.col(text_col).cast("binary").alias("text"))
     base = per_row(rows, "text", lambda: phrase_places, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>", "base", ["id", "tie"])
     spans = template_spans(rows).groupBy("id", "tie").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "label", "coverage"))).alias("spans"), F.array_sort(F.collect_set("label")).alias("found"), F.max("coverage").alias("best")
+        F.array_sort(F.collect_list(F.struct("start", "end", "label", "coverage"))).alias("spans")
     )
+    # of spans that lie half or more in one another, as those of related licenses do, the best covered stays
+    inside = lambda s, o: 2 * (F.least(s.end, o.end) - F.greatest(s.start, o.start)) >= s.end - s.start
+    spans = spans.withColumn("spans", F.filter("spans", lambda s: ~F.exists("spans", lambda o: (o.coverage > s.coverage) & inside(s, o))))
+    spans = spans.select("id", "tie", "spans", F.array_sort(F.array_distinct("spans.label")).alias("found"), F.array_max("spans.coverage").alias("best"))
     a, b = base.alias("a"), spans.alias("b")
     out = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.tie") == F.col("b.tie")), "left")
     labels = F.array_sort(F.array_union("base.base_labels", F.coalesce("found", F.array().cast("array<string>"))))
