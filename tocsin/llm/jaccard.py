@@ -25,29 +25,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, LOWER_TABLE, dropped, grams, hashes, mix, per_row, release, table, written
+from .common import BATCH_ROWS, LOWER, dropped, grams, mix, per_row, release, table, word_hashes, written
 from .warc import join_by_group
 
 SHINGLE = 5
 #: The least Jaccard similarity, as a fraction.
 THRESHOLD = (75, 100)
-#: Bits of a set's bitmap.
-BITS = 1024
+#: Bits of a set's bitmap: the power of two from four times its size on, within these limits.
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 16
 #: Rows on one side of a tile.
 TILE = 2048
 #: The most shingles that are ordered last; with their counts, what is sent to the tasks.
-COMMON = 100_000
+COMMON = 250_000
+#: Shingles of one chunk in which tasks look for common ones.
+CHUNK = 4_000_000
+#: Bits of the filter that picks the rows whose sets are compared exactly: 2 MiB.
+SIEVE_BITS = 1 << 24
 #: Surrogates of null ids start here, above all ids that count as smallest.
 NULL_IDS = 1 << 62
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes; a text of fewer words than k, but not none, has its whole sequence as one."""
-    words = text.translate(LOWER_TABLE).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
+    words = word_hashes(text, LOWER)
+    if not len(words):
+        return words
     n = min(k, len(words))
-    g = grams(hashes(words), n)
+    g = grams(words, n)
     return np.unique(g if n == k else mix(g + np.uint64(n)))
 
 
@@ -56,11 +60,20 @@ def prefix_size(n: int, t: tuple[int, int]) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(20)).astype(np.int64) % BITS] = 1
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(s) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap of so many bytes out of one as long or longer: what the same set's narrower bitmap is."""
+    x = np.frombuffer(bits, np.uint64)
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x
+
+
 def linked(a: bytes, b: bytes, t: tuple[int, int]) -> bool:
     """Whether two sorted arrays of distinct hashes reach the threshold."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -77,21 +90,21 @@ def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
         def out():
             s, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 4
+            often = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(s[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["s", "n"])
 
         for b in batches:
             for text in b.column("text").to_pylist():
                 held.append(shingles(text, k))
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > CHUNK:
                     yield out()
                     held, size = [], 0
         if held:
             yield out()
 
-    top = rows.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(COMMON).collect()
-    s = np.array([r.s for r in top], np.int64).view(np.uint64)
+    top = rows.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "s").limit(COMMON)
+    s = top.toPandas()["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(s)
     return s[order], (len(s) - np.arange(len(s)))[order]
 
@@ -107,19 +120,18 @@ def prefix(s: np.ndarray, t: tuple[int, int], common: np.ndarray, rank: np.ndarr
 
 
 def prefixes(rows: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """set (digest), id, prefix of each row's set, where it can be similar to a different one at all."""
+    """id, set (digest) and prefix of rows that a different set can be similar enough to."""
     common, rank = common_shingles(rows, k)
 
     def make():
         def f(text):
             s = shingles(text, k)
             can = len(s) * t[1] >= (len(s) + 1) * t[0]  # else even a set with one shingle more is too different
-            return digest(s), prefix(s, t, common, rank).view(np.int64) if can else None
+            return digest(s), prefix(s, t, common, rank).view(np.int64) if len(s) and can else None
 
         return f
 
-    out = per_row(rows, "text", make, "set binary, prefix array<long>", "p", ["id"])
-    return out.filter(F.col("p.prefix").isNotNull()).select("p.set", "id", "p.prefix")
+    return per_row(rows, "text", make, "set binary, prefix array<long>", "s", ["id"]).select("id", "s.*").filter(F.col("prefix").isNotNull())
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -155,24 +167,57 @@ def shared_buckets(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, hub long")
 
 
-def sets_of(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, n, bits, set of those rows that ids (distinct) names."""
-    fields = "n int, bits binary, items binary"
+def one_of_equal(shared: DataFrame) -> DataFrame:
+    """shared without the tokens whose rows have the same ids as another token's: near copies share very many tokens."""
+    members = shared.groupBy("token").agg(F.count("*").alias("of"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("second"))).alias("y"), F.min("id").alias("least"))
+    kept = members.groupBy("of", "x", "y", "least").agg(F.min("token").alias("token")).select("token")
+    return shared.join(kept, "token", "left_semi")
+
+
+def signatures(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, n, bits of those rows that ids (distinct) names."""
 
     def make():
         def f(text):
             s = shingles(text, k)
-            return len(s), bitmap(s), s.tobytes()
+            return len(s), bitmap(s)
 
         return f
 
-    wanted = rows.join(ids, "id", "left_semi")
-    return per_row(wanted, "text", make, fields, "s", ["id"]).select("id", "s.*")
+    made = per_row(rows, "text", make, "n int, bits binary", "s", ["id"]).select("id", "s.*")
+    return made.join(ids, "id", "left_semi").dropDuplicates(["id"])
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of a fixed size, whatever the number of ids: where they are too many it lets all rows through."""
+    places = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(SIEVE_BITS)) for i in range(3)]))
+    words = ids.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+    words = words.toPandas()
+    out = np.zeros(SIEVE_BITS // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def sets_of(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, items (sorted hashes) of those rows that ids names, and of few others: a filter of fixed size picks them where they are read."""
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(ids))
+    hashed = rows.select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(SIEVE_BITS)) for i in range(3)]).alias("at"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = bits.value
+        for b in batches:
+            at = b.column("at").flatten().to_numpy().reshape(-1, 3)
+            some = ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
+            if some.any():
+                few = b.filter(pa.array(some))
+                yield pa.RecordBatch.from_arrays([few.column("id"), pa.array([shingles(x, k).tobytes() for x in few.column("text").to_pylist()], pa.binary())], ["id", "items"])
+
+    return hashed.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    """Those pairs (a, b) whose sets (id, items) are similar enough."""
+    a = sets.select(F.col("id").alias("a"), F.col("items").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
     b = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,20 +235,22 @@ def bounded(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = words_of(batch.column("x")), words_of(batch.column("y"))
-                good = possible(batch.column("m").to_numpy().astype(np.int64), batch.column("n").to_numpy().astype(np.int64), x, y, t)
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+            good = []
+            for m, n, x, y in zip(*(batch.column(c).to_pylist() for c in ("m", "n", "x", "y"))):
+                size = min(len(x), len(y))
+                good.append(bool(possible(np.int64(m), np.int64(n), folded(x, size), folded(y, size), t)))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.join(b, "b").join(a, "a").mapInArrow(run, "a long, b long")
 
 
-def words_of(bits: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def overlap(m: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most that sets of those sizes and bitmaps (of equal width) can have in common."""
+    return np.minimum(m - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
 
 
 def possible(m: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, t: tuple[int, int]) -> np.ndarray:
-    both = np.minimum(m - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), n - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+    both = overlap(m, n, x, y)
     return t[1] * both >= t[0] * (m + n - both)
 
 
@@ -217,7 +264,9 @@ def tiled_pairs(rows: DataFrame, t: tuple[int, int], best_only: bool) -> DataFra
 
     def tile(r: dict) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(r["n"], kind="stable")
-        ids, comp, n, bits, own = (r[c][order] for c in ("id", "component", "n", "bits", "own"))
+        ids, comp, n, own = (r[c][order] for c in ("id", "component", "n", "own"))
+        bits = [r["bits"][i] for i in order]
+        width = np.array([len(x) for x in bits])
         cross = r["i"][0] != r["j"][0]
         found_a, found_b, found_bound = [], [], []
         for lo in range(0, len(ids), 128):
@@ -228,14 +277,20 @@ def tiled_pairs(rows: DataFrame, t: tuple[int, int], best_only: bool) -> DataFra
             if cross:
                 ok &= own[u] != own[v]
             u, v = u[ok], v[ok]
-            for s in range(0, len(u), 1 << 15):
-                p, q = u[s : s + (1 << 15)], v[s : s + (1 << 15)]
-                lacking = np.maximum(np.bitwise_count(bits[p] & ~bits[q]).sum(-1, dtype=np.int64) - n[p], np.bitwise_count(bits[q] & ~bits[p]).sum(-1, dtype=np.int64) - n[q])
-                both = -lacking
-                good = t[1] * both >= t[0] * (n[p] + n[q] - both)
-                found_a.append(p[good])
-                found_b.append(q[good])
-                found_bound.append(both[good] / (n[p] + n[q] - both)[good])
+            for size in np.unique(width[u]):  # the smaller set has the narrower bitmap
+                of = width[u] == size
+                p_all, q_all = u[of], v[of]
+                used = np.unique(np.concatenate([p_all, q_all]))
+                maps = np.stack([folded(bits[i], size) for i in used])
+                step = max(1, (1 << 24) // int(size))
+                for s in range(0, len(p_all), step):
+                    p, q = p_all[s : s + step], q_all[s : s + step]
+                    x, y = maps[np.searchsorted(used, p)], maps[np.searchsorted(used, q)]
+                    both = overlap(n[p], n[q], x, y)
+                    good = t[1] * both >= t[0] * (n[p] + n[q] - both)
+                    found_a.append(p[good])
+                    found_b.append(q[good])
+                    found_bound.append(both[good] / (n[p] + n[q] - both)[good])
         if not found_a:
             return ids[:0], ids[:0]
         p, q = np.concatenate(found_a), np.concatenate(found_b)
@@ -253,9 +308,9 @@ def tiled_pairs(rows: DataFrame, t: tuple[int, int], best_only: bool) -> DataFra
         def out(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             r = {c: whole.column(c).to_numpy() for c in ("token", "i", "j", "id", "component", "n", "own")}
             r["n"] = r["n"].astype(np.int64)
-            r["bits"] = words_of(whole.column("bits"))
+            bits = whole.column("bits").to_pylist()
             new = np.flatnonzero((np.diff(r["token"]) != 0) | (np.diff(r["i"]) != 0) | (np.diff(r["j"]) != 0)) + 1
-            parts = [tile({c: x[s:e] for c, x in r.items()}) for s, e in zip([0, *new], [*new, len(r["token"])])]
+            parts = [tile({"bits": bits[s:e], **{c: x[s:e] for c, x in r.items()}}) for s, e in zip([0, *new], [*new, len(r["token"])])]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in (0, 1)], ["a", "b"])
 
         for b in batches:  # whole tiles only: the last one waits for the next batch
@@ -316,20 +371,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = written(per_row(rows, "text", make, "n long, set binary", "s", ["id", "no_id"]).select("id", "no_id", "s.*"), "members")
     groups = members.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("n_same"))
     sets = prefixes(rows, k, threshold).groupBy("set").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
-    shared = written(shared_buckets(sets.select(F.explode("prefix").alias("token"), "id")), "buckets")
+    buckets = written(shared_buckets(sets.select(F.explode("prefix").alias("token"), "id")), "buckets")
     release(spark)
-    items = written(sets_of(rows, shared.select("id").distinct(), k).dropDuplicates(["id"]), "sets")
+    shared = written(one_of_equal(buckets), "buckets")
+    dropped(buckets)
+    items = written(signatures(rows, shared.select("id").distinct(), k), "signatures")
     release(spark)
 
-    hubs = shared.filter("id <> hub").groupBy("id").agg(F.array_distinct(F.array(F.min("hub"), F.max("hub"))).alias("hubs"))
-    pairs = hubs.select(F.explode("hubs").alias("a"), F.col("id").alias("b"))
-    links = written(verified(bounded(pairs, items, threshold), items, threshold), "verified")
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
+        sets = written(sets_of(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k), "sets")
+        out = written(verified(pairs, sets, threshold), "verified")
+        dropped(sets)
+        dropped(pairs)
+        release(spark)
+        return out
+
+    hubs = shared.filter("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
+    links = checked(bounded(hubs.select("a", "b"), items, threshold))
     labels = components(links)
     for best_only in (True, False):
         named = shared.select("token", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
         apart = named.join(open_, "token", "left_semi").join(items.select("id", "n", "bits"), "id")
-        more = written(verified(tiled_pairs(apart, threshold, best_only), items, threshold), "verified")
+        more = checked(tiled_pairs(apart, threshold, best_only))
         if more.isEmpty():
             dropped(more)
             continue
@@ -345,7 +412,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     none = members.filter(F.col("set").isNull()).select("id", "no_id", "n", F.col("id").alias("component_id"))
     out = some.unionByName(none)
     return out.select(
-        F.when(~F.col("no_id"), F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("component_id") < NULL_IDS, F.col("component_id")).alias("component_id")
+        F.when(~F.col("no_id"), F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("component_id") < NULL_IDS) | ~F.col("no_id"), F.col("component_id")).alias("component_id")
     )
 
 

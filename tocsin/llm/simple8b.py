@@ -14,6 +14,8 @@ BLOCK = 1024
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
+#: So many ids are the union of two runs of the first number, the second one that far on.
+HALVES = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (3, 2), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7), 20: (10, 10), 30: (15, 15), 60: (30, 30)}
 U = np.uint64
 
 
@@ -23,33 +25,45 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     if not n:
         return np.empty(0, U), np.zeros(1, np.uint64)
-    grid = np.zeros((blocks, BLOCK + COUNTS[0]), U)  # zeros after a block's end fit any width
+    pad = COUNTS[0]
+    grid = np.zeros((blocks, BLOCK + pad), U)  # zeros after a block's end fit any width
     flat = np.zeros(blocks * BLOCK, U)
     flat[:n] = ids
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    selector = np.full((blocks, BLOCK), ESCAPE, np.uint8)
+    need = np.zeros(grid.shape, np.uint8)  # index in BITS; 14: escape
     top = int(ids.max())
-    for s in range(len(COUNTS), 0, -1):  # from one id a word to sixty: the last that fits has most ids
-        count, bits = COUNTS[s - 1], BITS[s - 1]
-        if top < 1 << bits:
-            fits = np.ones((blocks, BLOCK), bool)
-        else:
-            wide = np.zeros((blocks, BLOCK + COUNTS[0] + 1), np.int32)
-            np.cumsum(grid >= U(1 << bits), axis=1, out=wide[:, 1:])
-            fits = wide[:, count : count + BLOCK] == wide[:, :BLOCK]
-        selector[fits] = s
+    small = grid.astype(np.uint32) if top < 1 << 32 else grid
+    for b in BITS:
+        if top >> b:
+            need += small >= (1 << b)
+    widest = {1: need}  # by count: the most that the next so many ids need
+    selector = np.full((blocks, BLOCK), ESCAPE, np.uint8)
+    for s in range(len(COUNTS), 0, -1):  # from one id a word to sixty; what fits one selector fits all after it
+        count = COUNTS[s - 1]
+        if count > 1:
+            of, by = HALVES[count]
+            x = widest[of]
+            widest[count] = y = x.copy()
+            np.maximum(x[:, :-by], x[:, by:], out=y[:, :-by])
+        fits = widest[count][:, :BLOCK] < s
+        if not fits.any():
+            break
+        selector -= fits
     step = np.array([0, *COUNTS, 1], np.int64)[selector]
     size = np.full(blocks, BLOCK, np.int64)
     size[-1] = n - (blocks - 1) * BLOCK
-    lanes, at, rows, cols = np.arange(blocks), np.zeros(blocks, np.int64), [], []
+    lanes, at, rows, cols, turns = np.arange(blocks), np.zeros(blocks, np.int64), [], [], []
     while len(lanes):  # one word of every unfinished block
         rows.append(lanes)
         cols.append(at)
+        turns.append(np.full(len(lanes), len(turns)))
         at = at + step[lanes, at]
         left = at < size[lanes]
         lanes, at = lanes[left], at[left]
     row, col = np.concatenate(rows), np.concatenate(cols)
-    order = np.argsort(row * BLOCK + col, kind="stable")
+    ends = np.cumsum(np.bincount(row, minlength=blocks))
+    order = np.empty(len(row), np.int64)
+    order[np.concatenate([[0], ends[:-1]])[row] + np.concatenate(turns)] = np.arange(len(row))
     row, col = row[order], col[order]
     s = selector[row, col]
     width = 1 + (s == ESCAPE)

@@ -27,7 +27,13 @@ from .common import BATCH_ROWS, shared_dir, table, tokenizer_path
 
 MAGIC = b"TOCSIN8B"
 FILE_IDS = 4 << 20
-CACHE = 300_000
+CACHE = 250_000
+#: Chunks that the library gets as one text.
+GROUP = 500
+#: Characters that end words, and never share a pre-token with a letter or digit before them.
+PUNCTUATION = ".,;:!?*$%&#|()[]{}<>\"-"
+#: A space, as byte-level vocabularies write it.
+SPACE = "\u0120"
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 DOUBLE_SPACE = re.compile(r"\s\s")
@@ -47,33 +53,79 @@ class CachedEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        pieces = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.spaced = np.zeros(max(pieces.values(), default=0) + 2, bool)
+        self.spaced[[i for x, i in pieces.items() if x[0] == SPACE]] = True
+        self.ends: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def chunks(self, todo: list[str]) -> list[bytes]:
+        """The ids of each chunk with a space before it. Chunks without a space in them are given to the library GROUP at a
+        time: only a chunk's first id then begins with a space."""
+        plain = [x and " " not in x and not x[0].isspace() and not x[-1].isspace() for x in todo]
+        out: dict[str, bytes] = {}
+        odd = [x for x, p in zip(todo, plain) if not p]
+        out.update(zip(odd, self.library([" " + x for x in odd])))
+        even = [x for x, p in zip(todo, plain) if p]
+        groups = [even[i : i + GROUP] for i in range(0, len(even), GROUP)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
+            if len(at) != len(group) + 1:
+                raise ValueError("chunks and ids don't match")
+            raw = ids.tobytes()
+            out.update((x, raw[at[i] : at[i + 1]]) for i, x in enumerate(group))
+        return [out[x] for x in todo]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Chunks after a text's first stand in the cache without their leading space; first chunks are encoded as they come."""
         cut = [LONE_SPACE.split(t) if DOUBLE_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = self.library([c[0] for c in cut])
+        heads = self.library([c.pop(0) for c in cut])
         if len(self.new) > CACHE:
             self.new, self.old = {}, self.new
         new, old = self.new, self.old
-        missing = {}
-        for c in cut:
-            for x in c[1:]:
-                if x not in new:
-                    if x in old:
-                        new[x] = old[x]
-                    else:
-                        missing[x] = None
-        todo = list(missing)
+        missing, ended = set(), []
+        for x in set().union(*cut):
+            if x not in new:
+                if x in old:
+                    new[x] = old[x]
+                    continue
+                core = x.rstrip(PUNCTUATION)
+                if core != x and core and core[-1].isalnum() and core[-1] < "\u0500":  # the library cuts there too
+                    ended.append((x, core, x[len(core) :]))
+                    x = core
+                    if core in new:
+                        continue
+                    if core in old:
+                        new[core] = old[core]
+                        continue
+                missing.add(x)
+        missing = list(missing)
         here = new
-        if len(new) + len(todo) > 2 * CACHE:
+        if len(new) + len(missing) + len(ended) > 2 * CACHE:
             here = dict(new)  # for this batch only
-        here.update(zip(todo, self.library([" " + x for x in todo])))
-        return [h + b"".join(map(here.__getitem__, c[1:])) for h, c in zip(heads, cut)]
+        here.update(zip(missing, self.chunks(missing)))
+        for x, core, end in ended:
+            if end not in self.ends:
+                self.ends[end] = self.library([end])[0]
+            here[x] = here[core] + self.ends[end]
+        if len(self.ends) > CACHE:
+            self.ends.clear()
+        return [h + b"".join(map(here.__getitem__, c)) for h, c in zip(heads, cut)]
+
+
+ENCODERS: dict[str, CachedEncoder] = {}
+
+
+def loaded(path: str) -> CachedEncoder:
+    """The worker's encoder of a tokenizer file, kept from task to task with what it has cached."""
+    if path not in ENCODERS:
+        ENCODERS[path] = CachedEncoder(path)
+    return ENCODERS[path]
 
 
 def write_file(filesystem, path: str, ids: list[int], lengths: list[int], tokens: np.ndarray) -> None:
@@ -109,7 +161,7 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(folder)
-        encoder, k, part, ids, parts = None, 0, 0, [], []
+        k, part, ids, parts = 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal k, ids, parts
@@ -124,9 +176,8 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
         for b in batches:
             if not b.num_rows:
                 continue
-            encoder = encoder or CachedEncoder(tokenizer)
             part = b.column("part")[0].as_py()
-            codes = encoder.encode([(t or b"").decode() for t in b.column("text").to_pylist()])
+            codes = loaded(tokenizer).encode([(t or b"").decode() for t in b.column("text").to_pylist()])
             for i, code in zip(b.column("id").to_pylist(), codes):
                 if size and size + len(code) // 4 + 1 > file_ids:
                     yield flush()
@@ -181,7 +232,7 @@ def _read(files: DataFrame, schema: str, of) -> DataFrame:
                         "n_tokens": pa.array(lengths[lo:hi], pa.int64()), name: pa.array(last, kind),
                     })
 
-    return files.select("path", "start").repartition("path").mapInArrow(run, schema)
+    return files.select("path", "start").repartition(max(1, files.count())).mapInArrow(run, schema)
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
