@@ -254,8 +254,9 @@ def possible(m: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, t: tupl
     return t[1] * both >= t[0] * (m + n - both)
 
 
-def tiled_pairs(rows: DataFrame, t: tuple[int, int], best_only: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of different components within the buckets of rows (token, id, component, n, bits)."""
+def tiled_pairs(rows: DataFrame, items: DataFrame, t: tuple[int, int], best_only: bool) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of different components within the buckets of rows (token, id, component); items has
+    id, n, bits. Bitmaps come to the rows once these are dealt to tiles, so they are shuffled only on the way there."""
     sizes = rows.groupBy("token").agg(F.count("*").alias("of"))
     chunks = F.ceil(F.col("of") / TILE).cast("int")
     cut = rows.join(sizes, "token").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -327,7 +328,7 @@ def tiled_pairs(rows: DataFrame, t: tuple[int, int], best_only: bool) -> DataFra
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    cut = cut.select("token", "i", "j", "id", "component", "n", "bits", "own").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    cut = cut.join(items.select("id", "n", "bits"), "id").select("token", "i", "j", "id", "component", "n", "bits", "own").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return cut.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -395,8 +396,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for best_only in (True, False):
         named = shared.select("token", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-        apart = named.join(open_, "token", "left_semi").join(items.select("id", "n", "bits"), "id")
-        more = checked(tiled_pairs(apart, threshold, best_only))
+        apart = named.join(open_, "token", "left_semi")
+        more = checked(tiled_pairs(apart, items, threshold, best_only))
         if more.isEmpty():
             dropped(more)
             continue
