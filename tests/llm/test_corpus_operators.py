@@ -380,6 +380,17 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.redact(frame(spark, rows)).filter("doc_id = 1 and text is null").count() == 1
 
 
+def test_whole_values_behind_keys_and_cues(spark):
+    cases = {
+        1: ("so password = correcthorsebattery end", "correcthorsebattery"), 2: ("token=" + "a1" * 70, "a1" * 70), 3: ("secret: wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY=.", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY="),
+        4: ("my passport number is X1234567, ok", "X1234567"), 5: ('{"pwd": "a b\u00e9 c"}', "a b\u00e9 c"), 6: ("http://h/p?token=abc&b=1", "abc"), 7: ("token=1.2.3.4xyz", "1.2.3.4xyz"), 8: ("the secret is out", None), 9: ("note: plain words", None),
+    }
+    got = pii.personal_data(frame(spark, [(i, t) for i, (t, _) in cases.items()])).collect()
+    assert {r.doc_id: [cases[r.doc_id][0][s.start : s.end] for s in r.spans if s.kind == "id"] for r in got} == {i: [v] if v else [] for i, (_, v) in cases.items()}
+    rows = [(i, f"passcode: {'%018x' % ((i + 1) * 104729 ** 4 % (1 << 72) | 0xA)} ok") for i in range(6)] + [(100 + i, f"password={'%018x' % ((i + 1) * 7919 ** 5)}") for i in range(30)] + [(50, "passcode: open/sesame+ now")]
+    assert {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}[50] == "passcode: <ID> now"
+
+
 def test_long_runs_cost_little():
     assert pii.base_spans("1" * 200_000 + "." + "a" * 200_000 + "@" + "b" * 200_000) == []
 

@@ -1,14 +1,16 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base spans come from fixed expressions. Besides, every identifier-like string (letters and digits in one run, not in a base
-span) is an instance, with the lexical patterns that it stands in: its key ("password ="), its fixed head ("AKIA" of a
-certain make), its make alone. Base entities and strings after known cues are seeds. Spark scores the graph of patterns and
-distinct instances in rounds: a pattern is as sure as its instances on average, smoothed; an instance as its surest
-patterns together. Instances that sure patterns have made sure, seeds or not, become spans of kind "id".
+Base spans come from fixed expressions. Besides, every whole value behind a key ("password =") or behind a cue in prose ("my
+passport number is") is an instance, whatever its length and characters; and so is every other identifier-like string (letters
+and digits in one run, not in a base span). Instances have the lexical patterns that they stand in: key, words before, fixed
+head ("AKIA" of a certain make), make alone. Base entities and values after known cues are seeds. Spark scores the graph of
+patterns and distinct instances in rounds: a pattern is as sure as its instances on average, smoothed; an instance as its
+surest patterns together. Instances that sure patterns have made sure, seeds or not, become spans of kind "id".
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -25,7 +27,9 @@ FOUND = "id"
 ROUNDS = 3
 #: Added to a pattern's number of instances, so that few instances make no sure pattern; from where patterns and instances count as sure.
 SMOOTH, SURE_PATTERN, SURE_INSTANCE = 0.5, 0.6, 0.6
-#: Lengths of an identifier.
+#: The same for patterns of words before, which chance makes too.
+SMOOTH_LEFT = 2.0
+#: Lengths of an identifier without a key or a cue before it.
 SHORTEST, LONGEST = 8, 128
 #: Keys that announce a credential or a personal number, and heads of well-known credential formats.
 CUES = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "access_key", "client_secret", "ssn", "iban", "passport")
@@ -38,7 +42,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 CORE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
-KEY = re.compile(r"([A-Za-z_]{2,24})[ \t]{0,2}[=:][ \t]{0,2}[\"']?\Z")
+#: Between key and value; the value without quotes ends before the next pair of a list or a tag.
+SEPARATOR = re.compile(r"[=:]+>?[ \t]*+")
+QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]++)`")
+VALUE = re.compile(r"(?:(?![&,;?][A-Za-z_]++[=:]|</?[A-Za-z])\S)++")
+#: A cue in prose, the words that may follow it, and the space before the value.
+PROSE = re.compile(r"(?<![A-Za-z])(" + "|".join(c.replace("_", "[ _-]?") for c in sorted(CUES, key=len, reverse=True)) + r")((?:\s{1,3}(?:number|num|no\.?|nr\.?|code|key|id|is|was|are)(?=\s))*+)\s{1,3}(?=\S)", re.I)
+LEFT = re.compile(r"([^\W\d_]+)\s+([^\W\d_]+)\s+([^\W\d_]+)[\s:=#(\"']*\Z")
 HEAD = re.compile(r"[A-Z]{3,5}(?=[A-Z0-9])|[a-z]{2,3}_(?:[a-z]{4}_)?")
 
 
@@ -95,17 +105,76 @@ def make_of(core: str) -> str:
 
 
 def key_before(text: str, at: int) -> str:
-    m = KEY.search(text, max(0, at - 30), at)
-    return m[1].lower() if m else ""
+    """The word before a separator at `at`, in quotes or not."""
+    while at > 0 and text[at - 1] in " \t":
+        at -= 1
+    if at > 0 and text[at - 1] in "\"'":
+        at -= 1
+    start = at
+    while start > max(0, at - 24) and (text[start - 1] == "_" or text[start - 1].isascii() and text[start - 1].isalpha()):
+        start -= 1
+    return text[start:at].lower() if at - start >= 2 else ""
+
+
+def is_cue(key: str) -> bool:
+    return key in CUES or key.endswith(tuple(f"_{c}" for c in CUES))
+
+
+def value_at(text: str, at: int) -> tuple[int, int]:
+    """Start and end of the whole value: what stands in quotes, or all up to a space, without the punctuation of the sentence."""
+    if m := QUOTED.match(text, at):
+        return m.span(m.lastindex)
+    while at < len(text) and text[at] in "\"'`":
+        at += 1
+    m = VALUE.match(text, at)
+    return (at, at + len(m[0].rstrip(".,;:)]}>\"'`"))) if m else (at, at)
+
+
+def slots(text: str) -> list[tuple[int, int, str, bool]]:
+    """start, end, pattern and whether it is a seed of the values behind keys and behind cues in prose, by start; the longest of one start."""
+    out = []
+    for m in SEPARATOR.finditer(text):
+        if key := key_before(text, m.start()):
+            s, e = value_at(text, m.end())
+            if s < e:
+                out.append((s, e, f"key {key}", is_cue(key)))
+    for m in PROSE.finditer(text):
+        s, e = value_at(text, m.end())
+        if s < e and text[s] not in "=:":
+            digit = DIGITS.search(text, s, e) is not None
+            out.append((s, e, " ".join(f"cue {m[1]}{m[2]}".lower().split()), digit and (m[2] != "" or e - s >= SHORTEST)))
+    best: dict[int, tuple[int, int, str, bool]] = {}
+    for x in out:
+        if x[0] not in best or (x[3], x[1]) > (best[x[0]][3], best[x[0]][1]):
+            best[x[0]] = x
+    return [best[k] for k in sorted(best)]
+
+
+def node(value: str, pattern: str) -> str:
+    """What stands for a slot's value in the graph: with its pattern where it is no identifier that could be known again elsewhere."""
+    known = len(value) >= SHORTEST and DIGITS.search(value)
+    name = f"slot {value}" if known else f"slot {pattern} {value}"
+    return name if len(name) <= 2 * LONGEST else f"long {hashlib.sha256(name.encode()).hexdigest()}"
+
+
+def bare(text: str, s: int, e: int, base: list[tuple[str, int, int]]) -> bool:
+    """Whether a letter or digit from s to e is outside of the base spans, given by start."""
+    for _, x, y in base:
+        if any(c.isalnum() for c in text[s : min(x, e)]):
+            return True
+        s = max(s, min(y, e))
+    return any(c.isalnum() for c in text[s:e]) or not base
 
 
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, list[str], bool]]:
-    """start, end, value, patterns and whether it is a seed: of base spans (kept out of the spans that are found) and identifiers."""
+    """start, end, value, patterns and whether it is a seed: of base spans (kept out of the spans that are found), slots and identifiers."""
     out = []
+    taken = slots(text)
+    behind = {s: (e, pattern, seed) for s, e, pattern, seed in taken}
     for kind, s, e in base:
-        if key := key_before(text, s):
-            out.append((-1, -1, f"{kind} {text[s:e]}"[:LONGEST], [f"key {key}"], True))
-    done, b = 0, 0
+        if s in behind and behind[s][1].startswith("key "):
+            out.append((-1, -1, f"{kind} {text[s:e]}"[:LONGEST], [behind[s][1]], True))
+    done, b, c, inside = 0, 0, 0, 0
     for m in DIGITS.finditer(text):
         s, e = m.span()
         if s < done:
@@ -121,9 +190,30 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
         if any(x < e and s < y for _, x, y in base[b : b + 4]) or not SHORTEST <= len(core) <= LONGEST:
             continue
         s = text.index(core, s, e)
-        make, key, head = make_of(core), key_before(text, s), HEAD.match(core)
-        patterns = [f"key {key}"] * bool(key) + ([f"head {head[0]} {make}"] if head else []) + [f"make {make}"] * (len(core) >= 16)
-        out.append((s, s + len(core), core, patterns, key in CUES or core.startswith(HEADS)))
+        e = s + len(core)
+        while c < len(taken) and taken[c][0] <= s:
+            inside = max(inside, taken[c][1] if taken[c][3] else 0)
+            c += 1
+        end, slot, seed = behind.get(s, (0, "", False))
+        make, head, left = make_of(core), HEAD.match(core), None if slot.startswith("key ") else LEFT.search(text, max(0, s - 80), s)
+        patterns = [slot] * bool(slot) + ([f"head {head[0]} {make}"] if head else []) + [f"make {make}"] * (len(core) >= 16)
+        patterns += [f"left {left[1]} {left[2]} {left[3]}".lower()] if left else []
+        whole = end == e
+        if whole:
+            del behind[s]
+        at = (s, e) if whole or inside < e else (-1, -1)  # the span of a seed's slot around it says it already
+        out.append((*at, core, patterns, seed or core.startswith(HEADS)))
+    b = last = 0
+    for s, (e, pattern, seed) in behind.items():
+        while b < len(base) and base[b][2] <= s:
+            b += 1
+        upto = b
+        while upto < len(base) and base[upto][1] < e:
+            upto += 1
+        near = base[b:upto]
+        if e > last and (not near or bare(text, s, e, near)):
+            out.append((s, e, node(text[s:e], pattern), [pattern], seed))
+            last = e if seed else last
     return out
 
 
@@ -135,7 +225,7 @@ def graph(rows: DataFrame) -> DataFrame:
             cols: list[list] = [[], [], [], [], [], [], []]
             for i, tie, raw in zip(*(c.to_pylist() for c in b.columns)):
                 text = (raw or b"").decode()
-                for x in instances(text, base_spans(text)) if DIGITS.search(text) or "@" in text else ():
+                for x in instances(text, base_spans(text)):
                     for c, v in zip(cols, (i, tie, *x)):
                         c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_())
@@ -150,9 +240,10 @@ def sure_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = written(values.select("value", F.explode("patterns").alias("pattern")), "edges")
     total = edges.count()
     scores = written(values.select("value", F.col("seed").cast("double").alias("sure")), "scores")
+    smooth = F.when(F.col("pattern").startswith("left "), SMOOTH_LEFT).otherwise(SMOOTH)
     for _ in range(rounds):
         patterns = written(
-            edges.join(scores, "value").groupBy("pattern").agg(F.count("*").alias("size"), F.sum("sure").alias("mass")).withColumn("weight", F.col("mass") / (F.col("size") + SMOOTH)),
+            edges.join(scores, "value").groupBy("pattern").agg(F.count("*").alias("size"), F.sum("sure").alias("mass")).withColumn("weight", F.col("mass") / (F.col("size") + smooth)),
             "patterns",
         )
         doubt = join_by_group(edges, patterns, "pattern", "size", total).filter(F.col("weight") >= SURE_PATTERN)
