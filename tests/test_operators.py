@@ -213,6 +213,15 @@ def test_takeoff_from_fixes(spark):
     assert collect(tracks.flights(df)) == [(7, 60, "takeoff")]
 
 
+def test_dense_fixes_are_confirmed_over_the_whole_window(spark):
+    t0 = tracks.STRETCH - 5
+    up = [(7, t0 + i, 0.0, 0.0001 * i, 4.0 * i, 200.0, False) for i in range(1, 601)]
+    down = [(8, t0 + i, 0.0, 0.0001 * (601 - i), 4.0 * (601 - i), 200.0, False) for i in range(1, 601)]
+    rows = [(7, t0, 0.0, 0.0, 0.0, 10.0, True), *up, *down, (8, t0 + 601, 0.0, 0.0, 0.0, 10.0, True)]
+    df = spark.createDataFrame(rows, "hex long, t long, lat double, lon double, alt_ft double, gs_kt double, ground boolean")
+    assert collect(tracks.flights(df)) == [(7, t0, "takeoff"), (8, t0 + 601, "landing")]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     e = pd.DataFrame({"k": ["a", "b"] * 50, "t": range(100), "z": np.random.default_rng(1).normal(2, 2, 100)})
     folder = tmp_path / "in"

@@ -2,62 +2,63 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import bearing, bearing_change, haversine
-from ..operators.sequences import by
+from ..functions.geo import EARTH_NM, bearing, bearing_change, haversine
+from ..operators.sequences import by, cooldown
 
 #: Gap between flights, confirmation window and cooldown in seconds; climb in feet, distance in nautical miles, speed in knots.
 GAP, CONFIRM, COOLDOWN = 45 * 60, 30 * 60, 8 * 60
 CLIMB, NEAR_NM, LOW_CLIMB, FAR_NM, FAST = 1000, 1.5, 500, 8, 120
 
 
-def nm(a: tuple, b: tuple) -> float:
-    p, q = math.radians(a[0]), math.radians(b[0])
-    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-    return 2 * 3440.065 * math.asin(min(1.0, math.sqrt(h)))
+#: Seconds of a stretch of an object's fixes; at least GAP, so that a fix's predecessor is in its stretch or last in the one before.
+STRETCH = 6 * 3600
+
+
+def known(c: str):
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+
 
+def is_ground():
+    slow = known("gs_kt") & (F.col("gs_kt") <= 45)
+    return F.coalesce(F.col("ground"), F.lit(False)) | (slow & (~known("alt_ft") | (F.col("alt_ft") <= 12000)))
 
-def is_ground(fix) -> bool:
-    slow = fix.gs_kt is not None and not math.isnan(fix.gs_kt) and fix.gs_kt <= 45
-    return bool(fix.ground) or (slow and (fix.alt_ft is None or math.isnan(fix.alt_ft) or fix.alt_ft <= 12000))
 
+def turns(fixes: DataFrame) -> DataFrame:
+    """hex, t, kind, lat, lon, alt_ft of the ground fix at each change between ground and air. Of fixes of one time those on the ground come first.
 
-def confirmed(at, later: list) -> bool:
-    """Whether the fixes within the window leave the ground for good: climb and distance, or less climb but far and fast."""
-    up = [f for f in later if not is_ground(f) and f.alt_ft is not None]
-    if len(up) < 2:
-        return False
-    base = at.alt_ft if at.alt_ft is not None and not math.isnan(at.alt_ft) else up[0].alt_ft
-    climb, far = max(f.alt_ft for f in up) - base, max(nm((at.lat, at.lon), (f.lat, f.lon)) for f in up)
-    fast = max((f.gs_kt for f in up if f.gs_kt is not None), default=0.0)
-    return (climb >= CLIMB and far >= NEAR_NM) or (climb >= LOW_CLIMB and far >= FAR_NM and fast >= FAST)
+    An object's fixes are dealt out by stretches of time, each with the last fix of the one before.
+    """
+    f = fixes.select("hex", F.floor(F.col("t") / STRETCH).alias("stretch"), F.struct("t", (~is_ground()).alias("air"), "lat", "lon", "alt_ft", "gs_kt").alias("fix"))
+    last = f.groupBy("hex", "stretch").agg(F.max("fix").alias("fix")).select("hex", (F.col("stretch") + 1).alias("stretch"), "fix", F.lit(True).alias("before"))
+    rows = f.withColumn("before", F.lit(False)).unionByName(last)
+    rows = rows.withColumn("was", F.lag("fix").over(by(["hex", "stretch"], "fix"))).filter(~F.col("before") & F.col("was").isNotNull())
+    change = rows.filter((F.col("fix.t") - F.col("was.t") <= GAP) & (F.col("fix.air") != F.col("was.air")))
+    at = F.when(F.col("fix.air"), F.col("was")).otherwise(F.col("fix"))
+    return change.select("hex", at.alias("at"), F.when(F.col("fix.air"), "takeoff").otherwise("landing").alias("kind")).select("hex", "at.t", "kind", "at.lat", "at.lon", "at.alt_ft")
 
 
 def flights(fixes: DataFrame) -> DataFrame:
-    """hex, t, kind (takeoff or landing) of each object, from runs of ground and air fixes; a landing is a takeoff read backwards."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("t", kind="stable").itertuples(index=False))
-        out, kept = [], {}
-        for i in range(1, len(rows)):
-            a, b = rows[i - 1], rows[i]
-            if b.t - a.t > GAP or is_ground(a) == is_ground(b):
-                continue
-            if is_ground(a):
-                kind, at, window = "takeoff", a, [f for f in rows[i : i + 200] if f.t - a.t <= CONFIRM]
-            else:
-                kind, at, window = "landing", b, [f for f in rows[max(0, i - 200) : i] if b.t - f.t <= CONFIRM]
-            if confirmed(at, window) and (kind not in kept or at.t - kept[kind] >= COOLDOWN):
-                kept[kind] = at.t
-                out.append((at.hex, at.t, kind))
-        return pd.DataFrame(out, columns=["hex", "t", "kind"])
-
-    return fixes.groupBy("hex").applyInPandas(run, "hex long, t long, kind string")
+    """hex, t, kind (takeoff or landing) of each object, from runs of ground and air fixes; a landing is a takeoff read backwards.
+
+    A turn is confirmed by all fixes in the air within the window after it (before it for a landing): climb and distance, or less
+    climb but far and fast. Turns and fixes meet by object and window's width.
+    """
+    slot = F.floor(F.col("t") / CONFIRM)
+    ends = turns(fixes).withColumn("slot", F.explode(F.when(F.col("kind") == "takeoff", F.array(slot, slot + 1)).otherwise(F.array(slot - 1, slot))))
+    up = fixes.filter(~is_ground() & known("alt_ft")).select("hex", slot.alias("slot"), F.col("t").alias("ft"), F.col("lat").alias("flat"), F.col("lon").alias("flon"), F.col("alt_ft").alias("falt"), F.when(known("gs_kt"), F.col("gs_kt")).alias("fgs"))
+    after = (F.col("kind") == "takeoff") & (F.col("ft") >= F.col("t")) & (F.col("ft") - F.col("t") <= CONFIRM)
+    ahead = (F.col("kind") == "landing") & (F.col("ft") < F.col("t")) & (F.col("t") - F.col("ft") <= CONFIRM)
+    met = ends.join(up, ["hex", "slot"]).filter(after | ahead)
+    seen = met.groupBy("hex", "t", "kind", "lat", "lon", "alt_ft").agg(
+        F.count("*").alias("n"), F.max("falt").alias("top"), F.min_by("falt", F.struct("ft", "flat", "flon", "falt")).alias("first"),
+        F.max(haversine("lat", "lon", "flat", "flon", EARTH_NM)).alias("far"), F.coalesce(F.max("fgs"), F.lit(0.0)).alias("fast"),
+    )
+    climb, far = F.col("top") - F.when(known("alt_ft"), F.col("alt_ft")).otherwise(F.col("first")), F.col("far")
+    sure = ((climb >= CLIMB) & (far >= NEAR_NM)) | ((climb >= LOW_CLIMB) & (far >= FAR_NM) & (F.col("fast") >= FAST))
+    return cooldown(seen.filter((F.col("n") >= 2) & sure).select("hex", "t", "kind"), ["hex", "kind"], "t", COOLDOWN)
 
 
 def turnarounds(fixes: DataFrame, minutes: int = 30, least_km: float = 37.04, alt_ft: float = 10000, degrees: float = 120) -> DataFrame:
