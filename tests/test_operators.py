@@ -53,6 +53,15 @@ def test_upper_tail(spark, n, mu, d):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize("n,mu,d", [(17000, 17000.0, 170.0), (22100, 17000.0, 170.0), (500, 2000.0, 1.0), (20300, 20000.0, 1.0), (30, 5.0, 400.0)])
+def test_upper_tail_of_wide_counts_is_whole(spark, n, mu, d):
+    r = mu / (d - 1) if d > 1 else 0
+    log = lambda k: k * math.log(mu) - mu - math.lgamma(k + 1) if d == 1 else math.lgamma(r + k) - math.lgamma(r) - math.lgamma(k + 1) - r * math.log(d) + k * math.log((d - 1) / d)
+    want = min(1.0, math.fsum(math.exp(log(k)) for k in range(n, n + 100_000)))
+    got = spark.createDataFrame([(n, mu, d)], "n long, mu double, d double").select(stats.upper_tail("n", F.col("mu"), F.col("d"))).first()[0]
+    assert got == pytest.approx(want, rel=1e-8)
+
+
 def test_robust_of_one_value_has_no_spread(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("b", 2.0), ("b", 9.0)], "k string, x double")
     assert collect(stats.robust_by(df, ["k"], "x")) == [("a", 1, 3.0, 0.0), ("b", 3, 2.0, stats.MAD_SCALE)]

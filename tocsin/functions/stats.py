@@ -89,20 +89,22 @@ def clip_cap(med) -> Column:
 def upper_tail(count, mean, dispersion, terms: int = 400) -> Column:
     """P(X >= count) of a negative binomial of that mean and dispersion (Poisson at a dispersion of 1), summed from count on.
 
-    The first term's logarithm is a sum of logarithms, all others follow by ratios, so small tails keep their precision.
+    The terms are taken by logarithms, so small tails and terms far under the mean keep their precision. The sum goes so far (terms at
+    least) that a Bernstein bound puts the rest under 1e-17 of the tail.
     """
     k, mu, d = _c(count).cast("double"), _c(mean), _c(dispersion)
     poisson = d <= 1 + 1e-6
     size = mu / (d - 1)
-    zero, upto = F.lit(0.0), F.sequence(F.lit(1), F.greatest(_c(count).cast("int"), F.lit(1)))
+    upto = F.sequence(F.lit(1).cast("long"), F.greatest(_c(count).cast("long"), F.lit(1).cast("long")))
     first_p = F.aggregate(upto, -mu, lambda a, i: F.when(i <= k, a + F.log(mu / i)).otherwise(a))
     base_nb = -size * F.log(d)
     first_nb = F.aggregate(upto, base_nb, lambda a, i: F.when(i <= k, a + F.log((size + i - 1) / i * (d - 1) / d)).otherwise(a))
     first = F.when(poisson, first_p).otherwise(first_nb)
-    state = F.struct(F.exp(first).alias("term"), zero.alias("tail"))
+    far = F.ceil(F.greatest(mu - k, F.lit(0.0)) + 45 * d + F.sqrt(F.pow(45 * d, 2) + 90 * mu * d)) + 60
+    last = F.when((mu > 0) & (k > 0), F.greatest(F.lit(terms), far)).otherwise(0).cast("long")
     fold = F.aggregate(
-        F.sequence(F.lit(0), F.lit(terms)), state,
-        lambda a, j: F.struct((a.term * F.when(poisson, mu / (k + j + 1)).otherwise((size + k + j) / (k + j + 1) * (d - 1) / d)).alias("term"), (a.tail + a.term).alias("tail")),
+        F.sequence(F.lit(0).cast("long"), last), F.struct(first.alias("log"), F.lit(0.0).alias("tail")),
+        lambda a, j: F.struct((a.log + F.log(F.when(poisson, mu / (k + j + 1)).otherwise((size + k + j) / (k + j + 1) * (d - 1) / d))).alias("log"), (a.tail + F.exp(a.log)).alias("tail")),
     )
     return F.when(mu > 0, F.when(k <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), fold.tail)))
 
