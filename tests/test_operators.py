@@ -244,6 +244,16 @@ def test_streams_equal_batches(spark, tmp_path):
     assert collect(last.select("k", "t")) == [("a", 98), ("b", 99)]
 
 
+def test_stream_counts_all_samples_of_a_second(spark, tmp_path):
+    rows = [("a", 5, i, z) for i, z in enumerate([8.0, 8.0, 8.0, 8.0])] + [("b", 5, 0, 8.0), ("b", 5, 1, 8.0), ("b", 6, 0, -4.0)]
+    df = spark.createDataFrame(rows[::-1], "k string, t long, id long, z double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = state.run_to_table(state.cusum_stream(stream, "k", "t", "z", "id"), str(tmp_path / "out"))
+    want = [("a", 5, "high", 13.0), ("a", 5, "critical", 26.0), ("b", 5, "high", 13.0)]
+    assert collect(got) == sorted(want) == collect(sequences.cusum_crossings(df, "k", "t", "z", "id"))
+
+
 def test_injection_is_seen(spark):
     rng = np.random.default_rng(2)
     s = spark.createDataFrame([(i * 1800, int(x)) for i, x in enumerate(rng.poisson(60, 48 * 28))], "slot long, n long")

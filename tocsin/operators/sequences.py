@@ -78,14 +78,14 @@ class CusumAlarm:
 
     K, HIGH, CRITICAL, REARM = 1.5, 12.0, 20.0, 6.0
 
-    def __init__(self, s: float = 0.0, fired: int = 0, last: int = -(1 << 62)):
-        self.s, self.fired, self.last = s, fired, last
+    def __init__(self, s: float = 0.0, fired: int = 0, last: int = -(1 << 62), tie: int = 0):
+        self.s, self.fired, self.last, self.tie = s, fired, last, tie
 
-    def step(self, t: int, z: float) -> str | None:
-        """The level newly crossed. A sample no later than the last one changes nothing."""
-        if t <= self.last:
+    def step(self, t: int, z: float, tie: int = 0) -> str | None:
+        """The level newly crossed. A sample no later than the last one changes nothing; of one time, the larger tie is later."""
+        if (t, tie) <= (self.last, self.tie):
             return None
-        self.last = t
+        self.last, self.tie = t, tie
         self.s = max(0.0, self.s + min(8.0, max(-4.0, z)) - self.K)
         if self.s < self.REARM:
             self.fired = 0
@@ -96,18 +96,19 @@ class CusumAlarm:
         return None
 
 
-def cusum_crossings(rows: DataFrame, key: str, time: str, z: str) -> DataFrame:
-    """key, time, severity, s of each crossing; a level fires once until the sum falls under the re-arming line."""
+def cusum_crossings(rows: DataFrame, key: str, time: str, z: str, tie: str | None = None) -> DataFrame:
+    """key, time, severity, s of each crossing; a level fires once until the sum falls under the re-arming line. Where samples of a key may
+    share a time, tie is a number that tells them apart."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         alarm, out = CusumAlarm(), []
-        for k, t, x in pdf.sort_values(time)[[key, time, z]].itertuples(index=False):
-            if severity := alarm.step(t, x):
+        for k, t, x, i in pdf.sort_values([time, "_tie"])[[key, time, z, "_tie"]].itertuples(index=False, name=None):
+            if severity := alarm.step(t, x, i):
                 out.append((k, t, severity, alarm.s))
         return pd.DataFrame(out, columns=[key, time, "severity", "s"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, time, z).groupBy(key).applyInPandas(run, f"{key} {kind}, {time} long, severity string, s double")
+    return rows.select(key, time, z, (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie")).groupBy(key).applyInPandas(run, f"{key} {kind}, {time} long, severity string, s double")
 
 
 def cooldown(rows: DataFrame, key: list[str], time: str, seconds: int) -> DataFrame:

@@ -36,8 +36,8 @@ def stream_transitions(spark, sf_dir):
 
 @query("stream_cusum")
 def stream_cusum(spark, sf_dir):
-    e = state.event_stream(spark, sf_dir).select(F.col("event_type").alias("series"), F.unix_seconds("ts").alias("slot"), ((F.col("value") - 100) / 60).alias("z"))
-    return state.run_to_table(state.cusum_stream(e, "series", "slot", "z"), work_folder(spark))
+    e = state.event_stream(spark, sf_dir).select(F.col("event_type").alias("series"), F.unix_seconds("ts").alias("slot"), "event_id", ((F.col("value") - 100) / 60).alias("z"))
+    return state.run_to_table(state.cusum_stream(e, "series", "slot", "z", "event_id"), work_folder(spark))
 
 
 @query("stream_latest", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
@@ -111,5 +111,5 @@ def fixes(spark, sf_dir):
 @query("stream_cusum_batch")
 def stream_cusum_batch(spark, sf_dir):
     """The batch twin of stream_cusum's sums, by closed form."""
-    e = A.events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("t").alias("slot"), ((F.col("value") - 100) / 60).alias("z"))
-    return cusum(e, "series", "slot", F.col("z"), 1.5).groupBy("series").agg(r6(F.max("s")).alias("peak"))
+    e = A.events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("t").alias("slot"), "event_id", ((F.col("value") - 100) / 60).alias("z"))
+    return cusum(e, "series", ["slot", "event_id"], F.col("z"), 1.5).groupBy("series").agg(r6(F.max("s")).alias("peak"))

@@ -25,21 +25,22 @@ def window_counts(stream: DataFrame, time: str, length: str = "30 minutes", late
     return g.select(*(keys or []), F.unix_seconds("window.start").alias("slot"), "n")
 
 
-def cusum_stream(rows: DataFrame, key: str, time: str, z: str) -> DataFrame:
-    """Crossings as in sequences.cusum_crossings. A sample no later than the state's last one is passed over, so a repeated batch
-    changes nothing."""
+def cusum_stream(rows: DataFrame, key: str, time: str, z: str, tie: str | None = None) -> DataFrame:
+    """Crossings as in sequences.cusum_crossings. A sample no later than the state's last one, by time and tie, is passed over, so a
+    repeated batch changes nothing."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         alarm = CusumAlarm(*(state.get if state.exists else ()))
         out = []
-        for t, x in pd.concat(frames).sort_values(time)[[time, z]].itertuples(index=False):
-            if severity := alarm.step(int(t), float(x)):
+        for t, x, i in pd.concat(frames).sort_values([time, "_tie"])[[time, z, "_tie"]].itertuples(index=False, name=None):
+            if severity := alarm.step(int(t), float(x), int(i)):
                 out.append((k[0], int(t), severity, alarm.s))
-        state.update((alarm.s, alarm.fired, alarm.last))
+        state.update((alarm.s, alarm.fired, alarm.last, alarm.tie))
         yield pd.DataFrame(out, columns=[key, time, "severity", "s"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} long, severity string, s double", "s double, fired int, last long", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.select(key, time, z, (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} long, severity string, s double", "s double, fired int, last long, tie long", "append", GroupStateTimeout.NoTimeout)
 
 
 def transition_stream(rows: DataFrame, key: str, time: str, flag: str) -> DataFrame:
