@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyarrow import fs
@@ -11,15 +10,15 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..operators.sequences import cusum
 from ..plans.tracks import flights, turnarounds
+from ..session import shared_dir
 from ..sources import heatmap
 from ..streaming import state
 from . import query, r6
 
 
 def work_folder(spark) -> str:
-    """A new folder in the shared one that the session names, or a local one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tocsin-')}"
-    return f"{shared.rstrip('/')}/tocsin-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/tocsin-{uuid.uuid4().hex}"
 
 
 @query("stream_slot_counts")

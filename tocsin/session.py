@@ -1,4 +1,10 @@
-"""A session with the settings that the operators count on."""
+"""A session with the settings that the operators count on, and the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -11,3 +17,17 @@ def session(app: str = "tocsin", master: str | None = None, **conf: str) -> Spar
     for k, v in conf.items():
         builder = builder.config(k.replace("_", "."), v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a local session, whose executors are this machine's, gets a folder
+    that goes when the process ends; a cluster has no such place, so there it is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="tocsin-")
+        atexit.register(shutil.rmtree, folder, True)
+        where = f"file://{folder}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
