@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -114,8 +115,7 @@ def test_token_files_hold_all_documents_in_order(spark, tmp_path):
 
     path = tokenizer_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    rows = [*[r for r in ODD if r[0] != 5], (5, LONG[:9000]), (9, "a  b \n c   d\n\n e"), (10, " lead"), (11, "trail  ")]
+    rows = [*[r for r in ODD if r[0] != 5], (5, LONG[:9000]), (9, "a  b \n c   d\n\n e"), (10, " lead"), (11, "trail  "), (12, "a<|endoftext|>b"), (13, "<|endoftext|>")]
     manifest = token_store.write_tokens(frame(spark, rows), "doc_id", "text", f"file://{tmp_path}/t", path, 2, file_ids=500)
     got = token_store.read_documents(token_store.with_starts(manifest)).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((i for i, _ in rows if i is None), key=str) + sorted(i for i, _ in rows if i is not None)
@@ -129,6 +129,21 @@ def test_token_files_hold_all_documents_in_order(spark, tmp_path):
     assert manifest.count() > 1
 
 
+def test_chunks_are_encoded_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    ours, library = token_store.CachedEncoder(path), Tokenizer.from_file(path)
+    r = random.Random(12)
+    alphabet = [*"abT's 1.,-\n\t\"é×", " ", " ", "the", "\u00a0", "\u3000", "\u0085", "\u200a", "\x1c", "日本", "\u0301", "🎉", "'ll", "café", " <|endoftext|>"]
+    cases = ["", " ", "  ", "a", *("".join(r.choice(alphabet) for _ in range(r.randint(1, 60))) for _ in range(4000)), LONG[:50_000]]
+    for lo in range(0, len(cases), 500):
+        some = cases[lo : lo + 500]
+        ids, n = ours.encode(pa.array([x.encode() for x in some], pa.binary()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode(x, add_special_tokens=False).ids for x in some]
+    assert ours.encode(pa.array([None, None], pa.binary()))[1].tolist() == [0, 0] and len(ours.encode(pa.array([], pa.binary()))[1]) == 0
+
+
 # 3 decontamination
 
 

@@ -1,23 +1,24 @@
-"""Helpers shared by the corpus operators: shared-folder checkpoints, row-wise Arrow maps and word splitting."""
+"""Helpers shared by the corpus operators: tables in the shared folder, row-wise Arrow maps and word splitting."""
 
 from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of one Arrow batch; with texts of some 100 KB at most, a batch stays well under a worker's memory.
-BATCH_ROWS = 1000
+from ..session import shared_dir
+
+#: Rows and bytes of text that are handled at once, whatever the Arrow batches (Spark bounds those in bytes); a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 #: A-Z to a-z; every ASCII byte that is neither letter nor digit to a space. Bytes over 0x7F stay, so it acts on UTF-8.
 WORD_TABLE = bytes(
@@ -110,13 +111,8 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a local one that is then set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tocsin-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+#: Paths of the tables that written() has made and dropped() has not deleted.
+TABLES: set[str] = set()
 
 
 def written(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -125,17 +121,30 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    TABLES.add(path)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    TABLES.discard(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by written() once nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/tocsin-" in f:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        name = path.rsplit("/", 1)[-1]
+        for known in [t for t in TABLES if t.rsplit("/", 1)[-1] == name]:
+            deleted(df.sparkSession, known)
+
+
+def swept(spark: SparkSession, *kept: DataFrame) -> None:
+    """Delete all tables of written() but those that kept reads: for callers that have stored the results of the operators."""
+    names = {x.rsplit("/", 2)[-2] for df in kept for x in df.inputFiles()}
+    for path in [t for t in TABLES if t.rsplit("/", 1)[-1] not in names]:
+        deleted(spark, path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -146,6 +155,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def parts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most BATCH_ROWS rows and about BATCH_BYTES of text."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < b.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, min(lo + BATCH_ROWS, int(np.searchsorted(ends, before + BATCH_BYTES, side="right"))))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def per_row(
     df: DataFrame,
     text_col: str,
@@ -157,9 +178,8 @@ def per_row(
 ) -> DataFrame:
     """df's columns (or keep of them) and one more, a struct `name` of `fields` that f = make() gives for each row's text.
 
-    make runs once in a task; with batched, f takes and gives a list, a batch's rows. The text reaches f as UTF-8 bytes; null stays None. No shuffle.
+    make runs once in a task; with batched, f takes and gives a list, some rows at once. The text reaches f as UTF-8 bytes; null stays None. No shuffle.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     keep = df.columns if keep is None else keep
     tmp = free_name(df, "_text_bytes")
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
@@ -169,7 +189,7 @@ def per_row(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in parts(batches, tmp):
             texts = b.column(b.num_columns - 1).to_pylist()
             rows = f(texts) if batched else [f(x) for x in texts]
             if rows and isinstance(rows[0], pa.Array):  # a batch may also come as columns

@@ -17,6 +17,9 @@ ESCAPE = 15
 #: So many ids are the union of two runs of the first number, the second one that far on.
 HALVES = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (3, 2), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7), 20: (10, 10), 30: (15, 15), 60: (30, 30)}
 U = np.uint64
+#: By an id's bits, the index in BITS of the narrowest field that holds it; 14: escape. The same by the id, where it is small.
+WIDTH = np.searchsorted(BITS, np.arange(66)).astype(np.uint8)
+NEED = WIDTH[np.frexp(np.arange(1 << 16, dtype=np.float64))[1]]
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,12 +33,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     flat = np.zeros(blocks * BLOCK, U)
     flat[:n] = ids
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    need = np.zeros(grid.shape, np.uint8)  # index in BITS; 14: escape
     top = int(ids.max())
-    small = grid.astype(np.uint32) if top < 1 << 32 else grid
-    for b in BITS:
-        if top >> b:
-            need += small >= (1 << b)
+    if top < len(NEED):
+        need = NEED[grid]
+    else:  # the exponent may be one too large for ids of over 53 bits, which costs a bit and loses nothing
+        need = WIDTH[np.frexp(grid.astype(np.float64))[1]]
     widest = {1: need}  # by count: the most that the next so many ids need
     selector = np.full((blocks, BLOCK), ESCAPE, np.uint8)
     for s in range(len(COUNTS), 0, -1):  # from one id a word to sixty; what fits one selector fits all after it

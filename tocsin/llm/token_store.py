@@ -11,40 +11,75 @@ stands for a null id); n_blocks + 1 block offsets; the words of simple8b.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import BATCH_ROWS, shared_dir, table, tokenizer_path
+from .common import BATCH_ROWS, parts, shared_dir, table, tokenizer_path
 
 MAGIC = b"TOCSIN8B"
 FILE_IDS = 4 << 20
-CACHE = 250_000
+#: Distinct chunks that a worker keeps.
+CACHE = 600_000
 #: Chunks that the library gets as one text.
 GROUP = 500
-#: Characters that end words, and never share a pre-token with a letter or digit before them.
-PUNCTUATION = ".,;:!?*$%&#|()[]{}<>\"-"
-#: A space, as byte-level vocabularies write it.
-SPACE = "\u0120"
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
-DOUBLE_SPACE = re.compile(r"\s\s")
-LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def byte_kinds() -> np.ndarray:
+    """1 for ASCII letters, 2 for digits, 3 for punctuation, 4 for white space, 5 for parts of other characters, 6 for those control
+    characters that not every library takes for white space, else 0."""
+    kind = np.zeros(256, np.uint8)
+    for c in range(33, 127):
+        kind[c] = 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3
+    kind[[*range(9, 14), 32]] = 4
+    kind[28:32] = 6
+    kind[128:] = 5
+    return kind
+
+
+KIND = byte_kinds()
+LETTER, DIGIT, PUNCTUATION, WHITE, OTHER, UNCLEAR = range(1, 7)
+#: First bytes of characters of which some are white space: those of two bytes, and those of three.
+LEAD_TWO, LEAD_THREE = 0xC2, (0xE1, 0xE2, 0xE3)
+
+
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a byte-level pre-token surely begins in texts with those ends: where white space begins, before its last character if there are more, and after it
+    if that is no space; and between ASCII letters, digits and punctuation (but not after an apostrophe)."""
+    n = len(data)
+    kind = KIND[data]
+    back = lambda x, k: np.concatenate([np.zeros(min(k, n), x.dtype), x[: n - k]]) if k < n else np.zeros(n, x.dtype)
+    one, two, three, before = back(data, 1), back(data, 2), back(data, 3), back(kind, 1)
+    solid = (kind < WHITE) | ((kind == OTHER) & (data > LEAD_TWO) & ~np.isin(data, LEAD_THREE))  # this character is no white space
+    solid_before = (before < WHITE) | ((before == OTHER) & (two != LEAD_TWO) & ~np.isin(three, LEAD_THREE))
+    solid_after = np.append(solid[1:], np.zeros(min(n, 1), bool))
+    solid_after[ends[ends > 0] - 1] = False
+    white, white_before = kind == WHITE, before == WHITE
+    latin = (two == 0xC3) & (before == OTHER) & (one != 0x97) & (one != 0xB7)
+    out = white & (solid_before | (white_before & solid_after))
+    out |= solid & white_before & (one != 32)
+    out |= (kind == PUNCTUATION) & ((before == LETTER) | (before == DIGIT) | latin)
+    out |= (kind == DIGIT) & ((before == LETTER) | latin) | (kind == LETTER) & (before == DIGIT)
+    out |= ((kind == LETTER) | (kind == DIGIT)) & (before == PUNCTUATION) & (one != 39)
+    out[:1] = False
+    return out
 
 
 class CachedEncoder:
-    """Byte-level BPE ids of whole texts, as little-endian uint32 bytes.
+    """Byte-level BPE ids of whole texts, as the library gives them without its special tokens around.
 
-    A space between two characters that are no white space always begins a pre-token, so the text is cut there and the
-    library is asked only for chunks it hasn't met lately.
+    Texts are cut where a pre-token surely begins, the chunks of many texts are made distinct together, and the library is asked
+    only for those that it hasn't met lately. A text with an added token in it goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -52,70 +87,81 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        pieces = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.spaced = np.zeros(max(pieces.values(), default=0) + 2, bool)
-        self.spaced[[i for x, i in pieces.items() if x[0] == SPACE]] = True
-        self.ends: dict[str, bytes] = {}
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def chunks(self, todo: list[str]) -> list[bytes]:
-        """The ids of each chunk with a space before it. Chunks without a space in them are given to the library GROUP at a
-        time: only a chunk's first id then begins with a space."""
-        plain = [x and " " not in x and not x[0].isspace() and not x[-1].isspace() for x in todo]
-        out: dict[str, bytes] = {}
-        odd = [x for x, p in zip(todo, plain) if not p]
-        out.update(zip(odd, self.library([" " + x for x in odd])))
-        even = [x for x, p in zip(todo, plain) if p]
-        groups = [even[i : i + GROUP] for i in range(0, len(even), GROUP)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            at = [*(4 * np.flatnonzero(self.spaced[ids])).tolist(), 4 * len(ids)]
-            if len(at) != len(group) + 1:
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Look up new chunks; those without line ends and outer white space go GROUP to a text, a line each."""
+        even, odd = [], []
+        for raw in chunks:
+            core = raw.decode().removeprefix(" ")
+            easy = self.line is not None and core and "\n" not in core and not core[0].isspace() and not core[-1].isspace()
+            (even if easy else odd).append(raw)
+        ids, sizes = [], []
+        for lo in range(0, len(even), GROUP):
+            group = even[lo : lo + GROUP]
+            got = np.array(self.library([b"\n".join(group).decode()])[0], "<u4")
+            ends = np.append(np.flatnonzero(got == self.line), len(got))
+            if len(ends) != len(group):
                 raise ValueError("chunks and ids don't match")
-            raw = ids.tobytes()
-            out.update((x, raw[at[i] : at[i + 1]]) for i, x in enumerate(group))
-        return [out[x] for x in todo]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Chunks after a text's first stand in the cache without their leading space; first chunks are encoded as they come."""
-        cut = [LONE_SPACE.split(t) if DOUBLE_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = self.library([c.pop(0) for c in cut])
-        if len(self.new) > CACHE:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        missing, ended = set(), []
-        for x in set().union(*cut):
-            if x not in new:
-                if x in old:
-                    new[x] = old[x]
-                    continue
-                core = x.rstrip(PUNCTUATION)
-                if core != x and core and core[-1].isalnum() and core[-1] < "\u0500":  # the library cuts there too
-                    ended.append((x, core, x[len(core) :]))
-                    x = core
-                    if core in new:
-                        continue
-                    if core in old:
-                        new[core] = old[core]
-                        continue
-                missing.add(x)
-        missing = list(missing)
-        here = new
-        if len(new) + len(missing) + len(ended) > 2 * CACHE:
-            here = dict(new)  # for this batch only
-        here.update(zip(missing, self.chunks(missing)))
-        for x, core, end in ended:
-            if end not in self.ends:
-                self.ends[end] = self.library([end])[0]
-            here[x] = here[core] + self.ends[end]
-        if len(self.ends) > CACHE:
-            self.ends.clear()
-        return [h + b"".join(map(here.__getitem__, c)) for h, c in zip(heads, cut)]
+            ids.append(got[got != self.line])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        for got in self.library([x.decode() for x in odd]):
+            ids.append(np.array(got, "<u4"))
+            sizes.append(np.array([len(got)]))
+        for raw in (*even, *odd):
+            self.known[raw] = len(self.known)
+        self.flat = np.concatenate([self.flat, *ids])
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of binary UTF-8 texts (null: empty), end to end, and each text's number of them."""
+        texts = pc.fill_null(texts, b"")
+        whole = np.zeros(len(texts), bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content.encode()).to_numpy(zero_copy_only=False)
+        if whole.any():
+            rows = [self.library([t.decode()])[0] if w else None for t, w in zip(texts.to_pylist(), whole)]
+            rest, n = self.encode(texts.filter(pa.array(~whole)))
+            sizes = np.zeros(len(texts), np.int64)
+            sizes[~whole] = n
+            split = iter(np.split(rest, np.cumsum(n)[:-1]))
+            out = [np.array(r, "<u4") if r is not None else next(split) for r in rows]
+            return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+        raw = texts.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.empty(0, np.uint8)
+        at = at.astype(np.int64) - at[0]
+        first = np.zeros(len(data) + 1, bool)
+        first[:-1] = cuts(data, at[1:])
+        first[at[:-1]] = True
+        first = first[:-1]
+        start = np.flatnonzero(first)
+        offsets = np.append(start, len(data)).astype(np.int32)
+        if not len(start):
+            return np.empty(0, "<u4"), np.zeros(len(texts), np.int64)
+        chunks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        distinct = chunks.dictionary.to_pylist()
+        if len(self.known) > CACHE:
+            self.forget()
+        missing = [x for x in distinct if x not in self.known]
+        if missing:
+            self.learn(missing)
+        slot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
+        begin, size = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+        upto = np.append(0, ends)[np.searchsorted(start, at)]
+        return ids, np.diff(upto)
 
 
 ENCODERS: dict[str, CachedEncoder] = {}
@@ -128,11 +174,11 @@ def loaded(path: str) -> CachedEncoder:
     return ENCODERS[path]
 
 
-def write_file(filesystem, path: str, ids: list[int], lengths: list[int], tokens: np.ndarray) -> None:
+def write_file(filesystem, path: str, ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> None:
     words, offsets = simple8b.encode(tokens)
     with filesystem.open_output_stream(path) as f:
         f.write(MAGIC + np.array([len(ids), len(tokens), len(offsets) - 1], "<i8").tobytes())
-        f.write(np.array(ids, "<i8").tobytes() + np.array(lengths, "<i8").tobytes() + offsets.astype("<u8").tobytes())
+        f.write(ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + offsets.astype("<u8").tobytes())
         f.write(words.astype("<u8").tobytes())
 
 
@@ -154,38 +200,43 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
     Order: ascending id_col (null first), then the text's hash for repeated ids. Null text counts as empty: it has only
     end_id. An empty table gives an empty manifest.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").withColumn("part", F.spark_partition_id())
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = 0 if end_id is None else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = fs.FileSystem.from_uri(folder)
-        k, part, ids, parts = 0, 0, [], []
+        k, part, held, size = 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal k, ids, parts
+            nonlocal k, held, size
             path = f"{folder}/part-{part:06d}-{k:05d}-{uuid.uuid4().hex}.s8b"
-            tokens = np.frombuffer(b"".join(parts), "<u4")
-            write_file(filesystem, base + path[len(folder) :], ids, [len(p) // 4 for p in parts], tokens)
+            ids, lengths, tokens = (np.concatenate(x) for x in zip(*held))
+            write_file(filesystem, base + path[len(folder) :], ids, lengths, tokens)
             out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([k], pa.int32()), "path": [path], "n_docs": [len(ids)], "n_ids": [len(tokens)]})
-            k, ids, parts = k + 1, [], []
+            k, held, size = k + 1, [], 0
             return out
 
-        size = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in parts(batches, "text"):
             part = b.column("part")[0].as_py()
-            codes = loaded(tokenizer).encode([(t or b"").decode() for t in b.column("text").to_pylist()])
-            for i, code in zip(b.column("id").to_pylist(), codes):
-                if size and size + len(code) // 4 + 1 > file_ids:
+            codes, n = loaded(tokenizer).encode(b.column("text"))
+            ids = pc.fill_null(b.column("id"), NO_ID).to_numpy()
+            ends = np.cumsum(n)
+            tokens = np.insert(codes, ends, end_id) if end else codes
+            n = n + end
+            ends = np.cumsum(n)
+            lo = 0
+            while lo < len(ids):  # as many documents as the file has room for
+                before = ends[lo - 1] if lo else 0
+                hi = int(np.searchsorted(ends, before + file_ids - size, side="right"))
+                if hi == lo and held:
                     yield flush()
-                    size = 0
-                ids.append(NO_ID if i is None else i)
-                parts.append(code + end)
-                size += len(parts[-1]) // 4
-        if ids:
+                    continue
+                hi = max(hi, lo + 1)
+                held.append((ids[lo:hi], n[lo:hi], tokens[before : ends[hi - 1]]))
+                size += int(ends[hi - 1] - before)
+                lo = hi
+        if held:
             yield flush()
 
     folder = folder.rstrip("/")
@@ -236,6 +287,7 @@ def _read(files: DataFrame, schema: str, of) -> DataFrame:
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files; nulls and odd rows as in write_tokens()."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/tocsin-tokens-{uuid.uuid4().hex}"
     manifest = write_tokens(docs, "doc_id", "text", folder, tokenizer_path("byte_bpe_50k.json"), 2)
