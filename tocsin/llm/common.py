@@ -155,14 +155,14 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def parts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of at most BATCH_ROWS rows and about BATCH_BYTES of text."""
+def parts(batches: Iterator[pa.RecordBatch], text_col: str, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most so many rows and about BATCH_BYTES of text."""
     for b in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text_col)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         lo = 0
         while lo < b.num_rows:
             before = int(ends[lo - 1]) if lo else 0
-            hi = max(lo + 1, min(lo + BATCH_ROWS, int(np.searchsorted(ends, before + BATCH_BYTES, side="right"))))
+            hi = max(lo + 1, min(lo + rows, int(np.searchsorted(ends, before + BATCH_BYTES, side="right"))))
             yield b.slice(lo, hi - lo)
             lo = hi
 

@@ -24,20 +24,21 @@ NEED = WIDTH[np.frexp(np.arange(1 << 16, dtype=np.float64))[1]]
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words, and the offset among them of each block (one more at the end)."""
-    ids = np.ascontiguousarray(ids, np.uint64)
+    ids = np.asarray(ids)
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     if not n:
         return np.empty(0, U), np.zeros(1, np.uint64)
-    pad = COUNTS[0]
-    grid = np.zeros((blocks, BLOCK + pad), U)  # zeros after a block's end fit any width
-    flat = np.zeros(blocks * BLOCK, U)
+    top = int(ids.max())
+    wide = BLOCK + COUNTS[0]  # zeros after a block's end fit any width
+    grid = np.zeros((blocks, wide), U if top >> 32 else np.uint32)
+    flat = np.zeros(blocks * BLOCK, grid.dtype)
     flat[:n] = ids
     grid[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    top = int(ids.max())
     if top < len(NEED):
         need = NEED[grid]
     else:  # the exponent may be one too large for ids of over 53 bits, which costs a bit and loses nothing
         need = WIDTH[np.frexp(grid.astype(np.float64))[1]]
+    grid = grid.ravel()
     widest = {1: need}  # by count: the most that the next so many ids need
     selector = np.full((blocks, BLOCK), ESCAPE, np.uint8)
     for s in range(len(COUNTS), 0, -1):  # from one id a word to sixty; what fits one selector fits all after it
@@ -71,14 +72,15 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     width = 1 + (s == ESCAPE)
     place = np.concatenate([[0], np.cumsum(width)])
     words = np.zeros(place[-1], U)
-    for k in np.unique(s):
+    cell = row * wide + col
+    for k in np.flatnonzero(np.bincount(s)):
         of = np.flatnonzero(s == k)
-        word = np.full(len(of), int(k) << 60, U)
+        at, word = cell[of], np.full(len(of), int(k) << 60, U)
         if k == ESCAPE:
-            words[place[of] + 1] = grid[row[of], col[of]]
+            words[place[of] + 1] = grid[at]
         else:
             for i in range(COUNTS[k - 1]):
-                word |= grid[row[of], col[of] + i] << U(i * BITS[k - 1])
+                word |= grid[at + i].astype(U) << U(i * BITS[k - 1])
         words[place[of]] = word
     first = np.concatenate([np.flatnonzero(np.diff(row, prepend=-1)), [len(row)]])
     return words, place[first].astype(np.uint64)

@@ -14,6 +14,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ from .common import BATCH_ROWS, parts, shared_dir, table, tokenizer_path
 
 MAGIC = b"TOCSIN8B"
 FILE_IDS = 4 << 20
+#: Rows that are encoded at once: more rows have relatively fewer distinct chunks.
+ROWS = 4000
+#: Chunks without control characters and white space, but for a space before.
+EASY = r"^ ?[^\x00-\x20\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}]+$"
 #: Distinct chunks that a worker keeps.
 CACHE = 600_000
 #: Chunks that the library gets as one text.
@@ -99,14 +104,11 @@ class CachedEncoder:
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, chunks: pa.Array) -> None:
         """Look up new chunks; those without line ends and outer white space go GROUP to a text, a line each."""
-        even, odd = [], []
-        for raw in chunks:
-            core = raw.decode().removeprefix(" ")
-            easy = self.line is not None and core and "\n" not in core and not core[0].isspace() and not core[-1].isspace()
-            (even if easy else odd).append(raw)
-        ids, sizes = [], []
+        easy = pc.match_substring_regex(chunks.cast(pa.string()), EASY) if self.line is not None else pa.array(np.zeros(len(chunks), bool))
+        even, odd = chunks.filter(easy).to_pylist(), chunks.filter(pc.invert(easy)).to_pylist()
+        ids, sizes = [self.flat], []
         for lo in range(0, len(even), GROUP):
             group = even[lo : lo + GROUP]
             got = np.array(self.library([b"\n".join(group).decode()])[0], "<u4")
@@ -118,9 +120,8 @@ class CachedEncoder:
         for got in self.library([x.decode() for x in odd]):
             ids.append(np.array(got, "<u4"))
             sizes.append(np.array([len(got)]))
-        for raw in (*even, *odd):
-            self.known[raw] = len(self.known)
-        self.flat = np.concatenate([self.flat, *ids])
+        self.known.update(zip(even + odd, range(len(self.known), len(self.known) + len(chunks))))
+        self.flat = np.concatenate(ids)
         self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,15 +154,20 @@ class CachedEncoder:
         distinct = chunks.dictionary.to_pylist()
         if len(self.known) > CACHE:
             self.forget()
-        missing = [x for x in distinct if x not in self.known]
-        if missing:
-            self.learn(missing)
-        slot = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[chunks.indices.to_numpy()]
-        begin, size = self.starts[slot], self.starts[slot + 1] - self.starts[slot]
+        slot = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            self.learn(chunks.dictionary.take(pa.array(new)))
+            slot[new] = np.fromiter((self.known[distinct[i]] for i in new.tolist()), np.int64, len(new))
+        slot = slot[chunks.indices.to_numpy()]
+        begin = self.starts[slot]
+        size = self.starts[slot + 1] - begin
         ends = np.cumsum(size)
-        ids = self.flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1])]
+        step = np.ones(ends[-1], np.int64)  # from one id's place to the next: one, but for a chunk's first (no chunk is without ids)
+        step[0] = begin[0]
+        step[ends[:-1]] = begin[1:] - begin[:-1] - size[:-1] + 1
         upto = np.append(0, ends)[np.searchsorted(start, at)]
-        return ids, np.diff(upto)
+        return self.flat[np.cumsum(step, out=step)], np.diff(upto)
 
 
 ENCODERS: dict[str, CachedEncoder] = {}
@@ -217,7 +223,7 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
             k, held, size = k + 1, [], 0
             return out
 
-        for b in parts(batches, "text"):
+        for b in parts(batches, "text", ROWS):
             part = b.column("part")[0].as_py()
             codes, n = loaded(tokenizer).encode(b.column("text"))
             ids = pc.fill_null(b.column("id"), NO_ID).to_numpy()
