@@ -334,11 +334,12 @@ def test_license_text_with_words_changed(spark):
 # 8 WARC
 
 
-def test_warc_round_trip_and_pushdown(spark, tmp_path):
+def test_warc_round_trip_and_pushdown(spark, tmp_path, monkeypatch):
     rows = [(1, "u1", "same"), (2, "u2", "same"), (3, None, None), (4, "u4", ""), (5, "u\r\n5", "päge\r\n\r\nx"), (6, "u6", "b" * 300_000), (None, "u7", "alone")] + [(10 + i, "u", "copy") for i in range(200)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, sha string, key long")
     warc.register(spark)
-    for compression in ("gzip", "none"):
+    for compression, bound in (("gzip", 200_000), ("none", 0)):
+        monkeypatch.setattr(warc, "BROADCAST_DIGESTS", bound)
         folder = f"file://{tmp_path}/{compression}"
         warc.revisits(pages, "page_id", "url", "html").write.format("warc").option("compression", compression).option("archiveBytes", 20000).mode("append").save(folder)
         back = spark.read.format("warc").load(folder)
@@ -355,6 +356,17 @@ def test_warc_round_trip_and_pushdown(spark, tmp_path):
         assert back.filter("record_type = 'revisit' and page_id in (1, 12)").count() == 2
         light = spark.read.format("warc").option("payload", "false").load(folder).filter("page_id = 6").collect()
         assert [(r.payload_bytes, r.payload) for r in light] == [(300_000, None)]
+        small = spark.read.format("warc").option("splitBytes", 3000).load(folder)  # many parts an archive
+        assert sorted(small.collect(), key=str) == sorted(got.values(), key=str) and small.rdd.getNumPartitions() > 3
+        assert small.filter("page_id >= 150 and record_type = 'revisit'").count() == 59 and small.filter("target_uri is null").count() == 1
+        assert small.filter("target_uri like 'u%' and page_id < 7 and refers_to is not null").collect()[0].page_id == 1
+        for f in (tmp_path / compression).glob("*.idx"):
+            f.unlink()
+        (tmp_path / compression / "manifest.json").unlink()  # as archives from elsewhere
+        assert sorted(spark.read.format("warc").load(folder).collect(), key=str) == sorted(got.values(), key=str)
+    twice = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (0, "c", "x"), (None, "d", None), (None, "e", "")], "page_id long, url string, html string")
+    made = warc.revisits(twice, "page_id", "url", "html").collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in made) == [("0", "revisit", 1), *[("1", "response", None)] * 3, *[("None", "response", None)] * 2]
     empty = f"file://{tmp_path}/empty"
     warc.revisits(pages.limit(0), "page_id", "url", "html").write.format("warc").mode("append").save(empty)
     assert spark.read.format("warc").load(empty).count() == 0

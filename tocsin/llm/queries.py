@@ -49,4 +49,9 @@ WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D
  r(id, hop) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.y FROM r JOIN l ON r.hop = l.x),
  m AS (SELECT id, min(hop) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n USING (doc_id)""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT page_id, h, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+ array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(s, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS UBIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER) + 1, 1) for i in range(32)], '') AS payload_digest,
+ CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM g""",
 }
