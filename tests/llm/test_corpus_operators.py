@@ -293,6 +293,28 @@ def test_components_equal_brute_force(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_repeated_ids_with_other_texts_stay_apart(spark):
+    a, b = "one two three four five six seven eight", "the other text has quite different words in it"
+    rows = [(1, a), (1, b), (2, b), (3, a), (1 << 62, a + " nine"), (None, b), (None, "alone here with no id at all"), (9, None), (9, None), (8, "")]
+    got = jaccard.jaccard_components(frame(spark, rows)).select("doc_id", "component_id", "component").collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted([("1", "1"), ("1", "1"), ("2", "1"), ("3", "1"), (str(1 << 62), "1"), ("None", "1"), ("None", "None"), ("9", "9"), ("9", "9"), ("8", "8")])
+    assert len({r.component for r in got}) == 6
+    kept = jaccard.deduplicated(frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, kept)) == sorted(map(str, [r for r in jaccard.deduplicated(frame(spark, rows)).select("doc_id", "text").collect()]))
+    assert {(r.doc_id, r.text) for r in kept} == {(1, a), (1, b), (None, "alone here with no id at all"), (9, None), (8, "")} and len(kept) == 5
+
+
+def test_hot_shingles_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_SHARE", 10**6)  # all common shingles are hot
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    r = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, f"{common} " + " ".join(f"w{r.randint(0, 3)}" for _ in range(r.randint(0, 9)))) for i in range(80)] + corpus()[:60]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_odd_rows_are_components_of_their_own(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, ODD)).collect()), key=str)
     want = {i: n for i, n in ((1, 0), (2, 0), (3, 0), (4, 1), (6, 1), (7, 1))}

@@ -2,11 +2,13 @@
 
 No pair is lost, and no group is compared with itself pair by pair:
 
-1. Documents of equal sets form one group, found by a digest; from here on each distinct set counts once.
+1. One pass over the texts writes each row's digest, size and bitmap, and counts shingles. Rows of equal sets form one group, found by
+   the digest; from here on each distinct set counts once, by a number of its own (ids may repeat).
 2. Prefix filter: two sets of Jaccard at least t share one of the first n - ceil(t n) + 1 shingles in any fixed order of all
    shingles. The order is by hash, with the commonest shingles last, so passages that many documents share seldom stand in
    a prefix. Which shingles count as common only moves work; any choice gives the same links.
-3. Every set is compared with the hubs (smallest ids) of its buckets, and the links give components.
+3. Every set is compared with the hubs (smallest numbers) of its buckets, and the links give components. Buckets of the commonest
+   shingles are never dealt by the shingle alone.
 4. Buckets that still hold several components are cut into tiles. In a tile, sets sorted by size are compared only within
    the size band of the threshold; hashed bitmaps bound each overlap from above by bit counts; what the bound leaves is
    intersected exactly as sorted arrays. First the best pair of any two components of a tile is tried, then, for those
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, LOWER, dropped, grams, mix, per_row, release, table, word_hashes, written
+from .common import LOWER, dropped, free_name, grams, mix, parts, release, table, word_hashes, written
 from .warc import join_by_group
 
 SHINGLE = 5
@@ -41,8 +43,8 @@ COMMON = 250_000
 CHUNK = 4_000_000
 #: Bits of the filter that picks the rows whose sets are compared exactly: 2 MiB.
 SIEVE_BITS = 1 << 24
-#: Surrogates of null ids start here, above all ids that count as smallest.
-NULL_IDS = 1 << 62
+#: A shingle that more than one of so many rows has is hot, at most the first so many of them: the choice moves work only.
+HOT_SHARE, HOT_TOKENS = 1000, 20_000
 
 
 def shingles(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
@@ -81,32 +83,45 @@ def linked(a: bytes, b: bytes, t: tuple[int, int]) -> bool:
     return bool(len(x) and len(y) and t[1] * both >= t[0] * (len(x) + len(y) - both))
 
 
-def common_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to COMMON of the shingles that most documents have, and their ranks. Tasks count chunk by chunk and forget what a
-    chunk has once; the counts only order prefixes."""
+def members(rows: DataFrame, k: int) -> DataFrame:
+    """Of rows (id, tie, text) a written table: row (a number of its own), id, tie, n, set (digest; null without words) and bits; and, with
+    n null, counts c of shingles s. Tasks count chunk by chunk and forget what a chunk has once; the counts only order prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        names = ["id", "tie", "n", "set", "bits", "s", "c"]
 
-        def out():
+        def counts() -> pa.RecordBatch:
             s, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 2
-            return pa.RecordBatch.from_arrays([pa.array(s[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["s", "n"])
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                held.append(shingles(text, k))
-                size += len(held[-1])
-                if size > CHUNK:
-                    yield out()
-                    held, size = [], 0
+            s, n = s[n >= 2], n[n >= 2]
+            none = [pa.nulls(len(s), x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], names)
+
+        for b in parts(batches, "text"):
+            sets = [shingles(x, k) for x in b.column("text").to_pylist()]
+            n = pa.array([len(x) for x in sets], pa.int64())
+            key, bits = ([f(x) if len(x) else None for x in sets] for f in (digest, bitmap))
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("tie"), n, pa.array(key, pa.binary()), pa.array(bits, pa.binary()), none, none], names)
+            held += sets
+            size += sum(map(len, sets))
+            if size > CHUNK:
+                yield counts()
+                held, size = [], 0
         if held:
-            yield out()
+            yield counts()
+
+    made = rows.select("id", "tie", "text").mapInArrow(run, "id long, tie long, n long, set binary, bits binary, s long, c long")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "members")
 
-    top = rows.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "s").limit(COMMON)
-    s = top.toPandas()["s"].to_numpy(np.int64).view(np.uint64)
+
+def common_shingles(counts: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Up to COMMON of the shingles that most rows have, sorted, their ranks, and which of them are hot."""
+    top = counts.groupBy("s").agg(F.sum("c").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
+    s = top["s"].to_numpy(np.int64).view(np.uint64)
+    hot = (top["n"].to_numpy(np.int64) * HOT_SHARE > n_rows) & (np.arange(len(s)) < HOT_TOKENS)
     order = np.argsort(s)
-    return s[order], (len(s) - np.arange(len(s)))[order]
+    return s[order], (len(s) - np.arange(len(s)))[order], hot[order]
 
 
 def prefix(s: np.ndarray, t: tuple[int, int], common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -119,19 +134,26 @@ def prefix(s: np.ndarray, t: tuple[int, int], common: np.ndarray, rank: np.ndarr
     return s[:n]
 
 
-def prefixes(rows: DataFrame, k: int, t: tuple[int, int]) -> DataFrame:
-    """id, set (digest) and prefix of rows that a different set can be similar enough to."""
-    common, rank = common_shingles(rows, k)
-
-    def make():
-        def f(text):
-            s = shingles(text, k)
-            can = len(s) * t[1] >= (len(s) + 1) * t[0]  # else even a set with one shingle more is too different
-            return digest(s), prefix(s, t, common, rank).view(np.int64) if len(s) and can else None
+def prefixes(rows: DataFrame, k: int, t: tuple[int, int], common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """set (digest), prefix and hot (the hot shingles of the prefix) of rows that a different set can be similar enough to."""
+    shared = rows.sparkSession.sparkContext.broadcast(common)
 
-        return f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, rank, is_hot = shared.value
+        hot = often[is_hot]
+        longs = pa.list_(pa.int64())
+        for b in parts(batches, "text"):
+            out = []
+            for text in b.column("text").to_pylist():
+                s = shingles(text, k)
+                if len(s) and len(s) * t[1] >= (len(s) + 1) * t[0]:  # else even a set with one shingle more is too different
+                    p = prefix(s, t, often, rank)
+                    mask = np.isin(p, hot)
+                    out.append((digest(s), p[~mask].view(np.int64), p[mask].view(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), (pa.binary(), longs, longs))], ["set", "prefix", "hot"])
 
-    return per_row(rows, "text", make, "set binary, prefix array<long>", "s", ["id"]).select("id", "s.*").filter(F.col("prefix").isNotNull())
+    return rows.select("text").mapInArrow(run, "set binary, prefix array<long>, hot array<long>")
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -139,7 +161,7 @@ def digest(s: np.ndarray) -> bytes:
 
 
 def shared_buckets(tokens: DataFrame) -> DataFrame:
-    """Of (token, id) rows those whose token another row has too, with hub, the smallest id of the token's rows."""
+    """Of (token, id) rows those whose token another row has too, with hub, the smallest id of the token's rows, and hot, false."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_token, last_id, hub, alone = None, None, None, False
@@ -164,61 +186,63 @@ def shared_buckets(tokens: DataFrame) -> DataFrame:
                 yield batch(token[keep], ids[keep], hubs[keep])
             last_token, last_id, hub, alone = token[-1], ids[-1], hubs[-1], not keep[-1]
 
-    return tokens.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, hub long")
-
+    return tokens.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long, hub long").withColumn("hot", F.lit(False))
 
-def one_of_equal(shared: DataFrame) -> DataFrame:
-    """shared without the tokens whose rows have the same ids as another token's: near copies share very many tokens."""
-    members = shared.groupBy("token").agg(F.count("*").alias("of"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("second"))).alias("y"), F.min("id").alias("least"))
-    kept = members.groupBy("of", "x", "y", "least").agg(F.min("token").alias("token")).select("token")
-    return shared.join(kept, "token", "left_semi")
 
+def hot_buckets(tokens: DataFrame) -> DataFrame:
+    """The same of hot tokens, with hot true: they are few, so what each has comes to its rows by broadcast."""
+    hubs = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("of")).filter("of > 1").drop("of")
+    return tokens.join(F.broadcast(hubs), "token").select("token", "id", "hub", F.lit(True).alias("hot"))
 
-def signatures(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, n, bits of those rows that ids (distinct) names."""
 
-    def make():
-        def f(text):
-            s = shingles(text, k)
-            return len(s), bitmap(s)
+def by_token(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (token, hot, ...) joined with groups (token, hot, ...; one row a token). Rows of hot tokens stay where they are."""
+    cold = rows.filter(~F.col("hot")).join(groups.filter(~F.col("hot")).drop("hot"), "token", how)
+    return cold.unionByName(rows.filter("hot").join(F.broadcast(groups.filter("hot").drop("hot")), "token", how))
 
-        return f
 
-    made = per_row(rows, "text", make, "n int, bits binary", "s", ["id"]).select("id", "s.*")
-    return made.join(ids, "id", "left_semi").dropDuplicates(["id"])
+def one_of_equal(shared: DataFrame) -> DataFrame:
+    """shared without the tokens whose rows have the same ids as another token's: near copies share very many tokens."""
+    of = shared.groupBy("token", "hot").agg(F.count("*").alias("of"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("second"))).alias("y"), F.min("id").alias("least"))
+    kept = of.groupBy("of", "x", "y", "least").agg(F.min(F.struct("token", "hot")).alias("t")).select("t.*")
+    return by_token(shared, kept, "left_semi")
 
 
-def sieve(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of a fixed size, whatever the number of ids: where they are too many it lets all rows through."""
-    places = F.explode(F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(SIEVE_BITS)) for i in range(3)]))
-    words = ids.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of (id, tie) of a fixed size, whatever their number: where they are too many it lets all rows through."""
+    words = keys.select(F.explode(places()).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
     words = words.toPandas()
     out = np.zeros(SIEVE_BITS // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def sets_of(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, items (sorted hashes) of those rows that ids names, and of few others: a filter of fixed size picks them where they are read."""
-    bits = rows.sparkSession.sparkContext.broadcast(sieve(ids))
-    hashed = rows.select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(SIEVE_BITS)) for i in range(3)]).alias("at"), "text")
+def places():
+    return F.array(*[F.pmod(F.xxhash64("id", "tie", F.lit(i)), F.lit(SIEVE_BITS)) for i in range(3)])
+
+
+def sets_of(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, items (sorted hashes) of nodes (node, id, tie): a filter of fixed size picks their rows, and few others, where they are read."""
+    bits = rows.sparkSession.sparkContext.broadcast(sieve(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
-        for b in batches:
+        for b in parts(batches, "text"):
             at = b.column("at").flatten().to_numpy().reshape(-1, 3)
             some = ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
             if some.any():
                 few = b.filter(pa.array(some))
-                yield pa.RecordBatch.from_arrays([few.column("id"), pa.array([shingles(x, k).tobytes() for x in few.column("text").to_pylist()], pa.binary())], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([few.column("id"), few.column("tie"), pa.array([shingles(x, k).tobytes() for x in few.column("text").to_pylist()], pa.binary())], ["id", "tie", "items"])
 
-    return hashed.mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+    made = rows.select("id", "tie", places().alias("at"), "text").mapInArrow(run, "id long, tie long, items binary")
+    same = made.id.eqNullSafe(nodes.id) & (made.tie == nodes.tie)
+    return nodes.join(made, same).select("node", "items").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Those pairs (a, b) whose sets (id, items) are similar enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("items").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
-    b = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    """Those pairs (a, b) whose sets (node, items) are similar enough."""
+    a = sets.select(F.col("node").alias("a"), F.col("items").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    b = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,11 +279,11 @@ def possible(m: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, t: tupl
 
 
 def tiled_pairs(rows: DataFrame, items: DataFrame, t: tuple[int, int], best_only: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of different components within the buckets of rows (token, id, component); items has
+    """Candidate pairs (a, b), a < b, of different components within the buckets of rows (token, hot, id, component); items has
     id, n, bits. Bitmaps come to the rows once these are dealt to tiles, so they are shuffled only on the way there."""
-    sizes = rows.groupBy("token").agg(F.count("*").alias("of"))
+    sizes = rows.groupBy("token", "hot").agg(F.count("*").alias("of"))
     chunks = F.ceil(F.col("of") / TILE).cast("int")
-    cut = rows.join(sizes, "token").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cut = by_token(rows, sizes).withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cut = cut.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
@@ -350,54 +374,49 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """One row per row of docs: id_col, n_shingles, component_id, the smallest id reachable by links.
-
-    Words are what white space parts, with A-Z lower-cased. Null, empty and wordless texts have no shingles and stay alone
-    with their own id. Rows that repeat a text are linked like any others. A null id never is a component's id while it
-    reaches another; alone, its component is null. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    surrogate = F.lit(NULL_IDS) + F.shiftrightunsigned(F.xxhash64(text_col), 2)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), surrogate).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(id_col).isNull().alias("no_id"))
-
-    def make():
-        def f(text):
-            s = shingles(text, k)
-            return len(s), digest(s) if len(s) else None
-
-        return f
-
-    members = written(per_row(rows, "text", make, "n long, set binary", "s", ["id", "no_id"]).select("id", "no_id", "s.*"), "members")
-    groups = members.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("rep"), F.count("*").alias("n_same"))
-    sets = prefixes(rows, k, threshold).groupBy("set").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))
-    buckets = written(shared_buckets(sets.select(F.explode("prefix").alias("token"), "id")), "buckets")
-    release(spark)
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row per row of docs: id, tie (a hash of the text, which tells rows of one id apart), n, component (a number of the component)
+    and component_id, the smallest id in it; null where it has none."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"), F.col(text_col).cast("binary").alias("text"))
+    both = members(rows, k)
+    own, counts = both.filter(F.col("n").isNotNull()), both.filter(F.col("n").isNull())
+    worded = own.filter(F.col("set").isNotNull())
+    groups = written(worded.groupBy("set").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("n_same")), "groups")
+    n_rows = groups.agg(F.sum("n_same")).first()[0] or 0
+    common = common_shingles(counts, n_rows)
+    sets = prefixes(rows, k, threshold, common).groupBy("set").agg(F.first("prefix").alias("prefix"), F.first("hot").alias("hot"))
+    sets = written(sets.join(groups.select("set", F.col("node").alias("id")), "set").select("id", "prefix", "hot"), "prefixes")
+    cold = written(shared_buckets(sets.select(F.explode("prefix").alias("token"), "id")), "buckets")
+    buckets = written(cold.unionByName(hot_buckets(sets.select(F.explode("hot").alias("token"), "id"))), "buckets")
+    dropped(cold)
+    dropped(sets)
+    release(docs.sparkSession)
     shared = written(one_of_equal(buckets), "buckets")
     dropped(buckets)
-    items = written(signatures(rows, shared.select("id").distinct(), k), "signatures")
-    release(spark)
+    named = own.select(F.col("row").alias("id"), "n", "bits")
+    items = written(named.join(shared.select("id").distinct(), "id", "left_semi"), "signatures")
+    release(docs.sparkSession)
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
             return pairs
-        sets = written(sets_of(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), k), "sets")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        nodes = written(own.select(F.col("row").alias("node"), "id", "tie").join(nodes, "node", "left_semi"), "nodes")
+        sets = written(sets_of(rows, nodes, k), "sets")
         out = written(verified(pairs, sets, threshold), "verified")
-        dropped(sets)
-        dropped(pairs)
-        release(spark)
+        for x in (sets, nodes, pairs):
+            dropped(x)
+        release(docs.sparkSession)
         return out
 
     hubs = shared.filter("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
     links = checked(bounded(hubs.select("a", "b"), items, threshold))
     labels = components(links)
     for best_only in (True, False):
-        named = shared.select("token", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-        apart = named.join(open_, "token", "left_semi")
-        more = checked(tiled_pairs(apart, items, threshold, best_only))
+        named = shared.select("token", "hot", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        open_ = named.groupBy("token", "hot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token", "hot")
+        more = checked(tiled_pairs(by_token(named, open_, "left_semi"), items, threshold, best_only))
         if more.isEmpty():
             dropped(more)
             continue
@@ -406,16 +425,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         labels = components(links)
     dropped(items)
     dropped(shared)
-    release(spark)
-    named = written(groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set", "n_same", F.coalesce("component", "rep").alias("component_id")), "groups")
-    total = named.agg(F.sum("n_same")).first()[0] or 0
-    some = join_by_group(members.filter(F.col("set").isNotNull()), named, "set", "n_same", total).select("id", "no_id", "n", "component_id")
-    none = members.filter(F.col("set").isNull()).select("id", "no_id", "n", F.col("id").alias("component_id"))
-    out = some.unionByName(none)
-    return out.select(
-        F.when(~F.col("no_id"), F.col("id")).alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("component_id") < NULL_IDS) | ~F.col("no_id"), F.col("component_id")).alias("component_id")
-    )
+    release(docs.sparkSession)
+    named = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set", "n_same", "least", F.coalesce("component", "node").alias("component"))
+    named = written(named, "labels")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = written(named.drop("least").join(least, "component"), "labels")
+    some = join_by_group(worded, named, "set", "n_same", n_rows).select("id", "tie", "n", "component", "component_id")
+    return some.unionByName(own.filter(F.col("set").isNull()).select("id", "tie", "n", F.col("row").alias("component"), F.col("id").alias("component_id")))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable by links) and component, a number that tells
+    components apart even where ids repeat.
+
+    Words are what white space parts, with A-Z lower-cased. Null, empty and wordless texts have no shingles and stay alone
+    with their own id. Rows that repeat a text are linked like any others; rows that repeat an id with other texts are rows of their
+    own. A null id never is a component's id while it reaches another; alone, its component_id is null. An empty table gives no
+    rows. A very long text is held alone, whole.
+    """
+    out = linked_rows(docs, id_col, text_col, k, threshold)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "component")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (nulls last), of repeated ids that of the smallest text hash, of rows that
+    repeat both any one. No text without a similar one goes, whatever the ids; wordless rows all stay, but for such repeats."""
+    one, tie = free_name(docs, "_id"), free_name(docs, "_tie")
+    first = linked_rows(docs, id_col, text_col, k, threshold).groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie")).alias("f"))
+    stay = first.select(F.col("f.id").alias(one), F.col("f.tie").alias(tie)).distinct()
+    same = docs.withColumn(one, F.col(id_col).cast("long")).withColumn(tie, F.coalesce(F.xxhash64(text_col), F.lit(0))).dropDuplicates([one, tie])
+    on = same[one].eqNullSafe(stay[one]) & (same[tie] == stay[tie])
+    return same.join(stay, on, "left_semi").select(*docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    """doc_id, n_shingles, component_id of every document; odd rows as in jaccard_components()."""
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("component")
