@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import free_name, table, written
+from tocsin.llm.common import free_name, swept, table, written
 from tocsin.llm.decontaminate import contamination
-from tocsin.llm.jaccard import NULL_IDS, jaccard_components
+from tocsin.llm.jaccard import deduplicated
 from tocsin.llm.language import identify
 from tocsin.llm.pieces import sentencepiece_ids
 from tocsin.llm.pii import redact
@@ -20,12 +20,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of repeated rows one. Null ids come after all others."""
-    key = free_name(docs, "_key")
-    keyed = docs.withColumn(key, F.coalesce("doc_id", F.lit(NULL_IDS) + F.shiftrightunsigned(F.xxhash64("text"), 2)))
-    groups = jaccard_components(keyed, key, "text")
-    stay = groups.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    """Of each group of near copies the row with the smallest id, nulls last; of rows that repeat id and text one. Rows of one id with
+    other texts are rows of their own; texts without words have no copies. An empty table stays empty."""
+    return deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,4 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        swept(spark, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
