@@ -36,7 +36,7 @@ THRESHOLD = (75, 100)
 #: Bits of a set's bitmap: the power of two from four times its size on, within these limits.
 LEAST_BITS, MOST_BITS = 1 << 9, 1 << 16
 #: Rows on one side of a tile.
-TILE = 2048
+TILE = 1024
 #: The most shingles that are ordered last; with their counts, what is sent to the tasks.
 COMMON = 250_000
 #: Shingles of one chunk in which tasks look for common ones.
@@ -124,14 +124,17 @@ def common_shingles(counts: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndar
     return s[order], (len(s) - np.arange(len(s)))[order], hot[order]
 
 
-def prefix(s: np.ndarray, t: tuple[int, int], common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, t: tuple[int, int], common: np.ndarray, rank: np.ndarray, is_hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix's shingles, those that aren't hot and those that are."""
     n = prefix_size(len(s), t)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         late = common[at] == s
         if late.any():
-            s = np.concatenate([s[~late], s[late][np.argsort(rank[at[late]])]])
-    return s[:n]
+            at = at[late]
+            at = at[np.argsort(rank[at])][: max(0, n - int((~late).sum()))]
+            return np.concatenate([s[~late][:n], common[at[~is_hot[at]]]]), common[at[is_hot[at]]]
+    return s[:n], s[:0]
 
 
 def prefixes(rows: DataFrame, k: int, t: tuple[int, int], common: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
@@ -139,17 +142,13 @@ def prefixes(rows: DataFrame, k: int, t: tuple[int, int], common: tuple[np.ndarr
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank, is_hot = shared.value
-        hot = often[is_hot]
         longs = pa.list_(pa.int64())
         for b in parts(batches, "text"):
             out = []
             for text in b.column("text").to_pylist():
                 s = shingles(text, k)
                 if len(s) and len(s) * t[1] >= (len(s) + 1) * t[0]:  # else even a set with one shingle more is too different
-                    p = prefix(s, t, often, rank)
-                    mask = np.isin(p, hot)
-                    out.append((digest(s), p[~mask].view(np.int64), p[mask].view(np.int64)))
+                    out.append((digest(s), *(p.view(np.int64) for p in prefix(s, t, *shared.value))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), (pa.binary(), longs, longs))], ["set", "prefix", "hot"])
 
