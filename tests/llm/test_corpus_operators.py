@@ -190,6 +190,16 @@ def test_quality_equals_brute_force(documents):
             assert repeat == len(twice) and failed == (n < 10 or 100 * len(twice) > 20 * n)
 
 
+def test_lines_of_menus_and_notices_fail_in_four_languages():
+    rules, fault = quality.LineRules(), quality.line_fault
+    for line in ("Home · About · News · Contact · Help.", "Start » Produkte » Kontakt.", "Home • Blog • Login.", "one / two / three / four.", "A – B – C."):
+        assert fault(line.encode(), line.encode().split(), rules) == "navigation", line
+    for line in ("Alle Rechte vorbehalten.", "Lire la suite.", "Política de privacidad.", "Click here."):
+        assert fault(line.encode(), line.encode().split(), rules) == "boilerplate", line
+    for line in ("It was late - too late - for the two of them to go home.", "- Ja, sagte sie.", "The ratio 3 / 4 is less than one.", "Elle est arrivée hier soir."):
+        assert fault(line.encode(), line.encode().split(), rules) == "", line
+
+
 def test_quality_keeps_clean_and_rejects_junk():
     clean = "The cat sat on the mat and looked at the moon. It was a fine night for all.\n" * 1 + "Another sentence stands here, quite unlike the first one."
     junk = "HOME | ABOUT | NEWS | SHOP\nBUY NOW!! CHEAP!! CLICK HERE!! FAST!!\n*** $$$ ### offer ***\nThis line is fine and is the only one here."
@@ -347,6 +357,32 @@ def test_license_base_equals_brute_force(spark):
     assert by[14].labels == ["gpl"] and by[5].n_base == 0 and by[5].score == 0.0 and by[11].spans
 
 
+def test_texts_without_a_license_have_no_label(spark):
+    plain = ["a film released under the banner of a studio", "this project is licensed under new terms of the city", "the work is licensed under a new name", "licensed under the sea", "the mozilla team met the public", "Permission to use the hall was granted by the owner, and copies of the notice appear in all rooms",
+             "this software is free and was made available under pressure", "redistribution of wealth, with or without modification"]
+    got = licenses.scan(frame(spark, list(enumerate(plain)))).collect()
+    assert [r.labels for r in got] == [[]] * len(plain) and {r.score for r in got} == {0.0}
+    real = {i: (label, text) for i, (label, text) in enumerate(licenses.TEMPLATES)}
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, [(i, f"Some words before. {t.upper()} And after it.") for i, (_, t) in real.items()])).collect()}
+    assert all(label in got[i].labels and got[i].score == 1.0 for i, (label, _) in real.items())
+
+
+def test_license_base_columns_equal_sql(spark, documents):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    phrases = ", ".join(f"('{p}', '{label}')" for p, label in licenses.PHRASES.items())
+    want = c.execute(rf"""WITH d AS (SELECT doc_id, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+     p AS (SELECT string_split(a, ' ') AS p, b AS label FROM (VALUES {phrases}) v(a, b)),
+     h AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, p, unnest(generate_series(1, len(w) - len(p) + 1)) AS i FROM d, p) WHERE w[i:i + len(p) - 1] = p)
+     SELECT d.doc_id, len(w), count(place), min(place), max(place), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM d LEFT JOIN h ON d.doc_id = h.doc_id GROUP BY d.doc_id, w""").fetchall()
+    cols = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    got = [tuple(r[x] for x in cols) for r in licenses.op7_license_scan(spark, SF).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_license_text_with_words_changed(spark):
     text = "Intro. " + licenses.TEMPLATES[2][1].replace("free of charge", "totally free of any charge") + " Outro words here."
     r = licenses.scan(frame(spark, [(1, text), (2, "permission to use is granted")])).orderBy("doc_id").collect()
@@ -429,6 +465,30 @@ def test_patterns_find_unseen_identifiers(spark):
     assert pii.redact(frame(spark, rows)).filter("doc_id = 1 and text is null").count() == 1
 
 
+def test_identifiers_of_any_length_are_found(spark):
+    rows = [(i, f"the passcode: {'%0300x' % ((i + 1) * 104729 ** 4)} and password={'%0200x' % ((i + 7) * 7919 ** 9)} ok") for i in range(12)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "id"] for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert all((t.index("password=") + 9, t.index(" ok")) in got[i] for i, t in rows)
+    many = " ".join(f"a{i}@b.cc" for i in range(9)) + " 1.2.3.4"
+    assert [s[4] for s in pii.instances(many, pii.base_spans(many))] == []  # what lies in base spans is no instance
+    assert pii.overlaps([("ip", 0, 2), ("ip", 3, 4), ("ip", 5, 6), ("ip", 7, 8), ("ip", 9, 10), ("ip", 11, 99)], 0, 20, 30)
+
+
+def test_base_columns_equal_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = c.execute(r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')),
+     len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS HUGEINT))) <= 255)),
+     len(list_filter(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)) FROM documents""").fetchall()
+    assert sorted(want) == sorted((r.doc_id, r.n_email, r.n_ip, r.n_phone) for r in pii.op9_personal_data(spark, SF).collect())
+    want = c.execute(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), w AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM d)
+     SELECT doc_id, len(w), coalesce(list_sum(list_transform(w, lambda y: length(y))), 0), len(regexp_extract_all(x, '[#*$%&|<>]')), len(l) - len(list_distinct(l)) FROM w""").fetchall()
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines")
+    assert sorted(map(tuple, want)) == sorted(tuple(r[x] for x in cols) for r in quality.op4_line_quality(spark, SF).collect())
+
+
 def test_whole_values_behind_keys_and_cues(spark):
     cases = {
         1: ("so password = correcthorsebattery end", "correcthorsebattery"), 2: ("token=" + "a1" * 70, "a1" * 70), 3: ("secret: wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY=.", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY="),
@@ -453,6 +513,35 @@ def test_languages_on_held_out(spark):
     assert np.mean([x.lang == x.language.lang for x in r]) > 0.95 and all(0 <= x.language.score <= 1 for x in r)
 
 
+def test_scores_are_kernel_ridge(spark):
+    """The collapsed product against kernels by sets and a plain solution of the ridge."""
+    r = random.Random(10)
+    alphabets = {"aa": "abcde ", "bb": "defgh ", "cc": "ghijk "}
+    texts_ = [("".join(r.choice(a) for _ in range(r.randint(20, 60))) + a[0], lang) for lang, a in alphabets.items() for _ in range(12)]
+    mark = np.zeros(language.BINS, bool)
+    rows = [language.bins(t, mark) for t, _ in texts_]
+    model = language.KernelClassifier.fit(rows, [x for _, x in texts_], landmarks=9)
+    grams = lambda t: {(n, t[i : i + n]) for b in [f" {t} ".encode()] for t in [b] for n in (2, 3, 4) for i in range(len(t) - n + 1)}
+    sets = [grams(t) for t, _ in texts_]
+    assert all(abs(len(a) - len(b)) <= 2 for a, b in zip(sets, rows))  # hashed bins seldom meet
+    pick = [i for k in range(3) for i in (k, 12 + k, 24 + k)]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    K, L = (np.array([[kernel(a, sets[j]) for j in pick] for a in of]) for of in (sets, [sets[i] for i in pick]))
+    y = np.array([[1.0 if x == lang else -1.0 for lang in alphabets] for _, x in texts_])
+    w = np.linalg.solve(K.T @ K + language.RIDGE * len(K) * L, K.T @ y)
+    want = K @ w
+    got = language.products(rows, model.matrix) / np.sqrt([len(x) for x in rows])[:, None]
+    assert np.abs(want - got).max() < 0.05 and (want.argmax(1) == got.argmax(1)).all()
+    assert not mark.any()
+
+
+def test_many_languages_and_long_texts(spark):
+    rows = [(4 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * (5 + j)) for i in range(230) for j in range(3)]
+    df = spark.createDataFrame([(i, t, t[:3]) for i, t in rows] + [(5000, "abq " * 300_000, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language.lang for r in language.identify(df, train=F.lit(True)).collect()}
+    assert len(set(got.values())) == 230 and got[5000] == "abq"
+
+
 def test_texts_without_letters_are_undetermined(spark):
     rows = [(i, t) for i, t in enumerate([None, "", "12 34 !?", "٣", "the house and the garden", "²½"])] + [(20 + i, "the cat and the dog are here") for i in range(20)]
     got = {r.doc_id: r.language for r in language.identify(frame(spark, rows)).collect()}

@@ -3,11 +3,13 @@
 Every k-word gram of every text is joined in Spark to the places of the same gram in the license templates (a fixed set, so
 its broadcast doesn't grow). A hit votes for the diagonal text position minus template position. Hits are grouped by
 diagonal, neighbouring diagonals (words inserted or left out) are merged, and a merged span is verified: it must hold
-enough of the template's words, and be made of them rather than of gaps.
+enough of the template's words, and be made of them rather than of gaps. A short template needs nearly all its words, and all that
+templates of no other license have.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BATCH_ROWS, grams, per_row, table, word_hashes, words_alnum
+from .common import ALNUM, grams, parts, per_row, table, word_hashes, words_alnum
 
 #: Words in a gram; how far apart diagonals may be to count as one; least share of the template, and of the span, that is covered.
 K, NEAR, MIN_TEMPLATE, MIN_SPAN = 3, 6, 0.6, 0.5
+#: Words up to which a template is short, and the share of it that must be covered then.
+SHORT, MIN_SHORT = 16, 0.8
 #: Rows of one batch of grams.
 GRAM_ROWS = 200_000
 #: The phrases whose places are counted, and their labels.
@@ -44,16 +48,38 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike"),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program"),
+    ("lgpl", "This library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU Lesser General Public License for more details"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages"),
+    ("isc", "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits"),
+    ("zlib", "This software is provided as is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("odbl", "This database is made available under the Open Database License"),
 )
 
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """gram, template, label, n_template (its words), at (the gram's first word in it)."""
-    rows = []
+    """gram, template, label, n_template (its words), at (the gram's first word in it), least (the share that must be covered) and need
+    (places of words that must be)."""
+    rows, labels = [], defaultdict(set)
+    for label, text in templates:
+        for w in words_alnum(text.encode()):
+            labels[w].add(label)
     for t, (label, text) in enumerate(templates):
         words = words_alnum(text.encode())
-        rows += [(int(g), t, label, len(words), i) for i, g in enumerate(grams(word_hashes(text.encode(), ALNUM), k).view(np.int64))]
-    return spark.createDataFrame(rows, "gram long, template int, label string, n_template int, at int")
+        short = len(words) <= SHORT
+        need = [i for i, w in enumerate(words) if short and labels[w] == {label}]
+        rows += [(int(g), t, label, len(words), i, MIN_SHORT if short else MIN_TEMPLATE, need) for i, g in enumerate(grams(word_hashes(text.encode(), ALNUM), k).view(np.int64))]
+    return spark.createDataFrame(rows, "gram long, template int, label string, n_template int, at int, least double, need array<int>")
 
 
 def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
@@ -71,7 +97,7 @@ def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
                 pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in n])), pa.array(np.concatenate([g for _, _, g in held]).view(np.int64)),
             ], ["id", "tie", "pos", "gram"])
 
-        for b in batches:
+        for b in parts(batches, "text"):
             for i, tie, text in zip(*(c.to_pylist() for c in b.columns)):
                 g = grams(word_hashes(text, ALNUM), k)
                 if len(g):
@@ -89,20 +115,22 @@ def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
 def template_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """id, tie, template, label, start, end (words, end exclusive) and coverage of the verified spans."""
     hits = text_grams(docs, k).join(F.broadcast(template_grams(docs.sparkSession, k=k)), "gram")
-    diagonals = hits.groupBy("id", "tie", "template", "label", "n_template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    own = ["id", "tie", "template", "label", "n_template", "least", "need"]
+    diagonals = hits.groupBy(*own, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
     w = Window.partitionBy("id", "tie", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(w) > NEAR, F.lit(True))
     spans = diagonals.withColumn("new", apart.cast("int")).withColumn("band", F.sum("new").over(w))
-    spans = spans.groupBy("id", "tie", "template", "label", "n_template", "band").agg(
+    spans = spans.groupBy(*own, "band").agg(
         F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
         F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda p: p + F.col("diagonal"))))).alias("hits"),
         F.min("first").alias("start"), (F.max("last") + k).alias("end"),
     )
-    words = lambda starts: F.size(F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + k - 1)))))
-    spans = spans.withColumn("coverage", words("places") / F.col("n_template"))
-    return spans.filter((F.col("coverage") >= MIN_TEMPLATE) & (words("hits") >= MIN_SPAN * (F.col("end") - F.col("start"))))
+    words = lambda starts: F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + k - 1))))
+    spans = spans.withColumn("coverage", F.size(words("places")) / F.col("n_template"))
+    whole = (F.col("coverage") >= F.col("least")) & (F.size(F.array_except("need", words("places"))) == 0)
+    return spans.filter(whole & (F.size(words("hits")) >= MIN_SPAN * (F.col("end") - F.col("start"))))
 
 
 def phrase_places(text: bytes | None) -> tuple:
@@ -125,9 +153,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     base_labels and labels are sorted arrays; spans are the verified template spans. score is the best coverage of a
     template, 1.0 where a base phrase stands, 0.0 where nothing does. Null text counts as empty and has nothing; rows that
-    repeat id and text have equal results; a null id is kept.
+    repeat id and text have equal results; a null id is kept. A very long text is held alone, whole; an empty table gives no rows.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"), F.col(text_col).cast("binary").alias("text"))
     base = per_row(rows, "text", lambda: phrase_places, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>", "base", ["id", "tie"])
     spans = template_spans(rows).groupBy("id", "tie").agg(
@@ -145,6 +172,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, places and labels, all labels and the score of every document; odd rows as in scan()."""
     out = scan(table(spark, sf_dir, "documents"))
     text = lambda c: F.concat_ws(",", F.col(c)).alias(c)
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", text("base_labels"), text("labels"), "score")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, dropped, free_name, per_row, table, written
+from .common import dropped, free_name, parts, per_row, table, written
 from .warc import join_by_group
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,8 +29,8 @@ ROUNDS = 3
 SMOOTH, SURE_PATTERN, SURE_INSTANCE = 0.5, 0.6, 0.6
 #: The same for patterns of words before, which chance makes too.
 SMOOTH_LEFT = 2.0
-#: Lengths of an identifier without a key or a cue before it.
-SHORTEST, LONGEST = 8, 128
+#: Least length of an identifier without a key or a cue before it; names in the graph longer than this are digests.
+SHORTEST, LONG_NAME = 8, 256
 #: Keys that announce a credential or a personal number, and heads of well-known credential formats.
 CUES = ("password", "passwd", "pwd", "token", "secret", "apikey", "api_key", "access_key", "client_secret", "ssn", "iban", "passport")
 HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb", "xoxp", "sk_live_", "pk_live_")
@@ -154,7 +154,11 @@ def node(value: str, pattern: str) -> str:
     """What stands for a slot's value in the graph: with its pattern where it is no identifier that could be known again elsewhere."""
     known = len(value) >= SHORTEST and DIGITS.search(value)
     name = f"slot {value}" if known else f"slot {pattern} {value}"
-    return name if len(name) <= 2 * LONGEST else f"long {hashlib.sha256(name.encode()).hexdigest()}"
+    return named(name)
+
+
+def named(name: str) -> str:
+    return name if len(name) <= LONG_NAME else f"long {hashlib.sha256(name.encode()).hexdigest()}"
 
 
 def bare(text: str, s: int, e: int, base: list[tuple[str, int, int]]) -> bool:
@@ -166,6 +170,15 @@ def bare(text: str, s: int, e: int, base: list[tuple[str, int, int]]) -> bool:
     return any(c.isalnum() for c in text[s:e]) or not base
 
 
+def overlaps(base: list[tuple[str, int, int]], b: int, s: int, e: int) -> bool:
+    """Whether a base span from number b on, by start, overlaps s to e."""
+    while b < len(base) and base[b][1] < e:
+        if base[b][2] > s:
+            return True
+        b += 1
+    return False
+
+
 def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, list[str], bool]]:
     """start, end, value, patterns and whether it is a seed: of base spans (kept out of the spans that are found), slots and identifiers."""
     out = []
@@ -173,7 +186,7 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
     behind = {s: (e, pattern, seed) for s, e, pattern, seed in taken}
     for kind, s, e in base:
         if s in behind and behind[s][1].startswith("key "):
-            out.append((-1, -1, f"{kind} {text[s:e]}"[:LONGEST], [behind[s][1]], True))
+            out.append((-1, -1, named(f"{kind} {text[s:e]}"), [behind[s][1]], True))
     done, b, c, inside = 0, 0, 0, 0
     for m in DIGITS.finditer(text):
         s, e = m.span()
@@ -187,7 +200,7 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
         while b < len(base) and base[b][2] <= s:
             b += 1
         core = text[s:e].strip("-_")
-        if any(x < e and s < y for _, x, y in base[b : b + 4]) or not SHORTEST <= len(core) <= LONGEST:
+        if len(core) < SHORTEST or overlaps(base, b, s, e):
             continue
         s = text.index(core, s, e)
         e = s + len(core)
@@ -202,7 +215,7 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
         if whole:
             del behind[s]
         at = (s, e) if whole or inside < e else (-1, -1)  # the span of a seed's slot around it says it already
-        out.append((*at, core, patterns, seed or core.startswith(HEADS)))
+        out.append((*at, named(core), patterns, seed or core.startswith(HEADS)))
     b = last = 0
     for s, (e, pattern, seed) in behind.items():
         while b < len(base) and base[b][2] <= s:
@@ -221,7 +234,7 @@ def graph(rows: DataFrame) -> DataFrame:
     """id, tie, start, end, value, patterns, seed of all instances of the rows (id, tie, text as binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "text"):
             cols: list[list] = [[], [], [], [], [], [], []]
             for i, tie, raw in zip(*(c.to_pylist() for c in b.columns)):
                 text = (raw or b"").decode()
@@ -277,9 +290,9 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, base and spans, arrays of (start, end, kind), by start and then kind as listed.
 
-    Null and empty texts have none. Rows that repeat id and text have the same spans; an empty table gives no rows.
+    Null and empty texts have none. Rows that repeat id and text have the same spans; an empty table gives no rows. A very long text is
+    held alone; identifiers may have any length.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     rows = keyed(docs, id_col, text_col)
 
     def make():
@@ -309,7 +322,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.join(spans, q(id_col).cast("long").eqNullSafe(F.col(one)) & (F.coalesce(F.xxhash64(text_col), F.lit(0)) == F.col(tie)), "left").drop(one, tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, text_col):
             texts = [
                 t if t is None else masked(t, [*base_spans(t), *((FOUND, s["start"], s["end"]) for s in more or ())]) for t, more in zip(b.column(text_col).to_pylist(), b.column(found).to_pylist())
             ]
@@ -329,6 +342,7 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base kinds, base_sha256 and all spans of every document; odd rows as in personal_data()."""
     out = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")

@@ -11,12 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import per_row, table, words_space
 
 SYMBOLS = b"#*$%&|<>"
-#: Phrases that mark a line as boilerplate, in lower case.
+#: Phrases that mark a line as boilerplate, in lower case: English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies", "accept cookies",
     "enable javascript", "lorem ipsum", "click here", "read more", "sign up", "log in", "subscribe to", "share this", "back to top",
     "skip to content", "add to cart", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "verwendet cookies", "cookies akzeptieren", "javascript aktivieren",
+    "hier klicken", "mehr lesen", "weiterlesen", "jetzt anmelden", "newsletter abonnieren", "nach oben", "zum inhalt springen", "in den warenkorb",
+    "tous droits réservés", "conditions d'utilisation", "mentions légales", "politique de confidentialité", "utilise des cookies", "accepter les cookies", "activer javascript",
+    "cliquez ici", "lire la suite", "se connecter", "s'inscrire", "abonnez-vous", "retour en haut", "aller au contenu", "ajouter au panier",
+    "todos los derechos reservados", "condiciones de uso", "aviso legal", "política de privacidad", "utiliza cookies", "aceptar cookies", "habilitar javascript",
+    "haga clic aquí", "leer más", "iniciar sesión", "regístrate", "suscríbete", "volver arriba", "saltar al contenido", "añadir al carrito",
 )
+#: Characters that part the entries of menus and tables, standing alone as words, once or up to three times.
+SEPARATORS = "|/\\>»›<«‹-–—*•·:~_+→"
+SEPARATOR_WORDS = frozenset((c * n).encode() for c in SEPARATORS for n in (1, 2, 3))
 #: What a finished line ends with, and the quotes and brackets that may follow it.
 TERMINAL, CLOSING = ".!?:;…。！？", "\"'”’»)]"
 ENDS = tuple(c.encode() for c in TERMINAL)
@@ -31,7 +40,7 @@ class LineRules:
     """Limits of the line rules and of what a document may lose."""
 
     max_symbol_share: float = 0.05  # symbol characters in a line's bytes
-    max_separator_share: float = 0.2  # words that are only separators: menus and tables
+    max_separator_share: float = 0.2  # words that are only separators, from two on: menus and tables
     max_upper_share: float = 0.8  # of ASCII letters, in lines of three words or more
     max_lost_share: float = 0.5  # words lost with failing lines
     min_kept_words: int = 10
@@ -39,9 +48,10 @@ class LineRules:
 
 def line_fault(line: bytes, words: list[bytes], rules: LineRules) -> str:
     """The first rule that a line with words breaks; empty if it is clean."""
-    symbols = len(line) - len(line.translate(None, SYMBOLS))
-    if symbols and sum(not w.strip(b"|>-*/<\xc2\xb7\xe2\x80\xa2") for w in words) > rules.max_separator_share * len(words):
+    separators = sum(map(SEPARATOR_WORDS.__contains__, words))
+    if separators > max(1, rules.max_separator_share * len(words)):
         return "navigation"
+    symbols = len(line) - len(line.translate(None, SYMBOLS))
     if symbols > max(1, rules.max_symbol_share * len(line)):
         return "symbols"
     if len(words) >= 3:
@@ -117,7 +127,7 @@ def line_first(docs: DataFrame, text_col: str = "text", rules: LineRules = LineR
     lines that passed, and faults, the number of failing lines of each rule.
 
     Null and empty texts have no words, so base_failed is true and cleaned is empty. A line's rules never look at other
-    columns. Repeated rows are judged alike, each on its own.
+    columns. Repeated rows are judged alike, each on its own; a very long text is held alone, whole; an empty table gives no rows.
     """
 
     def make():
@@ -132,9 +142,7 @@ def line_first(docs: DataFrame, text_col: str = "text", rules: LineRules = LineR
 
 
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and n_lost_words of every document; odd rows as in line_first()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_first(docs, text=False)
     return out.select("doc_id", "quality.*")
-
-
-

@@ -23,9 +23,10 @@ from .common import per_row, remainder, table, words_alnum
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 48, 32
 HIDDEN, WORD_DIM, CHAR_DIM, TRIGRAMS = 12, 12, 6, 2048
-#: The bound of the labelled sample: documents, and of those the windows that the first passes see.
-TRAIN_DOCS, TRAIN_WINDOWS = 3000, 12000
-VOCABULARY = 20_000
+#: The bound of the labelled sample, in documents; all their windows and words are learnt from.
+TRAIN_DOCS = 3000
+#: First passes over all windows: as many as see about so many windows, from one to three.
+FIRST_WINDOWS = 36_000
 #: Windows scored at once; texts are grouped so that a group has about so many.
 CHUNK = 1024
 #: The score from which a document counts as toxic; training puts the best cut between the classes there.
@@ -189,7 +190,7 @@ def train(sample: list[tuple[bytes, int]], seed: int = 0) -> tuple[Network, floa
     docs = [words_alnum(t) for t, _ in sample]
     y = np.array([label for _, label in sample], np.float32)
     df = Counter(w for d in docs for w in set(d))
-    vocabulary = {w: i for i, (w, n) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]) if n >= 2}
+    vocabulary = {w: i for i, (w, n) in enumerate(sorted(df.items(), key=lambda x: (-x[1], x[0]))) if n >= 2}
     net = Network.new(vocabulary, rng)
     if not len(y) or y.min() == y.max():
         return net, 0.0
@@ -212,9 +213,8 @@ def train(sample: list[tuple[bytes, int]], seed: int = 0) -> tuple[Network, floa
 
     cut = [[d[s : s + WINDOW] for s in window_starts(len(d))] for d in docs]
     every = [(w, i) for i, ws in enumerate(cut) for w in ws]
-    every = [every[i] for i in rng.permutation(len(every))[:TRAIN_WINDOWS]]
     small = max(1, 3000 // max(1, len(docs)))  # few documents are seen more often
-    for _ in range(min(3, 1 + small // 2)):
+    for _ in range(max(1, min(3, 1 + small // 2, FIRST_WINDOWS // max(1, len(every))))):
         learn([w for w, _ in every], np.array([i for _, i in every]), 0.01)
     for k in range(min(16, 5 + small)):
         tops, lo = [], 0
@@ -247,7 +247,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns from labels where keep holds (all but crc32 of the id modulo 3 of 1, if not given). Null and wordless texts have
     one window, of nothing. Where there is nothing to learn, or one class only, scores are those of a network that hasn't
-    learnt. Equal texts get equal scores.
+    learnt. Equal texts get equal scores; a very long text is held alone, and all its windows count; an empty table gives no rows.
     """
     if keep is None:
         keep = F.coalesce(remainder(F.col(id_col), 3) != 1, F.lit(True))
@@ -269,6 +269,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; odd rows as in toxicity()."""
     out = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     score = F.col("toxicity.score")
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), score.alias("score"), (score >= CUT).cast("int").alias("predicted"))
