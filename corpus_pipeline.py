@@ -14,7 +14,8 @@ from tocsin.llm.pii import redact
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or any letter go."""
+    """Documents whose language can be told; those without text (null or empty) or any letter go. Repeated rows and very long texts are
+    treated like others; an empty table stays empty."""
     name = free_name(docs, "_language")
     return identify(docs, name=name).filter(F.col(f"{name}.lang") != "und").select(*docs.columns)
 
@@ -26,20 +27,20 @@ def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs. Null texts have none and stay; so do all rows where the benchmark is empty."""
     name = free_name(docs, "_contamination")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), name=name)
     return found.filter(F.size(f"{name}.hits") == 0).select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars is counted anew."""
+    """All documents, with personal data replaced by its kind; n_chars is counted anew. Null texts stay null; repeated rows stay."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, restored and ids of every document."""
+    """doc_id, n_tokens, ids_crc32, restored and ids of every document; null texts have no ids."""
     return sentencepiece_ids(docs.select("doc_id", "text")).select("doc_id", "pieces.*")
 
 
