@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tocsin.functions import geo, stats, text, timeutil
-from tocsin.operators import graph, joins, sequences, tables
+from tocsin.operators import graph, joins, records, sequences, tables
 from tocsin.plans import alerts, baseline, detectors, tracks
 from tocsin.sources import feeds, heatmap
 from tocsin.streaming import state
@@ -130,6 +130,7 @@ def test_transitions_leave_out_the_first_row(spark):
 def test_cooldown_and_rate(spark):
     df = spark.createDataFrame([("a", t, "critical") for t in (0, 100, 500, 700)], "k string, t long, severity string")
     assert [r.t for r in sequences.cooldown(df, ["k"], "t", 480).orderBy("t").collect()] == [0, 500]
+    assert [r.t for r in sequences.cooldown(df, ["k"], "t", 500).orderBy("t").collect()] == [0, 700]  # just as long after is too soon
     assert [r.severity for r in sequences.rate_limited(df, "k", "t", "severity", 600).orderBy("t").collect()] == ["critical", "watch", "watch", "critical"]
 
 
@@ -137,6 +138,8 @@ def test_best_burst_allows_one_gap(spark):
     r = [0, 100, 5, 120, -1, 300, 10]
     df = spark.createDataFrame([("d", i, float(x)) for i, x in enumerate(r)], "d string, t long, r double")
     assert collect(sequences.best_burst(df, "d", "t", "r", least=90)) == [("d", 5, 5, 300.0)]
+    rows = [("a", i, x) for i, x in enumerate([100.0, 50.0, 100.0, 50.0, 100.0])] + [("b", i, x) for i, x in enumerate([90.0, 1.0, 1.0, 90.0, -1.0, 90.0])] + [("c", 0, 79.0)]
+    assert collect(sequences.best_burst(spark.createDataFrame(rows, "d string, t long, r double"), "d", "t", "r")) == [("a", 0, 4, 400.0), ("b", 0, 0, 90.0)]
 
 
 def test_byte_budget(spark):
@@ -184,9 +187,120 @@ def test_corroboration(spark):
     assert dict(collect(got.select("event_key", "severity"))) == {1: "critical", 2: "critical", 3: "high", 4: "critical"}
 
 
-def test_fusion_groups_are_complete(spark):
-    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "a long, b long")
-    assert collect(alerts.fusion_groups(pairs).select("group_key", "size")) == [("1,2,3", 3), ("3,4", 2)]
+SIGNALS = "key long, kind string, family string, region string, lat double, lon double, t long, severity string"
+
+
+def brute_fusion(rows):
+    """Groups by the rule as it stands: pairs in the order of time and key, then all others in that order."""
+    rows = sorted(rows, key=lambda r: (r[6], r[0]))
+
+    def km(p, q):
+        a, b = math.radians(p[4]), math.radians(q[4])
+        return 2 * 6371 * math.asin(min(1, math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[5] - p[5]) / 2) ** 2)))
+
+    def agrees(p, q):
+        place = (p[3] is not None and p[3] == q[3]) or (p[4] is not None and q[4] is not None and km(p, q) <= 150)
+        return place and abs(p[6] - q[6]) <= 5400
+
+    groups, of = set(), {r[0]: set() for r in rows}
+    for i, p in enumerate(rows):
+        for q in rows[i + 1 :]:
+            if p[1] == q[1] or p[2] == q[2] or not agrees(p, q) or of[p[0]] & of[q[0]]:
+                continue
+            g = [p, q]
+            for o in rows:
+                if o not in (p, q) and all(agrees(o, x) for x in g):
+                    g.append(o)
+            key = tuple(sorted(x[0] for x in g))
+            groups.add(key)
+            for x in g:
+                of[x[0]].add(key)
+    return groups
+
+
+def test_fusion_groups_take_in_all_that_agree(spark):
+    one = [(1, "x", "f", None, 1.0, 1.0, 0, "watch"), (2, "y", "g", None, 1.0, 1.0, 10, "high"), (3, "x", "f", None, 1.0, 1.0, 20, "watch")]
+    s = spark.createDataFrame(one, SIGNALS)
+    groups = alerts.fusion_groups(s)
+    assert collect(groups) == [([1, 2, 3], 3)]
+    e = alerts.fusion_events(groups, s, "y")
+    assert [(r.level, r.t, r.region, r.lat) for r in e.collect()] == [(5, 20, None, 1.0)]
+    assert alerts.fusion_events(groups, s, "x").first().level == 4 and alerts.fusion_events(groups, s, "y", e).count() == 0
+    rng = np.random.default_rng(19)
+    rows = [(int(i), f"k{rng.integers(3)}", f"f{rng.integers(3)}", f"r{rng.integers(9)}" if rng.random() < 0.5 else None, float(rng.uniform(0, 3)), float(rng.uniform(0, 3)), int(rng.integers(0, 40000)), "watch") for i in range(60)]
+    got = {tuple(r.members) for r in alerts.fusion_groups(spark.createDataFrame(rows, SIGNALS)).collect()}
+    assert got == brute_fusion(rows) and len(got) > 20
+
+
+def test_seismic_levels(spark):
+    sites = spark.createDataFrame([(1, 0.0, 0.0, 50.0, True), (2, 10.0, 10.0, 50.0, False)], "site_id long, site_lat double, site_lon double, radius_km double, quiet boolean")
+    q = [(1, 0.0, 0.0, 3.0, 4.0, "earthquake"), (2, 0.0, 0.1, 10.0, 4.0, "earthquake"), (3, 10.0, 10.0, 10.0, 4.0, "earthquake"), (4, 10.0, 10.0, 30.0, 4.0, "earthquake"), (5, 10.0, 10.0, 30.0, 3.5, "explosion"),
+         (6, 40.0, 40.0, 0.0, 4.0, "explosion"), (7, 40.0, 40.0, 0.0, 3.9, "explosion"), (8, 40.0, 40.0, None, None, "nuclear explosion"), (9, 0.0, 0.0, 3.0, 3.4, "earthquake"), (10, 0.0, 0.0, 1.0, 5.0, "quarry blast"), (11, 0.0, 0.44, 1.0, 5.0, "earthquake"), (12, 0.0, 0.46, 1.0, 5.0, "earthquake")]
+    got = detectors.seismic_verdict(spark.createDataFrame(q, "quake_id long, lat double, lon double, depth double, magnitude double, classification string"), sites)
+    want = [(1, 1, 4, "shallow"), (2, 1, 4, "unconstrained"), (3, 2, 3, "unconstrained"), (4, 2, 1, "deep"), (5, 2, 4, "deep"), (6, None, 3, "as reported"), (8, None, 5, "as reported"), (11, 1, 4, "shallow")]
+    assert collect(got.select("quake_id", "site_id", "level", "constraint")) == want
+
+
+def test_problems_from_check_to_check(spark):
+    log = alerts.ProblemLog(upstream=("cbrn network ",))
+    page = lambda t, *p: log.step(t * 60, list(p))
+    assert page(0, "disk full (91 %)") is None and page(2, "disk full (92 %)") is None
+    assert page(3, "disk full (93 %)") == ("alert", "high", ["disk full (93 %)"])  # held three minutes
+    assert page(4, "disk full (90 %)") is None
+    assert [page(t) for t in range(5, 14)] == [None] * 9 and page(14) == ("recovery", "default", ["disk full (90 %)"])
+    assert page(60, "disk full (9 %)") is None  # the same problem, in its schedule
+    assert [p for t in range(61, 364) if (p := page(t, "disk full"))] == [("alert", "high", ["disk full"])] and log.records["disk full"]["first"] == 0
+    other = alerts.ProblemLog(upstream=("cbrn network ",))
+    assert [other.step(60 * t, ["cbrn network x: 3 failures"]) for t in range(0, 2000, 1)].count(("alert", "default", ["cbrn network x: 3 failures"])) == 1
+    flaky = alerts.ProblemLog()
+    assert [flaky.step(60 * t, ["p"] if t % 4 == 0 else []) for t in range(60)] == [None] * 60  # present at a quarter of the checks
+    long = alerts.ProblemLog()
+    pages = [(t, p[1]) for t in range(0, 5000) if (p := long.step(60 * t, ["p"]))]
+    assert pages == [(3, "high"), (363, "high"), (723, "high"), (1083, "high"), (1440, "urgent"), (2880, "urgent"), (4320, "urgent")]
+    checks = spark.createDataFrame([("b", 60 * t, "p (1)") for t in range(5)] + [("b", 60 * t, None) for t in range(5, 30)] + [("c", 0, "q")], "box string, t long, problem string")
+    assert collect(alerts.problem_pages(checks).select("box", "t", "kind", "problems")) == [("b", 180, "alert", ["p (1)"]), ("b", 840, "recovery", ["p (1)"])]
+
+
+def test_alerts_of_six_kinds(spark):
+    base = dict(slot=0, n=10, expected=5.0, sigma=1.0, level=1, ready=True, quality="ok", takeoffs=0, takeoff_mean=1.0, surprise=0.0, rate_ready=True, crossing=None)
+    cases = {
+        0: {}, 1: dict(quality="degraded", level=5, takeoffs=9, surprise=9.0, crossing="high"), 2: dict(level=5), 3: dict(level=4, takeoffs=3, surprise=2.0), 4: dict(level=4, takeoffs=2, surprise=1.9),
+        5: dict(takeoffs=9, surprise=5.0), 6: dict(takeoffs=2, surprise=5.0), 7: dict(takeoffs=9, surprise=5.0, quality="stale_live"), 8: dict(crossing="critical"), 9: dict(crossing="high", ready=False, level=5), 10: dict(takeoffs=9, takeoff_mean=4.0, surprise=5.0), 11: dict(takeoffs=9, surprise=5.0, rate_ready=False),
+    }
+    schema = "slot long, n long, expected double, sigma double, level long, ready boolean, quality string, takeoffs long, takeoff_mean double, surprise double, rate_ready boolean, crossing string"
+    rows = spark.createDataFrame([tuple((base | c | {"slot": k}).values()) for k, c in cases.items()], schema)
+    ladder = lambda record: spark.createDataFrame([("elevated", 3.16, record), ("high", 3.64, record), ("critical", 4.24, record)], "tier string, model double, record double")
+    got = {}
+    for r in alerts.alert_rows(rows, ladder(4.0)).collect():
+        got.setdefault(r.t, []).append((r.kind, r.severity))
+    batch = ("takeoff_batch", "watch")
+    assert {k: sorted(v) for k, v in got.items()} == {
+        1: [("data_quality", "watch"), batch], 2: [("statistical_anomaly", "critical")], 3: [("takeoff_anomaly", "high"), batch, ("takeoff_rate_anomaly", "watch")], 5: [batch, ("takeoff_rate_anomaly", "critical")],
+        6: [("takeoff_rate_anomaly", "watch")], 7: [batch], 8: [("sustained_shift", "critical")], 10: [batch, ("takeoff_rate_anomaly", "watch")], 11: [batch],
+    }
+    assert {r.severity for r in alerts.alert_rows(rows, ladder(None)).filter("kind = 'takeoff_rate_anomaly'").collect()} == {"watch"}
+
+
+def test_pattern_labels(spark):
+    shares = [(0.26, 0.0, 0.0, 0.0, 0.0, 0.0), (0.0, 0.26, 0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0, 0.18, 0.5), (0.0, 0.0, 0.2, 0.1, 0.0, 0.0), (0.0, 0.0, 0.2, 0.25, 0.0, 0.0), (0.0, 0.14, 0.0, 0.0, 0.0, 0.0), (0.1, 0.1, 0.1, 0.1, 0.1, 0.1)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(shares)], "i int, a double, b double, c double, d double, e double, f double")
+    got = [r[0] for r in df.orderBy("i").select(records.pattern_label(*[F.col(c) for c in "abcdef"])).collect()]
+    assert got == ["specific departure anchor", "specific arrival anchor", "specific departure anchor", "regional departure concentration", "regional arrival concentration", "regional arrival concentration", "diffuse national redistribution"]
+    d = spark.createDataFrame([(0, 0, 6.0), (1, 1, 2.0), (5, 5, 2.0), (9, 9, -4.0)], "r long, c long, delta double")
+    assert collect(records.concentration(d, "r", "c")) == [(10.0, 0.6, 0.8)] and collect(records.concentration(d.limit(0), "r", "c")) == [(0.0, 0.0, 0.0)]
+
+
+def test_ladder_needs_a_record(spark):
+    s = spark.createDataFrame([(i * 1800, i / 400.0) for i in range(1500)] + [(10**8, 99.0)], "slot long, surprise double")
+    assert [r.record for r in detectors.surprise_ladder(s, 1459 * 1800).collect()] == [None] * 3
+    got = {r.tier: r.record for r in detectors.surprise_ladder(s, 1500 * 1800).collect()}
+    assert got == {"elevated": 1499 / 400, "high": 1499 / 400, "critical": 1499 / 400}
+    assert detectors.surprise_ladder(s.withColumn("surprise", F.lit(50.0)), 1500 * 1800).filter("record <> model + 2").count() == 0
+
+
+def test_frozen_samples_only_move_the_clock():
+    a = sequences.CusumAlarm()
+    assert [a.step(t, 8.0, frozen=t in (1, 2)) for t in range(4)] == [None, None, None, "high"] and a.last == 3
 
 
 def test_term_borders(spark):
@@ -216,19 +330,102 @@ def test_heatmap_round_trip(spark, tmp_path):
     assert [(x.callsign, x.squawk) for x in read(bbox="50,50,60,60").collect()] == [("TEST", "0000")]
 
 
-def test_takeoff_from_fixes(spark):
-    rows = [("7", 0, 0.0, 0.0, 0.0, 10.0, True), ("7", 60, 0.0, 0.0, 0.0, 30.0, True)] + [("7", 60 + 60 * i, 0.0, 0.05 * i, 1500.0 * i, 200.0, False) for i in range(1, 8)]
-    df = spark.createDataFrame(rows, "hex string, t long, lat double, lon double, alt_ft double, gs_kt double, ground boolean").withColumn("hex", F.col("hex").cast("long"))
-    assert collect(tracks.flights(df)) == [(7, 60, "takeoff")]
+FIXES = "hex long, t long, lat double, lon double, alt_ft double, gs_kt double, ground boolean"
+
+
+def brute_flights(rows):
+    """The rules of takeoffs and landings, object by object and fix by fix."""
+    T = tracks
+
+    def nm(p, q):
+        a, b = math.radians(p[2]), math.radians(q[2])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[3] - p[3]) / 2) ** 2
+        return 2 * 3440.065 * math.asin(min(1, math.sqrt(h)))
+
+    ground = lambda f: bool(f[6]) or (f[5] is not None and f[5] <= T.GROUND_KT and (f[4] is None or f[4] <= T.LOW_FT))
+    air = lambda f: f[4] is not None and not ground(f) and (f[5] is None or f[5] >= T.AIR_KT)
+    low = lambda f: f[4] <= T.LOW_FT or (f[5] is not None and f[5] <= T.LOW_KT)
+    out = set()
+    for h in {r[0] for r in rows}:
+        segs = []
+        for f in sorted((r for r in rows if r[0] == h), key=lambda r: r[1]):
+            if segs and f[1] - segs[-1][-1][1] <= T.GAP:
+                segs[-1].append(f)
+            else:
+                segs.append([f])
+        events = []
+        for k, seg in enumerate(segs):
+            runs = []
+            for f in seg:
+                p = "g" if ground(f) else "a" if air(f) else ""
+                if p and runs and runs[-1][0] == p:
+                    runs[-1][1].append(f)
+                elif p:
+                    runs.append((p, [f]))
+            if len(seg) < 3 or not runs:
+                continue
+
+            def airs(of):
+                return [f for f in of if air(f)]
+
+            def sure(kind, at, rule):
+                lo, hi = (at[1], at[1] + T.CONFIRM) if kind == "takeoff" else (at[1] - T.CONFIRM, at[1])
+                up = [f for f in airs(seg) if lo <= f[1] <= hi]
+                if len(up) < 3:
+                    return False
+                own = at[4] if at[4] is not None and not (rule == "end" and at[4] == 0) else min(f[4] for f in up)
+                d, far = max(f[4] for f in up) - own, max(nm(at, f) for f in up)
+                if kind == "takeoff":
+                    return (d >= 1000 and far >= 1.5) or (d >= 500 and far >= 8 and max(f[5] or 0 for f in up) >= 120)
+                return (rule == "turn" and at[6] and far >= 1) or (d >= 1000 and far >= 1.5)
+
+            durable = lambda run: any(f[6] for f in run) or run[-1][1] - run[0][1] >= 30
+            found = []
+            if runs[0][0] == "a" and low(airs(seg)[0]) and not (k and airs(segs[k - 1]) and not low(airs(segs[k - 1])[-1])):
+                found.append(("takeoff", airs(seg)[0], "start"))
+            for (p, x), (_, y) in zip(runs, runs[1:]):
+                if p == "g" and durable(x):
+                    found.append(("takeoff", x[-1], "turn"))
+                if p == "a" and durable(y):
+                    found.append(("landing", y[0], "turn"))
+            if runs[-1][0] == "a" and low(airs(seg)[-1]) and not (k + 1 < len(segs) and airs(segs[k + 1]) and not low(airs(segs[k + 1])[0])):
+                found.append(("landing", airs(seg)[-1], "end"))
+            events += [(kind, at[1], rule) for kind, at, rule in found if sure(kind, at, rule)]
+        last = {}
+        for kind, t, rule in events:
+            if kind not in last or t - last[kind] > T.COOLDOWN:
+                last[kind] = t
+                out.add((h, t, kind, rule))
+    return out
+
+
+def test_flights_equal_the_rules(spark):
+    rng = np.random.default_rng(22)
+    rows = []
+    for h in range(60):
+        t, alt, up, x = int(rng.integers(0, 5000)), 0.0, False, 0.0
+        for _ in range(int(rng.integers(5, 120))):
+            t += int(rng.choice([20, 45, 60, 200, 2000, 4000], p=[0.3, 0.3, 0.24, 0.1, 0.03, 0.03]))
+            if rng.random() < 0.12:
+                up = not up
+            alt = max(0.0, alt + (float(rng.uniform(0, 4000)) if up else -float(rng.uniform(0, 9000))))
+            flying = up or alt > 0
+            x += float(rng.uniform(0, 0.06)) if flying else 0.0
+            speed = None if rng.random() < 0.1 else float(rng.choice([50.0, 130.0, 300.0])) if flying else float(rng.choice([0.0, 30.0]))
+            height = None if rng.random() < 0.05 else alt if flying else (None if rng.random() < 0.5 else 0.0)
+            rows.append((h, t, 0.0, x, height, speed, bool(not flying and rng.random() < 0.6)))
+    got = {tuple(r) for r in tracks.flights(spark.createDataFrame(rows, FIXES)).collect()}
+    want = brute_flights(rows)
+    assert got == want and {(k, r) for _, _, k, r in want} == {("takeoff", "turn"), ("landing", "turn"), ("takeoff", "start"), ("landing", "end")} and len(want) > 40
 
 
 def test_dense_fixes_are_confirmed_over_the_whole_window(spark):
-    t0 = tracks.STRETCH - 5
+    t0 = 21595
     up = [(7, t0 + i, 0.0, 0.0001 * i, 4.0 * i, 200.0, False) for i in range(1, 601)]
     down = [(8, t0 + i, 0.0, 0.0001 * (601 - i), 4.0 * (601 - i), 200.0, False) for i in range(1, 601)]
     rows = [(7, t0, 0.0, 0.0, 0.0, 10.0, True), *up, *down, (8, t0 + 601, 0.0, 0.0, 0.0, 10.0, True)]
-    df = spark.createDataFrame(rows, "hex long, t long, lat double, lon double, alt_ft double, gs_kt double, ground boolean")
-    assert collect(tracks.flights(df)) == [(7, t0, "takeoff"), (8, t0 + 601, "landing")]
+    got = tracks.flights(spark.createDataFrame(rows, FIXES)).filter("rule = 'turn'")
+    assert collect(got.select("hex", "t", "kind")) == [(7, t0, "takeoff"), (8, t0 + 601, "landing")]
 
 
 def test_streams_equal_batches(spark, tmp_path):

@@ -65,12 +65,13 @@ def radius_pairs(points: DataFrame, key: str, km: float, lat: str = "lat", lon:
     return pairs.withColumn("km", haversine("lat_a", "lon_a", "lat_b", "lon_b")).filter(F.col("km") <= km).select("a", "b", "km")
 
 
-def nearest_in_radius(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, km: float) -> DataFrame:
-    """point_id, site_id and km of the nearest site in reach; sites (site_id, site_lat, site_lon) are a dimension.
+def nearest_in_radius(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, km: float, radius: str | None = None) -> DataFrame:
+    """point_id, site_id and km of the nearest site in reach; sites (site_id, site_lat, site_lon) are a dimension. A site's own radius, km
+    at most, may stand in a column.
 
     Sites meet points in latitude bands as high as the radius; ties go to the smallest site.
     """
     step = km / (EARTH_KM * 3.141592653589793 / 180)
     s = sites.withColumn("_band", F.explode(F.array(*[F.floor(F.col("site_lat") / step) + d for d in (-1, 0, 1)])))
-    near = points.withColumn("_band", F.floor(F.col("lat") / step)).join(s, "_band").withColumn("km", haversine("lat", "lon", "site_lat", "site_lon")).filter(F.col("km") <= km)
+    near = points.withColumn("_band", F.floor(F.col("lat") / step)).join(s, "_band").withColumn("km", haversine("lat", "lon", "site_lat", "site_lon")).filter(F.col("km") <= (F.col(radius) if radius else km))
     return near.groupBy(point_id).agg(F.min(F.struct("km", site_id)).alias("n")).select(point_id, f"n.{site_id}", "n.km")

@@ -57,18 +57,28 @@ def delta_summary(deltas: DataFrame, cell: str, delta: str = "delta") -> DataFra
     )
 
 
-def pattern_label(top_share: Column, top3_share: Column, cells: Column) -> Column:
-    """How concentrated the positive deltas are."""
-    return F.when(cells == 0, "none").when(top_share >= 0.6, "single origin").when(top3_share >= 0.6, "few origins").when(cells >= 20, "broad").otherwise("mixed")
+#: Shares of the excess from which a cluster, a neighbourhood and a cell make an anchor, and the first two a region.
+ANCHOR, REGION = (0.26, 0.30, 0.18), (0.14, 0.16)
 
 
-def delta_pattern(deltas: DataFrame, delta: str = "delta") -> DataFrame:
-    """label, top_share, top3_share, cells of the positive deltas."""
+def pattern_label(up_end: Column, down_end: Column, up_near: Column, down_near: Column, up_cell: Column, down_cell: Column) -> Column:
+    """How concentrated an excess is, from the shares that its best endpoint cluster, 3 by 3 neighbourhood and cell have in departures (up)
+    and arrivals (down)."""
+    end, near, cell = ANCHOR
+    label = F.when((up_end >= end) | (up_near >= near) | (up_cell >= cell), "specific departure anchor")
+    label = label.when((down_end >= end) | (down_near >= near) | (down_cell >= cell), "specific arrival anchor")
+    label = label.when((up_end >= REGION[0]) | ((up_near >= REGION[1]) & (up_near >= down_near)), "regional departure concentration")
+    return label.when((down_end >= REGION[0]) | (down_near >= REGION[1]), "regional arrival concentration").otherwise("diffuse national redistribution")
+
+
+def concentration(deltas: DataFrame, row: str, col: str, delta: str = "delta") -> DataFrame:
+    """One row: positive (the sum of positive deltas), cell_share and near_share, what the best cell and the best 3 by 3 neighbourhood of
+    positive cells have of it; 0 where nothing is positive."""
     up = deltas.filter(F.col(delta) > 0)
-    total = up.agg(F.count("*").alias("cells"), F.sum(delta).alias("all"))
-    top = up.select(F.col(delta).alias("d")).orderBy(F.desc("d")).limit(3).agg(F.max("d").alias("top"), F.sum("d").alias("top3"))
-    out = total.crossJoin(top).select("cells", F.coalesce(F.col("top") / F.col("all"), F.lit(0.0)).alias("top_share"), F.coalesce(F.col("top3") / F.col("all"), F.lit(0.0)).alias("top3_share"))
-    return out.withColumn("label", pattern_label(F.col("top_share"), F.col("top3_share"), F.col("cells")))
+    one = up.agg(F.coalesce(F.sum(delta), F.lit(0)).alias("positive"), F.max(delta).alias("_cell"))
+    best = neighbourhoods(up, row, col, delta).agg(F.max("total").alias("_near"))
+    share = lambda c: F.coalesce(F.when(F.col("positive") > 0, F.col(c) / F.col("positive")), F.lit(0.0))
+    return one.crossJoin(F.broadcast(best)).select("positive", share("_cell").alias("cell_share"), share("_near").alias("near_share"))
 
 
 def cluster_diameters(members: DataFrame, cluster: str, key: str, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -76,16 +76,20 @@ def consecutive(rows: DataFrame, key, order, flag: Column, name: str = "streak")
 class CusumAlarm:
     """State of one series: the sum, and which levels are armed. One step function serves batch and stream."""
 
+    #: The drift that is allowed, the lines of both levels, and the sum under which they are armed again.
     K, HIGH, CRITICAL, REARM = 1.5, 12.0, 20.0, 6.0
 
     def __init__(self, s: float = 0.0, fired: int = 0, last: int = -(1 << 62), tie: int = 0):
         self.s, self.fired, self.last, self.tie = s, fired, last, tie
 
-    def step(self, t: int, z: float, tie: int = 0) -> str | None:
-        """The level newly crossed. A sample no later than the last one changes nothing; of one time, the larger tie is later."""
+    def step(self, t: int, z: float, tie: int = 0, frozen: bool = False) -> str | None:
+        """The level newly crossed. A sample no later than the last one changes nothing; of one time, the larger tie is later. A frozen
+        sample (of a holiday that no baseline has learnt) only moves the clock."""
         if (t, tie) <= (self.last, self.tie):
             return None
         self.last, self.tie = t, tie
+        if frozen:
+            return None
         self.s = max(0.0, self.s + min(8.0, max(-4.0, z)) - self.K)
         if self.s < self.REARM:
             self.fired = 0
@@ -96,29 +100,30 @@ class CusumAlarm:
         return None
 
 
-def cusum_crossings(rows: DataFrame, key: str, time: str, z: str, tie: str | None = None) -> DataFrame:
+def cusum_crossings(rows: DataFrame, key: str, time: str, z: str, tie: str | None = None, frozen: str | None = None) -> DataFrame:
     """key, time, severity, s of each crossing; a level fires once until the sum falls under the re-arming line. Where samples of a key may
-    share a time, tie is a number that tells them apart."""
+    share a time, tie is a number that tells them apart; frozen says which samples don't count."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         alarm, out = CusumAlarm(), []
-        for k, t, x, i in pdf.sort_values([time, "_tie"])[[key, time, z, "_tie"]].itertuples(index=False, name=None):
-            if severity := alarm.step(t, x, i):
+        for k, t, x, i, still in pdf.sort_values([time, "_tie"])[[key, time, z, "_tie", "_frozen"]].itertuples(index=False, name=None):
+            if severity := alarm.step(t, x, i, still):
                 out.append((k, t, severity, alarm.s))
         return pd.DataFrame(out, columns=[key, time, "severity", "s"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, time, z, (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie")).groupBy(key).applyInPandas(run, f"{key} {kind}, {time} long, severity string, s double")
+    more = (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), F.coalesce(F.col(frozen) if frozen else F.lit(False), F.lit(False)).alias("_frozen")
+    return rows.select(key, time, z, *more).groupBy(key).applyInPandas(run, f"{key} {kind}, {time} long, severity string, s double")
 
 
 def cooldown(rows: DataFrame, key: list[str], time: str, seconds: int) -> DataFrame:
-    """Of each key the rows at least so long after the last one kept."""
+    """Of each key the rows that come more than so long after the last one kept."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         last, keep = None, []
         pdf = pdf.sort_values(time, kind="stable")
         for t in pdf[time]:
-            ok = last is None or t - last >= seconds
+            ok = last is None or t - last > seconds
             last = t if ok else last
             keep.append(ok)
         return pdf[keep]
@@ -164,35 +169,17 @@ def hour_overlaps(windows: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def best_burst(rows: DataFrame, key: str, time: str, residual: str, least: float = 80.0, share: float = 0.3) -> DataFrame:
-    """key, burst_start, burst_end, total: the window of residuals over max(least, share of the peak), with at most one weaker but
-    not negative slot between two strong ones, whose sum is largest; the earliest of equals. Keys without one have no row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        r, t = pdf[residual].tolist(), pdf[time].tolist()
-        line = max(least, share * max(r))
-        best, i = None, 0
-        while i < len(r):
-            if r[i] < line:
-                i += 1
-                continue
-            last, j, gaps = i, i + 1, 0
-            while j < len(r):
-                if r[j] >= line:
-                    last = j
-                elif r[j] >= 0 and gaps == 0:
-                    gaps += 1
-                else:
-                    break
-                j += 1
-            total = sum(r[i : last + 1])
-            if best is None or total > best[2]:
-                best = (t[i], t[last], total)
-            i = last + 1
-        return pd.DataFrame([(pdf[key].iloc[0], *best)] if best else [], columns=[key, "burst_start", "burst_end", "total"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, time, residual).groupBy(key).applyInPandas(run, f"{key} {kind}, burst_start long, burst_end long, total double")
+    """key, burst_start, burst_end, total: the window of residuals at or over max(least, share of the peak), with at most one weaker but
+    not negative row between any two strong ones, whose sum is largest; the earliest of equals. Keys without one have no row."""
+    w = by(key, time)
+    r = rows.select(key, time, F.col(residual).alias("_r")).withColumn("_at", F.row_number().over(w)).withColumn("_weak", F.lag("_r").over(w))
+    line = F.greatest(F.lit(least), share * F.max("_r").over(Window.partitionBy(key)))
+    strong = r.withColumn("_line", line).filter(F.col("_r") >= F.col("_line")).withColumn("_step", F.col("_at") - F.lag("_at").over(w))
+    bridged = (F.col("_step") == 2) & (F.col("_weak") >= 0)
+    strong = islands(strong, key, time, ~((F.col("_step") == 1) | bridged), "_burst").withColumn("_sum", F.col("_r") + F.when(bridged, F.col("_weak")).otherwise(0.0))
+    each = strong.groupBy(key, "_burst").agg(F.min(time).alias("burst_start"), F.max(time).alias("burst_end"), F.sum("_sum").alias("total"))
+    best = each.groupBy(key).agg(F.min(F.struct((-F.col("total")).alias("d"), "burst_start", "burst_end", "total")).alias("b"))
+    return best.select(key, "b.burst_start", "b.burst_end", "b.total")
 
 
 def byte_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
+from ..functions.text import public_severity, severity_for_level
 from ..operators.graph import components
 from ..operators.joins import band_join
 from ..operators.sequences import sessions
@@ -24,60 +27,190 @@ def corroboration_cap(alerts: DataFrame, within: int = 5400) -> DataFrame:
     return out.withColumn("severity", F.when(F.col("_cap"), "high").otherwise(F.col("severity"))).drop("_cap")
 
 
-def fusion_pairs(signals: DataFrame, within: int = 5400, km: float = 150.0) -> DataFrame:
-    """a < b of signals (key, kind, family, region, lat, lon, t) near in time and place, of different kinds and families."""
+def agreements(signals: DataFrame, within: int = 5400, km: float = 150.0) -> DataFrame:
+    """a < b of signals (key, kind, family, region, lat, lon, t) near in time and place, and seed: of different kinds and families."""
     left = signals.select(*[F.col(c).alias(f"{c}_a") for c in signals.columns])
     right = signals.select(*[F.col(c).alias(f"{c}_b") for c in signals.columns])
-    j = band_join(left, right, "t_a", "t_b", within, within).filter("key_a < key_b and kind_a <> kind_b and family_a <> family_b")
-    place = (F.col("region_a") == F.col("region_b")) | (haversine("lat_a", "lon_a", "lat_b", "lon_b") <= km)
-    return j.filter(place).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    j = band_join(left, right, "t_a", "t_b", within, within).filter("key_a < key_b")
+    place = F.coalesce(F.col("region_a") == F.col("region_b"), F.lit(False)) | F.coalesce(haversine("lat_a", "lon_a", "lat_b", "lon_b") <= km, F.lit(False))
+    seed = (F.col("kind_a") != F.col("kind_b")) & (F.col("family_a") != F.col("family_b"))
+    return j.filter(place).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), seed.alias("seed"))
 
 
-def fusion_groups(pairs: DataFrame, least: int = 2) -> DataFrame:
-    """group_key (its members, in order) and size of maximal groups in which all pairs agree: a greedy complete linkage for each pair, in the
-    component's order. Components are time-bounded, so one goes to one task."""
-    c = components(pairs)
-    edges = pairs.join(c.withColumnRenamed("id", "a"), "a").select("component", "a", "b")
+def fusion_pairs(signals: DataFrame, within: int = 5400, km: float = 150.0) -> DataFrame:
+    """a < b of signals near in time and place, of different kinds and families."""
+    return agreements(signals, within, km).filter("seed").select("a", "b")
+
+
+def fusion_groups(signals: DataFrame, within: int = 5400, km: float = 150.0) -> DataFrame:
+    """members (keys, in order) and size of groups of signals that all agree in time and place.
+
+    Each pair of different kinds and families, in the order of time and key, begins a group unless an earlier group has both; then every
+    signal that agrees with all members joins, in that order. Signals hang together by agreements in components, and the pairs of one
+    component are looked at in one task: its order matters. It holds the component's agreements, which are bounded by place and time.
+    """
+    edges = agreements(signals, within, km)
+    c = components(edges.select("a", "b"))
+    t = signals.select("key", "t")
+    rows = edges.join(c.withColumnRenamed("id", "a"), "a").join(t.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
-        for a, b in zip(pdf["a"], pdf["b"]):
+        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
+            a, b = (ta, a), (tb, b)
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
-        groups = set()
-        for a, b in sorted(zip(pdf["a"], pdf["b"])):
-            group, open_ = [a, b], near[a] & near[b]
+        of: dict = {x: set() for x in near}
+        groups = []
+        some = pdf[pdf["seed"]]
+        for a, b in sorted(sorted(((ta, a), (tb, b))) for a, b, ta, tb in zip(some["a"], some["b"], some["ta"], some["tb"])):
+            if of[a] & of[b]:
+                continue
+            group, open_ = [a, b], sorted(near[a] & near[b])
             while open_:
-                c = min(open_)
-                group.append(c)
-                open_ &= near[c]
-            groups.add(tuple(sorted(group)))
-        return pd.DataFrame([(pdf["component"].iloc[0], ",".join(map(str, g)), len(g)) for g in sorted(groups) if len(g) >= least], columns=["component", "group_key", "size"])
+                group.append(open_[0])
+                open_ = [x for x in open_[1:] if x in near[open_[0]]]
+            for x in group:
+                of[x].add(len(groups))
+            groups.append(sorted(k for _, k in group))
+        distinct = sorted(set(map(tuple, groups)))
+        return pd.DataFrame({"members": [list(g) for g in distinct], "size": [len(g) for g in distinct]})
 
     kind = c.schema["component"].dataType.simpleString()
-    return edges.groupBy("component").applyInPandas(run, f"component {kind}, group_key string, size long")
-
-
-def alert_rows(scores: DataFrame, takeoffs: DataFrame, now: int, minutes: int = 60) -> DataFrame:
-    """event_key, kind, severity, t, payload (JSON) of what the detectors have to say at `now`: a batch of takeoffs, unlikely rates and
-    levels of the slots in the last minutes. scores: slot, n, surprise, level."""
-    recent = scores.filter(F.col("slot").between(now - minutes * 60, now))
-    key = lambda kind, t: F.concat_ws(":", F.lit(kind), t.cast("string"))
-    row = lambda df, kind, severity, t, *payload: df.select(key(kind, t).alias("event_key"), F.lit(kind).alias("kind"), severity.alias("severity"), t.alias("t"), F.to_json(F.struct(*payload)).alias("payload"))
-    s = F.when(F.col("surprise") >= 4.24, "critical").when(F.col("surprise") >= 3.64, "high").otherwise("elevated")
-    rate = row(recent.filter("surprise >= 3.16"), "takeoff_rate_anomaly", s, F.col("slot"), "n", "surprise")
-    level = F.when(F.col("level") >= 5, "critical").when(F.col("level") == 4, "high").otherwise("elevated")
-    levels = row(recent.filter("level >= 3"), "statistical_anomaly", level, F.col("slot"), "n", "level")
-    batch = takeoffs.filter((F.col("t") > now - minutes * 60) & (F.col("t") <= now)).agg(F.count("*").alias("takeoffs"), F.max("t").alias("t")).filter("takeoffs > 0")
-    return rate.unionByName(levels).unionByName(row(batch, "takeoff_batch", F.lit("watch"), F.col("t"), "takeoffs"))
-
-
-def problem_states(checks: DataFrame, hold: int) -> DataFrame:
-    """problem, since, paged: of checks (problem, t, bad), the open problems: bad at the last check, without a good one since; paged once bad
-    for `hold` seconds."""
-    last_good = checks.filter(~F.col("bad")).groupBy("problem").agg(F.max("t").alias("good"))
-    bad = checks.filter("bad").join(last_good, "problem", "left").filter(F.col("good").isNull() | (F.col("t") > F.col("good")))
-    return bad.groupBy("problem").agg(F.min("t").alias("since"), (F.max("t") - F.min("t") >= hold).alias("paged"))
+    return rows.groupBy("component").applyInPandas(run, f"members array<{kind}>, size long")
+
+
+def fusion_events(groups: DataFrame, signals: DataFrame, official: str, emitted: DataFrame | None = None) -> DataFrame:
+    """group_key, members, size, level, t (the latest), region (where all share it), lat and lon (means of the points) of groups that haven't
+    been emitted (group_key): level 5 where a public alert of the official kind is among them, else 4. signals also have severity."""
+    keyed = groups.withColumn("group_key", F.sha2(F.to_json("members"), 256))
+    rows = keyed.select("group_key", F.explode("members").alias("key")).join(signals, "key")
+    sure = F.bool_or((F.col("kind") == official) & public_severity("severity"))
+    same = F.when((F.count_distinct("region") == 1) & (F.count("region") == F.count("*")), F.min("region"))
+    out = rows.groupBy("group_key").agg(F.when(F.coalesce(sure, F.lit(False)), 5).otherwise(4).alias("level"), F.max("t").alias("t"), same.alias("region"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    out = keyed.join(out, "group_key")
+    return out.join(emitted.select("group_key"), "group_key", "left_anti") if emitted is not None else out
+
+
+#: Takeoffs of a batch, surprise and takeoffs of an unusual rate, the ratio of an exodus, levels of the two count rules.
+BATCH, UNUSUAL, RATE_LEAST, EXODUS, LEVEL, BOTH_LEVEL = 3, 2.0, 3, 3.0, 5, 4
+
+
+def alert_rows(slots: DataFrame, ladder: DataFrame, cohort: str = "all") -> DataFrame:
+    """event_key, kind, severity, cohort, t, status, payload (JSON) of what the detectors say of each slot, of six kinds.
+
+    slots: slot, n, expected, sigma, level, ready (whether the count model is), quality, takeoffs, takeoff_mean, surprise, rate_ready and
+    crossing (of the cumulative sum: high, critical or null). A degraded feed mutes all but itself and batches; a stale live feed
+    mutes the takeoff rate. ladder: tier, model, record; a rate is public only with a record, three times the expected count and a
+    surprise over both.
+    """
+    one = ladder.agg(F.map_from_entries(F.collect_list(F.struct("tier", F.struct("model", "record").alias("l")))).alias("ladder"))
+    s = slots.crossJoin(F.broadcast(one))
+    healthy = F.col("quality") != "degraded"
+    unusual = healthy & (F.col("quality") != "stale_live") & F.col("rate_ready") & (F.col("surprise") >= UNUSUAL)
+    over = lambda tier: F.coalesce((F.col("surprise") >= F.col("ladder")[tier]["model"]) & (F.col("surprise") > F.col("ladder")[tier]["record"]), F.lit(False))
+    exodus = F.col("takeoffs") >= F.greatest(F.lit(float(RATE_LEAST)), EXODUS * F.col("takeoff_mean"))
+    tier = F.when(exodus & over("critical"), "critical").when(exodus & over("high"), "high").when(exodus & over("elevated"), "elevated").otherwise("watch")
+    by_level = severity_for_level("level")
+    key = lambda kind, *more: F.concat_ws(":", F.lit(kind), F.lit(cohort), *more, F.col("slot").cast("string"))
+
+    def row(when, kind, severity, status, payload, *more):
+        values = F.struct(key(kind, *more).alias("event_key"), F.lit(kind).alias("kind"), severity.alias("severity"), F.lit(status).alias("status"), F.to_json(F.struct(*payload)).alias("payload"))
+        return F.when(F.coalesce(when, F.lit(False)), values)
+
+    counts = ("n", "expected", "sigma", "level")
+    rate = ("takeoffs", "takeoff_mean", "surprise")
+    rows = F.array_compact(F.array(
+        row(~healthy, "data_quality", F.lit("watch"), "observed", ("n", "quality")),
+        row(F.col("takeoffs") >= BATCH, "takeoff_batch", F.lit("watch"), "observed", ("takeoffs",)),
+        row(unusual, "takeoff_rate_anomaly", tier, "pending", rate),
+        row(healthy & F.col("ready") & (F.col("level") >= LEVEL), "statistical_anomaly", by_level, "pending", counts),
+        row(healthy & F.col("ready") & unusual & (F.col("level") >= BOTH_LEVEL), "takeoff_anomaly", by_level, "pending", (*counts, *rate)),
+        row(healthy & F.col("ready") & F.col("crossing").isNotNull(), "sustained_shift", F.col("crossing"), "pending", counts, F.col("crossing")),
+    ))
+    return s.select(F.col("slot").alias("t"), F.explode(rows).alias("e")).select("e.event_key", "e.kind", "e.severity", F.lit(cohort).alias("cohort"), "t", "e.status", "e.payload")
+
+
+class ProblemLog:
+    """The problems of one box from check to check, and the pages that they are worth. Times are seconds."""
+
+    #: How long a problem must last, be away, and be remembered; pages again after six hours, and once a day from a day on.
+    HOLD, CLEAR, MEMORY, AGAIN, DAY = 180, 600, 86400, 6 * 3600, 86400
+
+    def __init__(self, upstream: tuple[str, ...] = ()):
+        self.records: dict[str, dict] = {}
+        self.upstream = upstream
+
+    @staticmethod
+    def key(text: str) -> str:
+        """What names a problem: without what stands from the first parenthesis on, and whatever its numbers."""
+        return re.sub(r"\d+(\.\d+)?", "#", re.split(r" \(", text, maxsplit=1)[0])
+
+    def theirs(self, record: dict) -> bool:
+        """Whether the problem is a third party's: such pages once, and is never urgent."""
+        return self.key(record["text"]).startswith(self.upstream) if self.upstream else False
+
+    def step(self, now: int, problems: list[str]) -> tuple[str, str, list[str]] | None:
+        """kind (alert or recovery), priority and texts of the page that a check is worth, if any. A problem that comes back within
+        MEMORY of clearing is the same one; a page lists all that are open and present, and counts for each."""
+        records, seen = self.records, set()
+        for text in problems:
+            k = self.key(text)
+            r = records.setdefault(k, {"first": now, "paged": None, "noted": None, "checks": 0, "present": 0})
+            r.update(text=text, last=now, cleared=None)
+            seen.add(k)
+        recovered = []
+        for k, r in list(records.items()):
+            if r["cleared"] is not None:
+                if now - r["cleared"] >= self.MEMORY:
+                    del records[k]
+            elif now - r["last"] >= self.CLEAR:
+                if r["paged"] is None:
+                    del records[k]
+                    continue
+                r["cleared"] = now
+                if r["noted"] is None or r["paged"] > r["noted"]:
+                    recovered.append(r)
+            else:
+                r["checks"] += 1
+                r["present"] += k in seen
+        live = [r for r in records.values() if r["cleared"] is None]
+        present = [r for r in live if now - r["first"] >= self.HOLD and 2 * r["present"] >= r["checks"] and r["last"] == now]
+        if any(self.due(r, now) for r in present):
+            present.sort(key=lambda r: (r["first"], r["text"]))
+            ours = [r for r in present if not self.theirs(r)]
+            priority = "default" if not ours else "urgent" if now - ours[0]["first"] >= self.DAY else "high"
+            for r in present:
+                r["paged"] = now
+            return "alert", priority, [r["text"] for r in present]
+        if recovered and not any(r["paged"] is not None for r in live):
+            for r in recovered:
+                r["noted"] = now
+            return "recovery", "default", sorted(r["text"] for r in recovered)
+        return None
+
+    def due(self, r: dict, now: int) -> bool:
+        if r["paged"] is None:
+            return True
+        if self.theirs(r):
+            return False
+        day = r["first"] + self.DAY
+        return now >= day > r["paged"] or now - r["paged"] >= (self.AGAIN if now < day else self.DAY)
+
+
+def problem_pages(checks: DataFrame, upstream: tuple[str, ...] = ()) -> DataFrame:
+    """box, t, kind, priority, problems (texts) of the pages that the checks (box, t, problem; null for a check that finds none) of each box
+    are worth. A box's checks are taken in order; they are as many as a timer makes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        log, out = ProblemLog(upstream), []
+        for t, part in pdf.sort_values("t", kind="stable").groupby("t"):
+            if page := log.step(int(t), sorted(set(part["problem"].dropna()))):
+                out.append((pdf["box"].iloc[0], int(t), *page))
+        return pd.DataFrame(out, columns=["box", "t", "kind", "priority", "problems"])
+
+    kind = checks.schema["box"].dataType.simpleString()
+    return checks.select("box", "t", "problem").groupBy("box").applyInPandas(run, f"box {kind}, t long, kind string, priority string, problems array<string>")
 
 
 def coverage(series: DataFrame, now: int, step: int, armed: int = 48) -> DataFrame:

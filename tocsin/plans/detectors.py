@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,19 +57,23 @@ def takeoff_surprise(counts: DataFrame) -> DataFrame:
     return out.select("slot", "n", "mean", "dispersion", "tail", surprise("tail").alias("surprise"))
 
 
-def surprise_ladder(scores: DataFrame, tiers: dict[str, tuple[int, float]], per_year: int = 17520, lift: float = 2.0) -> DataFrame:
-    """tier, threshold: of each tier (alerts a year, the model's surprise) the k-th largest surprise on record, k being its share of the
-    budget, but not over the model's by more than lift decades."""
-    ranked = scores.select("surprise").orderBy(F.desc("surprise")).limit(max(1, max(b for b, _ in tiers.values())))
-    top = ranked.agg(F.sort_array(F.collect_list("surprise"), False).alias("top"))
-    n = scores.agg(F.count("*").alias("n"))
-    out = None
-    for name, (budget, model) in tiers.items():
-        k = F.greatest(F.floor(F.col("n") * budget / per_year), F.lit(1)).cast("int")
-        record = F.try_element_at("top", F.least(k, F.lit(max(1, budget))))
-        row = top.crossJoin(n).select(F.lit(name).alias("tier"), F.greatest(F.lit(model), F.least(record, F.lit(model + lift))).alias("threshold"))
-        out = row if out is None else out.unionByName(row)
-    return out
+#: Alerts a year of each tier, slots a year, decades that the record may lift a threshold.
+BUDGETS, PER_YEAR, LIFT = {"elevated": 12, "high": 4, "critical": 1}, 17520, 2.0
+#: Scores from which a record can certify the first tier's rate.
+RECORD = -(-PER_YEAR // BUDGETS["elevated"])
+
+
+def surprise_ladder(scores: DataFrame, now: int, least: int = RECORD) -> DataFrame:
+    """tier, model, record: of each tier the surprise that its budget stands for, and what the scores (slot, surprise) of the year before now
+    say, the slot of now left out: the k-th largest, k being the budget's share of the samples, at most LIFT decades over the model's;
+    null while there are fewer than `least`."""
+    past = scores.filter((F.col("slot") >= now - 365 * DAY) & (F.col("slot") < now) & F.col("surprise").isNotNull())
+    top = past.select("surprise").orderBy(F.desc("surprise")).limit(max(BUDGETS.values())).agg(F.sort_array(F.collect_list("surprise"), False).alias("top"))
+    one = top.crossJoin(past.agg(F.count("*").alias("n")))
+    tiers = F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(b).alias("budget"), F.lit(math.log10(PER_YEAR / b)).alias("model")) for t, b in BUDGETS.items()])).alias("t")
+    k = F.greatest(F.floor(F.col("budget") * F.col("n") / PER_YEAR), F.lit(1)).cast("int")
+    record = F.when(F.col("n") >= least, F.least(F.try_element_at("top", k), F.col("model") + LIFT))
+    return one.select("*", tiers).select("top", "n", "t.*").select("tier", "model", record.alias("record"))
 
 
 def station_scores(readings: DataFrame, order: list[str], days: int = 30, least: int = 48) -> DataFrame:
@@ -143,21 +149,41 @@ def bursts(hourly: DataFrame, floor_terms: int = 8, floor_posts: int = 3, days:
     return out.filter(hot).select(*keys, F.when((F.col("terms") >= 25) & (F.col("posts") >= 8), 4).otherwise(3).alias("level"))
 
 
-def seismic_verdict(quakes: DataFrame, sites: DataFrame) -> DataFrame:
-    """quakes (quake_id, lat, lon, depth, magnitude) with the nearest site within 50 km and a verdict in three tiers by depth."""
-    near = nearest_in_radius(quakes, sites, "quake_id", "site_id", 50.0)
-    out = quakes.join(near, "quake_id", "left")
-    verdict = F.when(F.col("site_id").isNull(), "natural").when((F.col("depth") <= 5) & (F.col("magnitude") >= 4), "suspect").when(F.col("depth") <= 10, "review").otherwise("natural")
-    return out.withColumn("verdict", verdict)
+#: Least magnitudes near a site and of an explosion anywhere, shallow depth and the depth that stands for an unknown one, sources.
+SITE_MAGNITUDE, BLAST_MAGNITUDE, SHALLOW, UNKNOWN_DEPTH = 3.5, 4.0, 5.0, 10.0
+SEISMIC_SOURCES = ("earthquake", "explosion", "collapse", "other event")
+
+
+def seismic_verdict(quakes: DataFrame, sites: DataFrame, farthest: float = 100.0) -> DataFrame:
+    """quakes (quake_id, lat, lon, depth, magnitude, classification) that say something: site_id and km of the nearest site (site_id,
+    site_lat, site_lon, radius_km, quiet) that has it in its radius, level (5, 4, 3 or 1), rule and constraint (of the depth)."""
+    near = nearest_in_radius(quakes, sites, "quake_id", "site_id", farthest, "radius_km").join(F.broadcast(sites.select("site_id", "quiet")), "site_id")
+    q = quakes.join(near, "quake_id", "left")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    kind, shallow = F.col("classification"), finite("depth") & (F.col("depth") <= SHALLOW)
+    unknown = ~finite("depth") | (F.col("depth") == UNKNOWN_DEPTH)
+    judged = finite("magnitude") & kind.isin(*SEISMIC_SOURCES)
+    here = judged & F.col("site_id").isNotNull() & (F.col("magnitude") >= SITE_MAGNITUDE)
+    blast = judged & (kind == "explosion") & (F.col("magnitude") >= BLAST_MAGNITUDE)
+    at_site = F.when((kind == "explosion") | shallow, 4).when(unknown, F.when(F.col("quiet"), 4).otherwise(3)).otherwise(1)
+    nuclear = kind == "nuclear explosion"
+    level = F.when(nuclear, 5).when(here, at_site).when(blast, 3).cast("int")
+    rule = F.when(nuclear, "agency_classified_nuclear").when(here, "test_site_geofence").when(blast, "agency_classified_explosion")
+    constraint = F.when(nuclear | ~here, "as reported").when(shallow, "shallow").when(unknown, "unconstrained").otherwise("deep")
+    named = F.when(nuclear | here, F.lit(True))
+    out = q.withColumn("level", level).filter(F.col("level").isNotNull())
+    return out.select(*quakes.columns, F.when(named, F.col("site_id")).alias("site_id"), F.when(named, F.col("km")).alias("km"), "level", rule.alias("rule"), constraint.alias("constraint"))
 
 
 def data_quality(slots: DataFrame, days: int = 14, least: int = 8, ratio: float = 0.6) -> DataFrame:
-    """slot, n, status: unknown with too few same slots in the days before, degraded under ratio of their median, else ok."""
-    left = slots.select("slot", "n").withColumn("of_day", slot_of_day("slot"))
-    right = slots.select(F.col("slot").alias("past"), F.col("n").cast("double").alias("x"), slot_of_day("slot").alias("of_day"))
-    past = band_join(left, right, "slot", "past", days * DAY, -1, ["of_day"]).groupBy("slot").agg(F.count("*").alias("k"), median("x").alias("med"))
-    out = slots.select("slot", "n").join(past, "slot", "left")
-    status = F.when(F.coalesce("k", F.lit(0)) < least, "unknown").when(F.col("n") < ratio * F.col("med"), "degraded").otherwise("ok")
+    """slot, n, status of (slot, n, and live where not all are): stale_live where the slot isn't live, unknown with too few live same slots in
+    the days before or no count, degraded under ratio of their median, else ok."""
+    live = F.coalesce("live", F.lit(False)) if "live" in slots.columns else F.lit(True)
+    s = slots.select("slot", "n", live.alias("live"))
+    right = s.filter("live and n is not null").select(F.col("slot").alias("past"), F.col("n").cast("double").alias("x"), slot_of_day("slot").alias("of_day"))
+    past = band_join(s.select("slot").withColumn("of_day", slot_of_day("slot")), right, "slot", "past", days * DAY, -1, ["of_day"]).groupBy("slot").agg(F.count("*").alias("k"), median("x").alias("med"))
+    out = s.join(past, "slot", "left")
+    status = F.when(~F.col("live"), "stale_live").when(F.col("n").isNull() | (F.coalesce("k", F.lit(0)) < least), "unknown").when(F.col("n") < ratio * F.col("med"), "degraded").otherwise("ok")
     return out.select("slot", "n", status.alias("status"))
 
 
@@ -175,7 +201,7 @@ def excess_origins(slots: DataFrame, least: int = 8) -> DataFrame:
     of_week = F.pmod("slot", F.lit(7 * DAY))
     left = slots.select("slot", "n").withColumn("w", of_week)
     right = slots.select(F.col("slot").alias("other"), F.col("n").cast("double").alias("x"), of_week.alias("w"))
-    j = left.join(right, "w").filter(F.abs(F.col("slot") - F.col("other")).between(10 * DAY, 182 * DAY))
+    j = band_join(left, right, "slot", "other", 182 * DAY, 182 * DAY, ["w"]).filter(F.abs(F.col("slot") - F.col("other")) >= 10 * DAY)
     base = robust_by(j.select("slot", "x"), ["slot"], "x").filter(F.col("n") >= least).select("slot", "med", "mad")
     out = slots.join(base, "slot").withColumn("residual", F.col("n") - F.col("med"))
     return out.select("slot", "residual", (F.col("residual") / F.greatest("mad", F.lit(1.0))).alias("z"))

@@ -120,18 +120,22 @@ def takeoff_baseline(spark, sf_dir):
     return detectors.takeoff_baseline(takeoff_counts(spark, sf_dir)).withColumn("mean", r6("mean"))
 
 
-@query("takeoff_surprise", COUNTS_WITH + """, q AS (SELECT slot, tc.n, mean, d FROM tc JOIN bl USING (day_class, slot_of_day), dp),
+TAIL = """, q AS (SELECT slot, tc.n, mean, d FROM tc JOIN bl USING (day_class, slot_of_day), dp),
  tl AS (SELECT slot, n, mean, d, CASE WHEN n <= 0 THEN 1.0 ELSE least(1.0, (SELECT sum(CASE WHEN d <= 1 + 1e-6 THEN exp((n + j) * ln(mean) - mean - lgamma(n + j + 1))
-  ELSE exp(lgamma(mean / (d - 1) + n + j) - lgamma(mean / (d - 1)) - lgamma(n + j + 1) - mean / (d - 1) * ln(d) + (n + j) * ln((d - 1) / d)) END) FROM (SELECT unnest(generate_series(0, 400)) AS j))) END AS tail FROM q)
- SELECT slot, n, round(mean, 6) AS mean, round(d, 6) AS dispersion, round(-log10(greatest(tail, 1e-300)), 6) AS surprise FROM tl""")
+  ELSE exp(lgamma(mean / (d - 1) + n + j) - lgamma(mean / (d - 1)) - lgamma(n + j + 1) - mean / (d - 1) * ln(d) + (n + j) * ln((d - 1) / d)) END) FROM (SELECT unnest(generate_series(0, 400)) AS j))) END AS tail FROM q)"""
+
+
+@query("takeoff_surprise", COUNTS_WITH + TAIL + """ SELECT slot, n, round(mean, 6) AS mean, round(d, 6) AS dispersion, round(-log10(greatest(tail, 1e-300)), 6) AS surprise FROM tl""")
 def takeoff_surprise(spark, sf_dir):
     out = detectors.takeoff_surprise(takeoff_counts(spark, sf_dir))
     return out.select("slot", "n", r6("mean").alias("mean"), r6("dispersion").alias("dispersion"), F.abs(r6("surprise")).alias("surprise"))
 
 
-@query("surprise_ladder")
+@query("surprise_ladder", COUNTS_WITH + TAIL + """, sp AS (SELECT slot, -log10(greatest(tail, 1e-300)) AS surprise FROM tl), pa AS (SELECT surprise, row_number() OVER (ORDER BY surprise DESC) AS k, count(*) OVER () AS n FROM sp WHERE slot >= 1706659200 - 365 * 86400 AND slot < 1706659200)
+ SELECT tier, round(log10(17520 / b), 6) AS model, round(least(surprise, log10(17520 / b) + 2), 6) AS record FROM (VALUES ('elevated', 12), ('high', 4), ('critical', 1)) v(tier, b) JOIN pa ON k = greatest(floor(b * n / 17520), 1) WHERE n >= 336""")
 def surprise_ladder(spark, sf_dir):
-    return detectors.surprise_ladder(detectors.takeoff_surprise(takeoff_counts(spark, sf_dir)), {"elevated": (12, 3.16), "high": (4, 3.64), "critical": (1, 4.24)})
+    ladder = detectors.surprise_ladder(detectors.takeoff_surprise(takeoff_counts(spark, sf_dir)), 1706659200, 336)
+    return ladder.select("tier", r6("model").alias("model"), F.abs(r6("record")).alias("record"))
 
 
 def series_z(spark, sf_dir):
@@ -212,7 +216,10 @@ def rle_deltas(spark, sf_dir):
     return sequences.run_lengths(d, "series", "slot", "delta")
 
 
-@query("burst_windows")
+@query("burst_windows", SCORED_WITH + """, r AS (SELECT slot // 86400 AS day, slot, divergence AS x, row_number() OVER w AS pos, lag(divergence) OVER w AS weak, greatest(2.0, 0.3 * max(divergence) OVER (PARTITION BY slot // 86400)) AS line FROM scored WINDOW w AS (PARTITION BY slot // 86400 ORDER BY slot)),
+ g AS (SELECT *, pos - lag(pos) OVER (PARTITION BY day ORDER BY slot) AS step FROM r WHERE x >= line), h AS (SELECT *, step = 1 OR (step = 2 AND weak >= 0) AS on_, CASE WHEN step = 2 AND weak >= 0 THEN weak ELSE 0 END AS bridge FROM g),
+ b AS (SELECT *, sum(CASE WHEN coalesce(on_, false) THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY slot ROWS UNBOUNDED PRECEDING) AS burst FROM h), t AS (SELECT day, burst, min(slot) AS burst_start, max(slot) AS burst_end, sum(x + bridge) AS total FROM b GROUP BY 1, 2)
+ SELECT day, burst_start, burst_end, total FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY total DESC, burst_start) AS k FROM t) WHERE k = 1""")
 def burst_windows(spark, sf_dir):
     s = scores(spark, sf_dir).select(day_of("slot").alias("day"), "slot", F.col("divergence").alias("residual"))
     return sequences.best_burst(s, "day", "slot", "residual", least=2.0)
@@ -244,9 +251,15 @@ def hour_overlap_weights(spark, sf_dir):
     return sequences.hour_overlaps(w, "a", "b").groupBy("hour").agg(F.count("*").alias("n"), r6(F.sum("weight")).alias("weight"))
 
 
-@query("data_quality", with_("e s", "+ p AS (SELECT a.slot, count(*) AS k, median(CAST(b.n AS DOUBLE)) AS med FROM s a JOIN s b ON a.slot % 86400 = b.slot % 86400 AND b.slot BETWEEN a.slot - 14 * 86400 AND a.slot - 1 GROUP BY 1) SELECT s.slot, s.n, CASE WHEN coalesce(k, 0) < 8 THEN 'unknown' WHEN s.n < 0.6 * med THEN 'degraded' ELSE 'ok' END AS status FROM s LEFT JOIN p USING (slot)"))
+@query("data_quality", with_("e s", "+ lv AS (SELECT DISTINCT t - t % 1800 AS slot FROM e WHERE event_type = 'view'), p AS (SELECT a.slot, count(*) AS k, median(CAST(b.n AS DOUBLE)) AS med FROM s a JOIN s b ON a.slot % 86400 = b.slot % 86400 AND b.slot BETWEEN a.slot - 14 * 86400 AND a.slot - 1 AND b.slot IN (FROM lv) GROUP BY 1) SELECT s.slot, s.n, CASE WHEN s.slot NOT IN (FROM lv) THEN 'stale_live' WHEN coalesce(k, 0) < 8 THEN 'unknown' WHEN s.n < 0.6 * med THEN 'degraded' ELSE 'ok' END AS status FROM s LEFT JOIN p USING (slot)"))
 def data_quality(spark, sf_dir):
-    return detectors.data_quality(A.slot_counts(spark, sf_dir))
+    """A slot is live if it has a view."""
+    return detectors.data_quality(live_slots(spark, sf_dir))
+
+
+def live_slots(spark, sf_dir):
+    live = A.events(spark, sf_dir).filter("event_type = 'view'").select(half_hour_floor("t").alias("slot")).distinct().withColumn("live", F.lit(True))
+    return A.slot_counts(spark, sf_dir).join(live, "slot", "left")
 
 
 @query("model_errors", SCORED_WITH + " SELECT count(*) AS n, round(avg(abs(actual - expected)), 6) AS mae, round(sqrt(avg((actual - expected) * (actual - expected))), 6) AS rmse, round(avg(actual - expected), 6) AS bias FROM scored")
@@ -280,11 +293,44 @@ def sessions_45m(spark, sf_dir):
     return s.groupBy("user_id", "session").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"))
 
 
-@query("alert_rows")
+QUALITY = """, lv AS (SELECT DISTINCT t - t % 1800 AS slot FROM e WHERE event_type = 'view'), qp AS (SELECT a.slot, count(*) AS k, median(CAST(b.n AS DOUBLE)) AS med FROM s a JOIN s b ON a.slot % 86400 = b.slot % 86400 AND b.slot BETWEEN a.slot - 14 * 86400 AND a.slot - 1 AND b.slot IN (FROM lv) GROUP BY 1),
+ dq AS (SELECT s.slot, CASE WHEN s.slot NOT IN (FROM lv) THEN 'stale_live' WHEN coalesce(k, 0) < 8 THEN 'unknown' WHEN s.n < 0.6 * med THEN 'degraded' ELSE 'ok' END AS quality FROM s LEFT JOIN qp USING (slot))"""
+SP = "-log10(greatest(tail, 1e-300))"
+ALERTS = f""", al6 AS (SELECT scored.slot, CASE WHEN sigma >= 7 THEN 5 ELSE least(4, floor(4 * greatest(sigma, 0) / 7) + 1) END + 1 AS level, quality, tl.n AS takeoffs, mean, {SP} AS surprise FROM scored JOIN tl USING (slot) JOIN dq USING (slot)),
+ u6 AS (SELECT *, quality NOT IN ('degraded', 'stale_live') AND surprise >= 2 AS unusual FROM al6),
+ sv AS (SELECT *, CASE WHEN level >= 5 THEN 'critical' WHEN level = 4 THEN 'high' WHEN level = 3 THEN 'elevated' ELSE 'watch' END AS sev, CASE WHEN takeoffs >= greatest(3, 3 * mean) THEN CASE WHEN surprise > 4 THEN 'critical' WHEN surprise > 3 THEN 'high' WHEN surprise > 2.5 THEN 'elevated' ELSE 'watch' END ELSE 'watch' END AS tier FROM u6)
+ SELECT 'data_quality:all:' || slot AS event_key, 'data_quality' AS kind, 'watch' AS severity, slot AS t, 'observed' AS status FROM sv WHERE quality = 'degraded' UNION ALL
+ SELECT 'takeoff_batch:all:' || slot, 'takeoff_batch', 'watch', slot, 'observed' FROM sv WHERE takeoffs >= 3 UNION ALL
+ SELECT 'takeoff_rate_anomaly:all:' || slot, 'takeoff_rate_anomaly', tier, slot, 'pending' FROM sv WHERE unusual UNION ALL
+ SELECT 'statistical_anomaly:all:' || slot, 'statistical_anomaly', sev, slot, 'pending' FROM sv WHERE quality <> 'degraded' AND level >= 5 UNION ALL
+ SELECT 'takeoff_anomaly:all:' || slot, 'takeoff_anomaly', sev, slot, 'pending' FROM sv WHERE quality <> 'degraded' AND unusual AND level >= 4"""
+
+
+def judged_slots(spark, sf_dir):
+    """The slots with all that the detectors say of them; levels are raised by one, so that the small tables have some."""
+    s = scores(spark, sf_dir).select("slot", F.col("actual").alias("n"), "expected", "sigma", (F.col("level") + 1).alias("level"), F.lit(True).alias("ready"), F.lit(True).alias("rate_ready"))
+    t = detectors.takeoff_surprise(takeoff_counts(spark, sf_dir)).select("slot", F.col("n").alias("takeoffs"), F.col("mean").alias("takeoff_mean"), "surprise")
+    return s.join(t, "slot").join(detectors.data_quality(live_slots(spark, sf_dir)).select("slot", F.col("status").alias("quality")), "slot")
+
+
+def fixed_ladder(spark):
+    return spark.createDataFrame([("elevated", 2.5, 2.5), ("high", 3.0, 3.0), ("critical", 4.0, 4.0)], "tier string, model double, record double")
+
+
+@query("alert_rows", with_("e s o tk", SCORED + ", " + COUNTS.removeprefix("+") + TAIL + QUALITY + ALERTS))
 def alert_rows(spark, sf_dir):
-    s = scores(spark, sf_dir).select("slot", "level").join(detectors.takeoff_surprise(takeoff_counts(spark, sf_dir)), "slot")
-    now = s.agg(F.max("slot")).first()[0]
-    return alerts.alert_rows(s.withColumn("level", F.col("level") + 2), A.takeoffs(spark, sf_dir), now, 1440)
+    rows = judged_slots(spark, sf_dir).withColumn("crossing", F.lit(None).cast("string"))
+    return alerts.alert_rows(rows, fixed_ladder(spark)).select("event_key", "kind", "severity", "t", "status")
+
+
+@query("sustained_shifts")
+def sustained_shifts(spark, sf_dir):
+    """Alerts of the cumulative sum alone, the first day of each week held as a holiday that nothing has learnt."""
+    rows = judged_slots(spark, sf_dir)
+    z = rows.select(F.lit("all").alias("series"), "slot", (F.col("sigma") * 4).alias("z"), (F.pmod(day_of("slot"), F.lit(7)) == 0).alias("frozen"))
+    crossings = sequences.cusum_crossings(z, "series", "slot", "z", frozen="frozen").select("slot", F.col("severity").alias("crossing"))
+    out = alerts.alert_rows(rows.join(crossings, "slot", "left"), fixed_ladder(spark))
+    return out.filter("kind = 'sustained_shift'").select("event_key", "severity", "t", "status")
 
 
 @query("slot_of_day_quantiles", with_("e s", "SELECT CAST((slot % 86400) // 1800 AS BIGINT) AS slot_of_day, quantile_cont(CAST(n AS DOUBLE), 0.25) AS q25, quantile_cont(CAST(n AS DOUBLE), 0.9) AS q90, list_sort(list(n))[CAST(ceil(0.9 * count(n)) AS INT)] AS rank90 FROM s GROUP BY 1"))

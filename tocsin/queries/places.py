@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions.geo import grid_cell
-from ..operators import graph, joins, tables
+from ..operators import graph, joins, records, tables
 from ..plans import detectors
 from . import query, r6, with_
 
@@ -103,12 +103,44 @@ def departing_runs(spark, sf_dir):
     return detectors.departing_runs(A.readings(spark, sf_dir), ORDER)
 
 
-@query("seismic_verdict")
+QUAKES = """qk AS (SELECT station_id AS quake_id, lat, lon, CASE WHEN station_id % 11 = 0 THEN NULL ELSE CAST(station_id % 13 AS DOUBLE) END AS depth, CAST(station_id % 7 AS DOUBLE) AS magnitude, CASE station_id % 9 WHEN 0 THEN 'explosion' WHEN 1 THEN 'nuclear explosion' WHEN 2 THEN 'quarry blast' ELSE 'earthquake' END AS kind FROM st),
+ si AS (SELECT n_nationkey AS site_id, CAST((n_nationkey * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((n_nationkey * 73) % 340 - 170 AS DOUBLE) AS lon, CAST(300 + n_nationkey * 20 AS DOUBLE) AS radius, n_nationkey % 2 = 0 AS quiet FROM nation)"""
+
+
+@query("seismic_verdict", with_("st", f"""+ {QUAKES}, j AS (SELECT a.quake_id, b.site_id, quiet, {KM} AS km FROM qk a JOIN si b ON {KM} <= radius), nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY quake_id ORDER BY km, site_id) AS k FROM j) WHERE k = 1),
+ v AS (SELECT qk.*, site_id, km, quiet, coalesce(kind IN ('earthquake', 'explosion', 'collapse', 'other event') AND site_id IS NOT NULL AND magnitude >= 3.5, false) AS here, coalesce(depth <= 5, false) AS shallow, depth IS NULL OR depth = 10 AS unknown FROM qk LEFT JOIN nr USING (quake_id)),
+ o AS (SELECT *, CAST(CASE WHEN kind = 'nuclear explosion' THEN 5 WHEN here THEN CASE WHEN kind = 'explosion' OR shallow THEN 4 WHEN unknown THEN CASE WHEN quiet THEN 4 ELSE 3 END ELSE 1 END WHEN kind = 'explosion' AND magnitude >= 4 THEN 3 END AS INTEGER) AS level FROM v)
+ SELECT quake_id, CASE WHEN here OR level = 5 THEN site_id END AS site_id, CASE WHEN here OR level = 5 THEN round(km, 6) END AS km, level, CASE WHEN level = 5 THEN 'agency_classified_nuclear' WHEN here THEN 'test_site_geofence' ELSE 'agency_classified_explosion' END AS rule,
+ CASE WHEN level = 5 OR NOT here THEN 'as reported' WHEN shallow THEN 'shallow' WHEN unknown THEN 'unconstrained' ELSE 'deep' END AS "constraint" FROM o WHERE level IS NOT NULL"""))
 def seismic_verdict(spark, sf_dir):
     n = A.table(spark, sf_dir, "nation")
-    sites = n.select(F.col("n_nationkey").alias("site_id"), ((F.col("n_nationkey") * 37) % 140 - 70).cast("double").alias("site_lat"), ((F.col("n_nationkey") * 73) % 340 - 170).cast("double").alias("site_lon"))
-    q = A.stations(spark, sf_dir).select(F.col("station_id").alias("quake_id"), "lat", "lon", (F.col("station_id") % 13).cast("double").alias("depth"), (F.col("station_id") % 7).cast("double").alias("magnitude"))
-    return detectors.seismic_verdict(q, sites).select("quake_id", "site_id", r6("km").alias("km"), "verdict")
+    key = F.col("n_nationkey")
+    sites = n.select(key.alias("site_id"), ((key * 37) % 140 - 70).cast("double").alias("site_lat"), ((key * 73) % 340 - 170).cast("double").alias("site_lon"), (300 + key * 20).cast("double").alias("radius_km"), (key % 2 == 0).alias("quiet"))
+    i = F.col("station_id")
+    kind = F.when(i % 9 == 0, "explosion").when(i % 9 == 1, "nuclear explosion").when(i % 9 == 2, "quarry blast").otherwise("earthquake")
+    q = A.stations(spark, sf_dir).select(i.alias("quake_id"), "lat", "lon", F.when(i % 11 != 0, (i % 13).cast("double")).alias("depth"), (i % 7).cast("double").alias("magnitude"), kind.alias("classification"))
+    return detectors.seismic_verdict(q, sites, 800.0).select("quake_id", "site_id", r6("km").alias("km"), "level", "rule", "constraint")
+
+
+def cell_share(name: str, sign: str) -> str:
+    up = f"SELECT r, c, {sign}d AS d FROM dl WHERE {sign}d > 0"
+    return f"""{name} AS (SELECT coalesce(max(d) / sum(d), 0) AS cell, coalesce((SELECT max(t) FROM (SELECT sum(b.d) AS t FROM ({up}) a JOIN ({up}) b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.r, a.c)) / sum(d), 0) AS near FROM ({up}))"""
+
+
+@query("excess_pattern", f"""WITH sh AS (SELECT s_nationkey AS k, count(*) / (SELECT count(*) FROM supplier) AS x FROM supplier GROUP BY 1), ch AS (SELECT c_nationkey AS k, count(*) / (SELECT count(*) FROM customer) AS x FROM customer GROUP BY 1),
+ dl AS (SELECT n_nationkey // 5 AS r, n_nationkey % 5 AS c, coalesce(sh.x, 0) - coalesce(ch.x, 0) AS d FROM nation LEFT JOIN sh ON sh.k = n_nationkey LEFT JOIN ch ON ch.k = n_nationkey), {cell_share('u', '')}, {cell_share('w', '-')}
+ SELECT round(u.cell, 6) AS departure_cell, round(u.near, 6) AS departure_near, round(w.cell, 6) AS arrival_cell, round(w.near, 6) AS arrival_near,
+  CASE WHEN u.near >= 0.30 OR u.cell >= 0.18 THEN 'specific departure anchor' WHEN w.near >= 0.30 OR w.cell >= 0.18 THEN 'specific arrival anchor' WHEN u.near >= 0.16 AND u.near >= w.near THEN 'regional departure concentration' WHEN w.near >= 0.16 THEN 'regional arrival concentration' ELSE 'diffuse national redistribution' END AS label FROM u, w""")
+def excess_pattern(spark, sf_dir):
+    """Nations as grid cells: suppliers' shares over customers' as departures, the other way round as arrivals."""
+    share = lambda t, k: A.table(spark, sf_dir, t).groupBy(F.col(k).alias("k")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(A.table(spark, sf_dir, t).agg(F.count("*").alias("all")))).select("k", (F.col("n") / F.col("all")).alias(t))
+    d = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).join(share("supplier", "s_nationkey"), "k", "left").join(share("customer", "c_nationkey"), "k", "left")
+    d = d.select(F.floor(F.col("k") / 5).alias("r"), (F.col("k") % 5).alias("c"), (F.coalesce("supplier", F.lit(0.0)) - F.coalesce("customer", F.lit(0.0))).alias("delta"))
+    named = lambda df, name: df.select(F.col("cell_share").alias(f"{name}_cell"), F.col("near_share").alias(f"{name}_near"))
+    up, down = named(records.concentration(d, "r", "c"), "departure"), named(records.concentration(d.withColumn("delta", -F.col("delta")), "r", "c"), "arrival")
+    none = F.lit(0.0)
+    label = records.pattern_label(none, none, F.col("departure_near"), F.col("arrival_near"), F.col("departure_cell"), F.col("arrival_cell"))
+    return up.crossJoin(F.broadcast(down)).select(*[r6(f"{a}_{b}").alias(f"{a}_{b}") for a in ("departure", "arrival") for b in ("cell", "near")], label.alias("label"))
 
 
 @query("country_deltas", "SELECT n_name AS country, CAST(coalesce(a.n, 0) AS BIGINT) AS suppliers, CAST(coalesce(b.n, 0) AS BIGINT) AS customers, CAST(coalesce(a.n, 0) - coalesce(b.n, 0) AS BIGINT) AS delta FROM nation LEFT JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) a ON a.k = n_nationkey LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) b ON b.k = n_nationkey WHERE a.n IS NOT NULL OR b.n IS NOT NULL")

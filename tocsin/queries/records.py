@@ -81,18 +81,24 @@ def fusion_pairs(spark, sf_dir):
 
 @query("fusion_groups")
 def fusion_groups(spark, sf_dir):
-    return alerts.fusion_groups(alerts.fusion_pairs(signals(spark, sf_dir))).drop("component")
+    """Groups of urgent orders with their level; segments are kinds, and one of them is official."""
+    s = signals(spark, sf_dir).withColumn("severity", F.when(F.col("key") % 3 == 0, "high").otherwise("watch"))
+    return alerts.fusion_events(alerts.fusion_groups(s), s, "MACHINERY").select(F.array_join("members", ",").alias("members"), "size", "level", "t", "region", r6("lat").alias("lat"), r6("lon").alias("lon"))
+
+
+#: Orders up to the first day are in the old table, those from the second day on in the new one.
+OLD_UNTIL, NEW_FROM = 851990400, 788918400
 
 
 def batches(spark, sf_dir):
     a = A.alerts(spark, sf_dir)
-    old = a.filter("event_key % 3 <> 0").select("event_key", "severity", "t", F.when(F.col("status") == "F", "sent").otherwise("pending").alias("status"))
+    old = a.filter(F.col("t") <= OLD_UNTIL).select("event_key", "severity", "t", F.when(F.col("status") == "F", "sent").otherwise("pending").alias("status"))
     bump = F.when(F.col("event_key") % 5 == 0, "critical").when(F.col("event_key") % 7 == 0, "high").otherwise(F.col("severity"))
-    return old, a.filter("event_key % 2 = 0").select("event_key", bump.alias("severity"), (F.col("t") + 60).alias("t"))
+    return old, a.filter(F.col("t") >= NEW_FROM).select("event_key", bump.alias("severity"), (F.col("t") + 60).alias("t"))
 
 
-UPSERT = with_("al", """+ ol AS (SELECT event_key, severity, t, CASE WHEN status = 'F' THEN 'sent' ELSE 'pending' END AS status FROM al WHERE event_key % 3 <> 0),
- nw AS (SELECT event_key, CASE WHEN event_key % 5 = 0 THEN 'critical' WHEN event_key % 7 = 0 THEN 'high' ELSE severity END AS severity, t + 60 AS t FROM al WHERE event_key % 2 = 0),
+UPSERT = with_("al", f"""+ ol AS (SELECT event_key, severity, t, CASE WHEN status = 'F' THEN 'sent' ELSE 'pending' END AS status FROM al WHERE t <= {OLD_UNTIL}),
+ nw AS (SELECT event_key, CASE WHEN event_key % 5 = 0 THEN 'critical' WHEN event_key % 7 = 0 THEN 'high' ELSE severity END AS severity, t + 60 AS t FROM al WHERE t >= {NEW_FROM}),
  jn AS (SELECT coalesce(ol.event_key, nw.event_key) AS event_key, ol.severity AS os, nw.severity AS ns, ol.t AS ot, nw.t AS nt, ol.status, coalesce(list_position(['watch', 'elevated', 'high', 'critical'], ol.severity), 0) AS ro, coalesce(list_position(['watch', 'elevated', 'high', 'critical'], nw.severity), 0) AS rn FROM ol FULL JOIN nw ON ol.event_key = nw.event_key),
  up AS (SELECT event_key, CASE WHEN rn > ro THEN ns ELSE os END AS severity, greatest(coalesce(ot, nt), coalesce(nt, ot)) AS t, CASE WHEN status IS NULL OR (rn > ro AND ns IN ('high', 'critical')) THEN 'pending' ELSE status END AS status FROM jn)""")
 
@@ -102,13 +108,13 @@ def event_upsert(spark, sf_dir):
     return tables.severity_upsert(*batches(spark, sf_dir))
 
 
-@query("latest_upsert", with_("al", "SELECT event_key, CASE WHEN event_key % 2 = 0 THEN 'b' ELSE 'a' END AS origin, CASE WHEN event_key % 2 = 0 THEN t + 60 ELSE t END AS t FROM al WHERE event_key % 3 <> 0 OR event_key % 2 = 0"))
+@query("latest_upsert", with_("al", f"SELECT event_key, CASE WHEN t >= {NEW_FROM} THEN 'b' ELSE 'a' END AS origin, CASE WHEN t >= {NEW_FROM} THEN t + 60 ELSE t END AS t FROM al"))
 def latest_upsert(spark, sf_dir):
     old, new = batches(spark, sf_dir)
     return tables.upsert_latest(old.select("event_key", F.lit("a").alias("origin"), "t"), new.select("event_key", F.lit("b").alias("origin"), "t"), ["event_key"], "t")
 
 
-@query("insert_ignore", with_("al", "SELECT event_key, CASE WHEN event_key % 3 <> 0 THEN t ELSE t + 60 END AS t FROM al WHERE event_key % 3 <> 0 OR event_key % 2 = 0"))
+@query("insert_ignore", with_("al", f"SELECT event_key, CASE WHEN t <= {OLD_UNTIL} THEN t ELSE t + 60 END AS t FROM al"))
 def insert_ignore(spark, sf_dir):
     old, new = batches(spark, sf_dir)
     return tables.insert_ignore(old.select("event_key", "t"), new.select("event_key", "t"), ["event_key"])
@@ -170,10 +176,12 @@ def asof_notice_status(spark, sf_dir):
     return alerts.asof_status(notices, controls, 820454400).select("message_id", "status")
 
 
-@query("problem_states", with_("al", "+ c AS (SELECT cohort || ':' || severity AS problem, t, status <> 'F' AS bad FROM al), g AS (SELECT problem, max(t) AS good FROM c WHERE NOT bad GROUP BY 1) SELECT problem, min(t) AS since, max(t) - min(t) >= 600 AS paged FROM c LEFT JOIN g USING (problem) WHERE bad AND (good IS NULL OR t > good) GROUP BY 1"))
-def problem_states(spark, sf_dir):
-    a = A.alerts(spark, sf_dir).select(F.concat_ws(":", F.col("cohort").cast("string"), "severity").alias("problem"), "t", (F.col("status") != "F").alias("bad"))
-    return alerts.problem_states(a, 600)
+@query("problem_pages")
+def problem_pages(spark, sf_dir):
+    """Events as checks a minute apart, one box a type of event: a problem is a user with a high value."""
+    e = A.events(spark, sf_dir)
+    problem = F.when(F.col("value") > 60, F.concat(F.lit("feed "), (F.col("user_id") % 2).cast("string"), F.lit(" is late ("), F.col("value").cast("int").cast("string"), F.lit(" s)")))
+    return alerts.problem_pages(e.select(F.col("event_type").alias("box"), (F.col("event_id") * 60).alias("t"), problem.alias("problem"))).withColumn("problems", F.array_join("problems", ","))
 
 
 #: Ordered rules, the first that matches names the category.
