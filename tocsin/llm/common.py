@@ -17,8 +17,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import shared_dir
 
-#: Rows and bytes of text that are handled at once, whatever the Arrow batches (Spark bounds those in bytes); a longer text comes alone.
+#: Rows and bytes of text that are handled at once; a longer text comes alone.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: The most that the session's Arrow batches may hold: executors keep several of them beside the heap.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 4000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 #: A-Z to a-z; every ASCII byte that is neither letter nor digit to a space. Bytes over 0x7F stay, so it acts on UTF-8.
 WORD_TABLE = bytes(
@@ -155,6 +157,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; the limits of its session's Arrow batches are lowered to ARROW where they are larger. They hold when df is run, so they stay."""
+    conf = df.sparkSession.conf
+    for name, most in ARROW.items():
+        now = int(str(conf.get(name)).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def parts(batches: Iterator[pa.RecordBatch], text_col: str, rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of the batches of at most so many rows and about BATCH_BYTES of text."""
     for b in batches:
@@ -199,7 +211,7 @@ def per_row(
                 kids = [pa.array(c, arrow[i].type) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.StructArray.from_arrays(kids, fields=list(arrow))], [*keep, name])
 
-    return df.select(*[q(c) for c in keep], q(text_col).cast("binary").alias(tmp)).mapInArrow(run, schema)
+    return small_batches(df).select(*[q(c) for c in keep], q(text_col).cast("binary").alias(tmp)).mapInArrow(run, schema)
 
 
 def tokenizer_path(name: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, dropped, free_name, grams, mix, parts, release, table, word_hashes, written
+from .common import LOWER, dropped, free_name, grams, mix, parts, release, small_batches, table, word_hashes, written
 from .warc import join_by_group
 
 SHINGLE = 5
@@ -40,7 +40,7 @@ TILE = 1024
 #: The most shingles that are ordered last; with their counts, what is sent to the tasks.
 COMMON = 250_000
 #: Shingles of one chunk in which tasks look for common ones.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Bits of the filter that picks the rows whose sets are compared exactly: 2 MiB.
 SIEVE_BITS = 1 << 24
 #: A shingle that more than one of so many rows has is hot, at most the first so many of them: the choice moves work only.
@@ -111,7 +111,7 @@ def members(rows: DataFrame, k: int) -> DataFrame:
         if held:
             yield counts()
 
-    made = rows.select("id", "tie", "text").mapInArrow(run, "id long, tie long, n long, set binary, bits binary, s long, c long")
+    made = small_batches(rows).select("id", "tie", "text").mapInArrow(run, "id long, tie long, n long, set binary, bits binary, s long, c long")
     return written(made.withColumn("row", F.monotonically_increasing_id()), "members")
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, per_row, remainder, table
+from .common import parts, per_row, remainder, small_batches, table
 
 BINS = 1 << 17
 ORDERS = (2, 3, 4)
@@ -119,7 +119,7 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
             kinds = (pa.float64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["at", "lang", "whole", "bins"])
 
-    got = some.select("lang", "at", "text").mapInArrow(run, "at double, lang string, whole boolean, bins array<int>").toPandas()
+    got = small_batches(some).select("lang", "at", "text").mapInArrow(run, "at double, lang string, whole boolean, bins array<int>").toPandas()
     got["first"] = got["bins"].map(lambda x: int(x[0]) * BINS + len(x))
     got = got.sort_values(["lang", "at", "whole", "first"], kind="stable")
     return [np.asarray(x) for x in got["bins"]], got["lang"].tolist(), np.flatnonzero(got["whole"].to_numpy(bool)).tolist()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, grams, parts, per_row, table, word_hashes, words_alnum
+from .common import ALNUM, grams, parts, per_row, small_batches, table, word_hashes, words_alnum
 
 #: Words in a gram; how far apart diagonals may be to count as one; least share of the template, and of the span, that is covered.
 K, NEAR, MIN_TEMPLATE, MIN_SPAN = 3, 6, 0.6, 0.5
@@ -109,7 +109,7 @@ def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, "id long, tie long, pos int, gram long")
+    return small_batches(docs).mapInArrow(run, "id long, tie long, pos int, gram long")
 
 
 def template_spans(docs: DataFrame, k: int = K) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, free_name, parts, per_row, table, written
+from .common import dropped, free_name, parts, per_row, small_batches, table, written
 from .warc import join_by_group
 
 KINDS = ("email", "ip", "card", "phone")
@@ -244,7 +244,7 @@ def graph(rows: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "tie", "start", "end", "value", "patterns", "seed"])
 
-    return rows.select("id", "tie", "text").mapInArrow(run, "id long, tie long, start int, end int, value string, patterns array<string>, seed boolean")
+    return small_batches(rows).select("id", "tie", "text").mapInArrow(run, "id long, tie long, start int, end int, value string, patterns array<string>, seed boolean")
 
 
 def sure_instances(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -329,7 +329,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             at = b.schema.get_field_index(text_col)
             yield b.set_column(at, b.schema.field(at), pa.array(texts, pa.string())).drop_columns([found])
 
-    return rows.mapInArrow(run, docs.schema)
+    return small_batches(rows).mapInArrow(run, docs.schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import BATCH_ROWS, parts, shared_dir, table, tokenizer_path
+from .common import BATCH_ROWS, parts, shared_dir, small_batches, table, tokenizer_path
 
 MAGIC = b"TOCSIN8B"
 FILE_IDS = 4 << 20
@@ -248,7 +248,7 @@ def write_tokens(docs: DataFrame, id_col: str, text_col: str, folder: str, token
     folder = folder.rstrip("/")
     filesystem, base = fs.FileSystem.from_uri(folder)
     filesystem.create_dir(base)
-    rows.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    small_batches(rows).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
