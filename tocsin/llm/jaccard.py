@@ -380,7 +380,9 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = members(rows, k)
     own, counts = both.filter(F.col("n").isNotNull()), both.filter(F.col("n").isNull())
     worded = own.filter(F.col("set").isNotNull())
-    groups = written(worded.groupBy("set").agg(F.min("row").alias("node"), F.min("id").alias("least"), F.count("*").alias("n_same")), "groups")
+    groups = worded.groupBy("set").agg(F.min("row").alias("row"), F.min("id").alias("least"), F.count("*").alias("n_same"))
+    # nodes are numbered in the order of ids, so that hubs are the earliest documents: those that later ones are copies of
+    groups = written(groups.orderBy(F.asc_nulls_last("least"), "set").withColumn("node", F.monotonically_increasing_id()), "groups")
     n_rows = groups.agg(F.sum("n_same")).first()[0] or 0
     common = common_shingles(counts, n_rows)
     sets = prefixes(rows, k, threshold, common).groupBy("set").agg(F.first("prefix").alias("prefix"), F.first("hot").alias("hot"))
@@ -392,8 +394,9 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(docs.sparkSession)
     shared = written(one_of_equal(buckets), "buckets")
     dropped(buckets)
-    named = own.select(F.col("row").alias("id"), "n", "bits")
-    items = written(named.join(shared.select("id").distinct(), "id", "left_semi"), "signatures")
+    reps = groups.select("row", "node").join(shared.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    reps = written(own.join(reps, "row").select("node", "id", "tie", "n", "bits"), "signatures")
+    items = reps.select(F.col("node").alias("id"), "n", "bits")
     release(docs.sparkSession)
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -401,7 +404,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if pairs.isEmpty():
             return pairs
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        nodes = written(own.select(F.col("row").alias("node"), "id", "tie").join(nodes, "node", "left_semi"), "nodes")
+        nodes = written(reps.select("node", "id", "tie").join(nodes, "node", "left_semi"), "nodes")
         sets = written(sets_of(rows, nodes, k), "sets")
         out = written(verified(pairs, sets, threshold), "verified")
         for x in (sets, nodes, pairs):
@@ -422,7 +425,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         links = written(links.union(more), "verified")
         dropped(labels)
         labels = components(links)
-    dropped(items)
+    dropped(reps)
     dropped(shared)
     release(docs.sparkSession)
     named = groups.join(labels.withColumnRenamed("id", "node"), "node", "left").select("set", "n_same", "least", F.coalesce("component", "node").alias("component"))
@@ -430,7 +433,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = written(named.drop("least").join(least, "component"), "labels")
     some = join_by_group(worded, named, "set", "n_same", n_rows).select("id", "tie", "n", "component", "component_id")
-    return some.unionByName(own.filter(F.col("set").isNull()).select("id", "tie", "n", F.col("row").alias("component"), F.col("id").alias("component_id")))
+    return some.unionByName(own.filter(F.col("set").isNull()).select("id", "tie", "n", (-1 - F.col("row")).alias("component"), F.col("id").alias("component_id")))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
