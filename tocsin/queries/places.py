@@ -37,7 +37,16 @@ def dbscan_points(spark, sf_dir):
     return graph.dbscan(A.stations(spark, sf_dir), "station_id", 1600.0, 3).withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
 
 
-@query("cluster_summary")
+CLUSTERS = f"""WITH RECURSIVE st AS (SELECT s_suppkey AS station_id, CAST((s_suppkey * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((s_suppkey * 73) % 340 - 170 AS DOUBLE) AS lon FROM supplier),
+ nb AS (SELECT a.station_id AS a, b.station_id AS b FROM st a JOIN st b ON a.station_id <> b.station_id WHERE {KM} <= 1600),
+ cr AS (SELECT a AS id FROM nb GROUP BY 1 HAVING count(*) + 1 >= 3), rc(id, hop) AS (SELECT id, id FROM cr UNION SELECT rc.id, nb.b FROM rc JOIN nb ON rc.hop = nb.a JOIN cr ON cr.id = nb.b),
+ co AS (SELECT id, min(hop) AS cluster FROM rc GROUP BY 1), mb AS (SELECT id, cluster FROM co UNION ALL SELECT nb.a, min(cluster) FROM nb JOIN co ON nb.b = co.id WHERE nb.a NOT IN (SELECT id FROM cr) GROUP BY 1),
+ ce AS (SELECT cluster, count(*) AS n, avg(lat) AS lat, avg(lon) AS lon FROM mb JOIN st ON id = station_id GROUP BY 1),
+ ds AS (SELECT b.cluster, a.station_id, {KM} AS km FROM mb JOIN st a ON mb.id = a.station_id JOIN ce b ON b.cluster = mb.cluster)
+ SELECT cluster, n, round(lat, 6) AS lat, round(lon, 6) AS lon, (SELECT station_id FROM ds WHERE ds.cluster = ce.cluster ORDER BY km, station_id LIMIT 1) AS nearest FROM ce"""
+
+
+@query("cluster_summary", CLUSTERS)
 def cluster_summary(spark, sf_dir):
     s = A.stations(spark, sf_dir)
     c = graph.dbscan(s, "station_id", 1600.0, 3).filter("cluster is not null")
@@ -45,7 +54,15 @@ def cluster_summary(spark, sf_dir):
     return out.select("cluster", "n", r6("lat").alias("lat"), r6("lon").alias("lon"), "nearest")
 
 
-@query("spread_stations")
+#: The rule taken literally: station by station in the order of value, each kept unless one kept before is near.
+SPREAD = f"""WITH RECURSIVE st AS (SELECT s_suppkey AS station_id, CAST((s_suppkey * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((s_suppkey * 73) % 340 - 170 AS DOUBLE) AS lon FROM supplier),
+ nb AS (SELECT a.station_id AS id, list(b.station_id) AS near FROM st a JOIN st b ON a.station_id <> b.station_id WHERE {KM} <= 1200 GROUP BY 1),
+ od AS (SELECT station_id, coalesce(near, []) AS near, row_number() OVER (ORDER BY abs(lat) DESC, station_id) AS k FROM st LEFT JOIN nb ON id = station_id),
+ rc(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT od.k, CASE WHEN list_has_any(rc.kept, od.near) THEN rc.kept ELSE list_append(rc.kept, od.station_id) END FROM rc JOIN od ON od.k = rc.k + 1)
+ SELECT station_id, abs(lat) AS v FROM st WHERE list_contains((SELECT kept FROM rc ORDER BY k DESC LIMIT 1), station_id)"""
+
+
+@query("spread_stations", SPREAD)
 def spread_stations(spark, sf_dir):
     return graph.spread_first(A.stations(spark, sf_dir).withColumn("v", F.abs("lat")), "station_id", "v", 1200.0).select("station_id", "v")
 
@@ -68,7 +85,13 @@ def grid_presence_delta(spark, sf_dir):
     return out.withColumn("delta", F.col("present") - F.col("usual"))
 
 
-@query("grid_components")
+GRID = """WITH RECURSIVE g AS (SELECT CAST(floor(((s_suppkey * 37) % 140 - 70) / (600 / 69.0)) AS BIGINT) AS r, CAST((s_suppkey * 73) % 340 - 170 AS DOUBLE) AS lon FROM supplier),
+ c AS (SELECT DISTINCT r, CAST(floor(lon / ((600 / 69.0) / greatest(cos(radians((r + 0.5) * (600 / 69.0))), 0.05))) AS BIGINT) AS c FROM g),
+ rc(r, c, hr, hc) AS (SELECT r, c, r, c FROM c UNION SELECT rc.r, rc.c, c.r, c.c FROM rc JOIN c ON abs(c.r - rc.hr) <= 1 AND abs(c.c - rc.hc) <= 1)
+ SELECT r AS cell_row, c AS cell_col, min({'r': hr, 'c': hc}).r || ':' || min({'r': hr, 'c': hc}).c AS component FROM rc GROUP BY 1, 2"""
+
+
+@query("grid_components", GRID)
 def grid_components(spark, sf_dir):
     row, col = grid_cell("lat", "lon", 600.0)
     return graph.grid_components(A.stations(spark, sf_dir).select(row.alias("cell_row"), col.alias("cell_col")), "cell_row", "cell_col")

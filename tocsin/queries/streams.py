@@ -13,7 +13,7 @@ from ..plans.tracks import flights, turnarounds
 from ..session import shared_dir
 from ..sources import heatmap
 from ..streaming import state
-from . import query, r6
+from . import query, r6, with_
 
 
 def work_folder(spark) -> str:
@@ -21,7 +21,7 @@ def work_folder(spark) -> str:
     return f"{shared_dir(spark)}/tocsin-{uuid.uuid4().hex}"
 
 
-@query("stream_slot_counts")
+@query("stream_slot_counts", with_("e s", "SELECT slot, n FROM s WHERE (slot + 1800) * 1000 <= (SELECT max(epoch_ms(ts)) - 3600000 FROM events)"))
 def stream_slot_counts(spark, sf_dir):
     s = state.window_counts(state.event_stream(spark, sf_dir), "ts")
     return state.run_to_table(s, work_folder(spark))
@@ -71,7 +71,13 @@ def point_files(spark, sf_dir) -> str:
     return folder
 
 
-@query("heatmap_decode")
+HEATMAP = with_("e o", """+ h AS (SELECT format('{:06x}', hex) AS hex, t - t % 1800 AS slot, airborne, round_even(v * 20, 0) * 25 AS alt, CASE WHEN v < 400 THEN round_even(v, 0) END AS gs FROM o)
+ SELECT hex, count(*) AS n, min(slot) * 1000 AS first_ms, max(slot) * 1000 AS last_ms, count(*) FILTER (NOT airborne) AS on_ground, min(alt) FILTER (airborne) AS lowest, max(alt) FILTER (airborne) AS highest, max(gs) AS fastest,
+ CAST(NULL AS VARCHAR) AS callsign, CAST(NULL AS VARCHAR) AS squawk FROM h GROUP BY 1
+ UNION ALL SELECT '~0000aa', count(DISTINCT slot), min(slot) * 1000, max(slot) * 1000, 0, NULL, NULL, NULL, 'TEST1', '1200' FROM h""")
+
+
+@query("heatmap_decode", HEATMAP)
 def heatmap_decode(spark, sf_dir):
     heatmap.register(spark)
     d = spark.read.format("heatmap").load(point_files(spark, sf_dir))
@@ -81,7 +87,12 @@ def heatmap_decode(spark, sf_dir):
     )
 
 
-@query("heatmap_latest")
+LATEST = with_("e o", """+ h AS (SELECT *, t - t % 1800 AS slot, CAST(t // 86400 AS VARCHAR) || '.bin.ttf' AS file, (hex * 37) % 140 - 70 + (t % 1800) / 1e4 AS lat FROM o)
+ SELECT file, slot * 1000 AS slice_ms, format('{:06x}', hex) AS hex, round(lat, 6) AS lat, CASE WHEN airborne THEN round_even(v * 20, 0) * 25 END AS alt_ft, NOT airborne AS on_ground, CASE WHEN v < 400 THEN round_even(v, 0) END AS gs_kt
+ FROM h WHERE slot = (SELECT max(slot) FROM h x WHERE x.file = h.file) AND lat BETWEEN -60 AND 60""")
+
+
+@query("heatmap_latest", LATEST)
 def heatmap_latest(spark, sf_dir):
     """The newest slice of each file, in a box."""
     heatmap.register(spark)
@@ -107,7 +118,8 @@ def fixes(spark, sf_dir):
     return o.select("hex", "t", (F.sin(angle) * 3).alias("lat"), (F.cos(angle) * 3).alias("lon"), F.when(F.col("airborne"), F.col("v") * 100).otherwise(0.0).alias("alt_ft"), F.when(F.col("airborne"), F.col("v")).otherwise(10.0).alias("gs_kt"), (~F.col("airborne")).alias("ground"))
 
 
-@query("stream_cusum_batch")
+@query("stream_cusum_batch", with_("e", """+ f AS (SELECT event_type AS series, list_prepend(0.0::DOUBLE, list(greatest(-4.0, least(8.0, (value - 100) / 60)) - 1.5 ORDER BY t, event_id)) AS steps FROM e GROUP BY 1)
+ SELECT series, round(max(list_reduce(steps[: k], lambda a, x: greatest(0.0, a + x))), 6) AS peak FROM f, unnest(range(1, len(steps) + 1)) u(k) GROUP BY 1"""))
 def stream_cusum_batch(spark, sf_dir):
     """The batch twin of stream_cusum's sums, by closed form."""
     e = A.events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("t").alias("slot"), "event_id", ((F.col("value") - 100) / 60).alias("z"))
