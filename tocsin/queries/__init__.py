@@ -26,6 +26,15 @@ def with_(names: str, sql: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({PRELUDE[n]})" for n in names.split()) + (", " if sql.lstrip().startswith("+") else " ") + sql.lstrip().removeprefix("+")
 
 
+def alarm_oracle(names: str, q: str, s: str = "s") -> str:
+    """Crossings by the alarm's rule taken literally, sample by sample; q ends in the samples (series, slot, tie, z)."""
+    return with_(names, q + f""", od AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY slot, tie) AS k FROM q),
+ rc AS (WITH RECURSIVE r(series, k, slot, s, fired, was) AS (SELECT DISTINCT series, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), 0, 0 FROM q
+  UNION ALL SELECT series, k, slot, v, greatest(CASE WHEN v < 6 THEN 0 ELSE fired END, CASE WHEN v >= 20 THEN 2 WHEN v >= 12 THEN 1 ELSE 0 END), CASE WHEN v < 6 THEN 0 ELSE fired END
+  FROM (SELECT r.series, od.k, od.slot, r.fired, greatest(0.0, r.s + least(8.0, greatest(-4.0, od.z)) - 1.5) AS v FROM r JOIN od ON od.series = r.series AND od.k = r.k + 1)) SELECT * FROM r)
+ SELECT series, slot, CASE fired WHEN 2 THEN 'critical' ELSE 'high' END AS severity, {s} AS s FROM rc WHERE fired > was""")
+
+
 def query(name: str, sql: str | None = None):
     """Register a query and its oracle."""
 

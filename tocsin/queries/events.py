@@ -9,7 +9,7 @@ from ..functions.stats import nearest_rank, quantile, robust_by, robust_sigma
 from ..functions.timeutil import day_of, half_hour_floor, slot_of_day
 from ..operators import joins, sequences, tables
 from ..plans import alerts, baseline, detectors
-from . import query, r6, with_
+from . import alarm_oracle, query, r6, with_
 
 WS = "((slot // 86400 + 4) % 7) * 48 + (slot % 86400) // 1800"
 #: M1 and M7 in SQL: scored slots.
@@ -154,9 +154,9 @@ def cusum_series(spark, sf_dir):
     return sequences.cusum(series_z(spark, sf_dir), "series", "slot", F.col("z"), 0.5).select("series", "slot", r6("s").alias("s"))
 
 
-@query("cusum_crossings")
+@query("cusum_crossings", alarm_oracle("e", Z + ", q AS (SELECT series, slot, 0 AS tie, z * 3 AS z FROM z)", "round(s, 6)"))
 def cusum_crossings(spark, sf_dir):
-    return sequences.cusum_crossings(series_z(spark, sf_dir).withColumn("z", F.col("z") * 3), "series", "slot", "z")
+    return sequences.cusum_crossings(series_z(spark, sf_dir).withColumn("z", F.col("z") * 3), "series", "slot", "z").withColumn("s", r6("s"))
 
 
 @query("healthy_slots", with_("e", "SELECT t - t % 1800 AS slot, count(*) AS total FROM e GROUP BY 1 HAVING count(DISTINCT CASE WHEN event_type IN ('view', 'click') THEN event_type END) = 2"))

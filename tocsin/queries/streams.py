@@ -13,7 +13,7 @@ from ..plans.tracks import flights, turnarounds
 from ..session import shared_dir
 from ..sources import heatmap
 from ..streaming import state
-from . import query, r6, with_
+from . import alarm_oracle, query, r6, with_
 
 
 def work_folder(spark) -> str:
@@ -27,13 +27,13 @@ def stream_slot_counts(spark, sf_dir):
     return state.run_to_table(s, work_folder(spark))
 
 
-@query("stream_transitions")
+@query("stream_transitions", with_("e o tk", "SELECT hex, t, previous FROM tk"))
 def stream_transitions(spark, sf_dir):
-    e = state.event_stream(spark, sf_dir).select(F.col("user_id").alias("hex"), F.unix_seconds("ts").alias("t"), (~F.col("event_type").isin("signup", "error")).alias("airborne"))
-    return state.run_to_table(state.transition_stream(e, "hex", "t", "airborne"), work_folder(spark))
+    e = state.event_stream(spark, sf_dir).select(F.col("user_id").alias("hex"), F.unix_seconds("ts").alias("t"), (~F.col("event_type").isin("signup", "error")).alias("airborne"), "event_id")
+    return state.run_to_table(state.transition_stream(e, "hex", "t", "airborne", "event_id"), work_folder(spark))
 
 
-@query("stream_cusum")
+@query("stream_cusum", alarm_oracle("e", "+ q AS (SELECT event_type AS series, t AS slot, event_id AS tie, (value - 100) / 60 AS z FROM e)"))
 def stream_cusum(spark, sf_dir):
     e = state.event_stream(spark, sf_dir).select(F.col("event_type").alias("series"), F.unix_seconds("ts").alias("slot"), "event_id", ((F.col("value") - 100) / 60).alias("z"))
     return state.run_to_table(state.cusum_stream(e, "series", "slot", "z", "event_id"), work_folder(spark))

@@ -43,23 +43,25 @@ def cusum_stream(rows: DataFrame, key: str, time: str, z: str, tie: str | None =
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} long, severity string, s double", "s double, fired int, last long, tie long", "append", GroupStateTimeout.NoTimeout)
 
 
-def transition_stream(rows: DataFrame, key: str, time: str, flag: str) -> DataFrame:
-    """key, time, previous of rows that turn the flag on; the flag and time of a key's last row are its state."""
+def transition_stream(rows: DataFrame, key: str, time: str, flag: str, tie: str | None = None) -> DataFrame:
+    """key, time, previous of rows that turn the flag on; the flag, time and tie of a key's last row are its state. Of rows of one time the
+    larger tie is later; a row no later than the state's last one is passed over, so a repeated batch changes nothing."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was, last = state.get if state.exists else (None, None)
+        was, last, at = state.get if state.exists else (None, None, None)
         out = []
-        for t, on in pd.concat(frames).sort_values(time, kind="stable")[[time, flag]].itertuples(index=False):
-            if last is not None and t < last:
+        for t, on, i in pd.concat(frames).sort_values([time, "_tie"], kind="stable")[[time, flag, "_tie"]].itertuples(index=False, name=None):
+            if last is not None and (t < last or (tie and (t, i) <= (last, at))):
                 continue
             if on and was is False:
                 out.append((k[0], int(t), int(last)))
-            was, last = bool(on), int(t)
-        state.update((was, last))
+            was, last, at = bool(on), int(t), int(i)
+        state.update((was, last, at))
         yield pd.DataFrame(out, columns=[key, time, "previous"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} long, previous long", "was boolean, last long", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.select(key, time, flag, (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} long, previous long", "was boolean, last long, tie long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
