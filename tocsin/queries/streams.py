@@ -33,9 +33,9 @@ def stream_transitions(spark, sf_dir):
     return state.run_to_table(state.transition_stream(e, "hex", "t", "airborne", "event_id"), work_folder(spark))
 
 
-@query("stream_cusum", alarm_oracle("e", "+ q AS (SELECT event_type AS series, t AS slot, event_id AS tie, (value - 100) / 60 AS z FROM e)"))
+@query("stream_cusum", alarm_oracle("e", "+ q AS (SELECT event_type AS series, t AS slot, event_id AS tie, (value - 40) / 20 AS z FROM e)"))
 def stream_cusum(spark, sf_dir):
-    e = state.event_stream(spark, sf_dir).select(F.col("event_type").alias("series"), F.unix_seconds("ts").alias("slot"), "event_id", ((F.col("value") - 100) / 60).alias("z"))
+    e = state.event_stream(spark, sf_dir).select(F.col("event_type").alias("series"), F.unix_seconds("ts").alias("slot"), "event_id", ((F.col("value") - 40) / 20).alias("z"))
     return state.run_to_table(state.cusum_stream(e, "series", "slot", "z", "event_id"), work_folder(spark))
 
 
@@ -118,9 +118,9 @@ def fixes(spark, sf_dir):
     return o.select("hex", "t", (F.sin(angle) * 3).alias("lat"), (F.cos(angle) * 3).alias("lon"), F.when(F.col("airborne"), F.col("v") * 100).otherwise(0.0).alias("alt_ft"), F.when(F.col("airborne"), F.col("v")).otherwise(10.0).alias("gs_kt"), (~F.col("airborne")).alias("ground"))
 
 
-@query("stream_cusum_batch", with_("e", """+ f AS (SELECT event_type AS series, list_prepend(0.0::DOUBLE, list(greatest(-4.0, least(8.0, (value - 100) / 60)) - 1.5 ORDER BY t, event_id)) AS steps FROM e GROUP BY 1)
+@query("stream_cusum_batch", with_("e", """+ f AS (SELECT event_type AS series, list_prepend(0.0::DOUBLE, list(greatest(-4.0, least(8.0, (value - 40) / 20)) - 1.5 ORDER BY t, event_id)) AS steps FROM e GROUP BY 1)
  SELECT series, round(max(list_reduce(steps[: k], lambda a, x: greatest(0.0, a + x))), 6) AS peak FROM f, unnest(range(1, len(steps) + 1)) u(k) GROUP BY 1"""))
 def stream_cusum_batch(spark, sf_dir):
     """The batch twin of stream_cusum's sums, by closed form."""
-    e = A.events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("t").alias("slot"), "event_id", ((F.col("value") - 100) / 60).alias("z"))
+    e = A.events(spark, sf_dir).select(F.col("event_type").alias("series"), F.col("t").alias("slot"), "event_id", ((F.col("value") - 40) / 20).alias("z"))
     return cusum(e, "series", ["slot", "event_id"], F.col("z"), 1.5).groupBy("series").agg(r6(F.max("s")).alias("peak"))
