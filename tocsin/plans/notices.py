@@ -77,8 +77,9 @@ def aircraft_summary(fixes: DataFrame, keys: list[str], special: list[str]) -> D
 
 def report_blocks(pages: DataFrame, body: str, marker: str, keys: list[str]) -> DataFrame:
     """number and fields of the blocks of a report that begin with marker and a number; a field is 'Key: value' up to the line's end."""
-    blocks = pages.select(F.explode(F.slice(F.split(body, marker), 2, 100_000)).alias("b"))
-    field = lambda k: F.nullif(F.trim(F.regexp_extract("b", rf"{k}:\s*([^\n]*)", 1)), F.lit("")).alias(k.lower().replace(" ", "_"))
+    parts = F.split(body, marker)
+    blocks = pages.select(F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("b"))
+    field = lambda k: F.nullif(F.trim(F.regexp_extract("b", rf"{k}:[ \t]*([^\n]*)", 1)), F.lit("")).alias(k.lower().replace(" ", "_"))
     return blocks.select(F.regexp_extract("b", r"^\s*(\d+)", 1).cast("long").alias("number"), *[field(k) for k in keys])
 
 
