@@ -1,5 +1,5 @@
 """All queries of the engine and their DuckDB counterparts."""
 
-from .queries import ORACLE_SQL, QUERIES, events, notices, places, records, streams, texts
+from .queries import ORACLE_SQL, QUERIES, assembly, events, notices, places, records, streams, texts
 
-__all__ = ["ORACLE_SQL", "QUERIES", "events", "notices", "places", "records", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "events", "notices", "places", "records", "streams", "texts"]

@@ -106,3 +106,11 @@ def spread_first(points: DataFrame, key: str, value: str, km: float) -> DataFram
         out = now.union(edges.join(now.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"))).distinct()
         open_ = kept(open_.join(out, "id", "left_anti"))
     return points if chosen is None else points.join(chosen.withColumnRenamed("id", key), key, "left_semi")
+
+
+def strongest_associations(closure: DataFrame, links: DataFrame) -> DataFrame:
+    """node, topic, primary: what a node and its ancestors (closure: node, ancestor) are linked with (links: node, topic, primary), and
+    whether any of these links is a primary one."""
+    own = links.select("node", "topic", "primary")
+    of = closure.join(own.withColumnRenamed("node", "ancestor"), "ancestor").select("node", "topic", "primary")
+    return own.unionByName(of).groupBy("node", "topic").agg(F.bool_or("primary").alias("primary"))

@@ -194,3 +194,14 @@ def byte_budget(rows: DataFrame, key: str, order: str, size: str, budget: int) -
         return pdf[keep]
 
     return rows.groupBy(key).applyInPandas(run, rows.schema)
+
+
+def phase_runs(rows: DataFrame, key: str, order, phase: str, unknown: str) -> DataFrame:
+    """Runs of equal phases once unknown ones are left out, so that they part no run."""
+    return run_lengths(rows.filter(F.col(phase) != unknown), key, order, phase)
+
+
+def cusum_stretches(rows: DataFrame, key: str, time: str, z: Column, k: float, step: int, name: str = "s") -> DataFrame:
+    """cusum that begins anew after a gap of more than a step."""
+    cut = islands(rows, key, time, F.col(time) - F.lag(time).over(by(key, time)) > step, "_stretch")
+    return cusum(cut, [key, "_stretch"], time, z, k, name=name).drop("_stretch")

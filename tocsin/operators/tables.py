@@ -84,3 +84,41 @@ def merge_counts(a: DataFrame, b: DataFrame, keys: list[str], x: str, y: str) ->
 def top_counts(rows: DataFrame, value: Column, n: int, name: str = "value") -> DataFrame:
     """The n commonest values, ties by value."""
     return rows.groupBy(value.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)
+
+
+def optional_filters(rows: DataFrame, **wanted) -> DataFrame:
+    """rows whose columns equal the wanted values; None asks for nothing."""
+    for c, v in wanted.items():
+        rows = rows if v is None else rows.filter(F.col(c) == v)
+    return rows
+
+
+def retained(rows: DataFrame, time: str, now: int, seconds: int) -> DataFrame:
+    """rows of the last seconds before now: a plain filter, so that it reaches the scan."""
+    return rows.filter(F.col(time) >= now - seconds)
+
+
+def batch_after(rows: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The next rows in the order of a key."""
+    return rows.filter(F.col(key) > after).orderBy(key).limit(size)
+
+
+def top_of_tops(parts: list[DataFrame], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of several tables, each giving no more than its own first n."""
+    best = [p.orderBy(*order).limit(n) for p in parts]
+    out = best[0]
+    for p in best[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(*order).limit(n)
+
+
+def zipped(rows: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """key, place (from 0), left, right: two arrays of a row taken side by side; the shorter one ends in nulls."""
+    at = rows.select(key, F.posexplode(F.arrays_zip(left, right)).alias("place", "_z"))
+    return at.select(key, F.col("place").cast("long").alias("place"), f"_z.{left}", f"_z.{right}")
+
+
+def enrolled(rows: DataFrame, source: str, poll: str) -> DataFrame:
+    """rows with history: whether they come from their source's first poll, which opens no incident."""
+    first = rows.groupBy(source).agg(F.min(poll).alias("_first"))
+    return rows.join(first, source).withColumn("history", F.col(poll) == F.col("_first")).drop("_first")
