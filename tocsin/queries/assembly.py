@@ -13,8 +13,8 @@ from .notices import NOW
 from .records import lineage
 
 
-@query("optional_filter", with_("e", "SELECT event_id, coalesce(CASE WHEN value > 90 THEN 'high' END, CASE WHEN user_id % 2 = 0 THEN 'even' END, event_type) AS label FROM e WHERE event_type = 'click'"))
-def optional_filter(spark, sf_dir):
+@query("filter_if_given", with_("e", "SELECT event_id, coalesce(CASE WHEN value > 90 THEN 'high' END, CASE WHEN user_id % 2 = 0 THEN 'even' END, event_type) AS label FROM e WHERE event_type = 'click'"))
+def filter_if_given(spark, sf_dir):
     label = F.coalesce(F.when(F.col("value") > 90, "high"), F.when(F.col("user_id") % 2 == 0, "even"), F.col("event_type"))
     return tables.optional_filters(A.events(spark, sf_dir), event_type="click", user_id=None).select("event_id", label.alias("label"))
 

@@ -10,11 +10,12 @@ from ..functions.geo import mercator_to_degrees
 
 def json_lines(spark: SparkSession, path: str, schema: str, tolerated: float = 0.005) -> DataFrame:
     """Rows of a JSON-lines feed; an error where more than that share of its lines is malformed."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).cache()
-    n = raw.agg(F.count("*").alias("all"), F.count("_corrupt_record").alias("bad")).first()
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    raw = lines.select(F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("j"))
+    n = raw.agg(F.count("*").alias("all"), F.count("j._corrupt_record").alias("bad")).first()
     if n["all"] and n.bad > tolerated * n["all"]:
         raise ValueError(f"{n.bad} of {n['all']} lines are malformed")
-    return raw.filter("_corrupt_record is null").drop("_corrupt_record")
+    return raw.filter("j._corrupt_record is null").select("j.*").drop("_corrupt_record")
 
 
 def registry(spark: SparkSession, path: str, schema: str, key: str, sep: str = ",") -> DataFrame:
