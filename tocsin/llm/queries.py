@@ -7,6 +7,7 @@ from .jaccard import op6_jaccard_join
 from .language import op10_language_id
 from .licenses import op7_license_scan
 from .manifest import op13_merkle_manifest
+from .passages import op11_passage_quality
 from .pieces import op1_sentencepiece
 from .pii import op9_personal_data
 from .quality import op4_line_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
+    "op11_passage_quality": op11_passage_quality,
     "op12_whitening": op12_whitening,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
