@@ -280,7 +280,9 @@ def manifest(docs: DataFrame, fields: list[str], id_col: str = "doc_id", tree_co
     other = F.when(F.lit(False), "") if not presented else F.when(~F.greatest(F.lit(False), *[~v.eqNullSafe(col(c)) for c, v in presented.items()]), F.lit(None)).otherwise(leaf(presented))
     rows = docs.select(col(tree_col).cast("string").alias("tree"), col(id_col).alias(id_col if id_col not in ("tree", "digest", "id", "stretch", "other") else f"{id_col}_"), leaf({}).alias("digest"), other.alias("other"))
     own = rows.columns[1]
-    sources = Forest(rows, [own, "digest"])
+    hashed = written(rows, "digests")  # sorting samples its rows first, which else reads and hashes all texts twice
+    sources = Forest(hashed, [own, "digest"])
+    dropped(hashed)
     above = Forest(sources.roots().select(F.lit("").alias("tree"), F.col("tree").alias("source"), "digest"), ["source"])
     top = above.roots().select("tree", F.lit(None).cast("string").alias("note"), F.array().cast(WAY).alias("way"))
     found = above.placed(top, ["source", "digest"], f"way {WAY}", lambda digest, way, note, *_: (stored(way),))
