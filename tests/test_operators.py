@@ -1,5 +1,7 @@
 """Small literal inputs, and the properties that replay and streams must have."""
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions import geo, stats, text, timeutil
 from tocsin.operators import graph, joins, records, sequences, tables
-from tocsin.plans import alerts, baseline, detectors, tracks
+from tocsin.plans import alerts, baseline, detectors, problems, tracks
 from tocsin.sources import feeds, heatmap
 from tocsin.streaming import state
 
@@ -191,31 +193,22 @@ SIGNALS = "key long, kind string, family string, region string, lat double, lon
 
 
 def brute_fusion(rows):
-    """Groups by the rule as it stands: pairs in the order of time and key, then all others in that order."""
-    rows = sorted(rows, key=lambda r: (r[6], r[0]))
+    """Groups by the rule as it stands, over a table of which signals agree."""
+    order = sorted((r[6], r[0]) for r in rows)
+    row = {r[0]: r for r in rows}
 
     def km(p, q):
-        a, b = math.radians(p[4]), math.radians(q[4])
-        return 2 * 6371 * math.asin(min(1, math.sqrt(math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[5] - p[5]) / 2) ** 2)))
+        x, y = ((math.cos(math.radians(r[4])) * math.cos(math.radians(r[5])), math.cos(math.radians(r[4])) * math.sin(math.radians(r[5])), math.sin(math.radians(r[4]))) for r in (p, q))
+        return 2 * 6371 * math.asin(min(1, math.dist(x, y) / 2))  # by the chord
 
-    def agrees(p, q):
-        place = (p[3] is not None and p[3] == q[3]) or (p[4] is not None and q[4] is not None and km(p, q) <= 150)
-        return place and abs(p[6] - q[6]) <= 5400
-
-    groups, of = set(), {r[0]: set() for r in rows}
-    for i, p in enumerate(rows):
-        for q in rows[i + 1 :]:
-            if p[1] == q[1] or p[2] == q[2] or not agrees(p, q) or of[p[0]] & of[q[0]]:
-                continue
-            g = [p, q]
-            for o in rows:
-                if o not in (p, q) and all(agrees(o, x) for x in g):
-                    g.append(o)
-            key = tuple(sorted(x[0] for x in g))
-            groups.add(key)
-            for x in g:
-                of[x[0]].add(key)
-    return groups
+    agree = {frozenset((p[0], q[0])) for p, q in itertools.combinations(rows, 2) if abs(p[6] - q[6]) <= 5400 and (p[3] == q[3] is not None or (None not in (p[4], q[4]) and km(p, q) <= 150))}
+    whole = lambda keys: all(frozenset(x) in agree for x in itertools.combinations(keys, 2))
+    begun: list[set] = []
+    for pair in itertools.combinations([k for _, k in order], 2):
+        p, q = (row[k] for k in pair)
+        if whole(pair) and p[1] != q[1] and p[2] != q[2] and not any({*pair} <= g for g in begun):
+            begun.append(functools.reduce(lambda g, k: g | {k} if whole(g | {k}) else g, [k for _, k in order], {*pair}))
+    return {tuple(sorted(g)) for g in begun}
 
 
 def test_fusion_groups_take_in_all_that_agree(spark):
@@ -229,6 +222,8 @@ def test_fusion_groups_take_in_all_that_agree(spark):
     rng = np.random.default_rng(19)
     rows = [(int(i), f"k{rng.integers(3)}", f"f{rng.integers(3)}", f"r{rng.integers(9)}" if rng.random() < 0.5 else None, float(rng.uniform(0, 3)), float(rng.uniform(0, 3)), int(rng.integers(0, 40000)), "watch") for i in range(60)]
     got = {tuple(r.members) for r in alerts.fusion_groups(spark.createDataFrame(rows, SIGNALS)).collect()}
+    none = alerts.fusion_groups(spark.createDataFrame([(1, "x", "f", "r", None, None, 0, "watch"), (2, "x", "g", "r", None, None, 9, "watch")], SIGNALS))
+    assert none.count() == 0 and [f.dataType.simpleString() for f in none.schema] == ["array<bigint>", "bigint"]  # they agree, and begin nothing
     assert got == brute_fusion(rows) and len(got) > 20
 
 
@@ -241,24 +236,77 @@ def test_seismic_levels(spark):
     assert collect(got.select("quake_id", "site_id", "level", "constraint")) == want
 
 
+def paged(spark, rows, **more):
+    checks = spark.createDataFrame([("b", 60 * m, p) for m, ps in rows for p in (ps or [None])], "box string, t long, problem string")
+    return sorted((r.t // 60, r.kind, r.priority, list(r.problems)) for r in problems.problem_pages(checks, **more).collect())
+
+
 def test_problems_from_check_to_check(spark):
-    log = alerts.ProblemLog(upstream=("cbrn network ",))
-    page = lambda t, *p: log.step(t * 60, list(p))
-    assert page(0, "disk full (91 %)") is None and page(2, "disk full (92 %)") is None
-    assert page(3, "disk full (93 %)") == ("alert", "high", ["disk full (93 %)"])  # held three minutes
-    assert page(4, "disk full (90 %)") is None
-    assert [page(t) for t in range(5, 14)] == [None] * 9 and page(14) == ("recovery", "default", ["disk full (90 %)"])
-    assert page(60, "disk full (9 %)") is None  # the same problem, in its schedule
-    assert [p for t in range(61, 364) if (p := page(t, "disk full"))] == [("alert", "high", ["disk full"])] and log.records["disk full"]["first"] == 0
-    other = alerts.ProblemLog(upstream=("cbrn network ",))
-    assert [other.step(60 * t, ["cbrn network x: 3 failures"]) for t in range(0, 2000, 1)].count(("alert", "default", ["cbrn network x: 3 failures"])) == 1
-    flaky = alerts.ProblemLog()
-    assert [flaky.step(60 * t, ["p"] if t % 4 == 0 else []) for t in range(60)] == [None] * 60  # present at a quarter of the checks
-    long = alerts.ProblemLog()
-    pages = [(t, p[1]) for t in range(0, 5000) if (p := long.step(60 * t, ["p"]))]
-    assert pages == [(3, "high"), (363, "high"), (723, "high"), (1083, "high"), (1440, "urgent"), (2880, "urgent"), (4320, "urgent")]
-    checks = spark.createDataFrame([("b", 60 * t, "p (1)") for t in range(5)] + [("b", 60 * t, None) for t in range(5, 30)] + [("c", 0, "q")], "box string, t long, problem string")
-    assert collect(alerts.problem_pages(checks).select("box", "t", "kind", "problems")) == [("b", 180, "alert", ["p (1)"]), ("b", 840, "recovery", ["p (1)"])]
+    disk = [(0, ["disk full (91 %)"]), (2, ["disk full (92 %)"]), (3, ["disk full (93 %)"]), (4, ["disk full (90 %)"]), *[(m, []) for m in range(5, 60)], *[(m, ["disk full"]) for m in range(60, 364)]]
+    # held three minutes; over after ten; the same problem, in its schedule, when it is back
+    assert paged(spark, disk) == [(3, "alert", "high", ["disk full (93 %)"]), (14, "recovery", "default", ["disk full (90 %)"]), (363, "alert", "high", ["disk full"])]
+    assert paged(spark, [(m, ["cbrn network x: 3 failures"]) for m in range(2000)], upstream=("cbrn network ",)) == [(3, "alert", "default", ["cbrn network x: 3 failures"])]
+    assert paged(spark, [(m, [] if m % 4 else ["p"]) for m in range(60)]) == []  # present at a quarter of the checks
+    assert [(m, p) for m, _, p, _ in paged(spark, [(m, ["p"]) for m in range(5000)])] == [(3, "high"), (363, "high"), (723, "high"), (1083, "high"), (1440, "urgent"), (2880, "urgent"), (4320, "urgent")]
+
+
+def rule_pages(rows):
+    """The rule told by looking back: at each check, all that was seen, listed and paged before is looked through again."""
+    minutes, out, log = [m for m, _ in rows], [], []  # log: (minute, names) of alerts; told: of recoveries
+    told: list[tuple[int, set]] = []
+    seen = {}
+    for m, ps in rows:
+        for p in ps:
+            seen.setdefault(p.split(" (")[0], []).append((m, p))
+    for m in minutes:
+        counted, closing, open_paged = [], [], False
+        for name, spots in seen.items():
+            times = [a for a, _ in spots if a <= m]
+            if not times:
+                continue
+            runs = [[times[0]]]
+            for a in times[1:]:
+                earlier = [c for c in minutes if c < a]
+                if earlier[-1] - runs[-1][-1] >= 10:
+                    runs.append([])
+                runs[-1].append(a)
+            end = lambda run: next((c for c in minutes if c - run[-1] >= 10 and c <= m), None)
+            joined = [runs[0]]
+            for before, run in zip(runs, runs[1:]):
+                was = any(name in names and joined[0][0] <= a <= before[-1] for a, names in log)
+                kept = [c for c in minutes if c < run[0]][-1] - end(before) < 1440
+                joined = [*joined, run] if was and kept else [run]
+            first, over = joined[0][0], end(joined[-1])
+            pages = [a for a, names in log if name in names and a >= first]
+            if over is not None:
+                notes = [a for a, names in told if name in names and a >= first]
+                if over == m and pages and pages[-1] > max(notes, default=0):
+                    closing.append((name, [p for a, p in spots if a <= m][-1]))
+                continue
+            open_paged |= bool(pages)
+            checks = sum(1 for run in joined for c in minutes if run[0] <= c <= m and (end(run) is None or c < end(run)))
+            if times[-1] == m and m - first >= 3 and 2 * sum(map(len, joined)) >= checks:
+                due = not pages or (m - first >= 1440 > pages[-1] - first) or m - pages[-1] >= (360 if m - first < 1440 else 1440)
+                counted.append((first, [p for a, p in spots if a == m][-1], name, due))
+        if any(c[3] for c in counted):
+            counted.sort()
+            out.append((m, "alert", "urgent" if m - counted[0][0] >= 1440 else "high", [c[1] for c in counted]))
+            log.append((m, {c[2] for c in counted}))
+        elif closing and not open_paged:
+            out.append((m, "recovery", "default", sorted(p for _, p in closing)))
+            told.append((m, {n for n, _ in closing}))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_problem_pages_equal_the_rule_told_by_looking_back(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows, on = [], [False] * 3
+    for m in sorted(rng.choice(4000, 420, replace=False).tolist()):
+        on = [(not x) if rng.random() < 0.07 else x for x in on]
+        rows.append((m, [f"{'xyz'[i]} ({rng.integers(9)})" for i in range(3) if on[i] and rng.random() < 0.85]))
+    got = paged(spark, rows)
+    assert got == rule_pages(rows) and len(got) > 10 and {k for _, k, *_ in got} == {"alert", "recovery"}
 
 
 def test_alerts_of_six_kinds(spark):

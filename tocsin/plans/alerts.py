@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
 from ..functions.text import public_severity, severity_for_level
-from ..operators.graph import components
+from ..operators.graph import kept
 from ..operators.joins import band_join
 from ..operators.sequences import sessions
 from ..operators.tables import latest_by
@@ -46,38 +43,33 @@ def fusion_groups(signals: DataFrame, within: int = 5400, km: float = 150.0) ->
     """members (keys, in order) and size of groups of signals that all agree in time and place.
 
     Each pair of different kinds and families, in the order of time and key, begins a group unless an earlier group has both; then every
-    signal that agrees with all members joins, in that order. Signals hang together by agreements in components, and the pairs of one
-    component are looked at in one task: its order matters. It holds the component's agreements, which are bounded by place and time.
+    signal that agrees with all members joins, in that order. A pair's group follows from the signals that agree with its first, which
+    meet in one task. Which pairs begin one is then settled for all pairs at once: those that no undecided earlier group could hold are
+    decided, round by round. No task sees more than one signal's surroundings, however far agreements chain.
     """
-    edges = agreements(signals, within, km)
-    c = components(edges.select("a", "b"))
-    t = signals.select("key", "t")
-    rows = edges.join(c.withColumnRenamed("id", "a"), "a").join(t.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(t.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-            a, b = (ta, a), (tb, b)
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        of: dict = {x: set() for x in near}
-        groups = []
-        some = pdf[pdf["seed"]]
-        for a, b in sorted(sorted(((ta, a), (tb, b))) for a, b, ta, tb in zip(some["a"], some["b"], some["ta"], some["tb"])):
-            if of[a] & of[b]:
-                continue
-            group, open_ = [a, b], sorted(near[a] & near[b])
-            while open_:
-                group.append(open_[0])
-                open_ = [x for x in open_[1:] if x in near[open_[0]]]
-            for x in group:
-                of[x].add(len(groups))
-            groups.append(sorted(k for _, k in group))
-        distinct = sorted(set(map(tuple, groups)))
-        return pd.DataFrame({"members": [list(g) for g in distinct], "size": [len(g) for g in distinct]})
-
-    kind = c.schema["component"].dataType.simpleString()
-    return rows.groupBy("component").applyInPandas(run, f"members array<{kind}>, size long")
+    edges = kept(agreements(signals, within, km).join(signals.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(signals.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b"))
+    node = lambda x: F.struct(F.col(f"t{x}").alias("t"), F.col(x).alias("key"))
+    ordered = edges.select(F.least(node("a"), node("b")).alias("p"), F.greatest(node("a"), node("b")).alias("q"), "seed")
+    reach = ordered.groupBy("p").agg(F.collect_list(F.struct("q", "seed")).alias("after")).alias("r")
+    both = ordered.select("p", "q").unionAll(ordered.select(F.col("q").alias("p"), F.col("p").alias("q"))).groupBy("p").agg(F.array_sort(F.collect_list("q")).alias("near"))
+    seeds = reach.select("p", F.explode(F.expr("transform(filter(after, x -> x.seed), x -> x.q)")).alias("q"))
+    met = seeds.join(both.alias("m"), "p").join(both.select(F.col("p").alias("q"), F.col("near").alias("near_q")), "q").select("p", "q", F.array_intersect("near", "near_q").alias("open"))
+    met = met.select("p", "q", F.posexplode_outer("open").alias("at", "x")).join(both.select(F.col("p").alias("x"), F.col("near").alias("near_x")), "x", "left")
+    rest = F.array_sort(F.collect_list(F.when(F.col("x").isNotNull(), F.struct("at", "x", "near_x"))))
+    taken = met.groupBy("p", "q").agg(rest.alias("rest")).select(
+        "p", "q", F.aggregate("rest", F.array("p", "q"), lambda group, c: F.when(F.size(F.array_except(group, c["near_x"])) == 0, F.array_append(group, c["x"])).otherwise(group)).alias("group")
+    )
+    taken = kept(taken)
+    pairs = taken.select("p", "q", F.explode("group").alias("x"), "group").select("p", "q", "x", F.explode("group").alias("y")).filter("x < y")
+    over = pairs.join(taken.select(F.col("p").alias("x"), F.col("q").alias("y")), ["x", "y"]).filter("struct(p, q) < struct(x, y)")
+    over = kept(over.select(F.struct("p", "q").alias("by"), F.struct("x", "y").alias("pair")))
+    state = kept(taken.select(F.struct("p", "q").alias("pair"), F.lit(None).cast("boolean").alias("begins")))
+    while not state.filter("begins is null").isEmpty():
+        told = over.join(state.withColumnRenamed("pair", "by"), "by").groupBy("pair").agg(F.max("begins").alias("held"), F.bool_or(F.col("begins").isNull()).alias("open"))
+        now = F.coalesce(F.col("begins"), F.when(F.col("held"), False).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(True))
+        state = kept(state.join(told, "pair", "left").select("pair", now.alias("begins")))
+    groups = taken.join(state.filter("begins").select("pair.p", "pair.q"), ["p", "q"]).select(F.array_sort(F.transform("group", lambda x: x["key"])).alias("members")).distinct()
+    return groups.withColumn("size", F.size("members").cast("long"))
 
 
 def fusion_events(groups: DataFrame, signals: DataFrame, official: str, emitted: DataFrame | None = None) -> DataFrame:
@@ -131,88 +123,6 @@ def alert_rows(slots: DataFrame, ladder: DataFrame, cohort: str = "all") -> Data
     return s.select(F.col("slot").alias("t"), F.explode(rows).alias("e")).select("e.event_key", "e.kind", "e.severity", F.lit(cohort).alias("cohort"), "t", "e.status", "e.payload")
 
 
-class ProblemLog:
-    """The problems of one box from check to check, and the pages that they are worth. Times are seconds."""
-
-    #: How long a problem must last, be away, and be remembered; pages again after six hours, and once a day from a day on.
-    HOLD, CLEAR, MEMORY, AGAIN, DAY = 180, 600, 86400, 6 * 3600, 86400
-
-    def __init__(self, upstream: tuple[str, ...] = ()):
-        self.records: dict[str, dict] = {}
-        self.upstream = upstream
-
-    @staticmethod
-    def key(text: str) -> str:
-        """What names a problem: without what stands from the first parenthesis on, and whatever its numbers."""
-        return re.sub(r"\d+(\.\d+)?", "#", re.split(r" \(", text, maxsplit=1)[0])
-
-    def theirs(self, record: dict) -> bool:
-        """Whether the problem is a third party's: such pages once, and is never urgent."""
-        return self.key(record["text"]).startswith(self.upstream) if self.upstream else False
-
-    def step(self, now: int, problems: list[str]) -> tuple[str, str, list[str]] | None:
-        """kind (alert or recovery), priority and texts of the page that a check is worth, if any. A problem that comes back within
-        MEMORY of clearing is the same one; a page lists all that are open and present, and counts for each."""
-        records, seen = self.records, set()
-        for text in problems:
-            k = self.key(text)
-            r = records.setdefault(k, {"first": now, "paged": None, "noted": None, "checks": 0, "present": 0})
-            r.update(text=text, last=now, cleared=None)
-            seen.add(k)
-        recovered = []
-        for k, r in list(records.items()):
-            if r["cleared"] is not None:
-                if now - r["cleared"] >= self.MEMORY:
-                    del records[k]
-            elif now - r["last"] >= self.CLEAR:
-                if r["paged"] is None:
-                    del records[k]
-                    continue
-                r["cleared"] = now
-                if r["noted"] is None or r["paged"] > r["noted"]:
-                    recovered.append(r)
-            else:
-                r["checks"] += 1
-                r["present"] += k in seen
-        live = [r for r in records.values() if r["cleared"] is None]
-        present = [r for r in live if now - r["first"] >= self.HOLD and 2 * r["present"] >= r["checks"] and r["last"] == now]
-        if any(self.due(r, now) for r in present):
-            present.sort(key=lambda r: (r["first"], r["text"]))
-            ours = [r for r in present if not self.theirs(r)]
-            priority = "default" if not ours else "urgent" if now - ours[0]["first"] >= self.DAY else "high"
-            for r in present:
-                r["paged"] = now
-            return "alert", priority, [r["text"] for r in present]
-        if recovered and not any(r["paged"] is not None for r in live):
-            for r in recovered:
-                r["noted"] = now
-            return "recovery", "default", sorted(r["text"] for r in recovered)
-        return None
-
-    def due(self, r: dict, now: int) -> bool:
-        if r["paged"] is None:
-            return True
-        if self.theirs(r):
-            return False
-        day = r["first"] + self.DAY
-        return now >= day > r["paged"] or now - r["paged"] >= (self.AGAIN if now < day else self.DAY)
-
-
-def problem_pages(checks: DataFrame, upstream: tuple[str, ...] = ()) -> DataFrame:
-    """box, t, kind, priority, problems (texts) of the pages that the checks (box, t, problem; null for a check that finds none) of each box
-    are worth. A box's checks are taken in order; they are as many as a timer makes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        log, out = ProblemLog(upstream), []
-        for t, part in pdf.sort_values("t", kind="stable").groupby("t"):
-            if page := log.step(int(t), sorted(set(part["problem"].dropna()))):
-                out.append((pdf["box"].iloc[0], int(t), *page))
-        return pd.DataFrame(out, columns=["box", "t", "kind", "priority", "problems"])
-
-    kind = checks.schema["box"].dataType.simpleString()
-    return checks.select("box", "t", "problem").groupBy("box").applyInPandas(run, f"box {kind}, t long, kind string, priority string, problems array<string>")
-
-
 def coverage(series: DataFrame, now: int, step: int, armed: int = 48) -> DataFrame:
     """series, samples, age, completeness (of its own span), status, of (series, slot)."""
     g = series.groupBy("series").agg(F.count_distinct("slot").alias("samples"), F.min("slot").alias("lo"), F.max("slot").alias("hi"))

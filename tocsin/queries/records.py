@@ -8,7 +8,7 @@ from .. import adapters as A
 from ..functions.text import severity_rank
 from ..functions.timeutil import FIXED, FLOATING, JUNETEENTH_FROM, nearest_holiday
 from ..operators import graph, tables
-from ..plans import alerts, baseline
+from ..plans import alerts, baseline, problems
 from . import query, r6, with_
 
 
@@ -79,7 +79,24 @@ def fusion_pairs(spark, sf_dir):
     return alerts.fusion_pairs(signals(spark, sf_dir))
 
 
-@query("fusion_groups")
+FUSION = """WITH RECURSIVE s AS (SELECT o_orderkey AS key, c_mktsegment AS kind, o_custkey % 4 AS family, c_nationkey AS region, CAST((c_nationkey * 37) % 140 - 70 AS DOUBLE) AS lat, CAST((c_nationkey * 73) % 340 - 170 AS DOUBLE) AS lon,
+   CAST(floor(epoch(o_orderdate)) AS BIGINT) AS t, CASE WHEN o_orderkey % 3 = 0 THEN 'high' ELSE 'watch' END AS severity FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'),
+ e AS (SELECT a.key AS a, b.key AS b, a.t AS ta, b.t AS tb, a.kind <> b.kind AND a.family <> b.family AS seed FROM s a JOIN s b ON a.key <> b.key AND abs(a.t - b.t) <= 5400
+  WHERE a.region = b.region OR 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))) <= 150),
+ near AS (SELECT a, list(b) AS nb FROM e GROUP BY a),
+ seeds AS (SELECT a, b, row_number() OVER (ORDER BY ta, a, tb, b) AS i FROM e WHERE seed AND (ta, a) < (tb, b)),
+ fold AS (SELECT i, x.a, x.b, list_reduce([{'m': [x.a, x.b], 'nb': CAST([] AS BIGINT[])}] || coalesce(list({'m': [p.b], 'nb': n.nb} ORDER BY p.tb, p.b) FILTER (p.b IS NOT NULL), []),
+   lambda g, c: CASE WHEN list_has_all(c.nb, g.m) THEN {'m': g.m || c.m, 'nb': CAST([] AS BIGINT[])} ELSE g END).m AS m
+  FROM seeds x LEFT JOIN (e p JOIN e q ON p.b = q.b JOIN near n ON n.a = p.b) ON p.a = x.a AND q.a = x.b GROUP BY i, x.a, x.b),
+ r(i, begun) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[][]) UNION ALL
+  SELECT f.i, CASE WHEN len(list_filter(begun, lambda g: list_has_all(g, [f.a, f.b]))) > 0 THEN begun ELSE begun || [f.m] END FROM r JOIN fold f ON f.i = r.i + 1),
+ g AS (SELECT DISTINCT list_sort(unnest(begun)) AS m FROM (SELECT begun FROM r ORDER BY i DESC LIMIT 1)),
+ u AS (SELECT m, unnest(m) AS key FROM g)
+ SELECT array_to_string(m, ',') AS members, CAST(len(m) AS BIGINT) AS size, CASE WHEN bool_or(kind = 'MACHINERY' AND severity IN ('high', 'critical')) THEN 5 ELSE 4 END AS level, max(t) AS t,
+  CASE WHEN count(DISTINCT region) = 1 AND count(region) = count(*) THEN min(region) END AS region, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM u JOIN s USING (key) GROUP BY m"""
+
+
+@query("fusion_groups", FUSION)
 def fusion_groups(spark, sf_dir):
     """Groups of urgent orders with their level; segments are kinds, and one of them is official."""
     s = signals(spark, sf_dir).withColumn("severity", F.when(F.col("key") % 3 == 0, "high").otherwise("watch"))
@@ -181,7 +198,7 @@ def problem_pages(spark, sf_dir):
     """Events as checks a minute apart, one box a type of event: a problem is a user with a high value."""
     e = A.events(spark, sf_dir)
     problem = F.when(F.col("value") > 60, F.concat(F.lit("feed "), (F.col("user_id") % 2).cast("string"), F.lit(" is late ("), F.col("value").cast("int").cast("string"), F.lit(" s)")))
-    return alerts.problem_pages(e.select(F.col("event_type").alias("box"), (F.col("event_id") * 60).alias("t"), problem.alias("problem"))).withColumn("problems", F.array_join("problems", ","))
+    return problems.problem_pages(e.select(F.col("event_type").alias("box"), (F.col("event_id") * 60).alias("t"), problem.alias("problem"))).withColumn("problems", F.array_join("problems", ","))
 
 
 #: Ordered rules, the first that matches names the category.
