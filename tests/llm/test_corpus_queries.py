@@ -114,6 +114,12 @@ def test_stages_of_an_empty_table(spark, tmp_path):
         assert docs.count() == 0 and (name == "tokens" or "_tie" in docs.columns)
 
 
+def test_pipeline_leaves_the_tables_of_other_results(spark):
+    lazy = queries.QUERIES["op9_personal_data"](spark, "/root/testdata/sf0.001")
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert lazy.count() == table(spark, "/root/testdata/sf0.001", "documents").count()
+
+
 def test_registry():
     q = entry.queries()
     assert "pipeline" in q and all(n in q for n in queries.QUERIES) and set(entry.oracle_sql()) <= set(q)

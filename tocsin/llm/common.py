@@ -142,10 +142,11 @@ def dropped(df: DataFrame) -> None:
             deleted(df.sparkSession, known)
 
 
-def swept(spark: SparkSession, *kept: DataFrame) -> None:
-    """Delete all tables of written() but those that kept reads: for callers that have stored the results of the operators."""
+def swept(spark: SparkSession, since: set[str], *kept: DataFrame) -> None:
+    """Delete the tables that written() has made and that are not in `since` (a copy of TABLES), but those that kept reads: for callers
+    that have stored the results of the operators they ran. Tables of other results stay."""
     names = {x.rsplit("/", 2)[-2] for df in kept for x in df.inputFiles()}
-    for path in [t for t in TABLES if t.rsplit("/", 1)[-1] not in names]:
+    for path in [t for t in TABLES - since if t.rsplit("/", 1)[-1] not in names]:
         deleted(spark, path)
 
 
