@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import free_name, swept, table, written
+from tocsin.llm.common import TABLES, free_name, swept, table, written
 from tocsin.llm.decontaminate import contamination
 from tocsin.llm.jaccard import deduplicated
 from tocsin.llm.language import identify
@@ -58,8 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what each stage gives is written as Parquet before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), set(TABLES)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-        swept(spark, docs)
+        swept(spark, others, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
