@@ -11,8 +11,8 @@ from .. import adapters as A
 from ..operators.sequences import cusum
 from ..plans.tracks import flights, turnarounds
 from ..session import shared_dir
-from ..sources import heatmap
-from ..streaming import state
+from ..sources import firehose, heatmap
+from ..streaming import corrections, state
 from . import alarm_oracle, query, r6, with_
 
 
@@ -45,6 +45,36 @@ def stream_latest(spark, sf_dir):
     return state.upsert_stream(e, work_folder(spark), ["user_id"], ["event_id"])
 
 
+def frames(spark, sf_dir):
+    """Events as commits: a user's posts under three keys; an error deletes, a purchase edits."""
+    e = A.events(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "update").otherwise("create")
+    return e.select(F.col("event_id").alias("seq"), "t", F.col("user_id").cast("string").alias("did"), (F.col("event_id") % 3).cast("string").alias("rkey"), kind.alias("operation"), F.concat_ws(" ", "event_type", "props").alias("text"))
+
+
+FIREHOSE = with_("e", """+ f AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS did, CAST(event_id % 3 AS VARCHAR) AS rkey, CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'update' ELSE 'create' END AS operation,
+   CASE WHEN event_type = 'error' THEN '' ELSE event_type || ' ' || props END AS body, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM e),
+ r AS (WITH RECURSIVE r(did, k, kept, seq, rkey, status, title, matched, hit) AS (SELECT DISTINCT did, CAST(0 AS BIGINT), CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[]), CAST(0 AS BIGINT), '', '', '', false, false FROM f
+  UNION ALL SELECT did, k, CASE WHEN NOT hit THEN kept WHEN operation = 'delete' THEN rest ELSE CASE WHEN len(rest) >= 2 THEN rest[2:] ELSE rest END || [{'r': rkey, 't': title}] END,
+   seq, rkey, CASE operation WHEN 'create' THEN 'current' WHEN 'update' THEN 'updated' ELSE 'cancelled' END, title, matched, hit
+  FROM (SELECT *, CASE WHEN matched THEN body[:200] ELSE own[1].t END AS title, matched OR len(own) > 0 AS hit FROM (SELECT f.*, r.kept, regexp_matches(body, 'click|3') AS matched,
+   list_filter(r.kept, lambda x: x.r = f.rkey) AS own, list_filter(r.kept, lambda x: x.r <> f.rkey) AS rest FROM r JOIN f ON f.did = r.did AND f.k = r.k + 1))) SELECT * FROM r WHERE hit)
+ SELECT did, seq, rkey, status, title, matched FROM r""")
+
+
+@query("firehose_corrections", FIREHOSE)
+def firehose_corrections(spark, sf_dir):
+    """Posts with a click or a 3 and their corrections, two kept for each user; two runs from one checkpoint, the first cut off halfway."""
+    folder, f = work_folder(spark), frames(spark, sf_dir)
+    f.repartitionByRange("seq").write.parquet(f"{folder}/log")
+    spark.dataSource.register(firehose.Firehose)
+    half = f.agg((F.count("*") / 2).cast("long").cast("string").alias("n")).first().n
+    for bound in (half, "0"):
+        stream = spark.readStream.format("firehose").option("path", f"{folder}/log").option("since", "0").option("maxFrames", bound).load()
+        out = state.run_to_table(corrections.corrected_posts(stream, "click|3", cap=2), folder, rocks=True)
+    return out
+
+
 def point_files(spark, sf_dir) -> str:
     """Stations as moving points in binary files, one for each day of events, written by tasks."""
     folder = work_folder(spark)

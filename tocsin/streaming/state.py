@@ -64,9 +64,20 @@ def transition_stream(rows: DataFrame, key: str, time: str, flag: str, tie: str
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {time} long, previous long", "was boolean, last long, tie long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
-    """Run what is there, exactly once, into a parquet table under folder, and read it."""
-    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+#: The setting of the state store, and the one that transformWithState needs.
+STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, folder: str, rocks: bool = False) -> DataFrame:
+    """Run what is there, exactly once, into a parquet table under folder, and read it; with rocks, its state lies in RocksDB."""
+    conf = stream.sparkSession.conf
+    was = conf.get(STORE)
+    if rocks:
+        conf.set(STORE, ROCKS)
+    try:
+        q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        conf.set(STORE, was)
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
