@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,35 +99,3 @@ def prior_year_ratios(daily: DataFrame) -> DataFrame:
     past = daily.join(usual, (F.year("day") == F.col("y")) & (F.dayofweek("day") == F.col("dow")))
     past = past.select(F.col("day").alias("past_day"), clamp(F.col("n") / F.greatest("usual", F.lit(1.0)), 0.25, 2.25).alias("ratio"))
     return daily.select("day", F.add_months("day", -12).alias("past_day")).join(past, "past_day").select("day", "ratio")
-
-
-def causal_expectation(slots: DataFrame, series: str | None = None) -> DataFrame:
-    """series, slot, n, expected, std: each slot from earlier ones only, slot means (half-life 2 days) and week-slot means (3 days)
-    over 28 days, blended by how many there are. Each prediction feeds the residuals of later ones, so it runs in order, a series a task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
-        by_slot: dict[int, list] = {}
-        residuals: dict[int, list] = {}
-        out = []
-        for t, x in zip(pdf["slot"], pdf["n"]):
-            day, slot = t // 86400, t % 86400 // 1800
-            past = [(d, v) for k in (slot - 1, slot, slot + 1) for d, v in by_slot.get(k % 48, ()) if day - 28 <= d < day]
-            same = [(d, v) for d, v in by_slot.get(slot, ()) if (day - d) % 7 == 0 and day - 28 <= d < day]
-            mean = lambda pairs, h: sum(v * 2 ** (-(day - d) / h) for d, v in pairs) / sum(2 ** (-(day - d) / h) for d, _ in pairs)
-            expected = float(x)
-            if past:
-                expected = mean(past, 2.0)
-                if same:
-                    expected += (mean(same, 3.0) - expected) * len(same) / (len(same) + 2)
-            old = [(d, r * r) for d, r in residuals.get(slot, ()) if day - 28 <= d < day]
-            std = max(8.0, math.sqrt(mean(old, 2.0))) if old else 8.0
-            out.append((expected, std))
-            by_slot.setdefault(slot, []).append((day, float(x)))
-            residuals.setdefault(slot, []).append((day, x - expected))
-        return pdf.assign(expected=[e for e, _ in out], std=[s for _, s in out])
-
-    rows = slots.select((F.col(series) if series else F.lit("all")).alias("series"), "slot", F.col("n").cast("long").alias("n"))
-    return rows.groupBy("series").applyInPandas(run, "series string, slot long, n long, expected double, std double")
-
-

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .. import adapters as A
 from ..functions.stats import nearest_rank, quantile, robust_by, robust_sigma
-from ..functions.timeutil import day_of, half_hour_floor, slot_of_day
+from ..functions.timeutil import day_of, half_hour_floor, slot_of_day, unix
 from ..operators import joins, sequences, tables
-from ..plans import alerts, baseline, detectors
+from ..plans import alerts, backtest, baseline, detectors, expectation
 from . import alarm_oracle, query, r6, with_
 
 WS = "((slot // 86400 + 4) % 7) * 48 + (slot % 86400) // 1800"
@@ -88,9 +88,61 @@ def decayed_mean_slot(spark, sf_dir):
     return baseline.decayed_slots(A.slot_counts(spark, sf_dir)).withColumn("expected", r6("expected"))
 
 
-@query("causal_expectation")
+def expectation_sql(rows: str, annual: bool, digits: int = 6) -> str:
+    """The model by plain self joins of rows (series, slot, n)."""
+    def around(src, x, tag):  # decayed means and roots of mean squares by side, then over sides
+        one = lambda h, k, same, v: f"sum({v} * exp(-ln(2) / {h} * age)) FILTER (side = {k}{' AND same' if same else ''}) / sum(exp(-ln(2) / {h} * age)) FILTER (side = {k}{' AND same' if same else ''})"
+        cols = ", ".join(f"list_avg(list_filter([{', '.join(('sqrt(' + one(h, k, same, 'x * x') + ')') if p else one(h, k, same, 'x') for k in (-1, 0, 1))}], lambda v: v IS NOT NULL)) AS {'rms' if p else 'mean'}_{t}" for t, h, same in (("d", 2, False), ("w", 3, True)) for p in (0, 1))
+        return f"""{tag} AS (SELECT series, slot, count(*) FILTER (same) AS n_w, {cols} FROM (SELECT a.series, a.slot, b.{x} AS x, (a.slot - b.slot) / 86400.0 AS age, (a.slot // 86400) % 7 = (b.slot // 86400) % 7 AS same,
+   CASE WHEN (b.slot // 1800 - a.slot // 1800) % 48 IN (1, -47) THEN 1 WHEN (b.slot // 1800 - a.slot // 1800) % 48 IN (-1, 47) THEN -1 ELSE 0 END AS side
+   FROM {src} a JOIN {src} b ON a.series = b.series AND b.slot >= a.slot - 2419200 AND b.slot < a.slot AND abs(b.slot // 1800 - a.slot // 1800) % 48 IN (0, 1, 47) WHERE b.{x} IS NOT NULL) GROUP BY 1, 2)"""
+    blend = lambda d, w: f"CASE WHEN {d} IS NOT NULL AND {w} IS NOT NULL THEN (1 - n_w / (n_w + 2.0)) * {d} + n_w / (n_w + 2.0) * {w} ELSE coalesce({d}, {w}) END"
+    years = """, ye AS (SELECT series, slot AS goal, n / base AS ratio FROM b0 WHERE ready AND base > 0),
+ ta AS (SELECT series, slot, base, CAST(epoch(make_date(year(stamp) - y, month(stamp), 1)) AS BIGINT) + 86400 * (day(stamp) - 1 + dd) + slot % 86400 + 1800 * ss AS goal, exp(-ln(2) / 2 * (y - 1)) * exp(-0.5 * pow(dd / 1.25, 2)) * exp(-0.5 * pow(ss / 3.125, 2)) AS g
+   FROM (SELECT *, make_timestamp(slot * 1000000) AS stamp FROM b0 WHERE base > 0), generate_series(1, 3) t1(y), generate_series(-2, 2) t2(dd), generate_series(-5, 5) t3(ss)),
+ yr AS (SELECT series, slot, base * (greatest(0.25, least(2.25, sum(g * ratio) / sum(g))) - 1) AS a, sum(g) / (sum(g) + 1) AS b FROM ta JOIN ye USING (series, goal) GROUP BY 1, 2, base)""" if annual else ""
+    a, w = ("coalesce(yr.a, adjustment, 0)", "coalesce(yr.b, weight, 0)") if annual else ("coalesce(adjustment, 0)", "coalesce(weight, 0)")
+    return rows + f""", {around("q", "n", "m0")},
+ b0 AS (SELECT *, coalesce({blend("mean_d", "mean_w")}, n) AS base, k > 336 AND n_w IS NOT NULL AS ready FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY slot) AS k FROM q) LEFT JOIN m0 USING (series, slot)),
+ dy AS (SELECT series, slot // 86400 AS day, min(slot) AS past, avg(n - base) FILTER (ready) AS residual, count(*) FILTER (ready) AS k FROM b0 GROUP BY 1, 2),
+ ca AS (SELECT series, slot, sum(g * residual) / sum(g) AS adjustment, sum(g) / (sum(g) + 2) AS weight FROM (SELECT b0.series, b0.slot, residual, exp(-0.5 * pow(dist / 2.5, 2)) * exp(-ln(2) / 732 * (b0.slot - past) / 86400.0) * CASE WHEN day % 7 = (b0.slot // 86400) % 7 THEN 1 ELSE 0.6 END * greatest(1, sqrt(dy.k)) AS g
+   FROM b0 JOIN dy ON b0.series = dy.series AND b0.slot - past BETWEEN 180 * 86400 AND 1098 * 86400,
+   LATERAL (SELECT least(abs(i), 366 - abs(i)) AS dist FROM (SELECT dayofyear(make_timestamp(b0.slot * 1000000)) - dayofyear(make_timestamp(past * 1000000)) AS i)) WHERE residual IS NOT NULL AND dist <= 7) GROUP BY 1, 2){years},
+ x0 AS (SELECT b0.*, {a} AS adj, {w} AS wt FROM b0 LEFT JOIN ca USING (series, slot){" LEFT JOIN yr USING (series, slot)" if annual else ""}),
+ x1 AS (SELECT *, CASE WHEN ready THEN base + adj * wt ELSE n END AS expected, CASE WHEN ready THEN n - base - adj * wt END AS residual FROM x0),
+ {around("x1", "residual", "m1")}
+ SELECT series, slot, CAST(n AS BIGINT) AS n, round(base, {digits}) AS base, round(adj, {digits}) AS adjustment, round(wt, {digits}) AS weight, round(expected, {digits}) AS expected, ready,
+  round(CASE WHEN ready THEN greatest(8, coalesce({blend("coalesce(m1.rms_d, x1.rms_d)", "coalesce(m1.rms_w, x1.rms_w)").replace("n_w", "x1.n_w")}, 8)) ELSE 8 END, {digits}) AS std FROM x1 LEFT JOIN m1 USING (series, slot)"""
+
+
+def expected_columns(df):
+    return df.select("series", "slot", "n", *[r6(c).alias(c) for c in ("base", "adjustment", "weight", "expected", "std")], "ready")
+
+
+@query("causal_expectation", expectation_sql(with_("e s", "+ q AS (SELECT 'all' AS series, slot, CAST(n AS DOUBLE) AS n FROM s)"), False))
 def causal_expectation(spark, sf_dir):
-    return baseline.causal_expectation(A.slot_counts(spark, sf_dir))
+    return expected_columns(expectation.causal_expectation(A.slot_counts(spark, sf_dir)))
+
+
+#: Orders of six years, dealt by their numbers to six half hours of the day.
+ORDER_SLOTS = "WITH q AS (SELECT CAST(o_orderkey % 2 AS VARCHAR) AS series, CAST(epoch(o_orderdate) AS BIGINT) // 86400 * 86400 + 1800 * ((o_orderkey // 2) % 6) AS slot, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1, 2)"
+
+
+def order_slots(spark, sf_dir):
+    slot = F.floor(unix("o_orderdate") / 86400) * 86400 + 1800 * (F.floor(F.col("o_orderkey") / 2) % 6)
+    return A.table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 2).alias("half"), slot.alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query("calendar_expectation", expectation_sql(ORDER_SLOTS, False))
+def calendar_expectation(spark, sf_dir):
+    """Two series with residuals of the same time of the year, up to three years before."""
+    return expected_columns(expectation.causal_expectation(order_slots(spark, sf_dir), "half"))
+
+
+@query("prior_year_expectation", expectation_sql(ORDER_SLOTS, True))
+def prior_year_expectation(spark, sf_dir):
+    """The same with the smoothed ratios of prior years."""
+    return expected_columns(expectation.causal_expectation(order_slots(spark, sf_dir), "half", annual=True))
 
 
 @query("takeoff_transitions", with_("e o tk", "SELECT hex, t, event_id, previous FROM tk"))
@@ -336,3 +388,94 @@ def sustained_shifts(spark, sf_dir):
 @query("slot_of_day_quantiles", with_("e s", "SELECT CAST((slot % 86400) // 1800 AS BIGINT) AS slot_of_day, quantile_cont(CAST(n AS DOUBLE), 0.25) AS q25, quantile_cont(CAST(n AS DOUBLE), 0.9) AS q90, list_sort(list(n))[CAST(ceil(0.9 * count(n)) AS INT)] AS rank90 FROM s GROUP BY 1"))
 def slot_of_day_quantiles(spark, sf_dir):
     return A.slot_counts(spark, sf_dir).groupBy(slot_of_day("slot").alias("slot_of_day")).agg(quantile(F.col("n").cast("double"), 0.25).alias("q25"), quantile(F.col("n").cast("double"), 0.9).alias("q90"), nearest_rank("n", 0.9).alias("rank90"))
+
+
+WALK = """+ tr AS (SELECT 'all' AS cohort, s.slot, CAST(count(tk.t) AS DOUBLE) AS x, slot % 86400 AS of_day, (s.slot // 86400 + 4) % 7 IN (0, 6) AS class, s.slot // 86400 AS day FROM s LEFT JOIN tk ON tk.t - tk.t % 1800 = s.slot
+   WHERE s.slot IN (SELECT t - t % 1800 FROM e WHERE event_type = 'view') GROUP BY s.slot),
+ hi AS (SELECT a.slot, a.x AS n, b.x, b.day, b.class = a.class AND b.of_day = a.of_day AS own, b.of_day = a.of_day AS same, b.class, b.of_day FROM tr a JOIN tr b ON b.slot BETWEEN a.slot - 2419200 AND a.slot - 1),
+ gm AS (SELECT slot, class, of_day, median(x) AS med, count(*) AS k FROM hi GROUP BY 1, 2, 3),
+ gc AS (SELECT slot, class, of_day, any_value(k) AS k, list(least(x, med + 4 * sqrt(greatest(med, 1)))) AS v FROM hi JOIN gm USING (slot, class, of_day) GROUP BY 1, 2, 3),
+ gv AS (SELECT slot, k, list_avg(v) AS m, list_sum(list_transform(v, lambda y: pow(y - list_avg(v), 2))) AS q FROM gc WHERE k >= 3),
+ di AS (SELECT slot, greatest(1, sum(q / m) / sum(k - 1)) AS dispersion FROM gv WHERE m > 0 GROUP BY 1),
+ md AS (SELECT slot, n, count(*) AS samples, count(DISTINCT day) AS days, count(*) FILTER (own) AS ko, count(*) FILTER (same) AS ks, median(x) FILTER (own) AS mo, median(x) FILTER (same) AS ms, median(x) AS mw FROM hi GROUP BY 1, 2),
+ wf AS (SELECT md.slot, md.n, samples, days, CASE WHEN ko >= 6 THEN 'class' WHEN ks >= 6 THEN 'slot' ELSE 'global' END AS tier,
+  CASE WHEN ko >= 6 THEN (sum(least(x, mo + 4 * sqrt(greatest(mo, 1)))) FILTER (own) + 0.5) / ko WHEN ks >= 6 THEN (sum(least(x, ms + 4 * sqrt(greatest(ms, 1)))) FILTER (same) + 0.5) / ks ELSE (sum(least(x, mw + 4 * sqrt(greatest(mw, 1)))) + 0.5) / samples END AS mean
+  FROM md JOIN hi USING (slot) GROUP BY md.slot, md.n, samples, days, ko, ks, mo, ms, mw),
+ rp AS (SELECT 'all' AS cohort, slot, CAST(n AS BIGINT) AS n, mean, coalesce(dispersion, 1) AS dispersion, tier, samples, days FROM wf LEFT JOIN di USING (slot) WHERE samples >= 336 AND days >= 7)"""
+#: The tail of a count by its logarithms, term by term.
+TAILS = """, tp AS (SELECT *, CASE WHEN dispersion <= 1 + 1e-6 THEN i * ln(mean) - mean - lgamma(i + 1) ELSE lgamma(mean / (dispersion - 1) + i) - lgamma(mean / (dispersion - 1)) - lgamma(i + 1) - mean / (dispersion - 1) * ln(dispersion) + i * ln((dispersion - 1) / dispersion) END AS lg
+   FROM (SELECT *, unnest(generate_series(n, n + 400)) AS i FROM rp WHERE n > 0)),
+ sp AS (SELECT rp.*, CASE WHEN rp.n = 0 THEN 0.0 ELSE -log10(least(1, tail)) END AS surprise FROM rp LEFT JOIN (SELECT slot, sum(exp(lg)) AS tail FROM tp GROUP BY 1) USING (slot)),
+ sv AS (SELECT *, CASE WHEN surprise < 2 THEN NULL WHEN n >= greatest(3, 3 * mean) AND pow(10, surprise) >= 17520 THEN 'critical' WHEN n >= greatest(3, 3 * mean) AND pow(10, surprise) >= 4380 THEN 'high' WHEN n >= greatest(3, 3 * mean) AND pow(10, surprise) >= 1460 THEN 'elevated' ELSE 'watch' END AS severity FROM sp)"""
+
+
+def takeoff_rows(spark, sf_dir):
+    """Takeoffs of each slot; a slot is live if it has a view."""
+    n = detectors.takeoff_slots(A.slot_counts(spark, sf_dir), A.takeoffs(spark, sf_dir)).select("slot", "n")
+    return n.join(live_slots(spark, sf_dir).select("slot", "live"), "slot").select(F.lit("all").alias("cohort"), "slot", "n", F.coalesce("live", F.lit(False)).alias("live"))
+
+
+@query("backtest_takeoffs", with_("e s o tk", WALK + TAILS + " SELECT cohort, slot, n, round(mean, 6) AS mean, round(dispersion, 6) AS dispersion, tier, samples, days, round(surprise, 6) AS surprise, severity FROM sv"))
+def backtest_takeoffs(spark, sf_dir):
+    """Each live slot against the 28 days before it."""
+    out = backtest.replayed(takeoff_rows(spark, sf_dir))
+    return out.select("cohort", "slot", "n", r6("mean").alias("mean"), r6("dispersion").alias("dispersion"), "tier", "samples", "days", r6("surprise").alias("surprise"), "severity")
+
+
+#: Views of all users, ten to one, so that the small tables have counts worth an alarm; factors of the injections.
+FACTORS = (1, 3, 10)
+LEVEL_ROWS = with_("e s", f"+ q AS (SELECT CAST(CAST(f AS DOUBLE) AS VARCHAR) AS series, slot, CASE WHEN slot > (SELECT max(slot) FROM s) - 7200 THEN floor(10 * n * f + 0.5) ELSE 10.0 * n END AS n FROM s, unnest([{', '.join(map(str, FACTORS))}]) u(f))")
+LEVELS = f"""WITH RECURSIVE ex AS ({expectation_sql(LEVEL_ROWS, False, 15)}),
+ lz AS (SELECT *, CASE WHEN ready THEN (n - expected) / std ELSE 0 END AS z, row_number() OVER (PARTITION BY series, ready ORDER BY slot) AS k FROM ex),
+ cs AS (SELECT series, k, slot, n, expected, z, greatest(0, least(8.0, greatest(-4.0, z)) - 1.5) AS s FROM lz WHERE ready AND k = 1
+  UNION ALL SELECT lz.series, lz.k, lz.slot, lz.n, lz.expected, lz.z, greatest(0, cs.s + least(8.0, greatest(-4.0, lz.z)) - 1.5) FROM cs JOIN lz ON lz.series = cs.series AND lz.ready AND lz.k = cs.k + 1),
+ lv AS (SELECT series, slot, n, expected, z, CAST(CASE WHEN z >= 7 THEN 5 ELSE least(4, floor(4 * greatest(z, 0) / 7) + 1) END AS BIGINT) AS level, s, k FROM cs)"""
+
+
+def level_slots(spark, sf_dir):
+    return A.slot_counts(spark, sf_dir).select("slot", (F.col("n") * 10).alias("n"))
+
+
+@query("backtest_levels", LEVELS + " SELECT series, slot, n, round(expected, 4) AS expected, round(z, 4) AS z, level, round(s, 4) AS s FROM lv")
+def backtest_levels(spark, sf_dir):
+    """Slots that their own past expects, with the cumulative sum, as they were and with injections."""
+    out = backtest.levels(backtest.injections(level_slots(spark, sf_dir), list(FACTORS)), "series").filter("ready")
+    return out.select("series", "slot", "n", F.round("expected", 4).alias("expected"), F.round("z", 4).alias("z"), "level", F.round("s", 4).alias("s"))
+
+
+CROSSED = """, rc AS (SELECT series, k, slot, s, CASE WHEN s >= 20 THEN 2 WHEN s >= 12 THEN 1 ELSE 0 END AS fired, 0 AS was FROM lv WHERE k = 1
+  UNION ALL SELECT lv.series, lv.k, lv.slot, lv.s, greatest(CASE WHEN lv.s < 6 THEN 0 ELSE rc.fired END, CASE WHEN lv.s >= 20 THEN 2 WHEN lv.s >= 12 THEN 1 ELSE 0 END), CASE WHEN lv.s < 6 THEN 0 ELSE rc.fired END FROM rc JOIN lv ON lv.series = rc.series AND lv.k = rc.k + 1),
+ xs AS (SELECT series, slot, CASE fired WHEN 2 THEN 'critical' ELSE 'high' END AS severity FROM rc WHERE fired > was)"""
+
+
+@query("backtest_crossings", LEVELS + CROSSED + " SELECT series, slot // 2592000 AS month, severity, count(*) AS n FROM xs GROUP BY 1, 2, 3")
+def backtest_crossings(spark, sf_dir):
+    """Crossings of the cumulative sum in months of 30 days."""
+    x = backtest.crossings(backtest.levels(backtest.injections(level_slots(spark, sf_dir), list(FACTORS)), "series"))
+    return x.groupBy("series", F.floor(F.col("slot") / 2592000).alias("month"), "severity").agg(F.count("*").alias("n"))
+
+
+ALARMS = """, ar AS (SELECT CAST(series AS DOUBLE) AS factor, CAST(min(mins) FILTER (level >= 4 OR s >= 12) AS BIGINT) AS high, CAST(min(mins) FILTER (level >= 5 OR s >= 20) AS BIGINT) AS critical
+  FROM (SELECT *, (slot - max(slot) OVER () + 7200) / 60 AS mins FROM lv) WHERE mins > 0 GROUP BY 1)"""
+
+
+@query("backtest_injections", LEVELS + ALARMS + " SELECT * FROM ar")
+def backtest_injections(spark, sf_dir):
+    """Minutes until an injection is found."""
+    return backtest.time_to_alarm(level_slots(spark, sf_dir), list(FACTORS))
+
+
+@query("backtest_bounds", LEVELS.replace("WITH RECURSIVE ex", "WITH RECURSIVE " + with_("e s o tk", WALK + TAILS).removeprefix("WITH ") + ", ex", 1) + ALARMS + CROSSED + """,
+ dp AS (SELECT slot // 86400 AS day, max(level) AS peak, count(*) AS k FROM lv WHERE series = '1.0' GROUP BY 1),
+ v AS (SELECT unnest([{'bound': 'minutes to high', 'value': (SELECT CAST(high AS DOUBLE) FROM ar WHERE factor = 3), 'most': 60.0}, {'bound': 'minutes to critical', 'value': (SELECT CAST(critical AS DOUBLE) FROM ar WHERE factor = 3), 'most': 120.0},
+  {'bound': 'takeoff criticals', 'value': (SELECT CAST(count(*) AS DOUBLE) FROM sv WHERE severity = 'critical'), 'most': 0.0},
+  {'bound': 'takeoff public alerts', 'value': (SELECT CAST(count(*) AS DOUBLE) FROM sv WHERE severity <> 'watch'), 'most': (SELECT ceil(count(DISTINCT slot // 86400) * 12 / 365.0) + 2 FROM sv)},
+  {'bound': 'share of 1-in-100 scores', 'value': (SELECT coalesce(avg(CASE WHEN surprise >= 2 THEN 1.0 ELSE 0 END), 0) FROM sv), 'most': 0.02}, {'bound': 'warm slots', 'value': (SELECT CAST(count(*) AS DOUBLE) FROM sv), 'most': 336.0},
+  {'bound': 'crossings', 'value': (SELECT CAST(count(*) AS DOUBLE) FROM xs WHERE series = '1.0'), 'most': (SELECT ceil(coalesce(sum(k), 0) / 48.0 / 20) FROM dp)}, {'bound': 'critical crossings', 'value': (SELECT CAST(count(*) AS DOUBLE) FROM xs WHERE series = '1.0' AND severity = 'critical'), 'most': (SELECT ceil(coalesce(sum(k), 0) / 48.0 / 60) FROM dp)},
+  {'bound': 'level 5 days', 'value': (SELECT CAST(count(*) AS DOUBLE) FROM dp WHERE peak >= 5), 'most': (SELECT ceil(greatest(count(*), 1) / 30.0) FROM dp)}, {'bound': 'level 4 days', 'value': (SELECT CAST(count(*) AS DOUBLE) FROM dp WHERE peak >= 4), 'most': (SELECT ceil(greatest(count(*), 1) / 15.0) FROM dp)}]) AS b)
+ SELECT b.bound AS bound, round(b.value, 6) AS value, CAST(b.most AS DOUBLE) AS most, coalesce(CASE WHEN b.bound = 'warm slots' THEN b.value >= b.most ELSE b.value <= b.most END, false) AS ok FROM v""")
+def backtest_bounds(spark, sf_dir):
+    """What the detectors promise, as this history has it."""
+    s = level_slots(spark, sf_dir)
+    out = backtest.bounds(backtest.replayed(takeoff_rows(spark, sf_dir)), backtest.levels(s), backtest.time_to_alarm(s, list(FACTORS)))
+    return out.withColumn("value", r6("value"))
