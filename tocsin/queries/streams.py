@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -84,17 +85,14 @@ def point_files(spark, sf_dir) -> str:
 
     def write(pdf):
         out, at = fs.FileSystem.from_uri(folder)
-        slices = []
-        for slot, part in pdf.assign(slot=pdf["t"] // 1800 * 1800).groupby("slot"):
-            points = [
-                {"hex": f"{h:06x}", "lat": (h * 37 % 140) - 70 + t % 1800 / 1e4, "lon": (h * 73 % 340) - 170, "on_ground": not up, "alt_ft": 25 * round(v * 20), "gs_kt": round(v) if v < 400 else None}
-                for h, t, up, v in part.sort_values(["t", "hex"])[["hex", "t", "airborne", "v"]].itertuples(index=False)
-            ]
-            points.append({"hex": "~0000aa", "squawk": 1200, "callsign": "TEST1"})
-            slices.append((int(slot) * 1000, points))
-        name = f"{pdf['day'].iloc[0]}.bin.ttf"
-        with out.open_output_stream(f"{at}/{name}") as f:
-            f.write(heatmap.encode(slices))
+        p = pdf.assign(ms=pdf["t"] // 1800 * 1_800_000).sort_values(["ms", "t", "hex"], kind="stable")
+        h, v, up = p["hex"].to_numpy(), p["v"].to_numpy(float), p["airborne"].to_numpy(bool)
+        raw = heatmap.encode_columns(p["ms"].to_numpy(), h, (h * 37 % 140) - 70 + p["t"].to_numpy() % 1800 / 1e4, (h * 73 % 340) - 170.0, 25 * np.rint(v * 20), ~up, np.where(v < 400, np.rint(v), np.nan))
+        cut = np.flatnonzero(np.frombuffer(raw, "<u4")[::4] == heatmap.MARKER)[1:] * 16
+        sign = heatmap.encode([(0, [{"hex": "~0000aa", "squawk": 1200, "callsign": "TEST1"}])])[16:]  # one for each slice, at its end
+        parts = [raw[a:b] + sign for a, b in zip([0, *cut], [*cut, len(raw)])]
+        with out.open_output_stream(f"{at}/{pdf['day'].iloc[0]}.bin.ttf") as f:
+            f.write(b"".join(parts))
         return pdf.iloc[:1][["day"]]
 
     e.groupBy("day").applyInPandas(write, "day long").count()
