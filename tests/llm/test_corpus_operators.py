@@ -200,6 +200,17 @@ def test_lines_of_menus_and_notices_fail_in_four_languages():
         assert fault(line.encode(), line.encode().split(), rules) == "", line
 
 
+def test_phrases_count_as_whole_words_and_by_their_share():
+    rules, fault = quality.LineRules(), quality.line_fault
+    for line in (
+        "The old catalog in the town library was burnt in the war.", "A design update was sent to all of them that week.", "She spread more butter on the bread.",
+        "Das Impressum der Zeitung wurde 1920 geändert und danach nie wieder.", "We went home and read more of the long letters that he had sent to her from the front.", "I need help at home, she said.",
+    ):
+        assert fault(line.encode(), line.encode().split(), rules) == "", line
+    for line, want in (("Home About News Contact Help Login Cart.", "navigation"), ("© 2020 Acme Inc. All Rights Reserved.", "boilerplate"), ("Terms of Use | Privacy Policy.", "boilerplate"), ("Conditions d'utilisation.", "boilerplate")):
+        assert fault(line.encode(), line.encode().split(), rules) == want, line
+
+
 def test_quality_keeps_clean_and_rejects_junk():
     clean = "The cat sat on the mat and looked at the moon. It was a fine night for all.\n" * 1 + "Another sentence stands here, quite unlike the first one."
     junk = "HOME | ABOUT | NEWS | SHOP\nBUY NOW!! CHEAP!! CLICK HERE!! FAST!!\n*** $$$ ### offer ***\nThis line is fine and is the only one here."
@@ -383,6 +394,63 @@ def test_license_base_columns_equal_sql(spark, documents):
     assert sorted(got) == sorted(want)
 
 
+def test_words_that_turn_a_license_into_another(spark):
+    texts = {
+        "Licensed under the GNU Affero General Public License.": "agpl", "It is licensed under the GNU Lesser General Public License, as is all else.": "lgpl", "Licensed under the GNU General Public License": "gpl",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License.": "cc-by-nc", "This work is licensed under a Creative Commons Attribution-ShareAlike license": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike license": "cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution license": "cc-by",
+        "// SPDX-License-Identifier: MIT": "mit", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */": "bsd-3-clause,gpl", "# spdx-license-identifier: Apache-2.0": "apache-2.0", "nothing of it": "",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    got = {r.doc_id: ",".join(x for x in r.labels if x not in r.base_labels or x == "gpl") for r in licenses.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def plain_spans(text):
+    """(template, start, end, covered words) by diagonals, with loops over words; short templates by all their words, of one license alone."""
+    words, out = licenses.words_alnum(text.encode()), set()
+    for t, (label, template) in enumerate(licenses.TEMPLATES):
+        own = licenses.words_alnum(template.encode())
+        votes = {}
+        for i in range(len(words) - 2):
+            for j in range(len(own) - 2):
+                if words[i : i + 3] == own[j : j + 3]:
+                    votes.setdefault(i - j, set()).add((i, j))
+        bands, last = [], None
+        for d in sorted(votes):
+            if last is None or d - last > licenses.NEAR:
+                bands.append(set())
+            bands[-1] |= votes[d]
+            last = d
+        for band in bands:
+            there, here = {j + x for _, j in band for x in range(3)}, {i + x for i, _ in band for x in range(3)}
+            start, end = min(here), max(here) + 1
+            short = len(own) <= licenses.SHORT
+            alone = [j for j, w in enumerate(own) if short and {l for l, x in licenses.TEMPLATES if w in licenses.words_alnum(x.encode())} == {label}]
+            if len(there) >= (licenses.MIN_SHORT if short else licenses.MIN_TEMPLATE) * len(own) and set(alone) <= there and len(here) >= licenses.MIN_SPAN * (end - start):
+                out.add((t, start, end, len(there)))
+    return out
+
+
+def test_diagonals_equal_plain_votes(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            part = rng.choice(licenses.TEMPLATES)[1].split()
+            part = [w for w in part if rng.random() > 0.04]
+            for _ in range(rng.randint(0, 3)):
+                part.insert(rng.randrange(len(part) + 1), rng.choice(["so", "it", "the", "lesser"]))
+            words += part[rng.choice([0, 0, len(part) // 3]) :] + ["filler"] * rng.randint(0, 9)
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, 0, t.encode()) for i, t in enumerate(texts)], "id long, tie long, text binary")
+    got = {}
+    for r in licenses.template_spans(docs).collect():
+        got.setdefault(r.id, set()).add((r.template, r.start, r.end, round(r.coverage * r.n_template)))
+    assert all(got.get(i, set()) == plain_spans(t) for i, t in enumerate(texts)) and sum(map(len, got.values())) > 40
+
+
 def test_license_text_with_words_changed(spark):
     text = "Intro. " + licenses.TEMPLATES[2][1].replace("free of charge", "totally free of any charge") + " Outro words here."
     r = licenses.scan(frame(spark, [(1, text), (2, "permission to use is granted")])).orderBy("doc_id").collect()
@@ -535,6 +603,17 @@ def test_scores_are_kernel_ridge(spark):
     assert not mark.any()
 
 
+def test_rows_that_share_an_id_are_sampled_by_their_texts(spark):
+    english = [(1, f"the house and the garden were sold to the man with the dog {i}", "en") for i in range(1200)]
+    german = [(None if i % 2 else i, f"das haus und der garten wurden an den mann mit dem hund verkauft {i}", "de") for i in range(700)]
+    copies = [(9, "la maison et le jardin ont été vendus", "fr")] * 900
+    docs = spark.createDataFrame(english + german + copies, "doc_id int, text string, lang string")
+    got = language.identify(docs, train=F.lit(True)).groupBy("lang").agg(F.count_if(F.col("lang") == F.col("language.lang")).alias("right"), F.count("*").alias("n")).collect()
+    assert {("en", 1200), ("de", 700)} < {(r.lang, r.right) for r in got}
+    bins, labels, whole = language.labelled_sample(docs, "doc_id", "text", "lang", F.lit(True))
+    assert {x: sum(labels[i] == x for i in whole) for x in set(labels)} == {"en": 400, "de": 400, "fr": 1}
+
+
 def test_many_languages_and_long_texts(spark):
     rows = [(4 * i + j, f"{chr(97 + i % 26)}{chr(97 + i // 26)}q " * (5 + j)) for i in range(230) for j in range(3)]
     df = spark.createDataFrame([(i, t, t[:3]) for i, t in rows] + [(5000, "abq " * 300_000, None)], "doc_id long, text string, lang string")

@@ -9,13 +9,14 @@ the last two factors are the same for all texts and multiplied once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, per_row, remainder, small_batches, table
+from .common import dropped, parts, per_row, remainder, small_batches, table, written
 
 BINS = 1 << 17
 ORDERS = (2, 3, 4)
@@ -92,8 +93,8 @@ class KernelClassifier:
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train) -> tuple[list[np.ndarray], list[str], list[int]]:
-    """Bins and languages of at most ROWS_PER_LANGUAGE rows a language where train holds, spread over all rows by a hash of the id, each
-    whole and as a short cut; and which are whole. Tasks make the bins; the texts stay there."""
+    """Bins and languages of at most ROWS_PER_LANGUAGE rows a language where train holds, spread over all rows by a hash of id and text,
+    each whole and as a short cut; and which are whole. Tasks make the bins; the texts stay there."""
     col = lambda c: F.col("`" + c.replace("`", "``") + "`")
     rows = docs.filter(train & col(lang_col).isNotNull()).select(col(id_col).cast("string").alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang")).filter(F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -101,9 +102,24 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     if not n:
         return [], [], []
     most = max(1, min(ROWS_PER_LANGUAGE, SAMPLE_ROWS // n))
-    point = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    near = rows.join(F.broadcast(counts), "lang").withColumn("at", point).filter(F.col("at") < 2.0 * most / F.col("n"))  # about twice as many as are wanted
-    some = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("text")))).filter(F.col("place") <= most)
+    point = F.pmod(F.xxhash64("id", "text", F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    order = Window.partitionBy("lang").orderBy("at")
+
+    def lowest(langs: list[str], times: float) -> DataFrame:
+        """Of each language the rows with the lowest points, `most` at most, out of those under a bound that about times * most rows of it are
+        under. Rows that repeat id and text share a point and count once."""
+        near = rows.join(F.broadcast(counts), "lang").filter(F.col("lang").isin(langs)).withColumn("at", point).filter(F.col("at") < times * most / F.col("n"))
+        return near.groupBy("lang", "at").agg(F.min("text").alias("text")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("lang", "at", "text")
+
+    size = {r.lang: r.n for r in counts.collect()}  # a row a language
+    found, open_, times = [], sorted(size), 2.0
+    while open_:  # copies, or chance, may leave a language short: then the bound is raised until it has all points
+        some = written(lowest(open_, times), "sample")
+        got = dict(some.groupBy("lang").count().collect())
+        done = [x for x in open_ if got.get(x, 0) >= most or times * most >= size[x]]
+        found.append(some.filter(F.col("lang").isin(done)))
+        open_, times = [x for x in open_ if x not in done], times * 8
+    some = reduce(DataFrame.unionByName, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(BINS, bool)
@@ -121,6 +137,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     got = small_batches(some).select("lang", "at", "text").mapInArrow(run, "at double, lang string, whole boolean, bins array<int>").toPandas()
     got["first"] = got["bins"].map(lambda x: int(x[0]) * BINS + len(x))
+    for part in found:
+        dropped(part)
     got = got.sort_values(["lang", "at", "whole", "first"], kind="stable")
     return [np.asarray(x) for x in got["bins"]], got["lang"].tolist(), np.flatnonzero(got["whole"].to_numpy(bool)).tolist()
 

@@ -9,6 +9,7 @@ templates of no other license have.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -50,6 +51,10 @@ TEMPLATES = (
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial"),
     ("cc-by-nd", "This work is licensed under a Creative Commons Attribution NoDerivatives"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives"),
+    ("lgpl", "Licensed under the GNU Lesser General Public License"),
+    ("agpl", "Licensed under the GNU Affero General Public License"),
     ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software"),
     ("gpl", "This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program"),
     ("lgpl", "This library is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. See the GNU Lesser General Public License for more details"),
@@ -66,10 +71,44 @@ TEMPLATES = (
     ("odbl", "This database is made available under the Open Database License"),
 )
 
+#: Words that turn a license into another one.
+VARIANTS = frozenset("affero lesser noncommercial noderivatives noderivs sharealike".split())
+#: Words after a span in which such a word counts as well.
+AFTER = 3
+#: What SPDX names begin with, the longest first, and their labels; any other name is a label as it stands, in lower case.
+SPDX = {"cc-by-nc-sa": "cc-by-nc-sa", "cc-by-nc-nd": "cc-by-nc-nd", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by-nd": "cc-by-nd", "cc-by-": "cc-by", "agpl-": "agpl", "lgpl-": "lgpl", "gpl-": "gpl", "cc0-": "cc0", "bsd-2-clause": "bsd", "bsl-": "boost"}
+SPDX_LINE = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]+)", re.I)
+SPDX_NAME = re.compile(rb"[A-Za-z0-9][A-Za-z0-9.+-]*")
+
+
+def variant_places(words: list[bytes]) -> list[tuple[int, str]]:
+    """Where words of VARIANTS stand; non commercial, in two words, is one of them."""
+    out = []
+    for i, w in enumerate(words):
+        name = b"noncommercial" if w == b"commercial" and i and words[i - 1] == b"non" else w
+        if len(name) > 5 and name.decode(errors="replace") in VARIANTS:
+            out.append((i, name.decode()))
+    return out
+
+
+def spdx_labels(text: bytes) -> list[str]:
+    """Labels of the names in SPDX lines, without what follows WITH."""
+    out = set()
+    for line in SPDX_LINE.findall(text):
+        names, skip = SPDX_NAME.findall(line.split(b"*/")[0].split(b"-->")[0]), False
+        for name in (n.decode().lower() for n in names):
+            if name in ("and", "or", "with"):
+                skip = name == "with"
+            elif not skip:
+                out.add(next((label for start, label in SPDX.items() if name.startswith(start)), name))
+            else:
+                skip = False
+    return sorted(out)
+
 
 def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> DataFrame:
-    """gram, template, label, n_template (its words), at (the gram's first word in it), least (the share that must be covered) and need
-    (places of words that must be)."""
+    """gram, template, label, n_template (its words), at (the gram's first word in it), least (the share that must be covered), need (places of
+    words that must be) and variants (its own words of VARIANTS)."""
     rows, labels = [], defaultdict(set)
     for label, text in templates:
         for w in words_alnum(text.encode()):
@@ -78,8 +117,9 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> Data
         words = words_alnum(text.encode())
         short = len(words) <= SHORT
         need = [i for i, w in enumerate(words) if short and labels[w] == {label}]
-        rows += [(int(g), t, label, len(words), i, MIN_SHORT if short else MIN_TEMPLATE, need) for i, g in enumerate(grams(word_hashes(text.encode(), ALNUM), k).view(np.int64))]
-    return spark.createDataFrame(rows, "gram long, template int, label string, n_template int, at int, least double, need array<int>")
+        own = [name for _, name in variant_places(words)]
+        rows += [(int(g), t, label, len(words), i, MIN_SHORT if short else MIN_TEMPLATE, need, own) for i, g in enumerate(grams(word_hashes(text.encode(), ALNUM), k).view(np.int64))]
+    return spark.createDataFrame(rows, "gram long, template int, label string, n_template int, at int, least double, need array<int>, variants array<string>")
 
 
 def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
@@ -115,7 +155,7 @@ def text_grams(docs: DataFrame, k: int = K) -> DataFrame:
 def template_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """id, tie, template, label, start, end (words, end exclusive) and coverage of the verified spans."""
     hits = text_grams(docs, k).join(F.broadcast(template_grams(docs.sparkSession, k=k)), "gram")
-    own = ["id", "tie", "template", "label", "n_template", "least", "need"]
+    own = ["id", "tie", "template", "label", "n_template", "least", "need", "variants"]
     diagonals = hits.groupBy(*own, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last")
     )
@@ -134,7 +174,8 @@ def template_spans(docs: DataFrame, k: int = K) -> DataFrame:
 
 
 def phrase_places(text: bytes | None) -> tuple:
-    """n_words, the number of all places of all phrases, the smallest and largest start, the sorted labels."""
+    """n_words, the number of all places of all phrases, the smallest and largest start, the sorted labels; then the places of words that
+    turn licenses into others, and the labels of SPDX lines."""
     words = words_alnum(text)
     line = b" " + b" ".join(words) + b" "
     starts, labels = [], set()
@@ -145,30 +186,35 @@ def phrase_places(text: bytes | None) -> tuple:
             at = [i for i, x in enumerate(words) if x == w[0] and words[i : i + len(w)] == w]
             starts += at
             labels.add(label)
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels)
+    some = [{"place": i, "word": w} for i, w in variant_places(words)]
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), sorted(labels), some, spdx_labels(text or b"")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, spans, labels, score.
 
     base_labels and labels are sorted arrays; spans are the verified template spans. score is the best coverage of a
-    template, 1.0 where a base phrase stands, 0.0 where nothing does. Null text counts as empty and has nothing; rows that
+    template, 1.0 where a base phrase or an SPDX line stands, 0.0 where nothing does. What is said about a license is not understood: a
+    text that is not under it, and says so, has its label, too. Null text counts as empty and has nothing; rows that
     repeat id and text have equal results; a null id is kept. A very long text is held alone, whole; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("tie"), F.col(text_col).cast("binary").alias("text"))
-    base = per_row(rows, "text", lambda: phrase_places, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>", "base", ["id", "tie"])
-    spans = template_spans(rows).groupBy("id", "tie").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "label", "coverage"))).alias("spans")
-    )
-    # of spans that lie half or more in one another, as those of related licenses do, the best covered stays
-    inside = lambda s, o: 2 * (F.least(s.end, o.end) - F.greatest(s.start, o.start)) >= s.end - s.start
-    spans = spans.withColumn("spans", F.filter("spans", lambda s: ~F.exists("spans", lambda o: (o.coverage > s.coverage) & inside(s, o))))
-    spans = spans.select("id", "tie", "spans", F.array_sort(F.array_distinct("spans.label")).alias("found"), F.array_max("spans.coverage").alias("best"))
+    base = per_row(rows, "text", lambda: phrase_places, "n_words long, n_base long, first_word long, last_word long, base_labels array<string>, variants array<struct<place:int,word:string>>, spdx array<string>", "base", ["id", "tie"])
+    spans = template_spans(rows).groupBy("id", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "coverage", "variants"))).alias("spans"))
     a, b = base.alias("a"), spans.alias("b")
     out = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.tie") == F.col("b.tie")), "left")
-    labels = F.array_sort(F.array_union("base.base_labels", F.coalesce("found", F.array().cast("array<string>"))))
-    score = F.greatest(F.coalesce("best", F.lit(0.0)), (F.col("base.n_base") > 0).cast("double"))
-    return out.select(F.col("a.id").alias(id_col), "base.*", "spans", labels.alias("labels"), F.least(score, F.lit(1.0)).alias("score"))
+    # a span with a word of another license in it, or right behind it, isn't of its own license
+    turned = lambda s: F.exists("base.variants", lambda v: (v.place >= s.start) & (v.place < s.end + AFTER) & ~F.array_contains(s.variants, v.word))
+    out = out.withColumn("spans", F.filter("spans", lambda s: ~turned(s)))
+    # of spans that lie half or more in one another, as those of related licenses do, the best covered stays, and of equals the longest
+    inside = lambda s, o: 2 * (F.least(s.end, o.end) - F.greatest(s.start, o.start)) >= s.end - s.start
+    better = lambda s, o: (o.coverage > s.coverage) | ((o.coverage == s.coverage) & (o.end - o.start > s.end - s.start))
+    out = out.withColumn("spans", F.filter("spans", lambda s: ~F.exists("spans", lambda o: better(s, o) & inside(s, o))))
+    out = out.withColumn("spans", F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.label.alias("label"), s.coverage.alias("coverage"))))
+    labels = F.array_sort(F.array_union(F.array_union("base.base_labels", "base.spdx"), F.coalesce("spans.label", F.array().cast("array<string>"))))
+    score = F.greatest(F.coalesce(F.array_max("spans.coverage"), F.lit(0.0)), ((F.col("base.n_base") > 0) | (F.size("base.spdx") > 0)).cast("double"))
+    first = [F.col(f"base.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")]
+    return out.select(F.col("a.id").alias(id_col), *first, F.when(F.size("spans") > 0, F.col("spans")).alias("spans"), labels.alias("labels"), F.least(score, F.lit(1.0)).alias("score"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +29,21 @@ SEPARATOR_WORDS = frozenset((c * n).encode() for c in SEPARATORS for n in (1, 2,
 TERMINAL, CLOSING = ".!?:;…。！？", "\"'”’»)]"
 ENDS = tuple(c.encode() for c in TERMINAL)
 CLOSERS = tuple(c.encode() for c in CLOSING)
-BOILERPLATE_RE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+#: Entries of menus, in lower case, in the same languages.
+MENU = (
+    "home about news contact help login logout register cart checkout search menu sitemap faq blog shop account profile careers press sports weather "
+    "startseite aktuelles kontakt hilfe anmelden registrieren warenkorb suche impressum datenschutz produkte "
+    "accueil actualités contact aide connexion panier recherche boutique plan compte "
+    "inicio noticias contacto ayuda entrar carrito buscar tienda cuenta"
+).split()
+#: Every byte that is no letter, digit or part of a longer character to a space.
+SPLIT_TABLE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: The phrases as words, by their first.
+PHRASES: dict[bytes, list[tuple[bytes, ...]]] = {}
+for _phrase in BOILERPLATE:
+    _words = tuple(_phrase.encode().translate(SPLIT_TABLE).split())
+    PHRASES.setdefault(_words[0], []).append(_words)
+MENU_WORDS = frozenset(w.encode() for w in MENU)
 UPPER_TABLE = bytes(range(65, 91))
 LETTERS_TABLE = bytes([*range(65, 91), *range(97, 123)])
 
@@ -42,6 +55,8 @@ class LineRules:
     max_symbol_share: float = 0.05  # symbol characters in a line's bytes
     max_separator_share: float = 0.2  # words that are only separators, from two on: menus and tables
     max_upper_share: float = 0.8  # of ASCII letters, in lines of three words or more
+    max_boilerplate_share: float = 0.3  # of a line's words, that are words of boilerplate phrases
+    max_menu_share: float = 0.6  # of a line's words, from three on, that are entries of menus
     max_lost_share: float = 0.5  # words lost with failing lines
     min_kept_words: int = 10
 
@@ -58,14 +73,27 @@ def line_fault(line: bytes, words: list[bytes], rules: LineRules) -> str:
         letters = len(line) - len(line.translate(None, LETTERS_TABLE))
         if letters and len(line) - len(line.translate(None, UPPER_TABLE)) > rules.max_upper_share * letters:
             return "capitals"
-    if BOILERPLATE_RE.search(line.lower()):
+    plain = line.lower().translate(SPLIT_TABLE).split()
+    if not PHRASES.keys().isdisjoint(plain) and phrase_words(plain) > rules.max_boilerplate_share * len(plain):
         return "boilerplate"
+    if len(plain) >= 3 and sum(map(MENU_WORDS.__contains__, plain)) > rules.max_menu_share * len(plain):
+        return "navigation"
     end = line.rstrip()
     while end.endswith(CLOSERS):
         end = end[: -len(next(c for c in CLOSERS if end.endswith(c)))]
     return "" if end.endswith(ENDS) else "punctuation"
 
 
+def phrase_words(words: list[bytes]) -> int:
+    """How many of a line's words stand in boilerplate phrases; a phrase's words are whole words, one after another."""
+    inside: set[int] = set()
+    for i, w in enumerate(words):
+        for phrase in PHRASES.get(w, ()):
+            if tuple(words[i : i + len(phrase)]) == phrase:
+                inside.update(range(i, i + len(phrase)))
+    return len(inside)
+
+
 def repeat_words(words: list[bytes], k: int = 5) -> int:
     """Words in k-word windows that occur twice or more in the text, every occurrence counted."""
     n = len(words)
