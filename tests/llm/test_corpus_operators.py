@@ -557,6 +557,48 @@ def test_base_columns_equal_sql(spark):
     assert sorted(map(tuple, want)) == sorted(tuple(r[x] for x in cols) for r in quality.op4_line_quality(spark, SF).collect())
 
 
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans if s.kind == "id"] for r in pii.personal_data(docs).collect()}
+
+
+def test_base_entities_vouch_only_for_values_of_their_shape(spark):
+    texts = [f"contact: user{i}@mail.example" for i in range(6)] + [f"ip: 10.0.0.{i}" for i in range(6)] + ["contact: Johnathan Smith", "ip: unknown", "ip: pending", "note: nothing"]
+    assert all(v == [] for v in found(spark, texts).values())
+
+
+def test_keys_have_digits_and_any_length(spark):
+    texts = ["password2=hunterhunterx", "DB_PASSWORD1: correcthorse", "a_very_long_environment_variable_name_for_db_password=swordfishes", "at 12:30 they came", "x=1"]
+    assert list(found(spark, texts).values()) == [["hunterhunterx"], ["correcthorse"], ["swordfishes"], [], []]
+    assert pii.key_before("a_very_long_environment_variable_name_for_db_host=", 49) == "a_very_long_environment_variable_name_for_db_host"
+    far = "his   staff" + " " * 200 + "badge number:  (" 
+    assert pii.words_before(far, len(far)) == "staff badge number" and pii.words_before("one two 3 ", 10) == ""
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_graph_scores_equal_plain_rounds(spark, seed):
+    rng = random.Random(seed)
+    patterns = [f"key k{i} mixed" for i in range(8)] + [f"left a b c{i}" for i in range(6)] + ["make mixed20"]
+    values = {f"v{i}": (rng.sample(patterns, rng.randint(1, 3)), rng.random() < 0.35, rng.randint(1, 4)) for i in range(90)}
+    rows = [(i, 0, 0, 1, v, ps, seed_) for i, (v, (ps, seed_, n)) in enumerate(values.items()) for _ in range(n)]
+    df = spark.createDataFrame(rows, "id long, tie long, start int, end int, value string, patterns array<string>, seed boolean")
+    sure = {v: float(s) for v, (_, s, _) in values.items()}
+    for _ in range(pii.ROUNDS):
+        weight = {}
+        for p in patterns:
+            own = [sure[v] for v, (ps, _, _) in values.items() if p in ps]
+            weight[p] = sum(own) / (len(own) + (pii.SMOOTH_LEFT if p.startswith("left ") else pii.SMOOTH))
+        fresh = {}
+        for v, (ps, s, _) in values.items():
+            doubt = 1.0
+            for p in ps:
+                doubt *= 1 - min(weight[p], 0.999) if weight[p] >= pii.SURE_PATTERN else 1
+            fresh[v] = max(float(s), 1 - doubt)
+        sure = fresh
+    got = {r.value: r.n for r in pii.sure_instances(df).collect()}
+    assert got == {v: values[v][2] for v, s in sure.items() if s >= pii.SURE_INSTANCE}
+
+
 def test_whole_values_behind_keys_and_cues(spark):
     cases = {
         1: ("so password = correcthorsebattery end", "correcthorsebattery"), 2: ("token=" + "a1" * 70, "a1" * 70), 3: ("secret: wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY=.", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY="),

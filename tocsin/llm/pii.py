@@ -2,7 +2,7 @@
 
 Base spans come from fixed expressions. Besides, every whole value behind a key ("password =") or behind a cue in prose ("my
 passport number is") is an instance, whatever its length and characters; and so is every other identifier-like string (letters
-and digits in one run, not in a base span). Instances have the lexical patterns that they stand in: key, words before, fixed
+and digits in one run, not in a base span). Instances have the lexical patterns that they stand in: key (with and without the value's shape), words before, fixed
 head ("AKIA" of a certain make), make alone. Base entities and values after known cues are seeds. Spark scores the graph of
 patterns and distinct instances in rounds: a pattern is as sure as its instances on average, smoothed; an instance as its
 surest patterns together. Instances that sure patterns have made sure, seeds or not, become spans of kind "id".
@@ -25,8 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Of a discovered span.
 FOUND = "id"
 ROUNDS = 3
-#: Added to a pattern's number of instances, so that few instances make no sure pattern; from where patterns and instances count as sure.
-SMOOTH, SURE_PATTERN, SURE_INSTANCE = 0.5, 0.6, 0.6
+#: Added to a pattern's number of instances, so that one alone makes no sure pattern; from where patterns and instances count as sure.
+SMOOTH, SURE_PATTERN, SURE_INSTANCE = 1.0, 0.6, 0.6
 #: The same for patterns of words before, which chance makes too.
 SMOOTH_LEFT = 2.0
 #: Least length of an identifier without a key or a cue before it; names in the graph longer than this are digests.
@@ -48,7 +48,6 @@ QUOTED = re.compile(r"\"((?:[^\"\\\n]|\\.)++)\"|'((?:[^'\\\n]|\\.)++)'|`([^`\n]+
 VALUE = re.compile(r"(?:(?![&,;?][A-Za-z_]++[=:]|</?[A-Za-z])\S)++")
 #: A cue in prose, the words that may follow it, and the space before the value.
 PROSE = re.compile(r"(?<![A-Za-z])(" + "|".join(c.replace("_", "[ _-]?") for c in sorted(CUES, key=len, reverse=True)) + r")((?:\s{1,3}(?:number|num|no\.?|nr\.?|code|key|id|is|was|are)(?=\s))*+)\s{1,3}(?=\S)", re.I)
-LEFT = re.compile(r"([^\W\d_]+)\s+([^\W\d_]+)\s+([^\W\d_]+)[\s:=#(\"']*\Z")
 HEAD = re.compile(r"[A-Z]{3,5}(?=[A-Z0-9])|[a-z]{2,3}_(?:[a-z]{4}_)?")
 
 
@@ -105,21 +104,60 @@ def make_of(core: str) -> str:
 
 
 def key_before(text: str, at: int) -> str:
-    """The word before a separator at `at`, in quotes or not."""
+    """The word of letters, digits and underscores before a separator at `at`, in quotes or not; it must have a letter."""
     while at > 0 and text[at - 1] in " \t":
         at -= 1
     if at > 0 and text[at - 1] in "\"'":
         at -= 1
     start = at
-    while start > max(0, at - 24) and (text[start - 1] == "_" or text[start - 1].isascii() and text[start - 1].isalpha()):
+    while start > 0 and (text[start - 1] == "_" or text[start - 1].isascii() and text[start - 1].isalnum()):
         start -= 1
-    return text[start:at].lower() if at - start >= 2 else ""
+    key = text[start:at].lower()
+    return key if len(key) >= 2 and any(c.isalpha() for c in key) else ""
 
 
 def is_cue(key: str) -> bool:
+    key = key.rstrip("0123456789_")
     return key in CUES or key.endswith(tuple(f"_{c}" for c in CUES))
 
 
+def shape(value: str) -> str:
+    """What a key's values must share to speak for each other."""
+    if "@" in value:
+        return "at"
+    digit, letter = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+    return ("mixed" if letter else "digits") if digit else "words"
+
+
+def shaped(pattern: str, value: str) -> str:
+    return f"{pattern} ({shape(value)})"
+
+
+def slot_patterns(pattern: str, value: str) -> list[str]:
+    """A slot's pattern, and for a key the same for values of this shape only: base entities, whose make is their own, speak for just that."""
+    return [pattern, shaped(pattern, value)] if pattern.startswith(("key ", "long ")) else [pattern] * bool(pattern)
+
+
+def words_before(text: str, at: int) -> str:
+    """The three words of letters before `at`, in lower case; what may stand between the last one and `at` is space and a few marks."""
+    while at > 0 and (text[at - 1].isspace() or text[at - 1] in ":=#(\"'"):
+        at -= 1
+    words = []
+    for _ in range(3):
+        start = at
+        while start > 0 and text[start - 1].isalpha():
+            start -= 1
+        if start == at:
+            return ""
+        words.append(text[start:at].lower())
+        at = start
+        while at > 0 and text[at - 1].isspace():
+            at -= 1
+        if at == start and len(words) < 3:
+            return ""
+    return " ".join(reversed(words))
+
+
 def value_at(text: str, at: int) -> tuple[int, int]:
     """Start and end of the whole value: what stands in quotes, or all up to a space, without the punctuation of the sentence."""
     if m := QUOTED.match(text, at):
@@ -137,7 +175,7 @@ def slots(text: str) -> list[tuple[int, int, str, bool]]:
         if key := key_before(text, m.start()):
             s, e = value_at(text, m.end())
             if s < e:
-                out.append((s, e, f"key {key}", is_cue(key)))
+                out.append((s, e, named(f"key {key}"), is_cue(key)))
     for m in PROSE.finditer(text):
         s, e = value_at(text, m.end())
         if s < e and text[s] not in "=:":
@@ -185,8 +223,8 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
     taken = slots(text)
     behind = {s: (e, pattern, seed) for s, e, pattern, seed in taken}
     for kind, s, e in base:
-        if s in behind and behind[s][1].startswith("key "):
-            out.append((-1, -1, named(f"{kind} {text[s:e]}"), [behind[s][1]], True))
+        if s in behind and behind[s][1].startswith(("key ", "long ")):
+            out.append((-1, -1, named(f"{kind} {text[s:e]}"), [shaped(behind[s][1], text[s:e])], True))
     done, b, c, inside = 0, 0, 0, 0
     for m in DIGITS.finditer(text):
         s, e = m.span()
@@ -208,9 +246,9 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
             inside = max(inside, taken[c][1] if taken[c][3] else 0)
             c += 1
         end, slot, seed = behind.get(s, (0, "", False))
-        make, head, left = make_of(core), HEAD.match(core), None if slot.startswith("key ") else LEFT.search(text, max(0, s - 80), s)
-        patterns = [slot] * bool(slot) + ([f"head {head[0]} {make}"] if head else []) + [f"make {make}"] * (len(core) >= 16)
-        patterns += [f"left {left[1]} {left[2]} {left[3]}".lower()] if left else []
+        make, head, left = make_of(core), HEAD.match(core), "" if slot.startswith(("key ", "long ")) else words_before(text, s)
+        patterns = slot_patterns(slot, text[s:end]) + ([f"head {head[0]} {make}"] if head else []) + [f"make {make}"] * (len(core) >= 16)
+        patterns += [f"left {left}" if len(left) <= LONG_NAME else f"left {named(left)}"] if left else []
         whole = end == e
         if whole:
             del behind[s]
@@ -225,7 +263,7 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, in
             upto += 1
         near = base[b:upto]
         if e > last and (not near or bare(text, s, e, near)):
-            out.append((s, e, node(text[s:e], pattern), [pattern], seed))
+            out.append((s, e, node(text[s:e], pattern), slot_patterns(pattern, text[s:e]), seed))
             last = e if seed else last
     return out
 
