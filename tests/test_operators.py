@@ -447,6 +447,15 @@ def brute_flights(rows):
     return out
 
 
+def test_registered_flights_equal_the_rules(spark):
+    from tocsin.queries import streams
+
+    folder = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in streams.fixes(spark, folder).select("hex", "t", "lat", "lon", "alt_ft", "gs_kt", "ground").collect()]
+    got = [tuple(r) for r in streams.track_flights(spark, folder).collect()]
+    assert sorted(got) == sorted(brute_flights(rows)) and {r[2] for r in got} == {"takeoff", "landing"} and len(got) > 200
+
+
 def test_flights_equal_the_rules(spark):
     rng = np.random.default_rng(22)
     rows = []
@@ -519,6 +528,9 @@ def test_feeds(spark, tmp_path):
     assert feeds.registry(spark, str(tmp_path / "r.csv"), "code string, name string", "code", ";").count() == 1
     rss = "<rss><channel><item><title>t1</title><link>l1</link><pubDate>d</pubDate></item></channel></rss>"
     assert collect(feeds.rss_items(spark.createDataFrame([(rss,)], "b string"), "b")) == [("t1", "l1", "d")]
+    gaps = "<rss version='2.0'><channel><title>x</title><item><title>A</title><link>a</link></item><item><title>B &amp; C</title><pubDate>d2</pubDate></item></channel></rss>"
+    rows = feeds.rss_items(spark.createDataFrame([(gaps,), ("no xml",), (None,), ("<rss><channel/></rss>",)], "b string"), "b").collect()
+    assert sorted(map(tuple, rows)) == [("A", "a", None), ("B & C", None, "d2")]
     page = '{"numberMatched": 1, "features": [{"geometry": {"coordinates": [1.0, 2.0]}, "properties": {"id": "x"}}]}'
     assert collect(feeds.geojson_features(spark.createDataFrame([(page,)], "b string"), "b", "id: string")) == [(1.0, 2.0, "x")]
     table = spark.createDataFrame([('[["k","v"],["a","1"]]',)], "j string").select(feeds.header_rows(F.col("j")).alias("m")).first().m

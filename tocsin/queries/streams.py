@@ -128,22 +128,39 @@ def heatmap_latest(spark, sf_dir):
     return d.filter("squawk is null").select("file", "slice_ms", "hex", r6("lat").alias("lat"), "alt_ft", "on_ground", "gs_kt")
 
 
+#: Flights of four hours: an hour on the ground, then out and back, so far in degrees, climbing and descending by so many feet a second.
+CYCLE, STAND, REACH, RATE = 14400, 3600, 4.0, 8
+
+
+def fixes(spark, sf_dir):
+    """hex, t, lat, lon, alt_ft, gs_kt, ground: events as fixes of three aircraft that fly out, turn and come back."""
+    e = A.events(spark, sf_dir)
+    hex_ = F.col("user_id") % 3
+    e = e.groupBy(hex_.alias("hex"), "t").agg(F.max("value").alias("v")).withColumn("phase", F.pmod(F.col("t") + F.col("hex") * 3000, F.lit(CYCLE)))
+    out, up = (CYCLE - STAND) / 2, F.col("phase") >= STAND
+    away = F.when(up, 1 - F.abs(F.col("phase") - STAND - out) / out).otherwise(0.0)
+    alt = F.when(up, F.least(F.lit(30000.0), RATE * (F.col("phase") - STAND), RATE * (CYCLE - F.col("phase")))).otherwise(0.0)
+    gs = F.when(up, F.lit(160.0)).otherwise(F.lit(5.0))
+    return e.select("hex", "t", (F.col("hex") * 10 + REACH * away).alias("lat"), (F.col("hex") * 10 + 2 * away).alias("lon"), alt.cast("double").alias("alt_ft"), gs.alias("gs_kt"), (~up & (F.col("v") < 50)).alias("ground"))
+
+
 @query("track_flights")
 def track_flights(spark, sf_dir):
-    """Takeoffs and landings told from the events of each user as fixes of an aircraft."""
+    """Takeoffs and landings told from the fixes of aircraft."""
     return flights(fixes(spark, sf_dir))
 
 
-@query("track_turnarounds")
+@query("track_turnarounds", with_("e", f"""+ p AS (SELECT user_id % 3 AS hex, t, (t + user_id % 3 * 3000) % {CYCLE} AS phase FROM e GROUP BY 1, 2, 3),
+ f AS (SELECT hex, t, hex * 10 + {REACH} * w AS lat, hex * 10 + 2.0 * w AS lon, CASE WHEN phase >= {STAND} THEN least(30000, {RATE} * (phase - {STAND}), {RATE} * ({CYCLE} - phase)) ELSE 0 END AS alt
+   FROM (SELECT *, CASE WHEN phase >= {STAND} THEN 1 - abs(phase - {STAND} - {(CYCLE - STAND) / 2}) / {(CYCLE - STAND) / 2} ELSE 0 END AS w FROM p)),
+ g AS (SELECT *, lag(t) OVER w AS t1, lag(lat) OVER w AS lat1, lag(lon) OVER w AS lon1, lag(alt) OVER w AS alt1, lag(t, 2) OVER w AS t2, lag(lat, 2) OVER w AS lat2, lag(lon, 2) OVER w AS lon2, lag(alt, 2) OVER w AS alt2 FROM f WINDOW w AS (PARTITION BY hex ORDER BY t)),
+ k AS (SELECT *, 12742 * asin(sqrt(least(1, pow(sin(radians(lat - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat)) * pow(sin(radians(lon - lon1) / 2), 2)))) AS d1, 12742 * asin(sqrt(least(1, pow(sin(radians(lat1 - lat2) / 2), 2) + cos(radians(lat2)) * cos(radians(lat1)) * pow(sin(radians(lon1 - lon2) / 2), 2)))) AS d2,
+   degrees(atan2(sin(radians(lon - lon1)) * cos(radians(lat)), cos(radians(lat1)) * sin(radians(lat)) - sin(radians(lat1)) * cos(radians(lat)) * cos(radians(lon - lon1)))) AS b1, degrees(atan2(sin(radians(lon1 - lon2)) * cos(radians(lat1)), cos(radians(lat2)) * sin(radians(lat1)) - sin(radians(lat2)) * cos(radians(lat1)) * cos(radians(lon1 - lon2)))) AS b2
+   FROM g WHERE t - t1 <= 1800 AND t1 - t2 <= 1800 AND least(alt, alt1, alt2) >= 10000)
+ SELECT hex, t1 AS t, round(change, 6) AS change FROM (SELECT hex, t1, d1, d2, least(abs(b1 - b2), 360 - abs(b1 - b2)) AS change FROM k) WHERE d1 >= 2 AND d2 >= 2 AND change >= 120"""))
 def track_turnarounds(spark, sf_dir):
-    return turnarounds(fixes(spark, sf_dir), minutes=3000, least_km=20.0)
-
-
-def fixes(spark, sf_dir):
-    """hex, t, lat, lon, alt_ft, gs_kt, ground of users' events."""
-    o = A.observations(spark, sf_dir)
-    angle = F.radians(F.pmod(F.col("t") / 600 + F.col("hex") * 7, F.lit(360.0)))
-    return o.select("hex", "t", (F.sin(angle) * 3).alias("lat"), (F.cos(angle) * 3).alias("lon"), F.when(F.col("airborne"), F.col("v") * 100).otherwise(0.0).alias("alt_ft"), F.when(F.col("airborne"), F.col("v")).otherwise(10.0).alias("gs_kt"), (~F.col("airborne")).alias("ground"))
+    """Where the aircraft turn; fixes stand two kilometres apart or more."""
+    return turnarounds(fixes(spark, sf_dir), least_km=2.0)
 
 
 @query("stream_cusum_batch", with_("e", """+ f AS (SELECT event_type AS series, list_prepend(0.0::DOUBLE, list(greatest(-4.0, least(8.0, (value - 40) / 20)) - 1.5 ORDER BY t, event_id)) AS steps FROM e GROUP BY 1)

@@ -43,10 +43,10 @@ def geojson_features(pages: DataFrame, body: str, properties: str) -> DataFrame:
 
 
 def rss_items(feeds: DataFrame, body: str) -> DataFrame:
-    """title, link, published of the items in RSS text."""
-    part = lambda tag: F.xpath(F.col(body), F.lit(f"rss/channel/item/{tag}/text()"))
-    items = feeds.select(F.explode(F.arrays_zip(part("title").alias("title"), part("link").alias("link"), part("pubDate").alias("published"))).alias("i"))
-    return items.select("i.*")
+    """title, link, published of the items in RSS text, each item's own: what an item lacks is null. Text that is no XML has none."""
+    parsed = F.from_xml(F.col(body), "channel struct<item: array<struct<title: string, link: string, pubDate: string>>>", {"mode": "PERMISSIVE"})
+    items = feeds.select(parsed.alias("rss")).select(F.explode("rss.channel.item").alias("i"))
+    return items.select("i.title", "i.link", F.col("i.pubDate").alias("published"))
 
 
 def header_rows(json_table: Column) -> Column:
