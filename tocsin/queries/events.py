@@ -111,12 +111,14 @@ def expectation_sql(rows: str, annual: bool, digits: int = 6) -> str:
  x0 AS (SELECT b0.*, {a} AS adj, {w} AS wt FROM b0 LEFT JOIN ca USING (series, slot){" LEFT JOIN yr USING (series, slot)" if annual else ""}),
  x1 AS (SELECT *, CASE WHEN ready THEN base + adj * wt ELSE n END AS expected, CASE WHEN ready THEN n - base - adj * wt END AS residual FROM x0),
  {around("x1", "residual", "m1")}
- SELECT series, slot, CAST(n AS BIGINT) AS n, round(base, {digits}) AS base, round(adj, {digits}) AS adjustment, round(wt, {digits}) AS weight, round(expected, {digits}) AS expected, ready,
+ SELECT series, slot, CAST(n AS BIGINT) AS n, round(base, {digits}) AS base, CASE WHEN round(adj, {digits}) = 0 THEN 0.0 ELSE round(adj, {digits}) END AS adjustment, round(wt, {digits}) AS weight, round(expected, {digits}) AS expected, ready,
   round(CASE WHEN ready THEN greatest(8, coalesce({blend("coalesce(m1.rms_d, x1.rms_d)", "coalesce(m1.rms_w, x1.rms_w)").replace("n_w", "x1.n_w")}, 8)) ELSE 8 END, {digits}) AS std FROM x1 LEFT JOIN m1 USING (series, slot)"""
 
 
 def expected_columns(df):
-    return df.select("series", "slot", "n", *[r6(c).alias(c) for c in ("base", "adjustment", "weight", "expected", "std")], "ready")
+    """Rounded; a residue of minus nothing is nothing."""
+    r = {c: r6(c) for c in ("base", "adjustment", "weight", "expected", "std")}
+    return df.select("series", "slot", "n", *[F.when(x == 0, 0.0).otherwise(x).alias(c) for c, x in r.items()], "ready")
 
 
 @query("causal_expectation", expectation_sql(with_("e s", "+ q AS (SELECT 'all' AS series, slot, CAST(n AS DOUBLE) AS n FROM s)"), False))
