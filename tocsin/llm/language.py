@@ -148,7 +148,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from rows where train holds (all but every fourth by crc32 of the id, if not given) and lang_col isn't null. A
     text that is null or has no letter is und, with score 0; so is every text where nothing can be learnt. Equal texts get
-    equal results; a very long text is held alone, whole; an empty table gives no rows.
+    equal results; a very long text is held alone, whole; an empty table gives no rows. A column called `name` is replaced.
     """
     if train is None:
         train = F.coalesce(remainder(F.col(id_col), 4) != 2, F.lit(True))

@@ -250,7 +250,8 @@ def sentencepiece_ids(docs: DataFrame, text_col: str = "text", model: str | None
     """docs with a struct `name`: n_tokens, ids_crc32 (of the ids as little-endian uint32), restored (whether decoding gives
     the normalised text again) and, if wanted, ids.
 
-    Null and empty texts have no ids and are restored. Every row stands alone; repeated rows have equal results.
+    Null and empty texts have no ids and are restored. Every row stands alone; repeated rows have equal results. A very long text is held
+    alone and coded whole; an empty table gives no rows. A column called `name` is replaced.
     """
     model = model or tokenizer_path("piece_bpe_32k.model")
 
@@ -291,5 +292,6 @@ def plain(coder: StreamingViterbi, text: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, restored and ids of every document; odd rows as in sentencepiece_ids()."""
     out = sentencepiece_ids(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("pieces.n_tokens").alias("n_tokens"), F.col("pieces.ids_crc32").alias("ids_crc32"), F.col("pieces.restored").alias("restored"), F.col("pieces.ids").alias("ids"))

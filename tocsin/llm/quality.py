@@ -156,6 +156,7 @@ def line_first(docs: DataFrame, text_col: str = "text", rules: LineRules = LineR
 
     Null and empty texts have no words, so base_failed is true and cleaned is empty. A line's rules never look at other
     columns. Repeated rows are judged alike, each on its own; a very long text is held alone, whole; an empty table gives no rows.
+    A column called `name` is replaced.
     """
 
     def make():

@@ -248,6 +248,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Learns from labels where keep holds (all but crc32 of the id modulo 3 of 1, if not given). Null and wordless texts have
     one window, of nothing. Where there is nothing to learn, or one class only, scores are those of a network that hasn't
     learnt. Equal texts get equal scores; a very long text is held alone, and all its windows count; an empty table gives no rows.
+    A column called `name` is replaced.
     """
     if keep is None:
         keep = F.coalesce(remainder(F.col(id_col), 3) != 1, F.lit(True))
