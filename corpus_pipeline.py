@@ -22,25 +22,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id, nulls last; of rows that repeat id and text one. Rows of one id with
-    other texts are rows of their own; texts without words have no copies. An empty table stays empty."""
+    other texts are rows of their own; texts without words have no copies. Very long texts are
+    compared whole. An empty table stays empty."""
     return deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs. Null texts have none and stay; so do all rows where the benchmark is empty."""
+    """Documents in which no window of the benchmark occurs. Null texts have none and stay; so do all rows where the benchmark is empty.
+    Repeated rows are judged alike; very long texts are searched whole; an empty table stays empty."""
     name = free_name(docs, "_contamination")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), name=name)
     return found.filter(F.size(f"{name}.hits") == 0).select(*docs.columns)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind; n_chars is counted anew. Null texts stay null; repeated rows stay."""
+    """All documents, with personal data replaced by its kind; n_chars is counted anew. Null texts stay null; repeated rows stay.
+    Very long texts are read whole; an empty table stays empty."""
     out = redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, restored and ids of every document; null texts have no ids."""
+    """doc_id, n_tokens, ids_crc32, restored and ids of every document; null texts have no ids. Repeated rows have equal
+    results; very long texts are coded whole; an empty table stays empty."""
     return sentencepiece_ids(docs.select("doc_id", "text")).select("doc_id", "pieces.*")
 
 
