@@ -92,11 +92,9 @@ def cluster_summary(members: DataFrame, cluster: str, key: str, lat: str, lon: s
     return centre.join(near, cluster).select(cluster, "n", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), "nearest")
 
 
-def spread_first(points: DataFrame, key: str, value: str, km: float) -> DataFrame:
-    """Points kept when taken by value (down, then key) and none kept before is within km: those that beat all neighbours are
-    kept and rule these out, round by round, until all are settled."""
-    pairs = kept(radius_pairs(points, key, km).select("a", "b"))
-    order = points.select(F.col(key).alias("id"), F.struct((-F.col(value)).alias("v"), F.col(key).alias("k")).alias("o"))
+def greedy(order: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id of those kept when taken by order (id, o: no two alike) and none kept before is a partner (pairs: a, b): those that beat all their
+    partners are kept and rule these out, round by round, until all are settled."""
     open_, chosen = kept(order), None
     edges = kept(pairs.union(pairs.select("b", "a")))
     while not open_.isEmpty():
@@ -105,7 +103,14 @@ def spread_first(points: DataFrame, key: str, value: str, km: float) -> DataFram
         chosen = now if chosen is None else kept(chosen.union(now))
         out = now.union(edges.join(now.withColumnRenamed("id", "b"), "b", "left_semi").select(F.col("a").alias("id"))).distinct()
         open_ = kept(open_.join(out, "id", "left_anti"))
-    return points if chosen is None else points.join(chosen.withColumnRenamed("id", key), key, "left_semi")
+    return order.select("id").limit(0) if chosen is None else chosen
+
+
+def spread_first(points: DataFrame, key: str, value: str, km: float) -> DataFrame:
+    """Points kept when taken by value (down, then key) and none kept before is within km."""
+    order = points.select(F.col(key).alias("id"), F.struct((-F.col(value)).alias("v"), F.col(key).alias("k")).alias("o"))
+    chosen = greedy(order, kept(radius_pairs(points, key, km).select("a", "b")))
+    return points.join(chosen.withColumnRenamed("id", key), key, "left_semi")
 
 
 def strongest_associations(closure: DataFrame, links: DataFrame) -> DataFrame:

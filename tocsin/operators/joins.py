@@ -45,23 +45,23 @@ def asof_nearest(left: DataFrame, right: DataFrame, left_time: str, right_time:
 
 
 
-def radius_pairs(points: DataFrame, key: str, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """a < b and km of all pairs of points no farther apart: points meet in latitude bands and their neighbours, and there in
+def radius_pairs(points: DataFrame, key: str, km: float, lat: str = "lat", lon: str = "lon", keys: list[str] | None = None) -> DataFrame:
+    """a < b and km of all pairs of points (of equal keys) no farther apart: points meet in latitude bands and their neighbours, and there in
     longitude cells as wide as the radius at the band's farthest latitude."""
-    step = km / (EARTH_KM * 3.141592653589793 / 180)
+    step, keys = km / (EARTH_KM * 3.141592653589793 / 180), keys or []
     band = F.floor(F.col(lat) / step).cast("long")
-    p = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), band.alias("band"))
-    left = p.select(F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("band").alias("own"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    p = points.select(*keys, F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), band.alias("band"))
+    left = p.select(*keys, F.col("id").alias("a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.col("band").alias("own"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     # a pair in bands i and j is joined in band j with cells of the band (of i and j) nearer a pole
     widest = lambda a, b: F.greatest(F.abs(F.least(a, b) * step), F.abs((F.greatest(a, b) + 1) * step))
     share = lambda far: F.greatest(F.cos(F.radians(F.least(far + step, F.lit(90.0)))), F.lit(1e-9))
     n_cells = lambda far: F.greatest(F.floor(360 / (step / share(far))), F.lit(1)).cast("long")
-    right = p.select(F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("own"))
+    right = p.select(*keys, F.col("id").alias("b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), "band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("own"))
     count = n_cells(widest(F.col("own"), F.col("band")))
     cell = lambda x: F.least(F.floor((x + 180) / 360 * F.col("cells")), F.col("cells") - 1).cast("long")
     left = left.withColumn("cells", count).withColumn("cell", cell(F.col("lon_a")))
     right = right.withColumn("cells", count).withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(cell(F.col("lon_b")) + d, F.col("cells"))))))
-    pairs = left.join(right, ["own", "band", "cells", "cell"]).filter("a < b")
+    pairs = left.join(right, [*keys, "own", "band", "cells", "cell"]).filter("a < b")
     return pairs.withColumn("km", haversine("lat_a", "lon_a", "lat_b", "lon_b")).filter(F.col("km") <= km).select("a", "b", "km")
 
 
