@@ -1,5 +1,5 @@
 """All queries of the engine and their DuckDB counterparts."""
 
-from .queries import ORACLE_SQL, QUERIES, assembly, events, notices, official, places, radiation, records, streams, texts
+from .queries import ORACLE_SQL, QUERIES, assembly, behaviour, events, notices, official, places, radiation, records, streams, texts
 
-__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "events", "notices", "official", "places", "radiation", "records", "streams", "texts"]
+__all__ = ["ORACLE_SQL", "QUERIES", "assembly", "behaviour", "events", "notices", "official", "places", "radiation", "records", "streams", "texts"]
