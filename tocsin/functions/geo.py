@@ -18,7 +18,7 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     a, b = F.radians(_c(lat1)), F.radians(_c(lat2))
     dlat, dlon = b - a, F.radians(_c(lon2)) - F.radians(_c(lon1))
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h))))  # least passes nulls over
 
 
 def bearing(lat1, lon1, lat2, lon2) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..functions.canonical import canonical_digest
 from ..functions.text import clean_html, term_pattern, title_key
 from ..plans import detectors
 from . import query, r6
@@ -56,3 +57,20 @@ def title_key_groups(spark, sf_dir):
 def length_stats(spark, sf_dir):
     n = F.length("text")
     return A.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), r6(F.avg(n)).alias("mean"), F.percentile(n.cast("double"), 0.5).alias("med"), F.max(n).cast("long").alias("longest"))
+
+
+#: Bodies whose keys stand in another order on each second event, with times of fetching outside and inside.
+BODY = """SELECT event_id, event_type, user_id, json_extract_string(props, '$.k') AS k, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS v FROM events"""
+
+
+@query("canonical_digests", f"""WITH b AS ({BODY}), d AS (SELECT *, sha256('{{"a":[{{"10":"' || k || '","b":' || v || '}}],"kind":"' || event_type || '","user":' || user_id || '}}') AS digest FROM b)
+ SELECT digest, count(*) AS n, min(event_id) AS first_event FROM d GROUP BY 1""")
+def canonical_digests(spark, sf_dir):
+    """Events under the digest of what they say; when they were fetched and how their keys stand makes no difference."""
+    e = A.table(spark, sf_dir, "events")
+    b = e.select("event_id", F.col("user_id").alias("user"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("10"), F.col("value").alias("b"), F.col("ts").cast("string").alias("when"))
+    b = b.withColumn("inner", F.struct("10", "b")).withColumn("outer", F.struct("b", F.col("when").alias("polled_at"), "10"))
+    one = F.to_json(F.struct("user", F.col("when").alias("observedAt"), F.array("outer").alias("a"), "kind"))
+    other = F.to_json(F.struct(F.array("inner").alias("a"), "kind", F.col("when").alias("fetched_at"), "user"))
+    d = b.select("event_id", F.when(F.col("event_id") % 2 == 0, one).otherwise(other).alias("body")).select("event_id", canonical_digest("body").alias("digest"))
+    return d.groupBy("digest").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
