@@ -1,5 +1,12 @@
 """Groups of aircraft: keys that last, footprints that don't grow, hours that must be covered, odd tables."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from tocsin.operators import graph
+from tocsin.operators.graph import components
+from tocsin.operators.joins import radius_pairs
 from tocsin.plans import behaviour as B
 
 HOUR, DAY = 3600, 86400
@@ -52,3 +59,23 @@ def test_nothing_comes_of_nothing(spark):
     none = frame(spark, [])
     assert B.origin_clusters(none, instants(spark, NOW), hours(spark)).collect() == []
     assert B.turn_clusters(none, instants(spark, NOW), hours(spark)).collect() == []
+
+
+def test_members_are_held_against_the_places_around_them_only(spark, monkeypatch):
+    now = [(f"n{k:03}", NOW - 600 - k % 60, 50.0 + 0.001 * (k % 5), 8.0) for k in range(300)]
+    past = [(f"p{d}{k}", NOW - d * DAY - 60, lat, 8.0) for d in range(1, 15) for k, lat in enumerate([50.0] * 30 + [50.5] * 20 + [50.6] * 50)]  # 0, 55 and 66 km away
+    seen = []
+    monkeypatch.setattr(graph, "components", lambda edges, nodes: seen.append(edges.count()) or components(edges, nodes))
+    out = B.origin_clusters(frame(spark, now + past), instants(spark, NOW), hours(spark)).collect()
+    assert [(r["n"], r["median"], r["days"]) for r in out] == [(300, 50.0, 21)]
+    assert [x for x in seen if isinstance(x, int)] == [0]  # one cell, no pairs at all
+
+
+def test_groups_of_copies_link_as_pairs_would(spark):
+    rng = random.Random(4)
+    spots = [(rng.uniform(59, 62), rng.uniform(-180, 180)) for _ in range(60)] + [(0.0, 179.9), (0.0, -179.9), (89.9, 0.0), (89.9, 170.0), (None, 1.0), (None, 1.0)]
+    rows = [(g, f"{k:03}{g}", *spots[k % len(spots)]) for g in (1, 2) for k in range(130)]
+    p = spark.createDataFrame(rows, "g int, k string, lat double, lon double")
+    got = {(r["g"], r["k"]): r["component"] for r in graph.radius_components(p, "k", 150.0, ["g"]).collect()}
+    plain = components(radius_pairs(p, "k", 150.0, keys=["g"]).select("a", "b"), p.select(F.col("k").alias("id"))).collect()
+    assert len(got) == 260 and {k: c for (_, k), c in got.items()} == {r["id"]: r["component"] for r in plain}

@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_KM, centroid, haversine
+from ..functions.geo import EARTH_KM, centroid, haversine, tight_cell
 from ..functions.stats import median
 from ..functions.timeutil import DAY
-from ..operators.graph import components, kept
-from ..operators.joins import band_join, radius_pairs
+from ..operators.graph import kept, radius_components
+from ..operators.joins import band_join
 from ..operators.sequences import hour_overlaps
 
 #: Days looked back and those needed, kilometres of a group of turns and of departures, least turns and departures, times the median.
@@ -21,10 +21,8 @@ def grouped(events: DataFrame, instants: DataFrame, km: float, window: int) -> D
     """instant, grp, hex, lat, lon: aircraft with an event (hex, t, lat, lon) in the `window` seconds up to each instant, the last of each, grouped
     where no farther apart than km."""
     near = band_join(instants.select("instant"), events.select("hex", "t", "lat", "lon"), "instant", "t", window - 1, 0)
-    last = near.groupBy("instant", "hex").agg(F.max(F.struct("t", "lat", "lon")).alias("e")).select(F.struct("instant", "hex").alias("id"), "instant", "hex", "e.lat", "e.lon")
-    last = kept(last)
-    groups = components(radius_pairs(last, "id", km, keys=["instant"]).select("a", "b"), last.select("id"))
-    return last.join(groups, "id").select("instant", F.col("component.hex").alias("grp"), "hex", "lat", "lon")
+    last = kept(near.groupBy("instant", "hex").agg(F.max(F.struct("t", "lat", "lon")).alias("e")).select("instant", "hex", "e.lat", "e.lon"))
+    return last.join(radius_components(last, "hex", km, ["instant"]), ["instant", "hex"]).select("instant", F.col("component").alias("grp"), "hex", "lat", "lon")
 
 
 def clock_hours(instants: DataFrame, covered: DataFrame, window: int) -> DataFrame:
@@ -59,24 +57,34 @@ def origin_clusters(departures: DataFrame, instants: DataFrame, covered: DataFra
     """instant, event_key, level, n, median, days, lat, lon, hexes (sorted) of places from which unusually many aircraft depart.
 
     A group's footprint is fixed: on the days before, departures count that were within ORIGIN_KM of one of its members, so that they can't
-    chain outward. Groups and past departures meet by hour and latitude band. Keys are those of `episodes`.
+    chain outward. Those in a `tight_cell` that has a member are counted by cell; only the places around are held against members, by
+    latitude band and once an instant. Keys are those of `episodes`.
     """
     m = grouped(departures, instants, ORIGIN_KM, window)
-    by = ["instant", "grp"]
-    size = m.groupBy(*by).agg(F.count("*").alias("n"), centroid("lat", "lon")[0].alias("c_lat"), centroid("lat", "lon")[1].alias("c_lon"), F.array_sort(F.collect_list("hex")).alias("hexes"))
-    size = kept(size.filter(F.col("n") >= DEPARTURES))
-    m = m.join(size.select(*by), by).withColumnsRenamed({"lat": "m_lat", "lon": "m_lon"}).drop("hex")
-    hours = clock_hours(size.select("instant").distinct(), covered, window)
+    by, cell = ["instant", "grp"], ["row", "col"]
+    row, col = tight_cell("lat", "lon", ORIGIN_KM)
+    size = kept(m.groupBy(*by).agg(F.count("*").alias("n"), centroid("lat", "lon")[0].alias("c_lat"), centroid("lat", "lon")[1].alias("c_lon")).filter(F.col("n") >= DEPARTURES))
+    hours = kept(clock_hours(size.select("instant").distinct(), covered, window))
+    each = hours.select("instant", "hour").distinct()
     step = ORIGIN_KM / (EARTH_KM * 3.141592653589793 / 180)
     band = lambda c: F.floor(F.col(c) / step)
-    feet = m.withColumn("band", F.explode(F.array(*[band("m_lat") + d for d in (-1, 0, 1)]))).join(hours, "instant")
-    seen = feet.join(hourly(departures).withColumn("band", band("lat")), ["hour", "band"]).filter(haversine("lat", "lon", "m_lat", "m_lon") <= ORIGIN_KM)
-    seen = seen.groupBy(*by, "ago", "hour").agg(F.count_distinct("hex").alias("k"))
-    past = size.select(*by).join(hours, "instant").join(seen, [*by, "ago", "hour"], "left").groupBy(*by, "ago").agg(F.sum(F.coalesce("k", F.lit(0)) * F.col("weight")).alias("x"))
+    feet = kept(m.join(size.select(*by), by).select(*by, F.col("lat").alias("m_lat"), F.col("lon").alias("m_lon"), row.alias("row"), col.alias("col")).distinct())
+    inside = feet.select(*by, *cell).distinct()
+    past = kept(hourly(departures).groupBy("hour", "lat", "lon").agg(F.count("*").alias("k")).withColumn("row", row).withColumn("col", col))
+    sure = inside.join(each, "instant").join(past.groupBy("hour", *cell).agg(F.sum("k").alias("k")), ["hour", *cell]).select(*by, "hour", "k")
+    sites = each.join(past, "hour").select("instant", "lat", "lon", *cell, band("lat").alias("band")).distinct()
+    reach = feet.withColumn("band", F.explode(F.array(*[band("m_lat") + d for d in (-1, 0, 1)])))
+    around = sites.join(reach.select(*by, "band").distinct(), ["instant", "band"]).join(inside, [*by, *cell], "left_anti")
+    around = around.join(reach.select(*by, "band", "m_lat", "m_lon"), [*by, "band"]).filter(haversine("lat", "lon", "m_lat", "m_lon") <= ORIGIN_KM).select(*by, "lat", "lon").distinct()
+    rest = around.join(each, "instant").join(past.select("hour", "lat", "lon", "k"), ["hour", "lat", "lon"]).select(*by, "hour", "k")
+    seen = sure.unionByName(rest).groupBy(*by, "hour").agg(F.sum("k").alias("k"))
+    past = size.select(*by).join(hours, "instant").join(seen, [*by, "hour"], "left").groupBy(*by, "ago").agg(F.sum(F.coalesce("k", F.lit(0)) * F.col("weight")).alias("x"))
     base = past.groupBy(*by).agg(F.count("*").alias("days"), median("x").alias("median"))
     out = size.join(base, by).filter((F.col("days") >= LEAST_DAYS) & (F.col("median") >= 1) & (F.col("n") >= TIMES * F.col("median")))
     level = F.when(F.col("n") >= 2 * F.greatest(F.lit(float(DEPARTURES)), TIMES * F.col("median")), 4).otherwise(3)
-    out = kept(out.select("instant", level.alias("level"), "n", "median", "days", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), "hexes"))
+    out = kept(out.select(*by, level.alias("level"), "n", "median", "days", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon")))
+    hexes = m.select(*by, "hex").join(out.select(*by), by).groupBy(*by).agg(F.array_sort(F.collect_list("hex")).alias("hexes"))
+    out = kept(out.join(hexes, by).drop("grp"))
     return out.join(episodes(out), ["instant", "hexes"])
 
 
