@@ -79,3 +79,13 @@ def test_groups_of_copies_link_as_pairs_would(spark):
     got = {(r["g"], r["k"]): r["component"] for r in graph.radius_components(p, "k", 150.0, ["g"]).collect()}
     plain = components(radius_pairs(p, "k", 150.0, keys=["g"]).select("a", "b"), p.select(F.col("k").alias("id"))).collect()
     assert len(got) == 260 and {k: c for (_, k), c in got.items()} == {r["id"]: r["component"] for r in plain}
+
+
+def test_turns_of_one_cell_make_no_pairs(spark, monkeypatch):
+    at = NOW + 1800
+    turns = [(f"n{k:03}", at - 100, 50.0 + 0.001 * (k % 5), 8.0) for k in range(300)]
+    past = [(f"p{d}", at - d * DAY - 60, 10.0, 8.0) for d in range(1, 22)]
+    seen = []
+    monkeypatch.setattr(graph, "components", lambda edges, nodes: seen.append(edges.count()) or components(edges, nodes))
+    out = B.turn_clusters(frame(spark, turns + past), instants(spark, at), hours(spark)).collect()
+    assert [(r["n"], r["median"], r["level"]) for r in out] == [(300, 0.5, 4)] and seen == [0]
