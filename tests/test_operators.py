@@ -535,3 +535,18 @@ def test_feeds(spark, tmp_path):
     assert collect(feeds.geojson_features(spark.createDataFrame([(page,)], "b string"), "b", "id: string")) == [(1.0, 2.0, "x")]
     table = spark.createDataFrame([('[["k","v"],["a","1"]]',)], "j string").select(feeds.header_rows(F.col("j")).alias("m")).first().m
     assert table == [{"k": "a", "v": "1"}]
+
+
+def copies(spark, n, each):
+    return spark.createDataFrame([(k, float(k % n) * 2 - 20, 8.0, float(k % 7)) for k in range(n * each)] + [(-1, None, 1.0, 9.0), (-2, None, 1.0, 8.0)], "k long, lat double, lon double, v double")
+
+
+def test_dbscan_pairs_places_not_points(spark, monkeypatch):
+    p, km, paired = copies(spark, 12, 25), 100.0, []
+    monkeypatch.setattr(graph, "radius_pairs", lambda points, *a, **more: paired.append(points.count()) or joins.radius_pairs(points, *a, **more))
+    got = {r["k"]: (r["role"], r["cluster"]) for r in graph.dbscan(p, "k", km, 3).collect()}
+    assert got == {k: ("core", k % 12) for k in range(300)} | {-1: ("noise", None), -2: ("noise", None)}  # places 222 km apart
+    assert paired == [14]
+    got = {r["k"]: (r["role"], r["cluster"]) for r in graph.dbscan(p, "k", 250.0, 30).collect()}
+    assert {got[k] for k in range(300)} == {("core", 0)}  # 25 at each place and as many at its neighbours
+    assert {r["role"] for r in graph.dbscan(p, "k", 250.0, 60).filter("k >= 0").collect()} == {"core", "border"}  # the two ends have 50
