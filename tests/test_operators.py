@@ -550,3 +550,11 @@ def test_dbscan_pairs_places_not_points(spark, monkeypatch):
     got = {r["k"]: (r["role"], r["cluster"]) for r in graph.dbscan(p, "k", 250.0, 30).collect()}
     assert {got[k] for k in range(300)} == {("core", 0)}  # 25 at each place and as many at its neighbours
     assert {r["role"] for r in graph.dbscan(p, "k", 250.0, 60).filter("k >= 0").collect()} == {"core", "border"}  # the two ends have 50
+
+
+def test_spread_pairs_places_not_points(spark, monkeypatch):
+    p, paired = copies(spark, 12, 25), []
+    monkeypatch.setattr(graph, "radius_pairs", lambda points, *a, **more: paired.append(points.count()) or joins.radius_pairs(points, *a, **more))
+    got = {r["k"] for r in graph.spread_first(p, "k", "v", 100.0).collect()}
+    assert got == {min((k for k in range(300) if k % 12 == i), key=lambda k: (-(k % 7), k)) for i in range(12)} | {-1, -2}
+    assert paired == [14]
