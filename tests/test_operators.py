@@ -3,6 +3,7 @@
 import functools
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -558,3 +559,13 @@ def test_spread_pairs_places_not_points(spark, monkeypatch):
     got = {r["k"] for r in graph.spread_first(p, "k", "v", 100.0).collect()}
     assert got == {min((k for k in range(300) if k % 12 == i), key=lambda k: (-(k % 7), k)) for i in range(12)} | {-1, -2}
     assert paired == [14]
+
+
+def test_pages_of_a_long_record_pass_in_order_and_windows_run_on(spark):
+    rows = [("a", 60 * k, f"feed {k % 2} is late ({k} s)" if k % 2000 < 20 else None) for k in range(60000)]
+    began = time.time()
+    out = problems.problem_pages(spark.createDataFrame(rows, "box string, t long, problem string"))
+    got = [(r.t // 60 % 2000, r.kind) for r in out.orderBy("t").collect()]
+    assert got == [(3, "alert"), (29, "recovery")] * 30  # one name, whatever the numbers: seen from 0 to 19
+    assert not [x for x in out._jdf.queryExecution().toString().splitlines() if "currentrow$(), unboundedfollowing$()" in x]
+    assert time.time() - began < 60

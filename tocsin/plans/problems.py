@@ -1,17 +1,26 @@
 """Problems of a box from check to check, and the pages that they are worth.
 
 Spans of a problem are islands over the box's checks, found by windows. What of a page depends on the pages before it is settled by
-a walk over the sightings of one box, which come as spans, ages and counts.
+a walk over the sightings of one box, which come in their order as spans, ages and counts.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import namedtuple
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from heapq import heappop, heappush
+from itertools import groupby, islice
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Fixed values, in seconds: how long a problem must last and be away, and is remembered; until it is paged again, and what counts as old.
 HOLD, CLEAR, MEMORY, AGAIN, OLD = 180, 600, 86400, 6 * 3600, 86400
+#: Pages handed on at once.
+BATCH = 1000
 
 
 def problem_name(text) -> F.Column:
@@ -37,7 +46,7 @@ def problem_spans(checks: DataFrame) -> DataFrame:
     # the first check at or after last + CLEAR: the checks and these moments in one order
     marks = spans.select("box", (F.col("last") + CLEAR).alias("t"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("i"), "name", "span")
     both = times.select("box", "t", F.col("t").alias("at"), "i", F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("span")).unionByName(marks)
-    after = box.orderBy("t", F.col("at").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    after = box.orderBy(F.desc("t"), F.col("at").isNotNull().desc()).rowsBetween(Window.unboundedPreceding, 0)  # backwards, so that it runs on
     ends = both.withColumn("ended", F.min("at").over(after)).withColumn("end_i", F.min("i").over(after)).filter("span is not null").select(*line, "span", "ended", "end_i")
     spans = spans.join(ends, [*line, "span"]).withColumn("whole_checks", F.col("end_i") - F.col("i0"))
     spans = spans.withColumn("ended_before", F.lag("ended").over(Window.partitionBy(*line).orderBy("span"))).drop("last", "end_i")
@@ -54,56 +63,83 @@ def next_page(opened: int, paged: int) -> int:
     return paged + OLD if paged >= old else min(old, paged + AGAIN)
 
 
-def pages_of(sightings: pd.DataFrame, upstream: tuple[str, ...] = ()) -> list[tuple[int, str, str, list[str]]]:
-    """(t, kind, priority, texts) of one box's pages, from its rows of problem_spans().
+@dataclass
+class Problem:
+    """The latest span of one name in one box, as far as it is told."""
+
+    opened: int
+    whole: tuple[int, int]
+    carried: tuple[int, int] = (0, 0)
+    paged: int | None = None
+    told: int | None = None
+    live: bool = True
+    text: str = ""
+
+
+def pages_of(sightings: Iterable, upstream: tuple[str, ...] = ()) -> Iterator[tuple[int, str, str, list[str]]]:
+    """(t, kind, priority, texts) of one box's pages, from its rows of problem_spans() in the order of t and name.
 
     A problem counts once it is HOLD old and was present at half of its checks or more. A span goes on with the age and counts of the
     one before if that was paged and is remembered. A page lists all problems that count at its check; it is worth one when any is
-    due. Where nothing that was paged is left open, the end of what was paged is a page too, once.
+    due. Where nothing that was paged is left open, the end of what was paged is a page too, once. A span is over before the next of
+    its name begins, so that what is kept is one span a name.
     """
-    rows = sightings.sort_values(["t", "name"])
-    spans = rows.drop_duplicates(["name", "span"]).set_index(["name", "span"])
-    opened, carried, paged, told = dict(spans["opened"]), dict.fromkeys(spans.index, (0, 0)), {}, {}
-    ends = spans["ended"].dropna().astype("int64").sort_values(kind="stable")
-    out: list[tuple[int, str, str, list[str]]] = []
-    at = {t: part for t, part in rows.groupby("t", sort=False)}
-    ending = {t: list(part.index) for t, part in ends.groupby(ends, sort=False)}
-    live: set[tuple[str, int]] = set()
-    for t in sorted({*at, *ending}):
-        over = ending.get(t, [])
-        listed = []
-        for r in at[t].itertuples() if t in at else ():
-            key, last = (r.name, r.span), (r.name, r.span - 1)
+    latest: dict[str, Problem] = {}
+    ends: list[tuple[int, str]] = []
+
+    def check(t: int, rows: list) -> Iterator[tuple[int, str, str, list[str]]]:
+        over, listed = [], []
+        while ends and ends[0][0] == t:
+            over.append(latest[heappop(ends)[1]])
+        for r in rows:
             if r.seen == 1:
-                live.add(key)
-                if r.back and last in paged:
-                    opened[key], paged[key], told[key] = opened[last], paged[last], told.get(last)
-                    carried[key] = tuple(a + b for a, b in zip(carried[last], spans.loc[last, ["whole_checks", "whole_seen"]]))
-            checks, seen = carried[key]
-            if t - opened[key] >= HOLD and 2 * (seen + r.seen) >= checks + r.checks:
-                listed.append((opened[key], r.text, key, r.name.startswith(upstream) if upstream else False))
-        live.difference_update(over)
-        gone = [k for k in over if k in paged and paged[k] > (told.get(k) or 0)]
-        if any(key not in paged or (not theirs and t >= next_page(opened[key], paged[key])) for _, _, key, theirs in listed):
+                was, now = latest.get(r.name), Problem(r.opened, (r.whole_checks, r.whole_seen))
+                if r.back and was and was.paged is not None:
+                    now.opened, now.paged, now.told = was.opened, was.paged, was.told
+                    now.carried = (was.carried[0] + was.whole[0], was.carried[1] + was.whole[1])
+                latest[r.name] = now
+                if r.ended is not None:
+                    heappush(ends, (r.ended, r.name))
+            p = latest[r.name]
+            p.text = r.text
+            if t - p.opened >= HOLD and 2 * (p.carried[1] + r.seen) >= p.carried[0] + r.checks:
+                listed.append((p.opened, r.text, p, r.name.startswith(upstream) if upstream else False))
+        for p in over:
+            p.live = False
+        gone = [p for p in over if p.paged is not None and p.paged > (p.told or 0)]
+        if any(p.paged is None or (not theirs and t >= next_page(p.opened, p.paged)) for _, _, p, theirs in listed):
             listed.sort(key=lambda x: x[:2])
             own = [x for x in listed if not x[3]]
-            out.append((t, "alert", "default" if not own else "urgent" if t - own[0][0] >= OLD else "high", [x[1] for x in listed]))
-            paged.update((x[2], t) for x in listed)
-        elif gone and not any(k in paged for k in live):
-            texts = rows.set_index(["name", "span"])["text"].groupby(level=[0, 1]).last()
-            out.append((t, "recovery", "default", sorted(texts.loc[k] for k in gone)))
-            told.update((k, t) for k in gone)
-    return out
+            yield t, "alert", "default" if not own else "urgent" if t - own[0][0] >= OLD else "high", [x[1] for x in listed]
+            for x in listed:
+                x[2].paged = t
+        elif gone and not any(p.live and p.paged is not None for p in latest.values()):
+            yield t, "recovery", "default", sorted(p.text for p in gone)
+            for p in gone:
+                p.told = t
+
+    for t, rows in groupby(sightings, key=lambda r: r.t):
+        while ends and ends[0][0] < t:
+            yield from check(ends[0][0], [])
+        yield from check(t, list(rows))
+    while ends:
+        yield from check(ends[0][0], [])
 
 
 def problem_pages(checks: DataFrame, upstream: tuple[str, ...] = ()) -> DataFrame:
     """box, t, kind (alert or recovery), priority, problems (texts) of the pages that the checks (box, t in seconds, problem; null for a
     check that finds none) of each box are worth. Problems whose name begins with one of upstream are a third party's: they are paged
-    once and are never urgent. A box's sightings meet in one task; they are as many as a timer makes."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["box"].iloc[0], *p) for p in pages_of(pdf, upstream)], columns=["box", "t", "kind", "priority", "problems"])
-
-    kind = checks.schema["box"].dataType.simpleString()
-    spans = problem_spans(checks.select("box", F.col("t").cast("long").alias("t"), "problem"))
-    return spans.groupBy("box").applyInPandas(run, f"box {kind}, t long, kind string, priority string, problems array<string>")
+    once and are never urgent. A box's sightings pass through one task in their order, a batch at a time."""
+    columns = ["box", "name", "t", "text", "opened", "checks", "seen", "ended", "whole_checks", "whole_seen", "back"]
+    row = namedtuple("Sighting", columns)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row(*r) for part in parts for r in zip(*(part.column(c).to_pylist() for c in columns)))
+        pages = ((box, *page) for box, own in groupby(rows, key=lambda r: r.box) for page in pages_of(own, upstream))
+        while some := list(islice(pages, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*some), kinds)], names=["box", "t", "kind", "priority", "problems"])
+
+    kind = checks.schema["box"].dataType
+    kinds = [to_arrow_type(kind), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+    spans = problem_spans(checks.select("box", F.col("t").cast("long").alias("t"), "problem")).select(*columns)
+    return spans.repartition("box").sortWithinPartitions("box", "t", "name").mapInArrow(run, f"box {kind.simpleString()}, t long, kind string, priority string, problems array<string>")
