@@ -65,3 +65,13 @@ def test_stations_without_a_word(spark):
 def test_greedy_of_nothing(spark):
     none = spark.createDataFrame([], "id long, o long")
     assert greedy(none, spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_month_of_a_station_is_one_row(spark, monkeypatch):
+    end, sizes, kept = 100 * HOUR, [], R.kept
+    monkeypatch.setattr(R, "kept", lambda df: sizes.append(df.count()) or kept(df))
+    rows = history(1, "de", 2.0) + [("de", 1, end - HOUR // 2, 1.5, True), ("de", 1, end - HOUR, 1.5, False)] + history(2, "de", 2.0, rate=1.0)
+    r = spark.createDataFrame(rows, "source string, station_id long, t long, value double, normal boolean")
+    got = R.departing_stations(r, spark.createDataFrame([(end,)], "pass long"), ["t"]).collect()
+    assert [(x["station_id"], x["value"], round(x["med"], 3), x["hours"], x["since"]) for x in got] == [(1, 2.0, 0.102, 2, end - HOUR // 2)]
+    assert max(sizes, default=0) <= 2  # stations at passes, not their readings
