@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tocsin.operators import records
+from tocsin.operators import joins, records
 from tocsin.plans import notices
+from tocsin.queries import notices as notice_queries
 
 
 def collect(df, *cols):
@@ -31,6 +32,17 @@ def test_conflicts_budget_deltas(spark):
     assert collect(records.delta_summary(d, "c")) == [(3, 12, -2, 10, "p")]
 
 
+def test_what_a_task_of_resolved_references_sorts_does_not_grow(spark, monkeypatch):
+    sf, read, wide = "/root/testdata/sf0.001", [], joins.dealt
+    monkeypatch.setattr(joins, "ROWS", 100)
+    monkeypatch.setattr(joins, "dealt", lambda *a: read.append(wide(*a)) or read[0])
+    notice_queries.resolved_references(spark, sf)
+    rows = sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    each = read[0].groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()
+    assert read[0].count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()  # each line has its order
+    assert read[0].rdd.getNumPartitions() == -(-rows // 100) and each[0] > rows / 200 and each[1] < 300
+
+
 def test_matches_references_context(spark):
     a = spark.createDataFrame([("a1", ["x", "y"]), ("a2", ["z"])], "a string, m array<string>")
     b = spark.createDataFrame([("b1", ["y", "x"]), ("b2", [])], "b string, m array<string>")
