@@ -89,3 +89,14 @@ def test_turns_of_one_cell_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(graph, "components", lambda edges, nodes: seen.append(edges.count()) or components(edges, nodes))
     out = B.turn_clusters(frame(spark, turns + past), instants(spark, at), hours(spark)).collect()
     assert [(r["n"], r["median"], r["level"]) for r in out] == [(300, 0.5, 4)] and seen == [0]
+
+
+def test_stations_at_repeated_places_link_as_their_places(spark, monkeypatch):
+    rows = [(k, float((k % 40 * 37) % 140 - 70), float((k % 40 * 73) % 340 - 170)) for k in range(1200)]
+    p, seen = spark.createDataFrame(rows, "k long, lat double, lon double"), []
+    monkeypatch.setattr(graph, "components", lambda edges, nodes: seen.append((edges.count(), nodes.count())) or components(edges, nodes))
+    got = {r["k"]: r["component"] for r in graph.radius_components(p, "k", 1600.0).collect()}
+    plain = components(radius_pairs(p.filter("k < 40"), "k", 1600.0).select("a", "b"), p.filter("k < 40").select(F.col("k").alias("id"))).collect()
+    least = {r["id"]: r["component"] for r in plain}
+    assert len(got) == 1200 and got == {k: least[k % 40] for k in got} and len(set(least.values())) > 1
+    assert len(seen) == 1 and seen[0][0] < 40 * 40 / 2 and seen[0][1] <= 40  # thirty stations a place, linked once
