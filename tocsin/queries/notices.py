@@ -85,8 +85,10 @@ def resolved_references(spark, sf_dir):
     message = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     ev = o.select(F.col("o_orderpriority").alias("source_id"), F.col("o_orderkey").cast("string").alias("external_id"), message.alias("message_id"))
     ref = F.when(F.col("l_returnflag") == "R", message).otherwise((F.col("l_orderkey") - 1).cast("string"))
-    both = joins.dealt(li, o, "l_orderkey", "o_orderkey", li.count() + o.count())
-    return records.resolved_references(both.select(F.col("o_orderpriority").alias("source_id"), ref.alias("ref")).distinct(), ev)
+    rows = li.count() + o.count()
+    both = joins.dealt(li, o, "l_orderkey", "o_orderkey", rows)
+    refs = both.select(F.col("o_orderpriority").alias("source_id"), ref.alias("ref")).distinct()
+    return records.resolved_references(refs.repartition(joins.parts(spark, rows), "source_id", "ref"), ev)
 
 
 @query("context_candidates", with_("e", """+ x AS (SELECT event_id, event_type, user_id, t, unnest([concat('v', CAST(floor(value / 20) AS BIGINT)), concat('t', CAST(floor(value) AS BIGINT) % 3)]) AS topic FROM e),
